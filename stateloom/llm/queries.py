@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, token_counts
+from . import fertility, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +26,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocab.path("piece_bpe_32k.model"))
 
 
+#: Two regions of two racks of two equal shards; growth adds a third region with one shard.
+SHARD_TREE = {f"r{r}": {f"k{k}": {4 * r + 2 * k + s: 1.0 for s in range(2)} for k in range(2)} for r in range(2)}
+GROWN_TREE = SHARD_TREE | {"r2": {"k0": {8: 1.0}}}
+
+
+def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hash_tree_shards(documents(spark, sf_dir), SHARD_TREE, GROWN_TREE)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_fertility, op3_token_counts)}
+    return {f.__name__: f for f in (op2_quality_fertility, op3_token_counts, op6_hash_tree_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
