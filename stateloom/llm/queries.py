@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fertility, sharding, token_counts
+from . import fertility, mixing, packing, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +36,19 @@ def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hash_tree_shards(documents(spark, sf_dir), SHARD_TREE, GROWN_TREE)
 
 
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        documents(spark, sf_dir), vocab.path("byte_bpe_50k.json"), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN
+    )
+
+
+def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_to_targets(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_fertility, op3_token_counts, op6_hash_tree_sharding)}
+    return {f.__name__: f for f in (op2_quality_fertility, op3_token_counts, op6_hash_tree_sharding, op7_sum_of_squares_packing, op10_curriculum_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
