@@ -8,7 +8,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, mixing, packing, sharding, token_counts
+from . import fertility, minhash, mixing, packing, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocab.path("piece_bpe_32k.model"))
 
 
+def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 #: Two regions of two racks of two equal shards; growth adds a third region with one shard.
 SHARD_TREE = {f"r{r}": {f"k{k}": {4 * r + 2 * k + s: 1.0 for s in range(2)} for k in range(2)} for r in range(2)}
 GROWN_TREE = SHARD_TREE | {"r2": {"k0": {8: 1.0}}}
@@ -48,7 +52,7 @@ def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_fertility, op3_token_counts, op6_hash_tree_sharding, op7_sum_of_squares_packing, op10_curriculum_mixing)}
+    return {f.__name__: f for f in (op2_quality_fertility, op3_token_counts, op5_minhash_near_duplicates, op6_hash_tree_sharding, op7_sum_of_squares_packing, op10_curriculum_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
