@@ -8,7 +8,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, minhash, mixing, packing, sharding, token_counts
+from . import chunk_dedup, fertility, line_dedup, minhash, mixing, packing, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+#: Windows compared as strings, numbered by place; covered lines dropped.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, pos, array_to_string(ls[pos + 1:pos + 3], chr(10)) AS w
+      FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM d WHERE len(ls) >= 3)),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS n
+      FROM w WHERE regexp_matches(w, '[^\x20\x09-\x0D]')),
+c AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM r WHERE n > 1),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM d),
+k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL) AS text,
+             count(*) AS n_lines, count(c.pos) AS n_removed
+      FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.pos = c.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_spans(documents(spark, sf_dir))
+
+
 def op2_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality_rules(
         documents(spark, sf_dir), vocab.path("piece_bpe_32k.model"), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN
@@ -52,8 +78,8 @@ def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_fertility, op3_token_counts, op5_minhash_near_duplicates, op6_hash_tree_sharding, op7_sum_of_squares_packing, op10_curriculum_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_chunk_dedup, op2_quality_fertility, op3_token_counts, op5_minhash_near_duplicates, op6_hash_tree_sharding, op7_sum_of_squares_packing, op10_curriculum_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
