@@ -28,31 +28,48 @@ def in_block_pairs(rows: DataFrame, key: list[str], id_col: str, count_col: str,
     return pairs.repartition(*key, "_low", "_high").sortWithinPartitions(*key, "_low", "_high")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """One batch for each run of rows equal in the first ``keys`` columns (integers, no nulls)."""
+def complete(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups, and where each group begins and the last ends.
+
+    A group is a run of rows equal in the first ``keys`` columns (integers, no nulls); the
+    last one of a batch waits for the next batch.
+    """
     held: list[pa.RecordBatch] = []
-    last: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for begin, end in zip(starts, starts[1:]):
-            now = tuple(int(c[begin]) for c in columns)
-            if held and now != last:
-                yield _joined(held)
-                held = []
-            last = now
-            held.append(batch.slice(begin, end - begin))
+        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
+            yield _whole(held, keys)
+            held = []
+        change = _changes(batch, keys)
+        if len(change):
+            held.append(batch.slice(0, int(change[-1])))
+            yield _whole(held, keys)
+            held = [batch.slice(int(change[-1]))]
+        else:
+            held.append(batch)
     if held:
-        yield _joined(held)
+        yield _whole(held, keys)
+
 
+def _changes(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    change = np.zeros(batch.num_rows, bool)
+    for i in range(keys):
+        c = batch.column(i).to_numpy(zero_copy_only=False)
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+def _whole(parts: list[pa.RecordBatch], keys: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    batch = parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+    return batch, np.concatenate([[0], _changes(batch, keys), [batch.num_rows]])
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """One batch for each group."""
+    for batch, starts in complete(batches, keys):
+        for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            yield batch.slice(begin, end - begin)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> list[int]:
