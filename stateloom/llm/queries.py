@@ -8,7 +8,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, embeddings, fertility, line_dedup, minhash, mixing, packing, sharding, token_counts
+from . import chunk_dedup, embeddings, fertility, line_dedup, minhash, mixing, packing, secret_scan, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,10 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
 def op9_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -82,7 +86,7 @@ def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_chunk_dedup, op2_quality_fertility, op3_token_counts, op5_minhash_near_duplicates, op6_hash_tree_sharding, op7_sum_of_squares_packing, op9_hyperplane_near_duplicates, op10_curriculum_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_chunk_dedup, op2_quality_fertility, op3_token_counts, op5_minhash_near_duplicates, op6_hash_tree_sharding, op7_sum_of_squares_packing, op8_secret_ownership, op9_hyperplane_near_duplicates, op10_curriculum_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
