@@ -86,31 +86,47 @@ class Vocabularies:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        #: Whether a token begins a word that stands after a space.
+        self.opens_piece = np.array([self.model.id_to_piece(i).startswith("▁") for i in range(len(is_byte))])
+        self.opens_token = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens_token[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
         self.memo: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
+    def _encoded(self, words: list[str]) -> list[tuple]:
+        """Encodes words in one text and cuts the tokens at those that open a word.
+
+        Neither vocabulary has a token across a space; if the openings don't match the
+        words one to one (a word holds the space mark itself), they are encoded one by one.
+        """
+        text = " ".join(words)
+        pieces = self.model.encode(text)
+        tokens = np.array(self.ranks.encode_ordinary(" " + text))
+        at = np.flatnonzero(self.opens_piece[pieces]).tolist()
+        opened = np.flatnonzero(self.opens_token[tokens])
+        if "▁" in text or len(at) != len(words) or len(opened) != len(words):
+            each = self.model.encode(words, num_threads=1)
+            return [(tuple(p), len(self.ranks.encode_ordinary(" " + w))) for w, p in zip(words, each, strict=True)]
+        counts = np.diff(opened, append=len(tokens)).tolist()
+        return [(tuple(pieces[i:j]), n) for i, j, n in zip(at, [*at[1:], len(pieces)], counts, strict=True)]
+
     def of(self, words: list[str]) -> list[tuple]:
         """(pieces, rank tokens) of each word, as it stands after a space."""
-        memo = self.memo
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            pass
-        found = {}
+        memo, older = self.memo, self.older
+        missing = set(words).difference(memo)
         new = []
-        for w in dict.fromkeys(words):
-            if (got := memo.get(w) or self.older.get(w)) is not None:
-                found[w] = got
-            else:
+        for w in missing:
+            got = older.get(w)
+            if got is None:
                 new.append(w)
-        if new:
-            encode = self.ranks.encode_ordinary
-            for w, pieces in zip(new, self.model.encode(new, num_threads=1), strict=True):
-                found[w] = (tuple(pieces), len(encode(" " + w)))
-        for w, got in found.items():
-            if len(w) <= MEMO_CHARS:
+            else:
                 memo[w] = got
-        out = [found[w] for w in words]
+        if new:
+            memo.update(zip(new, self._encoded(new), strict=True))
+        out = [memo[w] for w in words]
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
         if len(memo) >= MEMO_WORDS:
             self.older, self.memo = memo, {}
         return out
