@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_BY_JOB = Window.partitionBy("job_id").orderBy("generation")
+
+def _by_job() -> WindowSpec:
+    return Window.partitionBy("job_id").orderBy("generation")
 
 
 def transition_log(frames: DataFrame, start: str = "submitted") -> DataFrame:
     """Previous kind and kind of every frame; unreadable frames do not move the previous kind."""
-    moved = F.last(F.when(~F.col("is_error"), F.col("kind")), ignorenulls=True).over(_BY_JOB.rowsBetween(Window.unboundedPreceding, -1))
+    moved = F.last(F.when(~F.col("is_error"), F.col("kind")), ignorenulls=True).over(_by_job().rowsBetween(Window.unboundedPreceding, -1))
     return frames.select(
         "job_id", "generation", F.coalesce(moved, F.lit(start)).alias("from_kind"), F.when(~F.col("is_error"), F.col("kind")).alias("to_kind"), "is_error"
     )
@@ -20,7 +22,7 @@ def latest_frames(frames: DataFrame, n: int) -> DataFrame:
     """The newest n frames of each job, numbered from the oldest of them."""
     down = Window.partitionBy("job_id").orderBy(F.desc("generation"))
     kept = frames.withColumn("_r", F.row_number().over(down)).where(F.col("_r") <= n)
-    return kept.withColumn("position", F.row_number().over(_BY_JOB).cast("long")).drop("_r")
+    return kept.withColumn("position", F.row_number().over(_by_job()).cast("long")).drop("_r")
 
 
 def activation_islands(frames: DataFrame) -> DataFrame:
@@ -33,9 +35,9 @@ def activation_islands(frames: DataFrame) -> DataFrame:
     text = dict(frames.dtypes)["activation_id"] == "string"
     activation = F.nullif(F.col("activation_id"), F.lit("")) if text else F.col("activation_id")
     readable = frames.where("NOT is_error").withColumn("activation_id", activation)
-    first = F.row_number().over(_BY_JOB) == 1
-    starts = (first | ~F.lag("activation_id").over(_BY_JOB).eqNullSafe(F.col("activation_id"))).cast("int")
-    return readable.withColumn("_starts", starts).withColumn("activation_no", F.sum("_starts").over(_BY_JOB.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_starts")
+    first = F.row_number().over(_by_job()) == 1
+    starts = (first | ~F.lag("activation_id").over(_by_job()).eqNullSafe(F.col("activation_id"))).cast("int")
+    return readable.withColumn("_starts", starts).withColumn("activation_no", F.sum("_starts").over(_by_job().rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_starts")
 
 
 def timeline_activations(frames: DataFrame) -> DataFrame:

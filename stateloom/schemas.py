@@ -1,9 +1,7 @@
-"""Fixed values of the recorded state: kinds, their groups, and table schemas."""
+"""Fixed values of the recorded state: kinds, their groups, and table schemas (DDL)."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Names of states, actions, conditions and reports.
 STATE_KINDS = (
     "submitted", "ready", "claimed", "running", "committing", "cancelling", "relocating",
@@ -26,15 +24,15 @@ ACTION_KINDS = {
     "override_step": ("failed", "paused"),
 }
 
-MARKERS = T.StructType.fromDDL(
+MARKERS = (
     "workspace_id string, kind string, placement string, job_key string, job_id string, tag string, priority smallint, "
     "generation decimal(20,0), record_ref string, path string"
 )
-MANAGERS = T.StructType.fromDDL(
+MANAGERS = (
     "manager_id string, hostname string, pools array<string>, capabilities array<string>, executors array<string>, "
     "placement_prefixes array<string>, accept_any_pool boolean, heartbeat_at timestamp"
 )
-FRAMES = T.StructType.fromDDL(
+FRAMES = (
     "job_id string, kind string, generation decimal(20,0), record_ref string, previous_record_ref string, created_at timestamp, "
     "step string, activation_id string, attempt_id string, outcome_action string, "
     "failure struct<code:string,message:string>, members variant, error string"
