@@ -15,8 +15,9 @@ def to_base36(value: Column) -> Column:
 
 
 def from_base36(text: Column) -> Column:
-    """The integer of a lower-case base-36 text of at most 12 digits, else null."""
-    return F.when(text.rlike("^[0-9a-z]{1,12}$"), F.conv(text, 36, 10).cast("decimal(20,0)"))
+    """The integer of a lower-case base-36 text up to 2**64 - 1, else null (``conv`` would raise)."""
+    fits = text.rlike("^[0-9a-z]{1,12}$") | (text.rlike("^[0-9a-z]{13}$") & (text <= "3w5e11264sgsf"))
+    return F.when(fits, F.conv(text, 36, 10).cast("decimal(20,0)"))
 
 
 def make_job_key(tag: Column, job_id: Column) -> Column:
