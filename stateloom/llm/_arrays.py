@@ -35,7 +35,7 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(salt))
 
 
-_BYTE_VALUES = seeds(256, 77)
+_BYTE_VALUES, _MORE_VALUES = seeds(256, 77), seeds(256, 78)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -98,6 +98,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return mix(value + (end - begin).astype(np.uint64)), np.searchsorted(begin, offsets)
 
 
+def line_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, hash, second hash) of each run of ``width`` lines that holds a word.
+
+    Lines are what lies between newlines of one row; the two hashes of a window are
+    independent and together 128 bits.
+    """
+    n = len(data)
+    breaks = np.flatnonzero(data == 10)
+    begin, end = np.sort(np.concatenate([offsets[:-1], breaks + 1])), np.sort(np.concatenate([offsets[1:], breaks]))
+    per_row = 1 + np.diff(np.searchsorted(breaks, offsets))
+    owner = np.repeat(np.arange(len(per_row)), per_row)
+    start = np.flatnonzero(owner[: len(owner) - width + 1] == owner[width - 1 :]) if len(owner) >= width else np.zeros(0, np.int64)
+    words = np.zeros(n + 1, np.int64)
+    np.cumsum(~_SPACE[data], out=words[1:])
+    start = start[words[end[start + width - 1]] > words[begin[start]]]
+    out = []
+    power, back = _power("up", BASE, n), _power("down", BASE_INVERSE, n + 1)
+    for k, values in enumerate((_BYTE_VALUES, _MORE_VALUES)):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data] * power, out=total[1:])
+        lines = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+        weights = seeds(width, 555 + k) | np.uint64(1)
+        out.append(mix(sum(lines[start + i] * weights[i] for i in range(width)) + np.uint64(k)))
+    first = np.cumsum(per_row) - per_row
+    return owner[start], start - first[owner[start]], out[0], out[1]
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` words; empty when there are fewer."""
     n = len(words) - width + 1

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._arrays import line_windows, text_slices, to_long
+
 WORDLESS = r"[^\x20\x09-\x0D]"
 
 
@@ -31,15 +33,20 @@ def later_occurrences(found: DataFrame, digest: list[str], place: list[str]) ->
     return found.join(firsts, digest).where(at > F.col("_first"))
 
 
-def _windows(lines: Column, width: int) -> Column:
-    """Array of (pos, h1, h2) of the windows of a line array that hold a word."""
-    starts = F.sequence(F.lit(0), F.size(lines) - width)
-    texts = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.concat_ws("\n", F.slice(lines, i + 1, width)).alias("w")))
-    hashed = F.transform(
-        F.filter(texts, lambda x: x["w"].rlike(WORDLESS)),
-        lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(F.lit(1), x["w"]).alias("h1"), F.xxhash64(F.lit(2), x["w"]).alias("h2")),
-    )
-    return F.when(F.size(lines) >= width, hashed)
+def _windows(keyed: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(_id, _text_hash, pos, h1, h2): the windows of every text that hold a word."""
+    kind = keyed.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in text_slices(batch.column(2)):
+                owner, pos, h1, h2 = line_windows(data, offsets, width)
+                at = pa.array(owner + row)
+                arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), to_long(h1), to_long(h2)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_text_hash", "pos", "h1", "h2"])
+
+    texts = keyed.select("_id", "_text_hash", F.coalesce(F.col(f"_row.{text_col}"), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, f"_id {kind}, _text_hash long, pos long, h1 long, h2 long")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -54,9 +61,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Windows cross the network as 128-bit digests with their place, texts once.
     """
     keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_text_hash"))
-    lines = F.split(F.col(f"_row.{text_col}"), "\n", -1)
-    windows = keyed.select("_id", "_text_hash", F.explode(_windows(lines, width)).alias("x")).select("_id", "_text_hash", "x.*")
-    later = later_occurrences(windows, ["h1", "h2"], ["_id", "_text_hash", "pos"])
+    later = later_occurrences(_windows(keyed, text_col, width), ["h1", "h2"], ["_id", "_text_hash", "pos"])
     covered = later.groupBy("_id", "_text_hash").agg(F.sort_array(F.collect_set("pos")).alias("_starts"))
     same = keyed["_id"].eqNullSafe(covered["_id"]) & (keyed["_text_hash"] == covered["_text_hash"])
     joined = keyed.join(covered, same, "left").select("_row", "_starts")
