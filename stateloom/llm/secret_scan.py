@@ -22,12 +22,14 @@ class Kind(NamedTuple):
     pattern: str
     group: int  # the group that holds the value; it ends the match
     least: int  # characters of that group
+    mark: str | None = None  # finds the same matches of ``least`` characters or more, and no shorter ones
 
 
 KINDS: tuple[Kind, ...] = (
     Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Kind("hex", r"[0-9a-f]+", 0, 16),
+    # Runs are maximal, so a least length inside the pattern drops the short ones and moves no other.
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14,}"),
+    Kind("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16,}"),
 )
 #: Private-use characters: the mark around matches, and what stands for it if a text holds it.
 _MARK, _INSTEAD = "", ""
@@ -40,14 +42,17 @@ def _matches(marked: Column, number: int, kind: Kind) -> Column:
     place in code points.
     """
     parts = F.split(marked, _MARK, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,text:string>>").alias("out"))
+    zero = F.struct(
+        F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:long,end:long,text:string>>").alias("out")
+    )
 
     def step(state: Column, part: Column) -> Column:
         end = state["at"] + F.length(part)
         found = F.struct(state["at"].alias("start"), end.alias("end"), part.alias("text"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], found).alias("out"))
+        out = F.when(state["inside"], F.array_append(state["out"], found)).otherwise(state["out"])
+        return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), out.alias("out"))
 
-    placed = F.filter(F.aggregate(parts, zero, step)["out"], lambda x, i: i % 2 == 1)
+    placed = F.aggregate(parts, zero, step)["out"]
     value = (lambda x: F.regexp_extract(x["text"], kind.pattern, kind.group)) if kind.group else (lambda x: x["text"])
     valued = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), value(x).alias("value")))
     return F.transform(
@@ -78,7 +83,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repos
         repository.alias("repository"),
         F.translate(F.coalesce(F.col(text_col), F.lit("")), _MARK, _INSTEAD).alias("text"),
     )
-    marked = [F.regexp_replace("text", k.pattern, f"{_MARK}$0{_MARK}").alias(f"m{i}") for i, k in enumerate(kinds)]
+    marked = [F.regexp_replace("text", k.mark or k.pattern, f"{_MARK}$0{_MARK}").alias(f"m{i}") for i, k in enumerate(kinds)]
     # A kind's matches; a text without the mark has none.
     held = texts.select("id", "text_hash", "owner", "repository", *marked)
     found = [F.when(F.instr(f"m{i}", _MARK) > 0, _matches(F.col(f"m{i}"), i, k)).otherwise(none) for i, k in enumerate(kinds)]
