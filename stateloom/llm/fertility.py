@@ -28,7 +28,7 @@ from ._arrays import window_hashes
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 #: Words kept in each of two generations, and the longest word kept, in one Python worker.
-MEMO_WORDS, MEMO_CHARS = 250_000, 48
+MEMO_WORDS, MEMO_CHARS = 120_000, 48
 
 
 class Band(NamedTuple):

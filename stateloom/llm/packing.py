@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks kept in each of two generations, and the longest chunk kept, in one Python worker.
-MEMO_CHUNKS, MEMO_CHARS = 300_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 100_000, 48
 #: Places that the byte-level split never crosses: a word with its space, or white space.
 _CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 #: Characters that the two regex engines class differently as white space.
