@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stateloom.llm import fertility, line_dedup, minhash, mixing, packing
-from stateloom.llm._scratch import Scratch
+from stateloom.llm._scratch import Scratch, with_rank
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' tokens in sequences of at most 2,048."""
-    return packing.pack_documents(docs, vocab.path("byte_bpe_50k.json"), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN)
+    """The pieces of the documents' tokens in sequences of at most 2,048, numbered in training order.
+
+    The training order is the order of the table that ``mixture`` was written to.
+    """
+    files = vocab.path("byte_bpe_50k.json"), vocab.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(with_rank(docs, "_rank"), *files, vocab.PATTERN, order_col="_rank")
 
 
 STAGES = [

@@ -8,7 +8,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _local_folder: list[str] = []
@@ -50,3 +51,28 @@ class Scratch:
             jvm = self.spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _is_stored(df: DataFrame) -> bool:
+    """Whether df is a table of files, at most with columns or rows left out."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty() and plan.metadataOutput().nonEmpty()
+
+
+def with_rank(df: DataFrame, name: str) -> DataFrame:
+    """df and every row's rank in the table's order (long, from 0): part by part, row by row.
+
+    A table written from range-sorted rows holds their order in this way.  What is not yet a
+    table of files is written first.  The places where files begin (one row per file) are
+    broadcast.
+    """
+    if not _is_stored(df):
+        df = Scratch(df.sparkSession, "order").keep(df)
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    part = F.expr(r"try_cast(regexp_extract(_file, 'part-([0-9]+)[^/]*$', 1) AS long)")
+    earlier = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_file").agg((F.max("_at") + 1).alias("_rows"))
+    begins = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_begin"))
+    return placed.join(F.broadcast(begins), "_file").select(*df.columns, (F.col("_begin") + F.col("_at")).alias(name))

@@ -5,8 +5,9 @@ one and are placed online: of all fill levels that have a partially filled windo
 room, and of a new window, the one that makes the sum of squared level counts least is
 taken (the fullest on ties).  The counts stand in a level array.
 
-Documents are dealt by hash into groups of bounded expected size; each group has a level
-array of its own, so groups pack in parallel and only lengths and checksums are shuffled.
+Documents are dealt into groups of bounded size, by hash or, where an order is given, by
+ranges of it; each group has a level array of its own, so groups pack in parallel and only
+lengths and checksums are shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -93,10 +94,12 @@ class LevelArray:
         self.open: dict[int, list[int]] = {}
         self.windows = 0
 
-    def place(self, length: int) -> tuple[int, int]:
-        """(window, offset) of a piece of 1 to capacity - 1 tokens."""
+    def place(self, length: int, avoid: Collection[int] = ()) -> tuple[int, int]:
+        """(window, offset) of a piece of 1 to capacity - 1 tokens, in no window of ``avoid``."""
         count, room = self.count, self.capacity - length
         levels = np.flatnonzero(count[: room + 1])
+        if avoid:
+            levels = np.array([h for h in levels.tolist() if any(w not in avoid for w in self.open[h])], np.int64)
         level, least = 0, 2 * int(count[length]) + 1
         if len(levels):
             change = 2 * (count[levels + length] - count[levels]) + 2
@@ -105,7 +108,8 @@ class LevelArray:
             if change[best] <= least:
                 level = int(levels[best])
         if level:
-            window = self.open[level].pop()
+            windows = self.open[level]
+            window = windows.pop(next(i for i in range(len(windows) - 1, -1, -1) if windows[i] not in avoid))
             count[level] -= 1
         else:
             window = self.windows
@@ -121,15 +125,26 @@ class LevelArray:
 
 
 def pack_group(docs: pd.DataFrame, id_col: str, capacity: int) -> pd.DataFrame:
-    """The pieces of one group's documents, taken in order of id, length and checksums."""
-    docs = docs.sort_values([id_col, "doc_tokens", "_first"], na_position="first", kind="stable")
-    levels, out = LevelArray(capacity), []
+    """The pieces of one group's documents, taken in the order given, then of id, length and checksums.
+
+    Where an order is given, no two passes of a document put their last pieces in one window.
+    """
+    ordered = "_order" in docs.columns
+    docs = docs.sort_values([*["_order"] * ordered, id_col, "doc_tokens", "_first"], na_position="first", kind="stable")
+    levels, out, held = LevelArray(capacity), [], {}
     group = int(docs["_group"].iloc[0]) << 32
     for doc, total, checks in zip(docs[id_col], docs["doc_tokens"], docs["_checks"], strict=True):
         for k, check in enumerate(checks):
             start = k * capacity
             length = min(capacity, total - start)
-            window, offset = (levels.full(), 0) if length == capacity else levels.place(length)
+            if length == capacity:
+                window, offset = levels.full(), 0
+            elif ordered:
+                mine = held.setdefault((None if pd.isna(doc) else doc, total, *checks), set())
+                window, offset = levels.place(length, mine)
+                mine.add(window)
+            else:
+                window, offset = levels.place(length)
             out.append((doc, start, length, int(check), total, group + window, offset))
     columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     made = pd.DataFrame(out, columns=columns)
@@ -147,6 +162,7 @@ def pack_documents(
     capacity: int = 2048,
     end_id: int = 1,
     group_rows: int = 8192,
+    order_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -155,6 +171,11 @@ def pack_documents(
     groups follows from the number of rows (one count), and a row's group from its id and
     tokens, so reruns and retries agree.  Null or repeated ids pack as rows of their own.
     Other columns are not read.
+
+    ``order_col`` names the rows' ranks in an order to keep (long, from 0, no nulls): every
+    ``group_rows`` ranks are a group, a group packs in order of rank, and sequences are
+    numbered by the rank of their first piece.  A piece that fills up an open sequence
+    stands before its rank by the length of a group at most.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -169,13 +190,17 @@ def pack_documents(
                 totals.append(len(ids) // 4)
                 checks.append([zlib.crc32(ids[i : i + width]) for i in range(0, len(ids), width)])
             made = [pa.array(totals, pa.int64()), pa.array(checks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *made], names=[id_col, "doc_tokens", "_checks"])
-
-    groups = max(1, -(-docs.count() // group_rows))
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col))
-    tokens = texts.mapInArrow(run, f"`{id_col}` {kind}, doc_tokens long, _checks array<long>")
-    dealt = tokens.withColumn("_first", F.element_at("_checks", 1)).withColumn(
-        "_group", F.pmod(F.xxhash64(id_col, "doc_tokens", "_checks"), F.lit(groups))
-    )
+            names = [id_col, "doc_tokens", "_checks", *["_order"] * (batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *made, *batch.columns[2:]], names=names)
+
+    order = [] if order_col is None else [F.col(order_col).cast("long").alias("_order")]
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col), *order)
+    tokens = texts.mapInArrow(run, f"`{id_col}` {kind}, doc_tokens long, _checks array<long>" + ", _order long" * len(order))
+    if order:
+        group = F.expr(f"_order div {int(group_rows)}")
+    else:
+        groups = max(1, -(-docs.count() // group_rows))
+        group = F.pmod(F.xxhash64(id_col, "doc_tokens", "_checks"), F.lit(groups))
+    dealt = tokens.withColumn("_first", F.element_at("_checks", 1)).withColumn("_group", group)
     out = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("_group").applyInPandas(lambda g: pack_group(g, id_col, capacity), out)

@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__
 import brute
 import corpus_pipeline
-from stateloom.llm import queries
+from stateloom.llm import mixing, queries
+from stateloom.llm._scratch import with_rank
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +56,21 @@ def test_stages_take_nulls_and_repeats(spark):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, df, SF).collect()
     assert corpus_pipeline.near_copies(spark, docs, SF).count() == 3
+
+
+def test_sequences_follow_the_training_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    order = [r.doc_id for r in mixing.training_order(docs, partitions=3).collect()]
+    # Stage 4 as written and reread; then not written, and written in many files.
+    corpus_pipeline.mixture(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    mixing.training_order(docs, partitions=12).select(*docs.columns).write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "many"))
+    for mixed in (spark.read.parquet(str(tmp_path / "mixed")), corpus_pipeline.mixture(spark, docs, SF), spark.read.parquet(str(tmp_path / "many"))):
+        ranked = with_rank(mixed, "_rank").orderBy("_rank").collect()
+        assert [r._rank for r in ranked] == list(range(len(order)))
+        assert [r.doc_id for r in ranked] == order
+        packed = corpus_pipeline.sequences(spark, mixed, SF).collect()
+        first = [r.doc_id for r in sorted(packed, key=lambda r: r.sequence_id) if r.offset == 0 and r.start == 0]
+        left = iter(order)
+        assert all(d in left for d in first)  # the sequences begin with documents in their order
+        shared = [(r.sequence_id, r.doc_id) for r in packed]
+        assert len(order) > len(set(order)) and len(shared) == len(set(shared))

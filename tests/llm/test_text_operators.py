@@ -243,6 +243,20 @@ def test_packing(docs, empty, texts):
     assert packing.pack_documents(empty, *files, vocab.PATTERN).count() == 0
 
 
+def test_packing_keeps_an_order(spark):
+    rows = [(i % 50, "word " * (3 + i % 50), 119 - i) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank long").repartition(5)
+    files = vocab.path("byte_bpe_50k.json"), vocab.path("byte_bpe_50k.tiktoken")
+    packed = packing.pack_documents(df, *files, vocab.PATTERN, capacity=64, group_rows=40, order_col="rank").collect()
+    order = [d for d, _, _ in sorted(rows, key=lambda r: r[2])]
+    for g in range(3):
+        group = [r for r in packed if r.sequence_id >> 32 == g]
+        assert {r.doc_id for r in group} == set(order[40 * g : 40 * g + 40])
+        left = iter(order[40 * g : 40 * g + 40])
+        assert all(r.doc_id in left for r in sorted(group, key=lambda r: r.sequence_id) if r.offset == 0)
+    assert len({(r.sequence_id, r.doc_id) for r in packed}) == len(packed) == 120
+
+
 def test_sum_of_squares_takes_the_least_change_and_pads_little():
     rng = random.Random(4)
     levels = packing.LevelArray(64)
