@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: (time, relative weight) knots; a schedule is scaled to a mean of 1.
 Schedule = Sequence[tuple[float, float]]
@@ -151,3 +153,26 @@ def training_order(docs: DataFrame, partitions: int | None = None, **options) ->
     keys = ["_position", *(k for k in (options.get("id_col", "doc_id"),) if k in docs.columns)]
     dealt = mixed.repartitionByRange(partitions, *keys) if partitions else mixed.repartitionByRange(*keys)
     return dealt.sortWithinPartitions(*keys)
+
+
+def with_ranks(docs: DataFrame, ranges: int = 4096, **options) -> DataFrame:
+    """The rows of ``mix_to_targets`` and ranks (array<long>): each pass's rank from 0 in the training order.
+
+    The order is that of ``training_order``, equal rows tied.  Passes are dealt to equal
+    ranges of time, counted by range and numbered inside each, so that only one row per
+    range meets in one task.  Schedules bound the words that fall into a range.  The rows
+    are written once, so their keys stand.  Rows without a pass have no ranks.
+    """
+    id_col = options.get("id_col", "doc_id")
+    mixed = mix_to_targets(docs, **options).withColumn("_row", F.monotonically_increasing_id())
+    rows = Scratch(docs.sparkSession, "mixing").keep(mixed)
+    at = F.least(F.floor(F.col("_position") * ranges), F.lit(ranges - 1))
+    passes = rows.select("_row", F.col(id_col).alias("_id"), F.posexplode("positions").alias("_pass", "_position")).withColumn("_range", at)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = passes.groupBy("_range").agg(F.count("*").alias("_n"))
+    begins = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
+    inside = Window.partitionBy("_range").orderBy("_position", "_id", "_row", "_pass")
+    ranked = passes.withColumn("_at", F.row_number().over(inside) - 1).join(begins, "_range")
+    ranks = ranked.groupBy("_row").agg(F.sort_array(F.collect_list(F.col("_begin") + F.col("_at"))).alias("ranks"))
+    none = F.array().cast("array<bigint>")
+    return rows.join(ranks, "_row", "left").withColumn("ranks", F.coalesce("ranks", none)).drop("_row")

@@ -81,8 +81,9 @@ def op9_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_to_targets(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    mixed = mixing.with_ranks(documents(spark, sf_dir))
+    first = F.try_element_at("positions", F.lit(1)).alias("first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first, "positions", "ranks")
 
 
 def queries() -> dict[str, Query]:

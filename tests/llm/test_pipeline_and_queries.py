@@ -74,3 +74,16 @@ def test_sequences_follow_the_training_order(spark, tmp_path):
         assert all(d in left for d in first)  # the sequences begin with documents in their order
         shared = [(r.sequence_id, r.doc_id) for r in packed]
         assert len(order) > len(set(order)) and len(shared) == len(set(shared))
+
+
+def test_mixing_query_ranks_every_pass(spark):
+    rows = queries.queries()["op10_curriculum_mixing"](spark, SF).collect()
+    order = [r.doc_id for r in mixing.training_order(spark.read.parquet(f"{SF}/documents.parquet"), partitions=3).collect()]
+    assert any(len(r.positions) > 1 for r in rows) and any(not r.positions for r in rows)
+    for r in rows:
+        assert len(r.ranks) == len(r.positions) and r.taken == r["size"] * len(r.positions)
+        assert r.first_position == (r.positions[0] if r.positions else None)
+    passes = sorted((k, p, r.doc_id) for r in rows for k, p in zip(r.ranks, r.positions, strict=True))
+    assert [k for k, _, _ in passes] == list(range(len(order)))
+    assert [p for _, p, _ in passes] == sorted(p for _, p, _ in passes)
+    assert [d for _, _, d in passes] == order
