@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of a text, h = 2h + gear[byte]; a chunk ends wh
 hash's lower bits are zero, at least ``least`` and at most ``most`` bytes after it began.
 The lower 16 bits depend on the last 16 bytes only, so chunk ends fall at the same places of
 a passage wherever it stands, and an insertion shifts only the chunks around it.  Of equal
-chunks (128-bit digest) the first by (id, start) stays; runs of later occurrences of at
-least ``least_span`` bytes are the repeated spans.
+chunks (128-bit digest) the first by (id, start) stays; runs of later occurrences are the
+repeated spans, those of fewer than ``least_span`` bytes marked.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def chunk_ends(data: np.ndarray, mask: int, least: int, most: int) -> np.ndarray
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, mask: int, least: int, most: int) -> DataFrame:
-    """(id, start, length, d1, d2): the chunks of every text, in bytes of its UTF-8."""
+    """(id, start, length, d1, d2, last): the chunks of every text, in bytes of its UTF-8."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +81,11 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, mask: int, least: int, m
                     pa.array(x.astype(t))
                     for x, t in ((np.concatenate(starts), np.int64), (np.concatenate(lengths), np.int32), (d[:, 0], np.int64), (d[:, 1], np.int64))
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "d1", "d2"])
+                arrays.append(pa.array(np.append(owner[1:] != owner[:-1], True)))
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "d1", "d2", "last"])
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    return texts.mapInArrow(run, f"id {kind}, start long, length int, d1 long, d2 long")
+    return texts.mapInArrow(run, f"id {kind}, start long, length int, d1 long, d2 long, last boolean")
 
 
 def repeated_spans(
@@ -97,16 +98,17 @@ def repeated_spans(
     most: int = 512,
     least_span: int = 80,
 ) -> DataFrame:
-    """One row per repeated span: id, start, length (bytes of the text's UTF-8), n_chunks, first_ids.
+    """One row per repeated span: id, start, length (bytes of the text's UTF-8), n_chunks, first_ids, whole, short.
 
     A span is a maximal run of neighbouring chunks that occur earlier in the corpus;
-    first_ids are the sorted ids where its chunks occur first.  Texts that repeat nothing,
+    first_ids are the sorted ids where its chunks occur first.  whole marks a span that is
+    its whole text, short one of fewer than ``least_span`` bytes; none is left out.  Texts that repeat nothing,
     null and empty texts give no row.  Ids name texts: rows that repeat an id and its text
     are one occurrence.  A null id sorts first.  Only id and text are read, and texts are
     not shuffled: chunks cross the network as digests with their places.
     """
     found = chunks(docs, id_col, text_col, mask, least, most)
-    later = later_occurrences(found, ["d1", "d2"], ["id", "start"]).select("id", "start", "length", F.col("_first.id").alias("first"))
+    later = later_occurrences(found, ["d1", "d2"], ["id", "start"]).select("id", "start", "length", "last", F.col("_first.id").alias("first"))
     # Chunks that repeat, by text: at most one text's chunks in a window.
     by_place = Window.partitionBy("id").orderBy("start", "length")
     opens = F.coalesce(F.lag(F.col("start") + F.col("length")).over(by_place) < F.col("start"), F.lit(True))
@@ -117,14 +119,16 @@ def repeated_spans(
         F.sum("length").cast("long").alias("length"),
         F.count("*").alias("n_chunks"),
         F.sort_array(F.collect_set("first")).alias("first_ids"),
+        F.max("last").alias("_ends"),
     )
-    return spans.where(F.col("length") >= least_span).select(F.col("id").alias(id_col), "start", "length", "n_chunks", "first_ids")
+    whole, short = (F.col("start") == 0) & F.col("_ends"), F.col("length") < least_span
+    return spans.select(F.col("id").alias(id_col), "start", "length", "n_chunks", "first_ids", whole.alias("whole"), short.alias("short"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans' bytes cut out of the texts; a cut character goes as a whole.
 
-    Spans are those of ``repeated_spans``; texts without spans are unchanged.
+    Spans are those of ``repeated_spans``, or those of them to be cut; texts without spans are unchanged.
     """
     cuts = spans.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
     at = docs.columns.index(text_col)

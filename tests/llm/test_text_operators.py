@@ -186,6 +186,17 @@ def test_chunk_dedup_finds_passages_and_leaves_others(spark, docs, empty):
     assert chunk_dedup.repeated_spans(docs).count() > 0
 
 
+def test_chunk_dedup_returns_short_runs_marked(spark):
+    rng = random.Random(12)
+    text = " ".join(prose(rng, 60))
+    # The first chunk of a text has no hash of bytes before it, so a longer text begins with it too.
+    first = chunk_dedup.chunk_ends(np.frombuffer(text.encode(), np.uint8), 31, 16, 512).tolist()[0]
+    rows = [(1, "short text"), (2, "short text"), (3, "other text"), (4, text), (5, text[:first] + "#" * 600), (6, text), (7, "")]
+    spans = chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), least_span=first + 1).where("doc_id <> 5 OR start = 0")
+    found = {r.doc_id: (r.start, r.length, r.first_ids, r.whole, r.short) for r in spans.collect()}
+    assert found == {2: (0, 10, [1], True, True), 5: (0, first, [4], False, True), 6: (0, len(text), [4], True, False)}
+
+
 def test_sharding(docs, empty, texts):
     from stateloom.llm.queries import GROWN_TREE, SHARD_TREE
 
