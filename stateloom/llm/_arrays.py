@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 #: Odd multiplier of the positional hash; odd, so that it has an inverse modulo 2**64.
@@ -35,7 +36,10 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(salt))
 
 
-_BYTE_VALUES, _MORE_VALUES = seeds(256, 77), seeds(256, 78)
+_BYTE_VALUES = seeds(256, 77)
+#: Longer words are hashed by xxh3: the positional hash is a polynomial modulo 2**64, for
+#: which long texts can be made to collide; up to this length it is one of random byte values.
+SHORT_WORD = 64
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -92,17 +96,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     opens[inner] = inside[inner]
     closes[inner - 1] = inside[inner - 1]
     begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    data = _LOWER[data] if lower else data
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[_LOWER[data] if lower else data] * _power("up", BASE, n), out=total[1:])
+    np.cumsum(_BYTE_VALUES[data] * _power("up", BASE, n), out=total[1:])
     value = (total[end] - total[begin]) * _power("down", BASE_INVERSE, n)[begin]
-    return mix(value + (end - begin).astype(np.uint64)), np.searchsorted(begin, offsets)
+    hashes = mix(value + (end - begin).astype(np.uint64))
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(end - begin > SHORT_WORD).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(view[begin[i] : end[i]])
+    return hashes, np.searchsorted(begin, offsets)
 
 
-def line_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position, hash, second hash) of each run of ``width`` lines that holds a word.
+def line_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, digest as two longs) of each run of ``width`` lines that holds a word.
 
-    Lines are what lies between newlines of one row; the two hashes of a window are
-    independent and together 128 bits.
+    Lines are what lies between newlines of one row.  Runs of equal lines are equal bytes,
+    line ends included, so the digest is the 128-bit xxh3 of a window's bytes.
     """
     n = len(data)
     breaks = np.flatnonzero(data == 10)
@@ -112,17 +121,18 @@ def line_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     start = np.flatnonzero(owner[: len(owner) - width + 1] == owner[width - 1 :]) if len(owner) >= width else np.zeros(0, np.int64)
     words = np.zeros(n + 1, np.int64)
     np.cumsum(~_SPACE[data], out=words[1:])
-    start = start[words[end[start + width - 1]] > words[begin[start]]]
-    out = []
-    power, back = _power("up", BASE, n), _power("down", BASE_INVERSE, n + 1)
-    for k, values in enumerate((_BYTE_VALUES, _MORE_VALUES)):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * power, out=total[1:])
-        lines = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
-        weights = seeds(width, 555 + k) | np.uint64(1)
-        out.append(mix(sum(lines[start + i] * weights[i] for i in range(width)) + np.uint64(k)))
+    opens, closes = begin[start], end[start + width - 1]
+    worded = words[closes] > words[opens]
+    start, opens, closes = start[worded], opens[worded], closes[worded]
     first = np.cumsum(per_row) - per_row
-    return owner[start], start - first[owner[start]], out[0], out[1]
+    return owner[start], start - first[owner[start]], digests(data, opens, closes)
+
+
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The 128-bit xxh3 digests of byte ranges, as rows of two longs."""
+    view = memoryview(np.ascontiguousarray(data))
+    made = [xxhash.xxh3_128_digest(view[b:e]) for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -142,7 +152,3 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     return np.unique(window_hashes(words, min(width, len(words))))
-
-
-def to_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())

@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of a text, h = 2h + gear[byte]; a chunk ends wh
 hash's lower bits are zero, at least ``least`` and at most ``most`` bytes after it began.
 The lower 16 bits depend on the last 16 bytes only, so chunk ends fall at the same places of
 a passage wherever it stands, and an insertion shifts only the chunks around it.  Of equal
-chunks (128-bit digest) the first by (id, start) stays; runs of later occurrences are the
-repeated spans, those of fewer than ``least_span`` bytes marked.
+chunks (128-bit digest) the first by (id, text hash, start) stays; runs of later occurrences
+are the repeated spans, those of fewer than ``least_span`` bytes marked.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrays import seeds, text_slices
+from ._arrays import digests, seeds, text_slices
+from ._groups import fresh
 from .line_dedup import later_occurrences
 
 _GEAR = (seeds(256, 2016) >> np.uint64(48)).astype(np.uint16)
@@ -55,37 +56,31 @@ def chunk_ends(data: np.ndarray, mask: int, least: int, most: int) -> np.ndarray
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, mask: int, least: int, most: int) -> DataFrame:
-    """(id, start, length, d1, d2, last): the chunks of every text, in bytes of its UTF-8."""
+    """(id, text_hash, start, length, d1, d2, last): the chunks of every text, in bytes of its UTF-8."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(0)):
-                starts, lengths, digests, counts = [], [], [], []
-                view = memoryview(data)
-                for i in range(len(offsets) - 1):
-                    base = int(offsets[i])
+                starts, begins, lengths, counts = [], [], [], []
+                for i, base in enumerate(offsets[:-1].tolist()):
                     ends = chunk_ends(data[base : offsets[i + 1]], mask, least, most)
-                    begin = np.concatenate([[0], ends[:-1]])[: len(ends)]
+                    begin = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
                     starts.append(begin)
+                    begins.append(begin + base)
                     lengths.append(ends - begin)
                     counts.append(len(ends))
-                    digests += [xxhash.xxh3_128_digest(view[base + s : base + e]) for s, e in zip(begin.tolist(), ends.tolist())]
-                if not digests:
-                    continue
-                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                start, begin, length = map(np.concatenate, (starts, begins, lengths))
+                digest = digests(data, begin, begin + length)
                 owner = np.repeat(np.arange(row, row + len(counts)), counts)
-                arrays = [batch.column(1).take(pa.array(owner))] + [
-                    pa.array(x.astype(t))
-                    for x, t in ((np.concatenate(starts), np.int64), (np.concatenate(lengths), np.int32), (d[:, 0], np.int64), (d[:, 1], np.int64))
-                ]
-                arrays.append(pa.array(np.append(owner[1:] != owner[:-1], True)))
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "d1", "d2", "last"])
+                last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+                held = [batch.column(i).take(pa.array(owner)) for i in (1, 2)]
+                made = [pa.array(x) for x in (start, length.astype(np.int32), digest[:, 0], digest[:, 1], last)]
+                yield pa.RecordBatch.from_arrays([*held, *made], names=["id", "text_hash", "start", "length", "d1", "d2", "last"])
 
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    return texts.mapInArrow(run, f"id {kind}, start long, length int, d1 long, d2 long, last boolean")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
+    return texts.mapInArrow(run, f"id {kind}, text_hash long, start long, length int, d1 long, d2 long, last boolean")
 
 
 def repeated_spans(
@@ -98,23 +93,25 @@ def repeated_spans(
     most: int = 512,
     least_span: int = 80,
 ) -> DataFrame:
-    """One row per repeated span: id, start, length (bytes of the text's UTF-8), n_chunks, first_ids, whole, short.
+    """One row per repeated span: id, text_hash, start, length (bytes of the text's UTF-8), n_chunks, first_ids, whole, short.
 
     A span is a maximal run of neighbouring chunks that occur earlier in the corpus;
     first_ids are the sorted ids where its chunks occur first.  whole marks a span that is
     its whole text, short one of fewer than ``least_span`` bytes; none is left out.  Texts that repeat nothing,
-    null and empty texts give no row.  Ids name texts: rows that repeat an id and its text
-    are one occurrence.  A null id sorts first.  Only id and text are read, and texts are
-    not shuffled: chunks cross the network as digests with their places.
+    null and empty texts give no row.  Rows that repeat an id (null ids too) are told apart
+    by text_hash, the text's xxhash64; rows equal in both are one occurrence.  A null id
+    sorts first.  Only id and text are read, and texts are not shuffled: chunks cross the
+    network as digests with their places.
     """
     found = chunks(docs, id_col, text_col, mask, least, most)
-    later = later_occurrences(found, ["d1", "d2"], ["id", "start"]).select("id", "start", "length", "last", F.col("_first.id").alias("first"))
+    place = ["id", "text_hash", "start"]
+    later = later_occurrences(found, ["d1", "d2"], place).select(*place, "length", "last", F.col("_first.id").alias("first"))
     # Chunks that repeat, by text: at most one text's chunks in a window.
-    by_place = Window.partitionBy("id").orderBy("start", "length")
+    by_place = Window.partitionBy("id", "text_hash").orderBy("start")
     opens = F.coalesce(F.lag(F.col("start") + F.col("length")).over(by_place) < F.col("start"), F.lit(True))
-    numbered = later.dropDuplicates(["id", "start"]).withColumn("_opens", opens.cast("int"))
+    numbered = later.dropDuplicates(place).withColumn("_opens", opens.cast("int"))
     numbered = numbered.withColumn("_run", F.sum("_opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("id", "_run").agg(
+    spans = numbered.groupBy("id", "text_hash", "_run").agg(
         F.min("start").alias("start"),
         F.sum("length").cast("long").alias("length"),
         F.count("*").alias("n_chunks"),
@@ -122,7 +119,7 @@ def repeated_spans(
         F.max("last").alias("_ends"),
     )
     whole, short = (F.col("start") == 0) & F.col("_ends"), F.col("length") < least_span
-    return spans.select(F.col("id").alias(id_col), "start", "length", "n_chunks", "first_ids", whole.alias("whole"), short.alias("short"))
+    return spans.select(F.col("id").alias(id_col), "text_hash", "start", "length", "n_chunks", "first_ids", whole.alias("whole"), short.alias("short"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,9 +127,14 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
 
     Spans are those of ``repeated_spans``, or those of them to be cut; texts without spans are unchanged.
     """
-    cuts = spans.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_cuts"))
+    # The columns of ``docs`` travel in a struct, so none can clash.
+    place = F.struct(F.col(id_col).alias("id"), F.col("text_hash")).alias("place")
+    cuts = spans.groupBy(place).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("cuts"))
+    at = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    rows = docs.select(F.struct("*").alias("row"), at.alias("at"))
+    same = F.col("at.id").eqNullSafe(F.col("place.id")) & (F.col("at.text_hash") == F.col("place.text_hash"))
+    joined = rows.join(cuts, same, "left").select("row.*", F.col("cuts").alias(fresh("cuts", docs.columns)))
     at = docs.columns.index(text_col)
-    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

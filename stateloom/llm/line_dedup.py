@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrays import line_windows, text_slices, to_long
+from ._arrays import line_windows, text_slices
 
 WORDLESS = r"[^\x20\x09-\x0D]"
 
@@ -40,34 +40,37 @@ def _windows(keyed: DataFrame, text_col: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(2)):
-                owner, pos, h1, h2 = line_windows(data, offsets, width)
+                owner, pos, digest = line_windows(data, offsets, width)
                 at = pa.array(owner + row)
-                arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), to_long(h1), to_long(h2)]
+                arrays = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x) for x in (pos, digest[:, 0], digest[:, 1]))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_text_hash", "pos", "h1", "h2"])
 
     texts = keyed.select("_id", "_text_hash", F.coalesce(F.col(f"_row.{text_col}"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, f"_id {kind}, _text_hash long, pos long, h1 long, h2 long")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, counts: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
     """The rows of ``docs`` with covered lines removed from the text, and n_lines, n_removed (long).
 
     Lines end at "\\n" and are compared as they are.  Windows without a word, and texts of
     fewer than ``width`` lines, repeat nothing.  A null text stays null with 0 lines; a text
     all of whose lines are covered becomes empty.  Rows that repeat an id are told apart by
     their text's hash, and rows equal in both are one occurrence; a null id sorts first.
-    The columns of ``docs`` are kept; n_lines and n_removed replace columns of those names.
+    The columns of ``docs`` are kept; the two counts are named by ``counts`` and replace
+    columns of those names.
 
     Windows cross the network as 128-bit digests with their place, texts once.
     """
-    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_text_hash"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_hash"))
     later = later_occurrences(_windows(keyed, text_col, width), ["h1", "h2"], ["_id", "_text_hash", "pos"])
     covered = later.groupBy("_id", "_text_hash").agg(F.sort_array(F.collect_set("pos")).alias("_starts"))
     same = keyed["_id"].eqNullSafe(covered["_id"]) & (keyed["_text_hash"] == covered["_text_hash"])
     joined = keyed.join(covered, same, "left").select("_row", "_starts")
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c.lower() not in [n.lower() for n in counts]]
     spread = joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns], "_starts")
-    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed"))])
+    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(c, T.LongType()) for c in counts)])
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
