@@ -28,7 +28,12 @@ def folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator call, each under a name of its own."""
+    """Tables of one operator call, each under a name of its own.
+
+    An operator makes one unless it is given one.  Its result reads these tables, so they
+    stay until the caller, who passed the scratch in and has used the result, closes it:
+    ``with Scratch(spark, "names") as s: near_duplicates(docs, scratch=s).write...``.
+    """
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
@@ -45,6 +50,16 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.table(df)[0]
 
+    def close(self) -> None:
+        """Delete all tables of this scratch."""
+        self.drop(self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def drop(self, path: str | None) -> None:
         """Delete a table that nothing reads any more."""
         if path:
@@ -70,9 +85,10 @@ def with_rank(df: DataFrame, name: str) -> DataFrame:
     """
     if not _is_stored(df):
         df = Scratch(df.sparkSession, "order").keep(df)
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    part = F.expr(r"try_cast(regexp_extract(_file, 'part-([0-9]+)[^/]*$', 1) AS long)")
-    earlier = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("_file").agg((F.max("_at") + 1).alias("_rows"))
-    begins = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_begin"))
-    return placed.join(F.broadcast(begins), "_file").select(*df.columns, (F.col("_begin") + F.col("_at")).alias(name))
+    # The columns of df travel in a struct, so none can clash.
+    placed = df.select(F.struct(*df.columns).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    part = F.expr(r"try_cast(regexp_extract(file, 'part-([0-9]+)[^/]*$', 1) AS long)")
+    earlier = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("file").agg((F.max("at") + 1).alias("rows"))
+    begins = sizes.select("file", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("begin"))
+    return placed.join(F.broadcast(begins), "file").select("row.*", (F.col("begin") + F.col("at")).alias(name))

@@ -5,13 +5,13 @@ of t bins and each still empty bin keeps the least hash it gets; in rounds t to
 shingle goes to one fixed bin.  So every coordinate fills, and sketches concentrate like t
 independent minima at the cost of about one pass over the shingles.
 
-Documents with equal shingle sets are one class.  Classes that agree on all rows of a band
-share a bucket and are candidates; links are confirmed on full shingle sets.  A bucket never
-emits all its pairs: first every class is verified against the bucket's hub, the member that
-lies in the largest buckets; then, only in buckets whose members are not yet connected,
-blocks of members are compared inside tasks, and only links that join components come out.
-What is left unverified is already connected, so the components are those of all candidate
-pairs.
+Documents with equal shingle sets are one class, a numbered node.  Classes that agree on all
+rows of a band share a bucket and are candidates; links are confirmed on full shingle sets.
+A bucket never emits all its pairs: first every class is verified against the bucket's hub,
+the member that lies in the largest buckets; large buckets whose members are not yet
+connected try further hubs; then, only in buckets that still hold several components, blocks
+of members are compared inside tasks, and only links that join components come out.  What
+is left unverified is already connected, so the components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import mix, seeds, shingle_set, text_slices, word_hashes
-from ._groups import forest, in_block_pairs, runs
+from ._groups import dealt, forest, in_block_pairs, runs, salted_join
 from ._scratch import Scratch
 from .components import connected_components
 
@@ -66,8 +66,14 @@ def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((sketch[: bands * rows].reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + seeds(bands, 8765))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit digest (text) of id and text, never null; null and empty texts differ."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (id_col, text_col)]
+    return F.md5(F.concat(parts[0], F.lit("\n"), parts[1]))
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, lower: bool) -> DataFrame:
-    """id, n_shingles, two checksums of the shingle set (null if it is empty), band hashes."""
+    """id, row_key, n_bytes, n_shingles, two checksums of the shingle set (null if it is empty), band hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +94,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                         two.append(None)
                         banded.append(None)
             made = [pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(banded, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *made], names=[id_col, "n_shingles", "_one", "_two", "_bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=["id", "row_key", "n_bytes", "n_shingles", "_one", "_two", "_bands"])
 
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col))
-    return texts.mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, _one long, _two long, _bands array<long>")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text"), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return texts.mapInArrow(run, f"id {kind}, row_key string, n_bytes long, n_shingles long, _one long, _two long, _bands array<long>")
 
 
 def _sets(texts: pa.Array, width: int, lower: bool) -> list[np.ndarray]:
@@ -102,24 +109,37 @@ def _sets(texts: pa.Array, width: int, lower: bool) -> list[np.ndarray]:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, lower: bool) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+def verified(spokes: DataFrame, texts: DataFrame, percent: int, width: int, lower: bool, fan: int = 256) -> DataFrame:
+    """The pairs (a, b) of (hub, node) whose full shingle sets have 100 * intersection >= percent * union.
+
+    A hub's text travels once for every ``fan`` nodes held against it, and is the only set
+    that a task holds besides the node at hand.
+    """
+    n = spokes.count()
+    fans = spokes.groupBy("hub").agg(F.count("*").alias("count"))
+    parts = F.ceil(F.col("count") / fan).cast("int")
+    parted = salted_join(spokes, fans, "hub", "node", n).select("hub", F.pmod(F.xxhash64("node", F.lit("fan")), parts).cast("int").alias("part"), F.lit(1).alias("turn"), "node")
+    hubs = fans.select("hub", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("turn"), F.col("hub").alias("node"))
+    sided = parted.unionByName(hubs).join(texts, "node").repartition("hub", "part").sortWithinPartitions("hub", "part", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(_sets(batch.column(2), width, lower), _sets(batch.column(3), width, lower), strict=True)):
-                both = np.concatenate([x, y])
+            hub, part, turn = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            for i, x in enumerate(_sets(batch.column(4), width, lower)):
+                if turn[i] == 0:
+                    at, held = (hub[i], part[i]), x
+                    continue
+                if at != (hub[i], part[i]):
+                    raise ValueError("a node stands before its hub")
+                both = np.concatenate([held, x])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= percent * (len(both) - common)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 3]).filter(pa.array(keep)).rename_columns(["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    sided = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return sided.mapInArrow(run, f"a {kind}, b {kind}")
+    return sided.select("hub", "part", "turn", "node", "text").mapInArrow(run, "a long, b long")
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -135,45 +155,42 @@ def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     often = np.bincount(index)[index] > 1
     column = np.unique(index[often], return_inverse=True)[1]
     owner = owner[often]
-    out = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.int64)
     for at in range(0, int(column.max()) + 1 if len(column) else 0, columns):
         part = slice(*np.searchsorted(column, [at, at + columns]))
         block = np.zeros((n, columns), np.float32)
         block[owner[part], column[part] - at] = 1
-        out += block @ block.T
+        out += (block @ block.T).astype(np.int64)  # exact: ``columns`` at most
     return out
 
 
 def links_in_blocks(rows: DataFrame, percent: int, width: int, lower: bool) -> DataFrame:
     """Links (a, b) that join the components c of each block pair's members.
 
-    ``rows`` are from ``in_block_pairs``: key, _low, _high, _block, id, c, text.  All pairs
+    ``rows`` are from ``in_block_pairs``, with key, node, c and text.  All pairs
     of a block pair are compared on full sets inside the task; at most one link fewer than
     it has members comes out.
     """
-    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 3):
-            low, high = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            block, component = group.column(3).to_numpy(), group.column(5).to_numpy(zero_copy_only=False)
-            if len(block) < 2 or (component == component[0]).all() or (low != high and (block == block[0]).all()):
+        for group, side in runs(batches):
+            component = group.column(3).to_numpy()
+            if (component == component[0]).all() or (side is not None and (side == side[0]).all()):
                 continue
-            sets = _sets(group.column(6), width, lower)
+            sets = _sets(group.column(4), width, lower)
             common = shared_counts(sets)
-            size = np.array([len(s) for s in sets], np.float32)
+            size = np.array([len(s) for s in sets], np.int64)
             linked = np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1)
             linked &= component[:, None] != component[None, :]
-            if low != high:
-                linked &= block[:, None] != block[None, :]
+            if side is not None:
+                linked &= side[:, None] != side[None, :]
             a, b = np.nonzero(linked)
             if len(a):
                 chosen = forest(len(sets), a, b, component)
-                ids = group.column(4)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[chosen])) for x in (a, b)], names=["a", "b"])
+                nodes = group.column(2)
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x[chosen])) for x in (a, b)], names=["a", "b"])
 
-    picked = rows.select("key", "_low", "_high", "_block", "id", "c", "text")
-    return picked.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt(rows.select("key", "_pair", "node", "c", "text"), "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -187,61 +204,93 @@ def near_duplicates(
     rows: int = 5,
     lower: bool = True,
     block: int = 512,
+    block_bytes: int = 4 << 20,
+    hub_rounds: int = 3,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: id, row_key, n_shingles, component_id, kept, stays.
 
     A document's set is its distinct ``width``-word shingles (letters A-Z lower-cased if
     ``lower``); with fewer words it is the whole sequence; without words or text it is
     empty, linked with nothing, and kept.  Documents link if 100 * intersection >= percent *
-    union.  component_id is the least id reachable by links; kept is id = component_id.
-    Ids name texts: rows that repeat an id repeat its text and get equal results.  A null id takes part in no
-    link and is its own component (null, kept).  Other columns are not read.
+    union.  component_id is the least id reachable by links, and kept is id = component_id.
+    Rows are told apart by id and text (``row_key``), so an id may repeat with other texts.
+    A null id links as others do: it is never a component_id while its component holds an
+    id, and is kept where none does.  ``stays`` is true for one row_key of each component,
+    of the least id, and for all documents with empty sets.  Other columns are not read.
 
     A pair of similarity s is a candidate with probability 1 - (1 - s**rows)**bands: misses
-    are 1 in 1,300,000 at 0.85 and 1 in 14,000 at 0.80 with the defaults.
+    are 1 in 1,300,000 at 0.85 and 1 in 14,000 at 0.80 with the defaults.  A block holds up
+    to about ``block`` classes and ``block_bytes`` of text.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
-    base = scratch.keep(sketched(docs, id_col, text_col, width, bands, rows, lower).withColumnRenamed(id_col, "id"))
-    able = base.where(F.col("id").isNotNull() & F.col("_one").isNotNull())
-
-    # Equal sets are one class, named by its least id.
-    classes = able.groupBy("_one", "_two", "n_shingles").agg(F.min(F.struct("id", "_bands")).alias("least"))
-    classes = scratch.keep(classes.select("_one", "_two", F.col("n_shingles").alias("n"), F.col("least.id").alias("rep"), F.col("least._bands").alias("_bands")))
+    sets = ["_one", "_two", "n_shingles"]
+    base = scratch.keep(sketched(docs, id_col, text_col, width, bands, rows, lower))
+    n_rows = base.count()
 
-    members = classes.select("rep", "n", F.posexplode("_bands").alias("band", "key")).select("rep", "n", "key")
-    counts = members.groupBy("key").count().where("count > 1")
-    members = scratch.keep(members.join(counts, "key"))
+    # Equal sets are one class, shown by the text of its least id; its number is fixed once written.
+    named = F.struct(F.col("id").isNull().alias("nameless"), "id", "row_key", "n_bytes")
+    classes = base.where("_one IS NOT NULL").groupBy(*sets).agg(F.min(named).alias("least"), F.count("*").alias("copies"), F.any_value("_bands").alias("_bands"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    score = members.groupBy("rep").agg(F.sum("count").alias("score"))
-    ranked = members.join(score, "rep").select("key", "rep", "n", F.struct((-F.col("score")).alias("s"), F.col("rep").alias("hub"), F.col("n").alias("hn")).alias("h"))
-    hubs = ranked.groupBy("key").agg(F.min("h").alias("h")).select("key", "h.hub", "h.hn")
-    near_in_size = "100 * least(n, hn) >= {0} * greatest(n, hn)".format(percent)
-    spokes = members.join(hubs, "key").where("rep <> hub").where(near_in_size)
-    first = scratch.keep(spokes.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+    members = classes.select("node", F.col("n_shingles").alias("n"), F.col("least.n_bytes").alias("n_bytes"), F.explode("_bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("count"), F.sum("n_bytes").alias("bytes")).where("count > 1")
+    n_members = classes.count() * bands
+    members = scratch.keep(salted_join(members, buckets, "key", "node", n_members))
+    n_members = members.count()
 
     # The texts of classes that share a bucket: all that later steps read.
-    shared = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = scratch.keep(texts.join(shared, "id", "left_semi").dropDuplicates(["id"]))
-    links = scratch.keep(verified(first, texts, percent, width, lower))
+    shared = members.select("node").distinct().join(classes.select("node", F.col("least.row_key").alias("row_key")), "node")
+    texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = scratch.keep(texts.join(shared, "row_key").dropDuplicates(["row_key"]).select("node", "text"))
+
+    def held_against(rows: DataFrame, rank: Column) -> DataFrame:
+        """Links of each member to its bucket's hub, the member of least ``rank``."""
+        first = F.min(F.struct(rank.alias("rank"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("c").alias("hc"))).alias("h")
+        hubs = rows.groupBy("key").agg(first, F.count("*").alias("count")).select("key", "h.hub", "h.hn", "h.hc", "count")
+        spokes = salted_join(rows.drop("count"), hubs, "key", "node", n_members).where("node <> hub AND c <> hc")
+        similar = spokes.where(f"100 * least(n, hn) >= {percent} * greatest(n, hn)")
+        spokes = scratch.keep(similar.select("hub", "node").distinct())
+        return scratch.keep(verified(spokes, texts, percent, width, lower))
+
+    def unconnected(found: DataFrame) -> DataFrame:
+        """Members, with their components c, of buckets that hold several components."""
+        now = members.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        split = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows")
+        return scratch.keep(salted_join(now, split, "key", "node", n_members, "rows").drop("rows"))
+
+    score = members.groupBy("node").agg(F.sum("count").alias("score"))
+    links = held_against(members.join(score, "node").withColumn("c", F.col("node")), -F.col("score"))
     found = scratch.keep(connected_components(links, "a", "b", scratch))
-
-    # Buckets that still hold several components: all their members are compared across
-    # components, block by block.
-    now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "count", F.coalesce("component", "rep").alias("c"))
-    split = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = now.join(split, "key").withColumnRenamed("rep", "id").join(texts, "id")
-    more = links_in_blocks(in_block_pairs(rest, ["key"], "id", "count", block), percent, width, lower)
+    rest = unconnected(found)
+    blocks = F.ceil(F.greatest(F.col("count") / block, F.col("bytes") / block_bytes))
+    for turn in range(1, hub_rounds):
+        # Buckets of one block are compared outright; larger ones try further hubs first.
+        large = rest.where(blocks > 1)
+        if large.isEmpty():
+            break
+        links = held_against(large, F.xxhash64("node", F.lit(turn)))
+        stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = scratch.keep(connected_components(stars.unionByName(links), "a", "b", scratch))
+        rest = unconnected(found)
+
+    more = links_in_blocks(in_block_pairs(rest.join(texts, "node"), "key", "node", blocks), percent, width, lower)
     stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = connected_components(stars.unionByName(more), "a", "b", scratch)
 
-    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("_one", "_two", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("_component"))
-    joined = base.join(named, ["_one", "_two", "n_shingles"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("_component", "id"))
-    return joined.select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+    # Each class with the least name of its component.
+    grouped = classes.select("node", *sets, "copies", "least").join(final.withColumnRenamed("id", "node"), "node", "left")
+    grouped = grouped.withColumn("component", F.coalesce("component", "node"))
+    heads = grouped.groupBy("component").agg(F.min("least").alias("head"), F.count("*").alias("count"))
+    headed = salted_join(grouped, heads, "component", "node", n_members).select(F.struct(*sets).alias("set"), "copies", "head")
+    able = base.where("_one IS NOT NULL").select("id", "row_key", F.struct(*sets).alias("set"))
+    linked = salted_join(able, headed, "set", "row_key", n_rows, "copies").select(
+        "id",
+        "row_key",
+        "set.n_shingles",
+        F.col("head.id").alias("component_id"),
+        (F.col("head.id").isNull() | F.coalesce(F.col("id") == F.col("head.id"), F.lit(False))).alias("kept"),
+        (F.col("row_key") == F.col("head.row_key")).alias("stays"),
     )
+    alone = base.where("_one IS NULL").select("id", "row_key", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("stays"))
+    return linked.unionByName(alone).withColumnRenamed("id", id_col)
