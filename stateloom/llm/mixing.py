@@ -79,6 +79,47 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
     )
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], most: int, schedules: Sequence[Schedule], carry: Sequence[str]) -> DataFrame:
+    """(row, id, size, source_size, target, positions): ``row`` is a struct of the carried columns, so no name clashes."""
+    # A struct needs a field.
+    row = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).alias("none"))
+    picked = docs.select(
+        row.alias("row"),
+        F.col(id_col).alias("id"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+        F.col(source_col).cast("string").alias("source"),
+    )
+    order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    # One spelling that is never null, so that equal keys deal, join and order alike.
+    rows = picked.select(
+        "row", "id", "size",
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("src"),
+        F.substring(order, 1, 3).alias("bucket"),
+        order.alias("order"),
+    )
+    buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    totals = buckets.groupBy("src").agg(F.sum("words").alias("source_size"))
+    named = totals.select(F.when(F.col("src") != "n", F.expr("substring(src, 2)")).alias("source"), "source_size")
+    targets = source_targets(named, weights, most).select(
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("src"), "_rank", "source_size", "target"
+    )
+    earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select("src", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before")).join(targets, "src")
+    inside = Window.partitionBy("src", "bucket").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["src", "bucket"])
+    middle = F.col("before") + F.col("inside") + F.col("size") / 2
+    passes = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: middle + k * F.col("source_size")),
+        lambda at: at < F.col("target"),
+    )
+    timed = F.lit(None).cast("array<double>")
+    shares = F.transform(passes, lambda at: at / F.col("target"))
+    for i, schedule in enumerate(schedules):
+        times = F.transform(shares, _timed_by(schedule))
+        timed = F.when(F.col("_rank") % len(schedules) == i, times).otherwise(timed)
+    return placed.select("row", "id", "size", "source_size", "target", timed.alias("positions"))
+
+
 def mix_to_targets(
     docs: DataFrame,
     *,
@@ -88,71 +129,49 @@ def mix_to_targets(
     weights: Sequence[int] = (5, 2, 1),
     most: int = 3,
     schedules: Sequence[Schedule] = SCHEDULES,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: id, carried columns, size, source_size, target, taken, positions.
+    """One row per row of ``docs``: id, size, source_size, target, taken, positions.
 
     size is the number of words (null text: 0).  positions (array<double>, at most ``most``)
     holds the training time of every pass through the document, and taken is size times
     their number.  Pass k of a document that starts at word c of its source's stream is
     taken if its middle lies before the target, so a source's taken words miss its target
     by half a document at most.  The stream's order is by md5 of the id; equal rows tie and
-    are interchangeable.  Null sources are one source, null ids one id.
+    are interchangeable.  Null sources are one source, null ids one id.  Only id, text and
+    source are read, so other columns may have any names.
 
     A source is summed in 4,096 buckets of the order and numbered inside each, so a source
     with most of the rows is never ordered in one task; only one row per source meets in
     one task.
     """
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    source = F.col(source_col).cast("string")
-    # One spelling that is never null, so that equal keys deal, join and order alike.
-    rows = docs.select(
-        *dict.fromkeys([id_col, *carry]),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_src"),
-        F.substring(order, 1, 3).alias("_bucket"),
-        order.alias("_order"),
-    )
-    buckets = rows.groupBy("_src", "_bucket").agg(F.sum("size").alias("_words"))
-    totals = buckets.groupBy("_src").agg(F.sum("_words").alias("source_size"))
-    named = totals.select(F.when(F.col("_src") != "n", F.expr("substring(_src, 2)")).alias("source"), "source_size")
-    targets = source_targets(named, weights, most).select(
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_src"), "_rank", "source_size", "target"
-    )
-    earlier = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("_src", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before"))
-    offsets = offsets.join(targets, "_src")
-    inside = Window.partitionBy("_src", "_bucket").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_src", "_bucket"])
-    middle = F.col("_before") + F.col("_inside") + F.col("size") / 2
-    passes = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: middle + k * F.col("source_size")),
-        lambda at: at < F.col("target"),
-    )
-    timed = F.lit(None).cast("array<double>")
-    shares = F.transform(passes, lambda at: at / F.col("target"))
-    for i, schedule in enumerate(schedules):
-        times = F.transform(shares, _timed_by(schedule))
-        timed = F.when(F.col("_rank") % len(schedules) == i, times).otherwise(timed)
-    return placed.withColumn("positions", timed).select(
-        *dict.fromkeys([id_col, *carry]),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.size("positions")).alias("taken"),
-        "positions",
-    )
+    placed = _placed(docs, id_col, text_col, source_col, weights, most, schedules, ())
+    taken = (F.col("size") * F.size("positions")).alias("taken")
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken, "positions")
 
 
-def training_order(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
+def training_order(
+    docs: DataFrame,
+    partitions: int | None = None,
+    *,
+    position_col: str = "_position",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    most: int = 3,
+    schedules: Sequence[Schedule] = SCHEDULES,
+) -> DataFrame:
     """The rows of ``docs``, once for every pass taken, range-partitioned and sorted by time.
 
-    The columns are those of ``docs`` and ``_position``; ``docs`` has no such column.
+    The columns are those of ``docs``, whatever their names, and the position; a column of
+    the position's name is replaced.
     """
-    mixed = mix_to_targets(docs, carry=docs.columns, **options).select(*docs.columns, F.explode("positions").alias("_position"))
-    keys = ["_position", *(k for k in (options.get("id_col", "doc_id"),) if k in docs.columns)]
-    dealt = mixed.repartitionByRange(partitions, *keys) if partitions else mixed.repartitionByRange(*keys)
-    return dealt.sortWithinPartitions(*keys)
+    columns = [c for c in docs.columns if c.lower() != position_col.lower()]
+    placed = _placed(docs, id_col, text_col, source_col, weights, most, schedules, columns)
+    passes = placed.select("row", "id", F.explode("positions").alias("position"))
+    keys = ["position", "id"]
+    dealt = passes.repartitionByRange(partitions, *keys) if partitions else passes.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys).select("row.*", F.col("position").alias(position_col))
 
 
 def with_ranks(docs: DataFrame, ranges: int = 4096, **options) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+
 #: Chunks kept in each of two generations, and the longest chunk kept, in one Python worker.
 MEMO_CHUNKS, MEMO_CHARS = 100_000, 48
 #: Places that the byte-level split never crosses: a word with its space, or white space.
@@ -133,8 +135,8 @@ def pack_group(docs: pd.DataFrame, id_col: str, capacity: int) -> pd.DataFrame:
     docs = docs.sort_values([*["_order"] * ordered, id_col, "doc_tokens", "_first"], na_position="first", kind="stable")
     levels, out, held = LevelArray(capacity), [], {}
     group = int(docs["_group"].iloc[0]) << 32
-    for doc, total, checks in zip(docs[id_col], docs["doc_tokens"], docs["_checks"], strict=True):
-        for k, check in enumerate(checks):
+    for doc, total, checks, times in zip(docs[id_col], docs["doc_tokens"], docs["_checks"], docs["_times"], strict=True):
+        for k, check in [*enumerate(checks)] * times:
             start = k * capacity
             length = min(capacity, total - start)
             if length == capacity:
@@ -163,13 +165,15 @@ def pack_documents(
     end_id: int = 1,
     group_rows: int = 8192,
     order_col: str | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's tokens are its ids and ``end_id``; a null or empty text is ``end_id``
     alone.  Sequences are padded to ``capacity`` by whoever reads them.  The number of
-    groups follows from the number of rows (one count), and a row's group from its id and
-    tokens, so reruns and retries agree.  Null or repeated ids pack as rows of their own.
+    groups follows from the number of rows, and a row's group from its id and tokens, so
+    reruns and retries agree.  Null or repeated ids pack as rows of their own; rows equal
+    in id and tokens are counted before they are dealt, so many of them fill many groups.
     Other columns are not read.
 
     ``order_col`` names the rows' ranks in an order to keep (long, from 0, no nulls): every
@@ -197,10 +201,16 @@ def pack_documents(
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col), *order)
     tokens = texts.mapInArrow(run, f"`{id_col}` {kind}, doc_tokens long, _checks array<long>" + ", _order long" * len(order))
     if order:
-        group = F.expr(f"_order div {int(group_rows)}")
+        dealt = tokens.withColumn("_times", F.lit(1)).withColumn("_group", F.expr(f"_order div {int(group_rows)}"))
     else:
-        groups = max(1, -(-docs.count() // group_rows))
-        group = F.pmod(F.xxhash64(id_col, "doc_tokens", "_checks"), F.lit(groups))
-    dealt = tokens.withColumn("_first", F.element_at("_checks", 1)).withColumn("_group", group)
+        # Rows equal in id and tokens become one row and a count, split where it is larger than a group.
+        tokens = (scratch or Scratch(docs.sparkSession, "packing")).keep(tokens)
+        groups = max(1, -(-tokens.count() // group_rows))
+        equal = tokens.groupBy(id_col, "doc_tokens", "_checks").agg(F.count("*").alias("_n"))
+        split = equal.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(group_rows).cast("long"))))
+        times = F.least(F.col("_n") - F.col("_from"), F.lit(group_rows)).cast("int")
+        group = F.pmod(F.xxhash64(id_col, "doc_tokens", "_checks", "_from"), F.lit(groups))
+        dealt = split.select(id_col, "doc_tokens", "_checks", times.alias("_times"), group.alias("_group"))
+    dealt = dealt.withColumn("_first", F.element_at("_checks", 1))
     out = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("_group").applyInPandas(lambda g: pack_group(g, id_col, capacity), out)

@@ -57,11 +57,11 @@ def hash_tree_shards(
     """One row per row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes plus 1 (a null text has none).  slot numbers a shard's
-    rows from 0 without gaps, by hash bucket of the id, then id, checksum and size: rows
+    rows from 0 without gaps, by hash bucket of id, checksum and size, then these three: rows
     are numbered inside (shard, bucket) and shifted by the counts of earlier buckets, at
     most shards x buckets numbers, so no shard is ordered in one task.  Rows equal in
-    everything tie; either order gives the same table.  Null ids are one key.  Only id and
-    text are read.
+    everything tie; either order gives the same table.  Null ids are one key, hence in one
+    shard, but in all of its buckets.  Only id and text are read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
@@ -72,8 +72,7 @@ def hash_tree_shards(
         F.lit("key").alias("law"),
         shard_of(key, tree).alias("shard"),
         (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int").alias("_bucket"),
-    )
+    ).withColumn("_bucket", F.pmod(F.xxhash64(key, "text_crc32", "size", F.lit("slot")), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "_bucket").count()
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
