@@ -54,7 +54,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+    found = minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Two regions of two racks of two equal shards; growth adds a third region with one shard.

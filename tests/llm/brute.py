@@ -104,3 +104,87 @@ def source_targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return fixed | share
         fixed |= {s: most * sizes[s] for s in over}
+
+
+def mixed(rows, weights=(5, 2, 1), most=3):
+    """{row: (size, target, words before, passes)} of (id, text, source) rows with different ids."""
+    import hashlib
+
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    sizes = {}
+    for (_, _, s), n in zip(rows, size, strict=True):
+        sizes[s] = sizes.get(s, 0) + n
+    targets = source_targets(sizes, weights, most)
+    out, done = {}, dict.fromkeys(sizes, 0)
+    for k in sorted(range(len(rows)), key=lambda k: hashlib.md5(str(rows[k][0]).encode()).hexdigest()):
+        s = rows[k][2]
+        passes = [done[s] + size[k] / 2 + i * sizes[s] for i in range(most)]
+        out[k] = (size[k], targets[s], [x for x in passes if x < targets[s]])
+        done[s] += size[k]
+    return out
+
+
+def time_of(share, schedule, steps=60):
+    """Bisection of the schedule's numeric integral."""
+    def area(t):
+        total = 0.0
+        for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+            end = min(t, t1)
+            if end > t0:
+                w = w0 + (w1 - w0) * (end - t0) / (t1 - t0)
+                total += (end - t0) * (w0 + w) / 2
+        return total
+
+    low, high, whole = 0.0, 1.0, area(1.0)
+    for _ in range(steps):
+        middle = (low + high) / 2
+        low, high = (middle, high) if area(middle) < share * whole else (low, middle)
+    return low
+
+
+def shard(key, tree):
+    """The least exponential draw at each level; the hash is the public XXH64 of key, then path."""
+    import math
+
+    import xxhash
+
+    def weight(node):
+        return sum(map(weight, node.values())) if isinstance(node, dict) else node
+
+    path, node = (), tree
+    while isinstance(node, dict):
+        draws = {}
+        for name, below in node.items():
+            seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=42)
+            bits = xxhash.xxh64_intdigest("/".join(map(str, (*path, name))).encode(), seed=seed) >> 11
+            draws[name] = -math.log((bits + 0.5) / 2**53) / weight(below)
+        name = min(draws, key=draws.get)
+        path, node = (*path, name), node[name]
+    return path[-1]
+
+
+def repeated_spans(rows, cut, least_span):
+    """{(id, text, start, length, n_chunks, first ids, whole, short)} of (id, text) rows; ``cut`` makes chunks of bytes."""
+    import xxhash  # only to order rows that share an id as the operator does
+
+    def order(row):
+        i, t = row
+        return (i is not None, i or 0, xxhash.xxh64_intdigest((t or "").encode(), seed=42) ^ (1 << 63))
+
+    first, out = {}, set()
+    for i, text in sorted(set(rows), key=order):
+        at, held, spans = 0, (text or "").encode(), []
+        for chunk in cut(held):
+            if chunk in first:
+                if spans and spans[-1][1] == at:
+                    spans[-1][1] += len(chunk)
+                    spans[-1][2].append(first[chunk])
+                else:
+                    spans.append([at, at + len(chunk), [first[chunk]]])
+            else:
+                first[chunk] = i
+            at += len(chunk)
+        for a, b, ids in spans:
+            names = tuple(sorted({x for x in ids if x is not None}))
+            out.add((i, text, a, b - a, len(ids), names, a == 0 and b == len(held), b - a < least_span))
+    return out

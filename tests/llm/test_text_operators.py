@@ -113,7 +113,14 @@ def test_near_duplicates(spark, docs, empty, texts):
             assert r.kept == (r.doc_id == r.component_id)
     assert minhash.near_duplicates(empty).count() == 0
     nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
-    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_duplicates(nameless).collect()) == [("3", "3", True)] + [("None", "None", True)] * 2
+    # A null id links as others do, and is no component's id where there is another.
+    found = minhash.near_duplicates(nameless)
+    assert sorted((str(r.doc_id), r.component_id, r.kept, r.stays) for r in found.collect()) == [("3", 3, True, True)] + [("None", 3, False, False)] * 2
+    alone = minhash.near_duplicates(nameless.where("doc_id IS NULL")).collect()
+    assert [(r.doc_id, r.component_id, r.kept, r.stays) for r in alone] == [(None, None, True, True)] * 2
+    # One id with two texts: each is compared for itself.
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(twice).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
 
 
 def test_near_duplicates_find_chains_in_large_buckets(spark):
