@@ -11,36 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stateloom.llm import fertility, line_dedup, minhash, mixing, packing
+from stateloom.llm._groups import fresh
 from stateloom.llm._scratch import Scratch, with_rank
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fertility rules keep; a null or wordless text goes."""
-    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    row = fresh("row", [*docs.columns, *fertility.FIELDS])
     judged = fertility.quality_rules(
-        rows, vocab.path("piece_bpe_32k.model"), vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN, carry=("_row",)
+        docs.withColumn(row, F.struct(*docs.columns)),
+        vocab.path("piece_bpe_32k.model"),
+        vocab.path("byte_bpe_multi_50k.tiktoken"),
+        vocab.PATTERN,
+        carry=(row,),
     )
-    return judged.where("kept").select("_row.*")
+    return judged.where("kept").select(f"{row}.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines repeated from earlier; a text that keeps no word goes."""
-    cut = line_dedup.dedup_lines(docs).where(F.col("text").rlike(line_dedup.WORDLESS))
+    counts = fresh("total", docs.columns), fresh("removed", docs.columns)
+    cut = line_dedup.dedup_lines(docs, counts=counts).where(F.col("text").rlike(line_dedup.WORDLESS))
     texts = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.select(*[texts.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies; five words, 0.8."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_unnamed", unnamed)
-    return kept.dropDuplicates(["doc_id", "_unnamed"]).select(*docs.columns)
+    """One document, of the least id, of each group of near copies; five words, 0.8.
+
+    Rows equal in id and text are one document; rows that share an id, or have none, and
+    differ in text are judged each for itself.
+    """
+    key = fresh("key", docs.columns)
+    found = minhash.near_duplicates(docs).groupBy(F.col("row_key").alias(key)).agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    marked = Scratch(spark, "marked").keep(found.where("NOT stays OR n > 1"))
+    keyed = docs.withColumn(key, minhash.row_key("doc_id", "text"))
+    once = keyed.join(marked.select(key), key, "left_anti")
+    again = keyed.join(marked.where("stays").select(key), key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, once for every pass that their source's target takes."""
-    return mixing.training_order(docs).select(*docs.columns)
+    return mixing.training_order(docs, position_col=fresh("position", docs.columns)).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +62,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The training order is the order of the table that ``mixture`` was written to.
     """
     files = vocab.path("byte_bpe_50k.json"), vocab.path("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(with_rank(docs, "_rank"), *files, vocab.PATTERN, order_col="_rank")
+    rank = fresh("rank", docs.columns)
+    return packing.pack_documents(with_rank(docs, rank), *files, vocab.PATTERN, order_col=rank)
 
 
 STAGES = [
