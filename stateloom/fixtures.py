@@ -17,7 +17,7 @@ SELECT o.o_orderkey AS job_id,
        CASE o.o_orderstatus
          WHEN 'F' THEN CASE o.o_orderkey % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'cancelled' ELSE 'succeeded' END
          WHEN 'O' THEN CASE o.o_orderkey % 5 WHEN 0 THEN 'submitted' ELSE 'ready' END
-         ELSE CASE o.o_orderkey % 4 WHEN 0 THEN 'waiting' WHEN 1 THEN 'running' WHEN 2 THEN 'paused' ELSE 'committing' END
+         ELSE CASE o.o_orderkey % 8 WHEN 0 THEN 'waiting' WHEN 4 THEN 'waiting' WHEN 1 THEN 'running' WHEN 5 THEN 'running' WHEN 3 THEN 'committing' WHEN 7 THEN 'cancelling' ELSE 'paused' END
        END AS kind,
        concat('r', cast(n.n_regionkey AS string), '/n', cast(n.n_nationkey AS string), '/c', cast(o.o_custkey AS string)) AS placement,
        c.c_mktsegment AS pool,
@@ -26,14 +26,20 @@ SELECT o.o_orderkey AS job_id,
        CASE WHEN o.o_orderkey % 6 = 0 THEN NULL ELSE o.o_orderkey % 4 + 1 END AS max_attempts,
        CASE WHEN o.o_orderkey % 5 = 0 THEN NULL ELSE o.o_orderkey % 8 + 2 END AS max_total,
        o.o_orderkey % 5 AS attempts, o.o_orderkey % 9 AS total_attempts,
+       o.o_orderkey % 29 <> 0 AS readable, 1000 + o.o_orderkey % 2 AS owner_uid,
+       CASE o.o_orderkey % 4 WHEN 0 THEN 'pkg:site.a' WHEN 1 THEN 'installed' ELSE '' END AS runner,
        o.o_orderdate AS created_at
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
     "fx_manager": """
 SELECT s_suppkey AS manager_id,
-       CASE s_suppkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'AUTOMOBILE' WHEN 3 THEN 'FURNITURE' ELSE 'HOUSEHOLD' END AS pool,
+       CASE s_suppkey % 6 WHEN 0 THEN 'path,legacy' ELSE 'path' END AS executors,
+       CASE s_suppkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY,BUILDING' WHEN 2 THEN 'AUTOMOBILE' WHEN 3 THEN 'FURNITURE,HOUSEHOLD' ELSE '' END AS pools,
        s_suppkey % 10 = 0 AS accept_any_pool,
        CASE s_suppkey % 3 WHEN 0 THEN 'gpu,mpi' WHEN 1 THEN 'mpi' ELSE '' END AS capabilities,
-       CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('r', cast(s_nationkey % 5 AS string)) END AS placement_prefix,
+       CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('r', cast(s_nationkey % 5 AS string)) WHEN 2 THEN concat('r', cast(s_nationkey % 5 AS string), '/n', cast(s_nationkey AS string))
+         ELSE concat('r', cast(s_nationkey % 5 AS string), ',r1/n3,r1') END AS placement_prefixes,
+       1000 + s_suppkey % 2 AS uid, s_suppkey % 7 = 0 AS searches,
+       CASE s_suppkey % 3 WHEN 0 THEN 'site' WHEN 1 THEN 'site.a,other' ELSE '' END AS runner_modules,
        (s_suppkey * 37) % 1800 AS heartbeat_age_seconds
 FROM {supplier}""",
     "fx_frame": """
@@ -43,7 +49,9 @@ SELECT job_id, generation, event_id,
        activation_no % 3 AS activation_id,
        CASE WHEN attempt_no = 0 THEN NULL ELSE attempt_no END AS attempt_id,
        CASE WHEN event_type = 'error' THEN concat('code', cast(event_id % 5 AS string)) END AS failure_code,
-       CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'advance' WHEN 1 THEN 'wait' ELSE 'succeed' END END AS outcome_action,
+       CASE WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'advance' WHEN 1 THEN 'wait' WHEN 2 THEN 'succeed' END END AS outcome_action,
+       CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '1' MINUTE END AS started_at,
+       concat('s', cast(event_id % 6 AS string)) AS step, CASE WHEN event_id % 5 = 0 THEN 'retry' END AS reason,
        event_id % 97 = 0 AS is_error,
        props
 FROM (SELECT user_id AS job_id, event_id, ts, event_type, props,
@@ -76,6 +84,29 @@ SELECT p_partkey AS child, cast(floor(p_partkey / 3) AS bigint) AS parent FROM {
 SELECT coalesce(d.doc_id, l.doc_id) AS job_id, d.lang AS declared, l.quality AS observed
 FROM {documents} d FULL OUTER JOIN (SELECT doc_id + 1 AS doc_id, quality FROM {labels}) l ON d.doc_id = l.doc_id""",
 }
+VIEWS["fx_marker"] = f"""
+SELECT j.job_id, CASE WHEN j.job_id % 37 = 0 THEN 'o--x' ELSE j.job_key END AS job_key, j.placement, j.priority,
+       coalesce(CASE WHEN j.job_id % 13 = 0 THEN 'paused' END, f.kind, CASE WHEN j.job_id % 41 = 0 THEN 'ready' ELSE 'submitted' END) AS kind,
+       coalesce(f.generation, 0) AS generation,
+       CASE WHEN f.event_id IS NULL THEN 'init' WHEN f.event_id % 11 = 0 THEN 'w-1' ELSE concat('w', cast(f.event_id AS string)) END AS record_ref,
+       'state' AS format, CASE WHEN j.job_id % 43 = 0 THEN 1 ELSE 2 END AS format_version, 'ws' AS workspace_id
+FROM ({VIEWS["fx_job"]}) j LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY generation DESC) AS newest FROM ({VIEWS["fx_frame"]}) g) h WHERE newest = 1) f
+  ON f.job_id = j.job_id"""
+VIEWS["fx_record"] = f"""
+SELECT *, concat('w', cast(event_id AS string)) AS record_ref, concat('o--', cast(job_id AS string)) AS job_key, 'state' AS format, 2 AS format_version, 'ws' AS workspace_id,
+       event_id % 150 AS manager_id, CASE WHEN event_id % 2 = 0 THEN 100 * (event_id % 13) END AS lease_seconds,
+       CASE WHEN generation > 1 THEN lag(concat('w', cast(event_id AS string))) OVER (PARTITION BY job_id ORDER BY generation)
+         WHEN job_id % 10 = 3 THEN first_value(concat('w', cast(event_id AS string))) OVER (PARTITION BY job_id ORDER BY generation DESC)
+         WHEN job_id % 10 = 4 THEN 'w-2' END AS previous_record_ref
+FROM ({VIEWS["fx_frame"]}) r"""
+# Braces are written by code point, as the texts themselves name tables in braces.
+VIEWS["fx_document"] = f"""
+SELECT job_key, CASE WHEN job_id % 19 = 0 THEN concat(chr(123), '"job_key":') WHEN job_id % 31 = 0 THEN '[1]' ELSE
+  concat(chr(123), '"job_key":"', CASE WHEN job_id % 17 = 0 THEN 'other' ELSE job_key END, '","priority":', cast(CASE WHEN job_id % 7 = 0 THEN 1 ELSE priority END AS string),
+         ',"name":"n', cast(job_id % 100 AS string), '","workflow":"f', cast(job_id % 5 AS string), '","initial_step":"s', cast(job_id % 3 AS string),
+         '","runner":', chr(123), '"executor":"', executor, '"', chr(125), ',"claim":', chr(123), '"pool":"', pool, '"', chr(125),
+         ',"retry":', chr(123), '"attempts":', cast(job_id % 4 AS string), chr(125), chr(125)) END AS text
+FROM ({VIEWS["fx_job"]}) d WHERE job_id % 23 <> 0"""
 _TABLE = re.compile(r"\{(\w+)\}")
 
 

@@ -1,10 +1,9 @@
-"""Functions that need Python: canonical JSON and a whitelisted expression grammar."""
+"""Canonical JSON, and a small expression grammar compiled to columns."""
 
 from __future__ import annotations
 
 import ast
 import json
-import operator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,60 +26,124 @@ def canonical_json(text: Column) -> Column:
     return sort_keys(text)
 
 
-_BINARY = {
-    ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv,
-    ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow,
-}
-_COMPARE = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge}
-_CALLS = {"abs": abs, "min": min, "max": max, "round": round}
-
-
-def evaluate(expression: str, names: dict[str, float]) -> float:
-    """Arithmetic, comparison, boolean logic and a few functions; anything else is an error."""
-
-    def walk(node: ast.AST):
-        match node:
-            case ast.Expression(body=body):
-                return walk(body)
-            case ast.Constant(value=bool() | int() | float() as value):
-                return value
-            case ast.Name(id=name) if name in names:
-                return names[name]
-            case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
-                return _BINARY[type(op)](walk(a), walk(b))
-            case ast.UnaryOp(op=ast.USub(), operand=a):
-                return -walk(a)
-            case ast.UnaryOp(op=ast.Not(), operand=a):
-                return not walk(a)
-            case ast.BoolOp(op=ast.And(), values=values):
-                return all(walk(v) for v in values)
-            case ast.BoolOp(op=ast.Or(), values=values):
-                return any(walk(v) for v in values)
-            case ast.Compare(left=a, ops=ops, comparators=others) if all(type(o) in _COMPARE for o in ops):
-                values = [walk(a), *map(walk, others)]
-                return all(_COMPARE[type(o)](x, y) for o, x, y in zip(ops, values, values[1:]))
-            case ast.IfExp(test=t, body=a, orelse=b):
-                return walk(a) if walk(t) else walk(b)
-            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _CALLS:
-                return _CALLS[name](*map(walk, args))
-        raise ValueError(f"not allowed: {ast.dump(node)[:80]}")
-
-    return walk(ast.parse(expression, mode="eval"))
+class _Value:
+    """A compiled part: a double column, and the test of its truth."""
+
+    def __init__(self, number: Column, truth: Column | None = None):
+        self.number = number
+        self.truth = number != 0.0 if truth is None else truth
+
+    @classmethod
+    def of_test(cls, test: Column) -> _Value:
+        return cls(test.cast("double"), test)
+
+
+def _finite(number: Column) -> Column:
+    """Null for what arithmetic cannot say: infinities and not-a-numbers."""
+    return F.when(F.abs(number) < float("inf"), number)
+
+
+def _floored(a: Column, b: Column) -> Column:
+    return F.floor(F.try_divide(a, b)).cast("double")
+
+
+#: What the grammar admits, by the name of its node.
+ARITHMETIC = {
+    "Add": lambda a, b: a + b,
+    "Sub": lambda a, b: a - b,
+    "Mult": lambda a, b: a * b,
+    "Div": F.try_divide,
+    "FloorDiv": _floored,
+    "Mod": lambda a, b: a - b * _floored(a, b),
+    "Pow": F.pow,
+}
+ORDER = {"Eq": "__eq__", "NotEq": "__ne__", "Lt": "__lt__", "LtE": "__le__", "Gt": "__gt__", "GtE": "__ge__"}
+FUNCTIONS = {
+    "sqrt": (1, lambda x: F.when(x >= 0, F.sqrt(x))),
+    "int": (1, lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")),
+    "ceil": (1, lambda x: F.ceil(x).cast("double")),
+    "floor": (1, lambda x: F.floor(x).cast("double")),
+    "round": (1, lambda x: F.rint(x)),
+    "abs": (1, F.abs),
+    "min": (2, lambda *x: F.least(*x)),
+    "max": (2, lambda *x: F.greatest(*x)),
+}
+
+
+class _Compiler(ast.NodeVisitor):
+    """Parts of an expression as columns; a part outside the grammar is an error when it is compiled."""
+
+    def __init__(self, names: dict[str, Column]):
+        self.names = names
+
+    def generic_visit(self, node: ast.AST):
+        raise ValueError(f"not allowed in an expression: {type(node).__name__}")
+
+    def visit_Expression(self, node):
+        return self.visit(node.body)
+
+    def visit_Constant(self, node):
+        if type(node.value) is bool:
+            return _Value.of_test(F.lit(node.value))
+        if type(node.value) in (int, float):
+            return _Value(F.lit(float(node.value)))
+        return self.generic_visit(node)
+
+    def visit_Name(self, node):
+        if node.id not in self.names:
+            raise ValueError(f"unknown name {node.id}")
+        return _Value(self.names[node.id].cast("double"))
+
+    def visit_BinOp(self, node):
+        make = ARITHMETIC.get(type(node.op).__name__) or self.generic_visit(node.op)
+        return _Value(_finite(make(self.visit(node.left).number, self.visit(node.right).number)))
+
+    def visit_UnaryOp(self, node):
+        inner, name = self.visit(node.operand), type(node.op).__name__
+        if name == "Not":
+            return _Value.of_test(~inner.truth)
+        return {"USub": lambda: _Value(-inner.number), "UAdd": lambda: inner}.get(name, lambda: self.generic_visit(node.op))()
+
+    def visit_BoolOp(self, node):
+        """The last value looked at, as the language has it."""
+        out, *rest = map(self.visit, node.values)
+        for value in rest:
+            go_on = out.truth if type(node.op).__name__ == "And" else ~out.truth
+            out = _Value(F.when(go_on, value.number).when(~go_on, out.number), F.when(go_on, value.truth).when(~go_on, out.truth))
+        return out
+
+    def visit_Compare(self, node):
+        sides = [self.visit(x).number for x in (node.left, *node.comparators)]
+        test = F.lit(True)
+        for op, a, b in zip(node.ops, sides, sides[1:]):
+            test = test & getattr(a, ORDER.get(type(op).__name__) or self.generic_visit(op))(b)
+        return _Value.of_test(test)
+
+    def visit_IfExp(self, node):
+        test, yes, no = map(self.visit, (node.test, node.body, node.orelse))
+        pick = lambda a, b: F.when(test.truth, a).when(~test.truth, b)
+        return _Value(pick(yes.number, no.number), pick(yes.truth, no.truth))
+
+    def visit_Call(self, node):
+        least, make = FUNCTIONS.get(getattr(node.func, "id", None)) or self.generic_visit(node)
+        if node.keywords or len(node.args) < least or (least == 1 and len(node.args) > 1):
+            raise ValueError("wrong number of arguments in an expression")
+        values = [self.visit(x).number for x in node.args]
+        known = values[0].isNotNull()
+        for v in values[1:]:
+            known = known & v.isNotNull()
+        return _Value(F.when(known, _finite(make(*values))))
 
 
 def evaluated(expression: str, names: dict[str, Column]) -> Column:
-    """The expression over numeric columns as a double; null where it fails."""
-    evaluate(expression, dict.fromkeys(names, 1.0))
-    order = list(names)
-
-    @F.pandas_udf("double")
-    def run(*columns: pd.Series) -> pd.Series:
-        def one(*values: float) -> float | None:
-            try:
-                return float(evaluate(expression, dict(zip(order, values, strict=True))))
-            except (ArithmeticError, TypeError, ValueError):
-                return None
-
-        return pd.Series([one(*v) for v in zip(*columns, strict=True)])
-
-    return run(*(names[n].cast("double") for n in order))
+    """The expression over numeric columns as a double, compiled to column functions.
+
+    Arithmetic, comparison, boolean logic, conditions and a few functions; anything else is
+    a ValueError here.  Null where it has no finite value: a null name, division by zero, a
+    root of a negative number, an overflow.
+    """
+    try:
+        tree = ast.parse(expression, mode="eval")
+    except SyntaxError as e:
+        raise ValueError(f"not an expression: {e.msg}") from None
+    return _Compiler(names).visit(tree).number

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-LABEL = "^[a-z0-9][a-z0-9._-]{0,47}$"
 
 
 def to_base36(value: Column) -> Column:

@@ -15,23 +15,28 @@ def status_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def work_census(jobs: DataFrame, executors: Sequence[str], pools: Sequence[str], offered: Sequence[str]) -> DataFrame:
+def work_census(jobs: DataFrame, executors: Sequence[str], pools: Sequence[str] | None, offered: Sequence[str]) -> DataFrame:
     """(label_kind, label, n): settled jobs by kind, and pending jobs by what one manager can do.
 
-    A pending job is charged to one cause: executor, then pool, then the least missing
-    capability; a submitted job needs its executor only.
+    A pending job is charged to one cause: executor, then pool (None: any), then the least
+    missing capability; a submitted job, and one being committed or cancelled, needs its
+    executor only.  Where the definition is not readable, a submitted job may still
+    register and is actionable; the others are counted as unreadable.
     """
     missing = F.array_min(F.array_except(name_set(F.col("capabilities")), F.array(*map(F.lit, offered)).cast("array<string>")))
-    kind, pending = F.col("kind"), F.col("kind").isin("submitted", "ready")
+    kind, pending, ending = F.col("kind"), F.col("kind").isin("submitted", "ready"), F.col("kind").isin("committing", "cancelling")
+    wrong_pool = F.lit(False) if pools is None else ~F.col("pool").isin(*pools)
     charge = lambda label_kind, label: F.struct(F.lit(label_kind).alias("a"), label.cast("string").alias("b"))
     cause = (
         F.when(kind.isin("succeeded", "failed", "waiting", "paused"), charge("settled", kind))
+        .when(~F.col("readable") & (kind == "submitted"), charge("actionable", kind))
+        .when(~F.col("readable") & (pending | ending), charge("unreadable", kind))
         .when(pending & ~F.col("executor").isin(*executors), charge("executor", F.col("executor")))
         .when(kind == "submitted", charge("actionable", kind))
-        .when((kind == "ready") & ~F.col("pool").isin(*pools), charge("pool", F.col("pool")))
+        .when((kind == "ready") & wrong_pool, charge("pool", F.col("pool")))
         .when((kind == "ready") & missing.isNotNull(), charge("capability", missing))
         .when(kind == "ready", charge("actionable", kind))
-        .when((kind == "committing") & F.col("executor").isin(*executors), charge("actionable", kind))
+        .when(ending & F.col("executor").isin(*executors), charge("actionable", kind))
     )
     labelled = jobs.select(cause.alias("c")).where("c IS NOT NULL")
     return labelled.groupBy(F.col("c.a").alias("label_kind"), F.col("c.b").alias("label")).agg(F.count("*").alias("n"))

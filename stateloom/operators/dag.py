@@ -1,42 +1,89 @@
 """Dataflow graphs: levels, readiness, poisoning by fixpoint joins; scatter, gather, merges.
 
-Fixpoints iterate over frontiers: each round joins only what the last round changed, and
-its result is written to shared storage, so plans do not grow with the depth of the graph.
+Fixpoints go round by round, as many as the graph is deep; each round's result is written
+to shared storage, so plans do not grow.  Once no more than ``small`` edges are left, which
+is checked by a count, one task finishes them: a long chain then costs one pass, not a job
+per level.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_table
 
+SMALL = 1_000_000
+
+
+def _in_one_task(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` over all rows as one pandas frame; for tables of a checked size only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            yield solve(pd.concat(held))
+
+    return rows.coalesce(1).mapInPandas(run, schema)
+
+
+def _rest_of_levels(edges: pd.DataFrame) -> pd.DataFrame:
+    """Levels of the children of edges (parent, child, at: the parent's level or null)."""
+    need, reach, below, first = defaultdict(int), defaultdict(int), defaultdict(list), []
+    for parent, child, at in edges[["parent", "child", "at"]].itertuples(index=False):
+        if pd.isna(at):
+            need[child] += 1
+            below[parent].append(child)
+        else:
+            reach[child] = max(reach[child], int(at) + 1)
+            need[child] += 0
+    first = [n for n in need if not need[n]]
+    out = {}
+    while first:
+        n = first.pop()
+        out[n] = reach[n]
+        for c in below[n]:
+            reach[c] = max(reach[c], reach[n] + 1)
+            need[c] -= 1
+            if not need[c]:
+                first.append(c)
+    return pd.DataFrame({"node": list(out), "level": list(out.values())}).astype({"level": "int64"}).astype({"node": edges["child"].dtype})
 
-def dag_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+
+def dag_levels(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, level): the longest path from a root; a cycle is an error.
 
-    Kahn's rounds: a round places the nodes all of whose parents are placed, found by
-    counting placed parents against all parents.
+    Kahn's rounds: a round places the children of the last round's nodes that have no
+    parent left without a level.  Only edges into such children are looked at and rewritten;
+    edges into placed nodes are dropped.
     """
     pairs = scratch_table(edges.select("parent", "child").distinct())
-    need = scratch_table(pairs.groupBy("child").agg(F.count("*").alias("need")))
-    roots = pairs.select(F.col("parent").alias("node")).distinct().join(need, F.col("node") == F.col("child"), "left_anti")
+    kind = pairs.schema["child"].dataType.simpleString()
+    roots = pairs.select(F.col("parent").alias("node")).distinct().join(pairs.select(F.col("child").alias("node")), "node", "left_anti")
     placed = scratch_table(roots.select("node", F.lit(0).cast("long").alias("level")))
-    frontier, total = placed, placed.count()
-    waiting = scratch_table(need.select(F.col("child").alias("node"), "need"))
-    for level in range(1, max_rounds):
-        arrived = pairs.join(frontier.select(F.col("node").alias("parent")), "parent").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("got"))
-        waiting = scratch_table(waiting.join(arrived, "node", "left").select("node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
-        frontier = waiting.where("need = 0").select("node", F.lit(level).cast("long").alias("level"))
-        n = frontier.count()
-        if not n:
+    # Edges into nodes without a level, with the parent's level where it has one.
+    open_ = pairs.join(placed.select(F.col("node").alias("parent"), F.col("level").alias("at")), "parent", "left")
+    open_ = scratch_table(open_.select("parent", "child", "at"))
+    left = open_.count()
+    while left > small:
+        ready = open_.groupBy("child").agg(F.count_if(F.col("at").isNull()).alias("unplaced"), (F.max("at") + 1).alias("level"))
+        new = scratch_table(ready.where("unplaced = 0").select(F.col("child").alias("node"), "level"))
+        if new.isEmpty():
             break
-        placed = placed.unionByName(frontier)
-        total += n
-        waiting = waiting.where("need > 0")
+        placed = placed.unionByName(new)
+        rest = open_.join(new.select(F.col("node").alias("child")), "child", "left_anti")
+        now = rest.join(new.select(F.col("node").alias("parent"), F.col("level").alias("new_at")), "parent", "left")
+        open_ = scratch_table(now.select("parent", "child", F.coalesce("at", "new_at").alias("at")))
+        left = open_.count()
+    if 0 < left <= small:
+        placed = placed.unionByName(scratch_table(_in_one_task(open_, _rest_of_levels, f"node {kind}, level long")))
     nodes = pairs.select(F.col("parent").alias("node")).union(pairs.select("child")).distinct().count()
-    if total != nodes:
-        raise ValueError(f"the graph has a cycle: {nodes - total} nodes have no level")
+    if (lost := nodes - placed.count()) > 0:
+        raise ValueError(f"the graph has a cycle: {lost} nodes have no level")
     return placed
 
 
@@ -47,18 +94,80 @@ def dag_ready(edges: DataFrame, states: DataFrame) -> DataFrame:
     return states.where("state = 'pending'").join(open_parents.select(F.col("child").alias("node")).distinct(), "node", "left_anti").orderBy("node")
 
 
-def dag_poison(edges: DataFrame, failed: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, distance): the failed nodes and all their descendants, with the fewest edges to a failure."""
-    pairs = edges.select("parent", "child").distinct()
-    reached = scratch_table(failed.select("node", F.lit(0).cast("long").alias("distance")).distinct())
-    frontier = reached
-    for distance in range(1, max_rounds):
-        new = pairs.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
-        frontier = scratch_table(new.join(reached, "node", "left_anti").select("node", F.lit(distance).cast("long").alias("distance")))
-        if frontier.isEmpty():
-            return reached
-        reached = reached.unionByName(frontier)
-    raise RuntimeError("poisoning did not settle")
+SETTLED = ("completed", "failed", "stopped", "skipped")
+
+
+def _fate(unsettled: Column, stopped: Column, failed: Column, tolerant: Column) -> Column:
+    return F.when((unsettled == 0) & stopped, "stopped").when((unsettled == 0) & failed & ~tolerant, "failed")
+
+
+def _rest_of_poison(edges: pd.DataFrame) -> pd.DataFrame:
+    """Fates of pending children, from edges with the states of both ends."""
+    pending = dict(zip(edges["child"], edges["tolerant"], strict=True))
+    open_, bad, below = defaultdict(int), defaultdict(set), defaultdict(list)
+    for parent, child, state, barrier in edges[["parent", "child", "state", "barrier"]].itertuples(index=False):
+        if state in SETTLED:
+            if not barrier:
+                bad[child].add(state)
+        else:
+            open_[child] += 1
+            below[parent].append((child, barrier))
+    out = []
+    ready = [(n, 1) for n in pending if not open_[n]]
+    while ready:
+        coming = []
+        for n, turn in ready:
+            fate = "stopped" if "stopped" in bad[n] else "failed" if "failed" in bad[n] and not pending[n] else None
+            if fate is None:
+                continue
+            out.append((n, fate, turn))
+            for child, barrier in below[n]:
+                open_[child] -= 1
+                if not barrier:
+                    bad[child].add(fate)
+                if not open_[child]:
+                    coming.append((child, turn + 1))
+        ready = coming
+    return pd.DataFrame(out, columns=["node", "fate", "turn"]).astype({"turn": "int64"}).astype({"node": edges["child"].dtype})
+
+
+def dag_poison(edges: DataFrame, states: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, fate, turn): pending nodes that will never run, and the round in which that is known.
+
+    ``edges``: parent, child, barrier (a barrier only has to settle).  ``states``: node,
+    state, tolerant (its missing inputs are no error).  A node is judged once all its
+    parents and barriers are settled: it stops if a parent stopped, and fails if a parent
+    failed and it is not tolerant; either settles it for its own children.
+    """
+    known = states.select("node", "state", "tolerant")
+    children = known.where("state = 'pending'").select(F.col("node").alias("child"), "tolerant")
+    parents = known.select(F.col("node").alias("parent"), "state")
+    kind = edges.schema["child"].dataType.simpleString()
+    # A parent without a state is not settled.
+    open_ = edges.join(children, "child").join(parents, "parent", "left").select("parent", "child", F.coalesce("state", F.lit("pending")).alias("state"), "barrier", "tolerant")
+    open_ = scratch_table(open_.distinct())
+    left, turn = open_.count(), 0
+    out = None
+    while left > small:
+        turn += 1
+        counted = open_.groupBy("child").agg(
+            F.count_if(~F.col("state").isin(*SETTLED)).alias("unsettled"),
+            F.bool_or((F.col("state") == "stopped") & ~F.col("barrier")).alias("stopped"),
+            F.bool_or((F.col("state") == "failed") & ~F.col("barrier")).alias("failed"),
+            F.bool_or("tolerant").alias("tolerant"),
+        )
+        fate = _fate(F.col("unsettled"), F.col("stopped"), F.col("failed"), F.col("tolerant"))
+        new = scratch_table(counted.select(F.col("child").alias("node"), fate.alias("fate"), F.lit(turn).cast("long").alias("turn")).where("fate IS NOT NULL"))
+        if new.isEmpty():
+            return out if out is not None else new
+        out = new if out is None else out.unionByName(new)
+        rest = open_.join(new.select(F.col("node").alias("child")), "child", "left_anti")
+        moved = rest.join(new.select(F.col("node").alias("parent"), "fate"), "parent", "left")
+        open_ = scratch_table(moved.select("parent", "child", F.coalesce("fate", "state").alias("state"), "barrier", "tolerant"))
+        left = open_.count()
+    last = _in_one_task(open_, _rest_of_poison, f"node {kind}, fate string, turn long").withColumn("turn", F.col("turn") + turn)
+    last = scratch_table(last)
+    return last if out is None else out.unionByName(last)
 
 
 def duplicate_ports(edges: DataFrame) -> DataFrame:
@@ -100,11 +209,30 @@ def truthy(value: Column, kind: str) -> Column:
     return value.isNotNull() & ~empty
 
 
+def argument_words(kind: Column, prefix: Column, separate: Column, item_separator: Column, items: Column) -> Column:
+    """The words (array) of one argument from its values as texts (``items``: array, one value otherwise).
+
+    A true boolean is its prefix, a false one nothing.  An array with an item separator is
+    one word, joined; without one, every item is a word, and the prefix stands once before
+    them.  A prefix stands apart unless ``separate`` is false, when it is put before the
+    first word.  No value or an empty array gives nothing.
+    """
+    none = F.array().cast("array<string>")
+    before = F.when(F.coalesce(prefix, F.lit("")) != "", F.array(prefix)).otherwise(none)
+    words = F.when((kind == "array") & item_separator.isNotNull(), F.array(F.call_function("array_join", items, item_separator))).otherwise(items)
+    first = F.concat(F.coalesce(prefix, F.lit("")), F.get(words, F.lit(0)))
+    glued = F.concat(F.array(first), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))
+    valued = F.when(F.coalesce(separate, F.lit(True)), F.concat(before, words)).otherwise(glued)
+    flag = F.when(F.get(items, F.lit(0)) == "true", before).otherwise(none)
+    return F.when(items.isNull() | (F.size(items) == 0), none).when(kind == "boolean", flag).otherwise(valued)
+
+
 def arguments(rows: DataFrame, key: str) -> DataFrame:
-    """Argument text by (position, declaration index); booleans are flags, separators join items.
+    """(key, argv): argument words by (position, declaration index), spaced.
 
-    ``rows``: key, position (nullable, counts 0), declared, prefix, kind, text.
+    ``rows``: key, position (nullable, counts 0), declared, and what ``argument_words`` takes:
+    kind, prefix, separate, item_separator, items.
     """
-    word = F.when(F.col("kind") == "boolean", F.when(F.col("text") == "true", F.col("prefix"))).otherwise(F.concat_ws(" ", F.nullif("prefix", F.lit("")), "text"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("position", F.lit(0)).alias("p"), "declared", word.alias("w"))))
-    return rows.groupBy(key).agg(ordered.alias("_w")).select(key, F.array_join(F.transform("_w", lambda x: x["w"]), " ").alias("argv"))
+    words = argument_words(*(F.col(c) for c in ("kind", "prefix", "separate", "item_separator", "items")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("position", F.lit(0)).alias("p"), "declared", words.alias("w"))))
+    return rows.groupBy(key).agg(ordered.alias("_w")).select(key, F.array_join(F.flatten(F.transform("_w", lambda x: x["w"])), " ").alias("argv"))

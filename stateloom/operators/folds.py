@@ -41,7 +41,7 @@ def activation_islands(frames: DataFrame) -> DataFrame:
 
 
 def timeline_activations(frames: DataFrame) -> DataFrame:
-    """One row per activation island: id, first and last generation, frames, times, first kind."""
+    """One row per activation island: id, first and last generation, frames, and of its first frame time, kind, step, reason."""
     return (
         activation_islands(frames)
         .groupBy("job_id", "activation_no")
@@ -52,6 +52,8 @@ def timeline_activations(frames: DataFrame) -> DataFrame:
             F.count("*").alias("n_frames"),
             F.min_by("created_at", "generation").alias("started_at"),
             F.min_by("kind", "generation").alias("first_kind"),
+            F.min_by("step", "generation").alias("step"),
+            F.min_by("reason", "generation").alias("reason"),
         )
     )
 
@@ -60,25 +62,28 @@ def timeline_attempts(frames: DataFrame) -> DataFrame:
     """One row per attempt: opened by ``claimed``, followed by later frames with its attempt id.
 
     Frames before a claim, or with another attempt id, are ignored; a new activation closes
-    the attempt.  The last ``running`` frame sets started_at; of frames of other kinds the
-    first with a time finishes it, the first failure counts, and the last commit's outcome
-    counts.  Equal ids claimed twice are two attempts.
+    the attempt.  The last ``running`` frame sets started_at, to its own started_at or else
+    its time, and the last ``committing`` frame sets the outcome, even where these are null;
+    of frames of other kinds the first with a time finishes it, and the first failure
+    counts.  An empty attempt id is null.  Equal ids claimed twice are two attempts.
     """
     in_island = Window.partitionBy("job_id", "activation_no").orderBy("generation")
     claims = F.sum((F.col("kind") == "claimed").cast("int")).over(in_island.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
-    numbered = activation_islands(frames).withColumn("attempt_no", claims).where("attempt_no > 0")
+    islands = activation_islands(frames)
+    if dict(frames.dtypes)["attempt_id"] == "string":
+        islands = islands.withColumn("attempt_id", F.nullif("attempt_id", F.lit("")))
+    numbered = islands.withColumn("attempt_no", claims).where("attempt_no > 0")
     in_attempt = Window.partitionBy("job_id", "activation_no", "attempt_no").orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)
     own = numbered.withColumn("_id", F.first("attempt_id").over(in_attempt)).where(F.col("attempt_id").eqNullSafe(F.col("_id")))
-    running = (F.col("kind") == "running") & F.col("created_at").isNotNull()
     closing = ~F.col("kind").isin("claimed", "running")
     at = lambda test: F.when(test, F.col("generation"))
     return own.groupBy("job_id", "activation_no", "attempt_no").agg(
         F.min_by("attempt_id", "generation").alias("attempt_id"),
         F.min("generation").alias("claim_generation"),
-        F.max_by("created_at", at(running)).alias("started_at"),
+        F.max_by(F.coalesce("started_at", "created_at"), at(F.col("kind") == "running")).alias("started_at"),
         F.min_by("created_at", at(closing & F.col("created_at").isNotNull())).alias("finished_at"),
         F.min_by("failure_code", at(closing & F.col("failure_code").isNotNull())).alias("failure_code"),
-        F.max_by("outcome_action", at((F.col("kind") == "committing") & F.col("outcome_action").isNotNull())).alias("outcome_action"),
+        F.max_by("outcome_action", at(F.col("kind") == "committing")).alias("outcome_action"),
         F.count("*").alias("n_frames"),
     )
 
@@ -99,3 +104,17 @@ def round_robin(rows: DataFrame, root: str, order: str, last_served: str | None
     turn = F.row_number().over(Window.partitionBy(root).orderBy(order)).cast("long")
     later = F.lit(0) if last_served is None else F.when(F.col(root) > last_served, 0).otherwise(1)
     return rows.withColumn("turn", turn).withColumn("_later", later).orderBy("turn", "_later", root).drop("_later")
+
+
+def with_places(rows: DataFrame, root: str, last_served) -> DataFrame:
+    """Rows of ``round_robin`` with ``served``, their place from 1 in the order of service.
+
+    Turns are counted first, then roots are numbered inside a turn, so only one row per turn
+    meets in one task.
+    """
+    per_turn = rows.groupBy("turn").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    begins = per_turn.select("turn", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
+    later = F.lit(0) if last_served is None else F.when(F.col(root) > last_served, 0).otherwise(1)
+    inside = F.row_number().over(Window.partitionBy("turn").orderBy(later, root))
+    return rows.withColumn("_at", inside).join(begins, "turn").withColumn("served", (F.col("_begin") + F.col("_at")).cast("long")).drop("_at", "_begin")

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import TERMINAL_KINDS
+from ..schemas import JOIN_CONDITIONS, LIVE_KINDS, TERMINAL_KINDS
 
 
 def join_verdicts(joins: DataFrame, children: DataFrame) -> DataFrame:
     """satisfied, impossible or blocked for each parent's condition over its children.
 
     Satisfied is tested first.  One pre-aggregated pass over the children; parents without
-    children drop out, so nothing is vacuously true.
+    children drop out, so nothing is vacuously true.  A condition that is not one of the
+    known ones has a null verdict.
     """
     done = F.col("kind").isin(*TERMINAL_KINDS)
     counted = children.groupBy("parent_id").agg(
@@ -29,7 +30,7 @@ def join_verdicts(joins: DataFrame, children: DataFrame) -> DataFrame:
         | (is_("any_terminal") & (done_n > 0)) | (is_("at_least") & (good >= k))
     )
     impossible = (is_("all_succeeded") & (done_n > good)) | (is_("any_succeeded") & (done_n == n) & (good == 0)) | (is_("at_least") & (good + n - done_n < k))
-    verdict = F.when(satisfied, "satisfied").when(impossible, "impossible").otherwise("blocked")
+    verdict = F.when(satisfied, "satisfied").when(impossible, "impossible").when(F.col("cond").isin(*JOIN_CONDITIONS), "blocked")
     return joins.join(counted, "parent_id").withColumn("verdict", verdict)
 
 
@@ -70,9 +71,15 @@ def last_good_frame(markers: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def live_owner(frames: DataFrame, managers: DataFrame, lease: float) -> DataFrame:
-    """Per job the newest frame whose manager is within the lease, with that manager."""
-    owned = frames.join(managers.select("manager_id", "heartbeat_age_seconds"), "manager_id").where(F.col("heartbeat_age_seconds") <= lease)
+def live_owner(markers: DataFrame, frames: DataFrame, managers: DataFrame, lease: float) -> DataFrame:
+    """Per marker of a live kind the newest readable frame whose manager is within its lease.
+
+    The lease is the frame's own lease_seconds, else ``lease``.  Markers of other kinds, and
+    those without such a frame, have no row.
+    """
+    live = markers.where(F.col("kind").isin(*LIVE_KINDS)).select("job_id")
+    readable = frames.where("NOT is_error").join(live, "job_id", "left_semi")
+    owned = readable.join(managers.select("manager_id", "heartbeat_age_seconds"), "manager_id").where(F.col("heartbeat_age_seconds") <= F.coalesce("lease_seconds", F.lit(lease)))
     best = owned.groupBy("job_id").agg(F.max_by(F.struct("generation", "manager_id"), "generation").alias("b"))
     return best.select("job_id", "b.generation", "b.manager_id")
 
@@ -112,10 +119,70 @@ def declarations_merge(declared: DataFrame, observed: DataFrame, key: str) -> Da
 
 
 def transfer_selection(jobs: DataFrame, waiting_on: DataFrame, sealed: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """Sealed jobs first, then live jobs of the kinds that no waiting parent names and that are not sealed."""
-    live = jobs.where(F.col("kind").isin(*kinds)).join(sealed.select("job_id"), "job_id", "left_anti").join(waiting_on.select("job_id").distinct(), "job_id", "left_anti")
+    """Sealed jobs first, then live jobs of the kinds, each by placement and key.
+
+    A live job is left out where it waits itself, where a waiting parent names it, or where
+    it is sealed.
+    """
+    free = jobs.where(F.col("kind").isin(*kinds) & (F.col("kind") != "waiting"))
+    live = free.join(sealed.select("job_id"), "job_id", "left_anti").join(waiting_on.select("job_id").distinct(), "job_id", "left_anti")
     pick = ["job_id", "job_key", "placement"]
-    return sealed.join(jobs, "job_id").select(*pick, F.lit("sealed").alias("origin")).unionByName(live.select(*pick, F.lit("live").alias("origin")))
+    chosen = sealed.join(jobs, "job_id").select(*pick, F.lit("sealed").alias("origin")).unionByName(live.select(*pick, F.lit("live").alias("origin")))
+    return chosen.orderBy(F.desc("origin"), "placement", "job_key")
+
+
+def observe_join(references: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Every child that a waiting job's join names, with what is known of it now.
+
+    ``references``: parent_id, position, label, job_id, job_key, placement_hint; ``jobs``:
+    job_id, job_key, placement, kind.  A child is looked up by key at the hinted placement,
+    else by id; found nowhere, kind and terminal are null.  A reference with neither key
+    nor id is reported as an error.
+    """
+    at = jobs.select(F.struct("job_id", "job_key", "placement", "kind").alias("hinted"), F.col("job_key").alias("job_key"), F.col("placement").alias("placement_hint"))
+    named = jobs.select(F.struct("job_id", "job_key", "placement", "kind").alias("named"), "job_id")
+    both = references.join(at, ["job_key", "placement_hint"], "left").join(named, "job_id", "left")
+    found = F.coalesce("hinted", "named")
+    lost = F.col("job_id").isNull() & F.col("job_key").isNull()
+    return both.select(
+        "parent_id", "position", "label", "job_id",
+        F.coalesce(found["job_key"], F.col("job_key")).alias("job_key"),
+        found["placement"].alias("placement"),
+        found["kind"].alias("kind"),
+        found["kind"].isin(*TERMINAL_KINDS).alias("terminal"),
+        F.when(lost, "child reference is not an object").alias("error"),
+    )
+
+
+def labeled_join(references: DataFrame, spawned: DataFrame) -> DataFrame:
+    """References of a join with missing labels filled in from the spawn set by job key.
+
+    ``spawned``: parent_id, job_key, label; a label that is used twice within a parent's
+    spawn set is an error.
+    """
+    twice = F.count("*").over(Window.partitionBy("parent_id", "label")) > 1
+    checked = F.when(twice, F.raise_error(F.lit("a spawn label is used twice"))).otherwise(F.col("label"))
+    labels = spawned.select("parent_id", "job_key", checked.alias("_label"))
+    return references.join(labels, ["parent_id", "job_key"], "left").withColumn("label", F.coalesce("label", "_label")).select(*references.columns)
+
+
+def child_evidence(children: DataFrame, frames: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Failure, work folder and data generation of terminal children, for the parent's next step.
+
+    ``children``: child_id, kind, payload; ``frames``: the current frame of each child
+    (child_id, attempt_id, workdir, failure_code, data_generation); ``definitions``:
+    child_id, workdir_mode, workdir_path.  A persistent work folder is the declared one, an
+    isolated one carries the attempt's id, and without a definition the recorded one stands.
+    """
+    known = children.join(frames, "child_id", "left").join(definitions, "child_id", "left")
+    under = lambda path: F.concat_ws("/", "payload", path)
+    folder = (
+        F.when((F.col("workdir_mode") == "persistent"), under(F.col("workdir_path")))
+        .when(F.col("workdir_mode").isNotNull() & F.col("attempt_id").isNotNull(), under(F.concat("workdir_path", F.lit("."), F.col("attempt_id").cast("string"))))
+        .when(F.col("workdir").isNotNull(), under(F.col("workdir")))
+    )
+    failure = F.when(F.col("kind").isin("failed", "cancelled"), F.col("failure_code"))
+    return known.select("child_id", "kind", failure.alias("failure_code"), folder.alias("workdir_path"), "data_generation")
 
 
 def children_by_label(spawns: DataFrame) -> DataFrame:

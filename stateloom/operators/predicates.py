@@ -22,6 +22,7 @@ def list_jobs(jobs: DataFrame, frames: DataFrame | None = None, kinds: Sequence[
     if kinds:
         picked = picked.where(F.col("kind").isin(*kinds))
     if frames is not None:
+        frames = frames.join(picked.select("job_id"), "job_id", "left_semi")
         newest = frames.groupBy("job_id").agg(F.max_by("kind", "generation").alias("frame_kind"), F.max("generation").alias("frame_generation"))
         picked = picked.join(newest, "job_id", "left")
     return picked.orderBy("placement", "job_key")
@@ -43,55 +44,126 @@ def claim_order(eligible: DataFrame, slots: int) -> DataFrame:
     return top.withColumn("slot", F.row_number().over(Window.orderBy("priority", "placement", "job_key")).cast("long"))
 
 
-def refusals(executors: Sequence[str], with_placement: bool = True) -> Column:
-    """Reasons, in fixed order, why a manager would not claim a job of these requirements."""
-    required, offered = name_set(F.col("capabilities")), name_set(F.col("m_capabilities"))
-    missing = F.array_sort(F.array_except(required, offered))
-    prefix = F.col("m_prefix")
-    covered = (prefix == "") | (F.col("area") == prefix)
+def path_prefixes(path: Column) -> Column:
+    """The empty path and every component-wise prefix of a path, itself included."""
+    parts = F.split(path, "/")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+
+
+def least_prefixes(paths: Column, separator: str = "/") -> Column:
+    """Paths (array) without those that lie under another of them."""
+    under = lambda p: F.exists(paths, lambda q: p.startswith(F.concat(q, F.lit(separator))))
+    return F.array_distinct(F.filter(paths, lambda p: ~under(p)))
+
+
+def runner_module(runner: Column) -> Column:
+    """The module of a packaged runner ``pkg:module``, else null."""
+    return F.when(runner.startswith("pkg:"), F.substring(runner, 5, 1 << 20))
+
+
+def refusals() -> Column:
+    """Reasons, in fixed order, why a manager (columns m_...) would not claim a job; both in one row.
+
+    Owner, executor, one of several pools, capabilities, one of several placement prefixes
+    compared by components, and the reach of an installed runner.  Empty lists of pools or
+    capabilities offer none; an empty list of prefixes restricts nothing.
+    """
+    missing = F.array_sort(F.array_except(name_set(F.col("capabilities")), name_set(F.col("m_capabilities"))))
+    prefixes, allowed = name_set(F.col("m_placement_prefixes")), name_set(F.col("m_runner_modules"))
+    covered = (F.size(prefixes) == 0) | F.exists(prefixes, lambda p: (F.col("placement") == p) | F.col("placement").startswith(F.concat(p, F.lit("/"))))
+    module = runner_module(F.col("runner"))
+    admitted = F.exists(allowed, lambda p: (module == p) | module.startswith(F.concat(p, F.lit("."))))
     reasons = [
-        F.when(~F.col("executor").isin(*executors), F.concat(F.lit("executor "), "executor")),
-        F.when(~F.col("accept_any_pool") & (F.col("pool") != F.col("m_pool")), F.concat(F.lit("pool "), "pool")),
+        F.when(F.col("owner_uid") != F.col("m_uid"), F.concat(F.lit("owner "), F.col("owner_uid").cast("string"))),
+        F.when(~F.array_contains(name_set(F.col("m_executors")), F.col("executor")), F.concat(F.lit("executor "), "executor")),
+        F.when(~F.col("m_accept_any_pool") & ~F.array_contains(name_set(F.col("m_pools")), F.col("pool")), F.concat(F.lit("pool "), "pool")),
         F.when(F.size(missing) > 0, F.concat(F.lit("capabilities "), F.array_join(missing, ","))),
+        F.when(~covered, F.concat(F.lit("placement "), "placement")),
+        F.when(module.isNotNull() & ~admitted, F.concat(F.lit("runner module "), module)),
+        F.when((F.col("runner") == "installed") & ~F.col("m_searches"), F.lit("runner search path")),
     ]
-    if with_placement:
-        reasons.append(F.when(~covered, F.concat(F.lit("placement "), "area")))
     return F.array_compact(F.array(*reasons))
 
 
-def requirement_refusals(jobs: DataFrame, managers: DataFrame, executors: Sequence[str] = ("path",)) -> DataFrame:
-    """(requirement class, manager, reasons) for every class of jobs with equal requirements.
+def pair_refusals(pairs: DataFrame, jobs: DataFrame, managers: DataFrame) -> DataFrame:
+    """The pairs (job_id, manager_id) with reasons; a pair whose job or manager is unknown drops out."""
+    offers = managers.select("manager_id", *[F.col(c).alias(f"m_{c}") for c in ("uid", "executors", "pools", "accept_any_pool", "capabilities", "placement_prefixes", "runner_modules", "searches")])
+    return pairs.join(jobs, "job_id").join(offers, "manager_id").withColumn("reasons", refusals())
+
+
+#: What a claim requires, in the order of the bits of a mask.
+REQUIREMENTS = ("executor", "pool", "capabilities", "placement")
 
-    A refusal depends on four small-domain columns only, so the theta join runs over their
-    distinct combinations and not over jobs.
+
+def _masked(rows: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
+    """Arrays of acceptable names exploded, once for every subset of REQUIREMENTS; others are empty."""
+    for name in names:
+        rows = rows.withColumn(name, F.explode(name))
+    rows = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(names) - 1))))
+    masked = [F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(n)).otherwise("").alias(n) for i, n in enumerate(names)]
+    return rows.select(*keep, "mask", *masked)
+
+
+def requirement_matches(jobs: DataFrame, managers: DataFrame) -> DataFrame:
+    """Per distinct requirement of jobs (executor, pool, capabilities, area): n_eligible, manager_id.
+
+    n_eligible counts the managers that meet all four; manager_id is the least of those that
+    meet most of them.  Both sides become rows of names per subset of requirements, managers
+    are folded to one row per combination of names, and the two are joined by equality: no
+    pair of a class and a manager is ever made.  area is the placement, as deep as any
+    manager's prefix.
     """
-    wants = jobs.where("kind = 'ready'").select("executor", "pool", "capabilities", area_of(F.col("placement")).alias("area"))
-    classes = wants.groupBy("executor", "pool", "capabilities", "area").agg(F.count("*").alias("n_jobs"))
+    depth = depth_of(managers)
+    wants = jobs.select("executor", "pool", "capabilities", area_of(F.col("placement"), depth).alias("area")).distinct()
+    offered = managers.select(name_set(F.col("capabilities")).alias("have")).distinct().withColumn("offer", F.array_join(F.array_sort("have"), ","))
+    # Which offers hold a non-empty set of required capabilities: as many names in common as it has.
+    needs = wants.select("capabilities").distinct().withColumn("need", name_set(F.col("capabilities")))
+    shared = needs.withColumn("name", F.explode("need")).join(offered.withColumn("name", F.explode("have")), "name")
+    holds = shared.groupBy("capabilities", "offer").agg(F.count("*").alias("n"), F.max(F.size("need")).alias("of")).where("n = of").groupBy("capabilities").agg(F.collect_set("offer").alias("_offers"))
+    keys = wants.join(holds, "capabilities", "left").select(
+        F.struct("executor", "pool", "capabilities", "area").alias("want"),
+        F.array("executor").alias("executor"),
+        F.array(F.lit("*"), "pool").alias("pool"),
+        F.when(F.col("capabilities") == "", F.array(F.lit(""))).otherwise(F.coalesce("_offers", F.array(F.lit("?")))).alias("capabilities"),
+        path_prefixes(F.col("area")).alias("placement"),
+    )
+    prefixes = least_prefixes(name_set(F.col("placement_prefixes")))
     offers = managers.select(
         "manager_id",
-        "accept_any_pool",
-        F.col("pool").alias("m_pool"),
-        F.col("capabilities").alias("m_capabilities"),
-        F.col("placement_prefix").alias("m_prefix"),
+        name_set(F.col("executors")).alias("executor"),
+        F.when(F.col("accept_any_pool"), F.array(F.lit("*"))).otherwise(F.coalesce(F.nullif(name_set(F.col("pools")), F.array().cast("array<string>")), F.array(F.lit("?")))).alias("pool"),
+        F.array_distinct(F.array(F.lit(""), F.array_join(F.array_sort(name_set(F.col("capabilities"))), ","))).alias("capabilities"),
+        F.when(F.size(prefixes) == 0, F.array(F.lit(""))).otherwise(prefixes).alias("placement"),
     )
-    return classes.crossJoin(offers).withColumn("reasons", refusals(executors))
+    by = ["mask", *REQUIREMENTS]
+    folded = _masked(offers, REQUIREMENTS, "manager_id").groupBy(*by).agg(F.min("manager_id").alias("manager_id"), F.count("*").alias("n"))
+    found = _masked(keys, REQUIREMENTS, "want").distinct().join(folded, by)
+    met, all_ = F.bit_count("mask"), 2 ** len(REQUIREMENTS) - 1
+    best = found.groupBy("want").agg(
+        F.min_by("manager_id", F.struct(-met, "manager_id")).alias("manager_id"),
+        F.coalesce(F.sum(F.when(F.col("mask") == all_, F.col("n"))), F.lit(0)).alias("n_eligible"),
+    )
+    return best.select("want.*", "manager_id", "n_eligible")
 
 
-def area_of(placement: Column) -> Column:
-    return F.substring_index(placement, "/", 1)
+def depth_of(managers: DataFrame) -> int:
+    """The most components of any manager's placement prefix."""
+    return managers.agg(F.max(F.array_max(F.transform(F.split("placement_prefixes", ","), lambda p: F.size(F.split(p, "/")))))).first()[0] or 1
 
 
-def closest_manager(jobs: DataFrame, managers: DataFrame, executors: Sequence[str] = ("path",)) -> DataFrame:
-    """Per ready job the manager with the fewest reasons (least id on ties) and how many could claim it."""
-    pairs = requirement_refusals(jobs, managers, executors)
-    keys = ["executor", "pool", "capabilities", "area"]
-    best = pairs.groupBy(*keys).agg(
-        F.min_by(F.struct("manager_id", "reasons"), F.struct(F.size("reasons"), "manager_id")).alias("best"),
-        F.count_if(F.size("reasons") == 0).alias("n_eligible"),
-    )
-    ready = jobs.where("kind = 'ready'").withColumn("area", area_of(F.col("placement")))
-    return ready.join(best, keys).select(
-        "job_id", "n_eligible", F.col("best.manager_id").alias("manager_id"), F.size("best.reasons").cast("long").alias("n_reasons"), F.array_join("best.reasons", "; ").alias("reasons")
+def area_of(placement: Column, depth: int) -> Column:
+    return F.substring_index(placement, "/", depth)
+
+
+def closest_manager(jobs: DataFrame, managers: DataFrame) -> DataFrame:
+    """Per ready job the manager that meets most of its requirements (least id on ties), why it may
+    still refuse, and how many managers meet all four."""
+    ready = jobs.where("kind = 'ready'")
+    best = requirement_matches(ready, managers)
+    placed = ready.withColumn("area", area_of(F.col("placement"), depth_of(managers)))
+    pairs = placed.join(best, ["executor", "pool", "capabilities", "area"]).select("job_id", "manager_id", "n_eligible")
+    return pair_refusals(pairs, ready, managers).select(
+        "job_id", "n_eligible", "manager_id", F.size("reasons").cast("long").alias("n_reasons"), F.array_join("reasons", "; ").alias("reasons")
     )
 
 
@@ -144,19 +216,25 @@ def takeover_evidence(dead: Column, persistent: Column, unsafe: Column, age: Col
     )
 
 
-def resolve_selectors(selectors: DataFrame, jobs: DataFrame) -> DataFrame:
+def resolve_selectors(selectors: DataFrame, jobs: DataFrame, shown: int = 5) -> DataFrame:
     """Per selector text: its job by exact id or key, else by unique key prefix, else why not.
 
-    status is found, ambiguous (with the 5 least candidates) or not found.
+    status is found, ambiguous (with the ``shown`` least candidates) or not found.  Keys meet
+    selectors by their prefixes of the selectors' lengths, so all joins are equalities, and
+    a selector never holds more than ``shown`` keys in one place.  A selector is a short
+    text: the distinct lengths of the selectors bound the prefixes of a key.
     """
     keyed = jobs.select(F.col("job_id").cast("string").alias("id"), "job_key")
-    exact = selectors.join(keyed, (F.col("selector") == F.col("id")) | (F.col("selector") == F.col("job_key"))).groupBy("selector").agg(F.min("job_key").alias("exact"))
-    begun = (
-        selectors.join(keyed, F.col("job_key").startswith(F.col("selector")))
-        .groupBy("selector")
-        .agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("job_key")), 1, 5).alias("candidates"))
-    )
-    both = selectors.join(exact, "selector", "left").join(begun, "selector", "left")
+    by_id = selectors.join(keyed.withColumnRenamed("id", "selector"), "selector")
+    by_key = selectors.join(keyed.select(F.col("job_key").alias("selector"), "job_key"), "selector")
+    exact = by_id.select("selector", "job_key").unionByName(by_key).groupBy("selector").agg(F.min("job_key").alias("exact"))
+    lengths = sorted(r[0] for r in selectors.select(F.length("selector")).distinct().collect())
+    cut = F.array(*[F.when(F.length("job_key") >= n, F.substring("job_key", 1, n)) for n in lengths])
+    starts = keyed.select("job_key", F.explode(F.array_compact(cut)).alias("selector")).join(selectors.distinct(), "selector", "left_semi")
+    counts = starts.groupBy("selector").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("selector").orderBy("job_key"))
+    least = starts.withColumn("_r", place).where(F.col("_r") <= shown).groupBy("selector").agg(F.array_sort(F.collect_list("job_key")).alias("candidates"))
+    both = selectors.join(exact, "selector", "left").join(counts, "selector", "left").join(least, "selector", "left")
     status = F.when(F.col("exact").isNotNull() | (F.col("n") == 1), "found").when(F.col("n") > 1, "ambiguous").otherwise("not found")
     return both.select(
         "selector",

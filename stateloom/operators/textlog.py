@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Messages of a simulation program, their codes, severities and whether they stop a run.
@@ -97,12 +97,24 @@ def plan_remedies(spark: SparkSession, found: DataFrame, attempts: DataFrame, ke
     return planned.select(key, "problem", "step", give_up.alias("give_up"))
 
 
-def without_blocks(lines: DataFrame, key: str, start: str) -> DataFrame:
-    """Lines outside blocks that run from a line matching ``start`` up to the next blank line."""
-    from pyspark.sql import Window
+# How the largest blocks of an output file begin, and the line that stands for one.
+BLOCK_STARTS = (
+    r"^\s*(k-points in units of 2pi/SCALE and weight:|Following reciprocal coordinates:"
+    r"|Following cartesian coordinates:|k-points in reciprocal lattice and weights|k-point\s+\d+\s+.*plane waves)"
+)
+BLOCK_REPLACEMENT = "VASP_CLEAN_OUTCAR: removed k-point detail block"
+
 
-    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.max(F.when(F.col("line").rlike(start), F.col("line_no"))).over(so_far)
-    closed = F.max(F.when(F.trim("line") == "", F.col("line_no"))).over(so_far)
+def without_blocks(lines: DataFrame, key: str, start: str = BLOCK_STARTS, replacement: str = BLOCK_REPLACEMENT) -> DataFrame:
+    """Lines without blocks, which run from a line matching ``start`` to the next blank line, inclusive.
+
+    Each starting line becomes the replacement, one inside another block too; blank lines
+    outside blocks stay.
+    """
+    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts, blank = F.col("line").rlike(start), F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")) == ""
+    opened = F.max(F.when(starts, F.col("line_no"))).over(before)
+    closed = F.max(F.when(blank & ~starts, F.col("line_no"))).over(before)
     inside = opened.isNotNull() & (closed.isNull() | (opened > closed))
-    return lines.withColumn("_inside", inside).where("NOT _inside").drop("_inside")
+    marked = lines.withColumn("_inside", inside).where(starts | ~F.col("_inside"))
+    return marked.withColumn("line", F.when(starts, F.lit(replacement)).otherwise(F.col("line"))).drop("_inside")

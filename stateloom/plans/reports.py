@@ -8,22 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import identity_mismatch
-from ..operators.predicates import area_of, budget_exhausted, requirement_refusals
+from ..operators.predicates import area_of, budget_exhausted, depth_of, requirement_matches
 from ..schemas import TERMINAL_KINDS
 
 _WANTS = ["executor", "pool", "capabilities", "area"]
 
 
-def explain_jobs(jobs: DataFrame, managers: DataFrame, verdicts: DataFrame, executors: Sequence[str] = ("path",)) -> DataFrame:
+def explain_jobs(jobs: DataFrame, managers: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Per job: blocked or not, and the checks that say why, in fixed order.
 
     Checks depend on the kind: ready jobs need a manager and budget, waiting ones a verdict,
     running ones nothing here.  Terminal jobs are not blocked.
     """
-    pairs = requirement_refusals(jobs, managers, executors)
-    offers = pairs.groupBy(*_WANTS).agg(F.count_if(F.size("reasons") == 0).alias("n_eligible"))
+    offers = requirement_matches(jobs.where("kind = 'ready'"), managers)
     wide = (
-        jobs.withColumn("area", area_of(F.col("placement")))
+        jobs.withColumn("area", area_of(F.col("placement"), depth_of(managers)))
         .join(offers, _WANTS, "left")
         .join(verdicts.select(F.col("parent_id").alias("job_id"), "verdict"), "job_id", "left")
     )
@@ -45,23 +44,35 @@ def explain_jobs(jobs: DataFrame, managers: DataFrame, verdicts: DataFrame, exec
     return wide.select("job_id", "kind", blocked.alias("blocked"), F.array_join(checks, "; ").alias("checks"))
 
 
+#: The identity of a frame, in the order in which it is checked.
+IDENTITY = ("format", "format_version", "workspace_id", "job_id", "job_key", "kind", "generation")
+
+
 def integrity(markers: DataFrame, frames: DataFrame) -> DataFrame:
-    """Markers against the frames they name: the first identity field that differs, or missing.
+    """Markers against the frames that they refer to: the first field of IDENTITY that differs.
 
-    ``markers``: job_id, generation, kind, event_id.  A frame is found by (job_id, event_id).
+    Both sides have the fields of IDENTITY and record_ref; frames also is_error.  A marker
+    that refers to ``init`` has no frame, and must be submitted at generation 0.
     """
-    theirs = frames.select(F.col("job_id").alias("f_job"), F.col("event_id").alias("f_event"), F.col("generation").alias("f_generation"), F.col("kind").alias("f_kind"), "is_error")
-    joined = markers.join(theirs, (F.col("job_id") == F.col("f_job")) & (F.col("event_id") == F.col("f_event")), "left")
-    mismatch = identity_mismatch([("generation", F.col("generation"), F.col("f_generation")), ("kind", F.col("kind"), F.col("f_kind"))])
-    action = F.when(F.col("f_event").isNull(), "missing").when(F.col("is_error"), "unreadable").when(mismatch.isNotNull(), F.concat(F.lit("mismatch:"), mismatch)).otherwise("ok")
-    return joined.select("job_id", "generation", "kind", action.alias("finding"))
+    theirs = frames.select("record_ref", "is_error", *[F.col(c).alias(f"f_{c}") for c in IDENTITY])
+    joined = markers.join(theirs, "record_ref", "left")
+    mismatch = identity_mismatch([(c, F.col(c), F.col(f"f_{c}")) for c in IDENTITY])
+    first = (F.col("kind") == "submitted") & (F.col("generation") == 0)
+    finding = (
+        F.when((F.col("record_ref") == "init") & first, "ok")
+        .when(F.col("record_ref") == "init", "mismatch:init")
+        .when(F.col("is_error").isNull(), "missing")
+        .when(F.col("is_error"), "unreadable")
+        .when(mismatch.isNotNull(), F.concat(F.lit("mismatch:"), mismatch))
+        .otherwise("ok")
+    )
+    return joined.select("job_id", "generation", "kind", finding.alias("finding"))
 
 
 def readiness(jobs: DataFrame, managers: DataFrame, declarations: DataFrame) -> DataFrame:
     """Per submitted or ready job: findings of several classes, any of which may hold."""
-    pairs = requirement_refusals(jobs.withColumn("kind", F.lit("ready")), managers)
-    offers = pairs.groupBy(*_WANTS).agg(F.count_if(F.size("reasons") == 0).alias("n_eligible"))
-    pending = jobs.where(F.col("kind").isin("submitted", "ready")).withColumn("area", area_of(F.col("placement")))
+    pending = jobs.where(F.col("kind").isin("submitted", "ready")).withColumn("area", area_of(F.col("placement"), depth_of(managers)))
+    offers = requirement_matches(pending, managers)
     wide = pending.join(offers, _WANTS, "left").join(declarations, "job_id", "left")
     return wide.select(
         "job_id",
@@ -86,7 +97,7 @@ def transfer_refusal(wanted: DataFrame, jobs: DataFrame, waiting_on: DataFrame,
         .when(~F.col("kind").isin(*quiescent), "not quiescent")
         .when(~F.col("kind").isin(*kinds), "filtered by state")
         .when(~placement, "filtered by placement")
-        .when(F.col("_held"), "blocked by join")
+        .when(F.col("_held") | (F.col("kind") == "waiting"), "blocked by join")
         .otherwise("eligible")
     )
     return joined.select("job_id", reason.alias("reason"))

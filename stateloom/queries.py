@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .fixtures import cte, table, view
 from .functions import lattice, scalars
-from .operators import census, dag, folds, joins, predicates, textlog
-from .plans import collect, reports
+from .operators import census, dag, dataflow, folds, joins, predicates, textlog
+from .plans import collect, reports, states
 from .schemas import QUIESCENT_KINDS, RETENTION_CATEGORIES
+from .sources.scratch import scratch_folder
 from .streaming import decisions, state_machine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,34 +89,44 @@ def claim_topk(jobs):
     return predicates.claim_order(_eligible(jobs), 50)
 
 
-REFUSAL = """, c AS (SELECT executor, pool, capabilities, split_part(placement, '/', 1) AS area, count(*) AS n_jobs FROM fx_job WHERE kind = 'ready' GROUP BY ALL),
-p AS (SELECT c.*, m.manager_id, list_filter([
-  CASE WHEN c.executor <> 'path' THEN 'executor ' || c.executor END,
-  CASE WHEN NOT m.accept_any_pool AND c.pool <> m.pool THEN 'pool ' || c.pool END,
-  CASE WHEN len(x.missing) > 0 THEN 'capabilities ' || array_to_string(x.missing, ',') END,
-  CASE WHEN m.placement_prefix <> '' AND m.placement_prefix <> c.area THEN 'placement ' || c.area END], lambda r: r IS NOT NULL) AS reasons
-FROM c, fx_manager m, LATERAL (SELECT list_sort(list_filter(string_split(c.capabilities, ','), lambda v: v <> '' AND NOT list_contains(string_split(m.capabilities, ','), v))) AS missing) x)
+AREA = "array_to_string(string_split(placement, '/')[1:2], '/')"
+#: Requirement classes against all managers, by brute force.
+REFUSAL = f""", c AS (SELECT executor, pool, capabilities, {AREA} AS area, count(*) AS n_jobs FROM fx_job WHERE kind = 'ready' GROUP BY ALL),
+p AS (SELECT c.*, m.manager_id,
+  (NOT list_contains(string_split(m.executors, ','), c.executor))::INT + (NOT m.accept_any_pool AND NOT list_contains(string_split(m.pools, ','), c.pool))::INT
+  + (len(list_filter(string_split(c.capabilities, ','), lambda v: v <> '' AND NOT list_contains(string_split(m.capabilities, ','), v))) > 0)::INT
+  + (m.placement_prefixes <> '' AND len(list_filter(string_split(m.placement_prefixes, ','), lambda x: c.area = x OR starts_with(c.area, x || '/'))) = 0)::INT AS refused
+FROM c, fx_manager m)
 """
+#: Reasons of one pair of job j and manager m.
+REASONS = """list_filter([
+  CASE WHEN j.owner_uid <> m.uid THEN 'owner ' || CAST(j.owner_uid AS VARCHAR) END,
+  CASE WHEN NOT list_contains(string_split(m.executors, ','), j.executor) THEN 'executor ' || j.executor END,
+  CASE WHEN NOT m.accept_any_pool AND NOT list_contains(string_split(m.pools, ','), j.pool) THEN 'pool ' || j.pool END,
+  'capabilities ' || nullif(array_to_string(list_sort(list_filter(string_split(j.capabilities, ','), lambda v: v <> '' AND NOT list_contains(string_split(m.capabilities, ','), v))), ','), ''),
+  CASE WHEN m.placement_prefixes <> '' AND len(list_filter(string_split(m.placement_prefixes, ','), lambda x: j.placement = x OR starts_with(j.placement, x || '/'))) = 0 THEN 'placement ' || j.placement END,
+  CASE WHEN j.runner = 'pkg:site.a' AND m.runner_modules = '' THEN 'runner module site.a' END,
+  CASE WHEN j.runner = 'installed' AND NOT m.searches THEN 'runner search path' END], lambda r: r IS NOT NULL)"""
 
 
 @query(
-    "fx_job", "fx_manager",
-    sql=REFUSAL + "SELECT executor, pool, capabilities, area, manager_id, n_jobs, array_to_string(reasons, '; ') AS reasons, CAST(len(reasons) AS BIGINT) AS n_reasons FROM p",
+    "fx_job", "fx_manager", "fx_child",
+    sql=f""", q AS (SELECT DISTINCT parent_id AS job_id, supp AS manager_id FROM fx_child)
+SELECT q.job_id, q.manager_id, array_to_string(r, '; ') AS reasons, CAST(len(r) AS BIGINT) AS n_reasons
+FROM (SELECT q.*, {REASONS} AS r FROM q JOIN fx_job j USING (job_id) JOIN fx_manager m USING (manager_id)) q""",
 )
-def job_manager_refusals(jobs, managers):
-    pairs = predicates.requirement_refusals(jobs, managers)
-    return pairs.select(
-        "executor", "pool", "capabilities", "area", "manager_id", "n_jobs", F.array_join("reasons", "; ").alias("reasons"), F.size("reasons").cast("long").alias("n_reasons")
-    )
+def job_manager_refusals(jobs, managers, children):
+    pairs = children.select(F.col("parent_id").alias("job_id"), F.col("supp").alias("manager_id")).distinct()
+    refused = predicates.pair_refusals(pairs, jobs, managers)
+    return refused.select("job_id", "manager_id", F.array_join("reasons", "; ").alias("reasons"), F.size("reasons").cast("long").alias("n_reasons"))
 
 
 @query(
     "fx_job", "fx_manager",
-    sql=REFUSAL + """, b AS (SELECT executor, pool, capabilities, area, count(*) FILTER (WHERE len(reasons) = 0) AS n_eligible,
-  arg_min({'m': manager_id, 'r': reasons}, (len(reasons), manager_id)) AS best FROM p GROUP BY ALL)
-SELECT j.job_id, b.n_eligible, b.best.m AS manager_id, CAST(len(b.best.r) AS BIGINT) AS n_reasons, array_to_string(b.best.r, '; ') AS reasons
-FROM fx_job j JOIN b ON j.executor = b.executor AND j.pool = b.pool AND j.capabilities = b.capabilities AND split_part(j.placement, '/', 1) = b.area
-WHERE j.kind = 'ready'""",
+    sql=REFUSAL + f""", b AS (SELECT executor, pool, capabilities, area, count(*) FILTER (WHERE refused = 0) AS n_eligible, arg_min(manager_id, (refused, manager_id)) AS manager_id FROM p GROUP BY ALL)
+SELECT job_id, n_eligible, manager_id, CAST(len(r) AS BIGINT) AS n_reasons, array_to_string(r, '; ') AS reasons FROM (
+SELECT j.job_id, b.n_eligible, b.manager_id, {REASONS} AS r FROM (SELECT *, {AREA} AS area FROM fx_job WHERE kind = 'ready') j
+JOIN b ON j.executor = b.executor AND j.pool = b.pool AND j.capabilities = b.capabilities AND j.area = b.area JOIN fx_manager m ON m.manager_id = b.manager_id)""",
 )
 def closest_manager(jobs, managers):
     return predicates.closest_manager(jobs, managers)
@@ -142,12 +152,14 @@ def manager_availability(managers):
     "fx_job",
     sql="""SELECT label_kind, label, count(*) AS n FROM (SELECT CASE
   WHEN kind IN ('succeeded', 'failed', 'waiting', 'paused') THEN ['settled', kind]
+  WHEN kind = 'submitted' AND NOT readable THEN ['actionable', kind]
+  WHEN kind IN ('ready', 'committing', 'cancelling') AND NOT readable THEN ['unreadable', kind]
   WHEN kind IN ('submitted', 'ready') AND executor <> 'path' THEN ['executor', executor]
   WHEN kind = 'submitted' THEN ['actionable', kind]
   WHEN kind = 'ready' AND pool NOT IN ('BUILDING') THEN ['pool', pool]
   WHEN kind = 'ready' AND capabilities = 'gpu,mpi' THEN ['capability', 'gpu']
   WHEN kind = 'ready' THEN ['actionable', kind]
-  WHEN kind = 'committing' AND executor = 'path' THEN ['actionable', kind] END AS c, c[1] AS label_kind, c[2] AS label FROM fx_job)
+  WHEN kind IN ('committing', 'cancelling') AND executor = 'path' THEN ['actionable', kind] END AS c, c[1] AS label_kind, c[2] AS label FROM fx_job)
 WHERE c IS NOT NULL GROUP BY ALL""",
 )
 def work_census(jobs):
@@ -169,13 +181,14 @@ def budget_status(jobs):
 @query(
     "fx_job",
     sql="""SELECT job_id, NOT (coalesce(attempts >= max_attempts, false) OR coalesce(total_attempts >= max_total, false)) AS may_retry,
-CASE WHEN job_id % 3 = 0 THEN 'succeeded' WHEN job_id % 3 = 1 AND attempts >= max_attempts THEN 'failed' WHEN job_id % 3 = 1 THEN 'ready'
-  WHEN coalesce(attempts >= max_attempts, false) OR coalesce(total_attempts >= max_total, false) THEN 'failed' ELSE 'ready' END AS next_kind FROM fx_job""",
+CASE job_id % 6 WHEN 0 THEN 'succeeded' WHEN 3 THEN 'waiting' WHEN 4 THEN 'paused' WHEN 5 THEN CASE WHEN attempts + 1 > 3 THEN 'failed' ELSE 'ready' END
+  WHEN 1 THEN CASE WHEN attempts >= max_attempts THEN 'failed' ELSE 'ready' END
+  WHEN 2 THEN CASE WHEN job_id % 4 <> 0 OR coalesce(attempts >= max_attempts, false) OR coalesce(total_attempts >= max_total, false) THEN 'failed' ELSE 'ready' END END AS next_kind FROM fx_job""",
 )
 def retry_decision(jobs):
     limits = [F.col(c) for c in ("attempts", "total_attempts", "max_attempts", "max_total")]
-    outcome = F.when(F.col("job_id") % 3 == 0, "succeed").when(F.col("job_id") % 3 == 1, "retry").otherwise("fail")
-    next_kind = decisions.commit_decision(outcome, F.lit(True), *limits, F.lit(None).cast("int"), F.lit(None).cast("int"))
+    outcome = F.element_at(F.array(*map(F.lit, ("succeed", "retry", "fail", "wait", "pause", "advance"))), (F.col("job_id") % 6 + 1).cast("int"))
+    next_kind = decisions.commit_decision(outcome, F.col("job_id") % 4 == 0, *limits, F.col("attempts"), F.lit(3))
     return jobs.select("job_id", predicates.retry_budget_available(*limits).alias("may_retry"), next_kind.alias("next_kind"))
 
 
@@ -212,15 +225,15 @@ def sort_requests(jobs):
 
 @query(
     "fx_job", "fx_manager",
-    sql="""SELECT j.job_id, CASE WHEN j.job_id % 13 = 0 THEN 'writer_process_dead' WHEN j.job_id % 2 = 0 AND j.job_id % 6 = 0 THEN 'unsafe_persistent_takeover'
-  WHEN j.job_id % 2 = 0 THEN NULL WHEN j.job_id % 6 = 3 AND false THEN 'x' WHEN m.manager_id IS NULL THEN 'manager_record_absent'
+    sql="""SELECT j.job_id, CASE WHEN j.job_id % 13 = 0 THEN 'writer_process_dead' WHEN j.job_id % 2 = 0 AND j.job_id % 3 = 0 THEN 'unsafe_persistent_takeover'
+  WHEN j.job_id % 2 = 0 THEN NULL WHEN j.job_id % 3 = 0 THEN 'unsafe_isolated_takeover' WHEN m.manager_id IS NULL THEN 'manager_record_absent'
   WHEN m.heartbeat_age_seconds >= 600 THEN 'lease_grace_expired' END AS evidence
 FROM fx_job j LEFT JOIN fx_manager m ON m.manager_id = j.job_id % 1500""",
 )
 def takeover_evidence(jobs, managers):
     owned = jobs.withColumn("manager_id", F.col("job_id") % 1500).join(managers.select("manager_id", "heartbeat_age_seconds"), "manager_id", "left")
     job = F.col("job_id")
-    evidence = predicates.takeover_evidence(job % 13 == 0, job % 2 == 0, job % 6 == 0, F.col("heartbeat_age_seconds"), F.lit(300.0), 2.0)
+    evidence = predicates.takeover_evidence(job % 13 == 0, job % 2 == 0, job % 3 == 0, F.col("heartbeat_age_seconds"), F.lit(300.0), 2.0)
     return owned.select("job_id", evidence.alias("evidence"))
 
 
@@ -307,7 +320,7 @@ i AS (SELECT *, CAST(sum(s) OVER (PARTITION BY job_id ORDER BY generation ROWS U
 @query(
     "fx_frame",
     sql=ISLANDS + """SELECT job_id, activation_no, arg_min(activation_id, generation) AS activation_id, min(generation) AS first_generation, max(generation) AS last_generation,
-count(*) AS n_frames, arg_min(created_at, generation) AS started_at, arg_min(kind, generation) AS first_kind FROM i GROUP BY job_id, activation_no""",
+count(*) AS n_frames, arg_min(created_at, generation) AS started_at, arg_min(kind, generation) AS first_kind, arg_min(step, generation) AS step, arg_min_null(reason, generation) AS reason FROM i GROUP BY job_id, activation_no""",
 )
 def timeline_activations(frames):
     return folds.timeline_activations(frames)
@@ -316,10 +329,10 @@ def timeline_activations(frames):
 ATTEMPTS = ISLANDS + """, a AS (SELECT *, CAST(sum(CASE WHEN kind = 'claimed' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, activation_no ORDER BY generation ROWS UNBOUNDED PRECEDING) AS BIGINT) AS attempt_no FROM i),
 o AS (SELECT *, first_value(attempt_id) OVER (PARTITION BY job_id, activation_no, attempt_no ORDER BY generation) AS own FROM a WHERE attempt_no > 0),
 t AS (SELECT job_id, activation_no, attempt_no, arg_min(attempt_id, generation) AS attempt_id, min(generation) AS claim_generation,
-  arg_max(created_at, generation) FILTER (WHERE kind = 'running') AS started_at,
+  arg_max_null(coalesce(started_at, created_at), generation) FILTER (WHERE kind = 'running') AS started_at,
   arg_min(created_at, generation) FILTER (WHERE kind NOT IN ('claimed', 'running')) AS finished_at,
   arg_min(failure_code, generation) FILTER (WHERE kind NOT IN ('claimed', 'running') AND failure_code IS NOT NULL) AS failure_code,
-  arg_max(outcome_action, generation) FILTER (WHERE kind = 'committing' AND outcome_action IS NOT NULL) AS outcome_action, count(*) AS n_frames
+  arg_max_null(outcome_action, generation) FILTER (WHERE kind = 'committing') AS outcome_action, count(*) AS n_frames
   FROM o WHERE attempt_id IS NOT DISTINCT FROM own GROUP BY job_id, activation_no, attempt_no)
 """
 
@@ -377,45 +390,40 @@ def last_good_frame(frames):
 
 
 @query(
-    "fx_frame", "fx_manager",
-    sql="""SELECT job_id, generation, manager_id FROM (SELECT f.job_id, f.generation, m.manager_id FROM fx_frame f JOIN fx_manager m ON m.manager_id = f.event_id % 150 WHERE m.heartbeat_age_seconds <= 300)
+    "fx_marker", "fx_record", "fx_manager",
+    sql="""SELECT job_id, generation, manager_id FROM (SELECT f.job_id, f.generation, m.manager_id FROM fx_record f JOIN fx_manager m ON m.manager_id = f.manager_id
+WHERE NOT f.is_error AND m.heartbeat_age_seconds <= coalesce(f.lease_seconds, 300) AND f.job_id IN (SELECT job_id FROM fx_marker WHERE kind IN ('claimed', 'running', 'committing', 'cancelling')))
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY generation DESC) = 1""",
 )
-def live_owner(frames, managers):
-    return joins.live_owner(frames.withColumn("manager_id", F.col("event_id") % 150), managers, 300)
+def live_owner(markers, records, managers):
+    return joins.live_owner(markers, records, managers, 300)
 
 
-INTEGRITY = """, m AS (SELECT job_id, event_id, CASE WHEN event_id % 31 = 0 THEN generation + 1 ELSE generation END AS generation, CASE WHEN event_id % 17 = 0 THEN 'ready' ELSE kind END AS kind
-  FROM (SELECT job_id, CASE WHEN event_id % 23 = 0 THEN -1 ELSE event_id END AS event_id, generation, kind FROM fx_frame)),
-g AS (SELECT m.job_id, m.generation, m.kind, CASE WHEN f.event_id IS NULL THEN 'missing' WHEN f.is_error THEN 'unreadable' WHEN m.generation <> f.generation THEN 'mismatch:generation'
-  WHEN m.kind <> f.kind THEN 'mismatch:kind' ELSE 'ok' END AS finding FROM m LEFT JOIN fx_frame f ON m.job_id = f.job_id AND m.event_id = f.event_id)
+INTEGRITY = """, g AS (SELECT m.job_id, m.generation, m.kind, CASE
+  WHEN m.record_ref = 'init' THEN CASE WHEN m.kind = 'submitted' AND m.generation = 0 THEN 'ok' ELSE 'mismatch:init' END
+  WHEN r.record_ref IS NULL THEN 'missing' WHEN r.is_error THEN 'unreadable' WHEN m.format <> r.format THEN 'mismatch:format'
+  WHEN m.format_version <> r.format_version THEN 'mismatch:format_version' WHEN m.workspace_id <> r.workspace_id THEN 'mismatch:workspace_id'
+  WHEN m.job_id <> r.job_id THEN 'mismatch:job_id' WHEN m.job_key <> r.job_key THEN 'mismatch:job_key' WHEN m.kind <> r.kind THEN 'mismatch:kind'
+  WHEN m.generation <> r.generation THEN 'mismatch:generation' ELSE 'ok' END AS finding FROM fx_marker m LEFT JOIN fx_record r ON m.record_ref = r.record_ref)
 """
 
 
-def _integrity(frames):
-    moved = frames.select("job_id", F.when(F.col("event_id") % 23 == 0, F.lit(-1)).otherwise(F.col("event_id")).alias("event_id"), "generation", "kind")
-    markers = moved.select(
-        "job_id",
-        "event_id",
-        F.when(F.col("event_id") % 31 == 0, F.col("generation") + 1).otherwise(F.col("generation")).alias("generation"),
-        F.when(F.col("event_id") % 17 == 0, F.lit("ready")).otherwise(F.col("kind")).alias("kind"),
-    )
-    return reports.integrity(markers, frames)
+@query("fx_marker", "fx_record", sql=INTEGRITY + "SELECT * FROM g")
+def fsck_identity(markers, records):
+    return reports.integrity(markers, records)
 
 
-@query("fx_frame", sql=INTEGRITY + "SELECT * FROM g")
-def fsck_identity(frames):
-    return _integrity(frames)
+FINDINGS = ("ok", "missing", "unreadable", "mismatch:init", *(f"mismatch:{c}" for c in reports.IDENTITY))
 
 
 @query(
-    "fx_frame",
-    sql=INTEGRITY + "SELECT a.finding, count(g.finding) AS n FROM (VALUES ('ok'), ('missing'), ('unreadable'), ('mismatch:generation'), ('mismatch:kind'), ('mismatch:placement')) a(finding) LEFT JOIN g USING (finding) GROUP BY a.finding",
-)
-def fsck_report(frames):
-    names = [(n,) for n in ("ok", "missing", "unreadable", "mismatch:generation", "mismatch:kind", "mismatch:placement")]
-    counted = _integrity(frames).groupBy("finding").agg(F.count("*").alias("n"))
-    return frames.sparkSession.createDataFrame(names, "finding string").join(counted, "finding", "left").select("finding", F.coalesce("n", F.lit(0)).alias("n"))
+    "fx_marker", "fx_record",
+    sql=INTEGRITY + f"SELECT a.finding, count(g.finding) AS n FROM (SELECT unnest({list(FINDINGS)}) AS finding) a LEFT JOIN g USING (finding) GROUP BY a.finding",
+)
+def fsck_report(markers, records):
+    counted = reports.integrity(markers, records).groupBy("finding").agg(F.count("*").alias("n"))
+    names = markers.sparkSession.createDataFrame([(n,) for n in FINDINGS], "finding string")
+    return names.join(counted, "finding", "left").select("finding", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("fx_frame", sql="SELECT job_id, kind, count(*) AS n FROM fx_frame GROUP BY job_id, kind HAVING count(*) > 1")
@@ -449,9 +457,13 @@ def keep_first(frames):
     return folds.keep_first(frames.select("job_id", "kind", "failure_code", "generation"), ["job_id", "kind", "failure_code"], "generation")
 
 
-@query("fx_frame", sql="SELECT job_id, generation, row_number() OVER (PARTITION BY job_id ORDER BY generation) AS turn FROM fx_frame")
+@query(
+    "fx_frame",
+    sql="""SELECT job_id, generation, turn, row_number() OVER (ORDER BY turn, job_id <= 70, job_id) AS served
+FROM (SELECT job_id, generation, row_number() OVER (PARTITION BY job_id ORDER BY generation) AS turn FROM fx_frame)""",
+)
 def round_robin(frames):
-    return folds.round_robin(frames.select("job_id", "generation"), "job_id", "generation", 70)
+    return folds.with_places(folds.round_robin(frames.select("job_id", "generation"), "job_id", "generation", 70), "job_id", 70)
 
 
 @query(
@@ -564,22 +576,22 @@ s AS (SELECT job_id FROM fx_job WHERE job_id % 50 = 0)
 @query(
     "fx_job", "fx_child",
     sql=TRANSFER + """SELECT job_id, job_key, placement, 'sealed' AS origin FROM fx_job WHERE job_id IN (SELECT job_id FROM s)
-UNION ALL SELECT job_id, job_key, placement, 'live' FROM fx_job WHERE kind IN ('succeeded', 'failed') AND job_id NOT IN (SELECT job_id FROM s) AND job_id NOT IN (SELECT job_id FROM w)""",
+UNION ALL SELECT job_id, job_key, placement, 'live' FROM fx_job WHERE kind IN ('succeeded', 'failed', 'waiting') AND kind <> 'waiting' AND job_id NOT IN (SELECT job_id FROM s) AND job_id NOT IN (SELECT job_id FROM w)""",
 )
 def transfer_selection(jobs, children):
-    return joins.transfer_selection(jobs, _waiting(jobs, children), jobs.where("job_id % 50 = 0").select("job_id"), ["succeeded", "failed"])
+    return joins.transfer_selection(jobs, _waiting(jobs, children), jobs.where("job_id % 50 = 0").select("job_id"), ["succeeded", "failed", "waiting"])
 
 
 @query(
     "fx_job", "fx_child",
     sql=TRANSFER + """SELECT r.job_id, CASE WHEN j.kind IS NULL THEN 'not found' WHEN j.kind NOT IN ('submitted', 'ready', 'waiting', 'paused', 'failed', 'succeeded', 'cancelled') THEN 'not quiescent'
-  WHEN j.kind NOT IN ('succeeded', 'failed') THEN 'filtered by state' WHEN NOT (j.placement = 'r1' OR starts_with(j.placement, 'r1/')) THEN 'filtered by placement'
-  WHEN w.job_id IS NOT NULL THEN 'blocked by join' ELSE 'eligible' END AS reason
+  WHEN j.kind NOT IN ('succeeded', 'failed', 'waiting') THEN 'filtered by state' WHEN NOT (j.placement = 'r1' OR starts_with(j.placement, 'r1/')) THEN 'filtered by placement'
+  WHEN w.job_id IS NOT NULL OR j.kind = 'waiting' THEN 'blocked by join' ELSE 'eligible' END AS reason
 FROM (SELECT job_id + 100 AS job_id FROM fx_job) r LEFT JOIN fx_job j ON j.job_id = r.job_id LEFT JOIN w ON w.job_id = r.job_id""",
 )
 def transfer_refusal(jobs, children):
     wanted = jobs.select((F.col("job_id") + 100).alias("job_id"))
-    return reports.transfer_refusal(wanted, jobs, _waiting(jobs, children), QUIESCENT_KINDS, ["succeeded", "failed"], scalars.under_placement(F.col("placement"), "r1"))
+    return reports.transfer_refusal(wanted, jobs, _waiting(jobs, children), QUIESCENT_KINDS, ["succeeded", "failed", "waiting"], scalars.under_placement(F.col("placement"), "r1"))
 
 
 # --- dataflow graphs -----------------------------------------------------------------------
@@ -614,13 +626,25 @@ def dag_ready(edges):
     return dag.dag_ready(edges, _states(edges))
 
 
-@query(
-    "fx_edge",
-    sql=""", w AS (SELECT child AS node, 0::BIGINT AS distance FROM fx_edge WHERE child % 101 = 7 UNION SELECT e.child, w.distance + 1 FROM w JOIN fx_edge e ON e.parent = w.node)
-SELECT node, min(distance) AS distance FROM w GROUP BY node""",
+#: Rounds of the rule, one relation each; more than the test graphs are deep.
+POISON = """, st AS (SELECT node, CASE WHEN node % 3 = 0 THEN 'completed' WHEN node % 7 = 1 THEN 'failed' WHEN node % 29 = 5 THEN 'stopped' ELSE 'pending' END AS state, node % 5 = 2 AS tolerant
+  FROM (SELECT child AS node FROM fx_edge UNION SELECT parent FROM fx_edge)), e AS (SELECT *, (parent + child) % 6 = 0 AS barrier FROM fx_edge), r0 AS MATERIALIZED (SELECT *, 0::BIGINT AS turn FROM st)
+""" + "".join(
+    f""", r{k + 1} AS MATERIALIZED (SELECT r.node, CASE WHEN r.state <> 'pending' OR c.node IS NULL OR c.waits THEN r.state WHEN c.stopped THEN 'stopped' WHEN c.failed AND NOT r.tolerant THEN 'failed' ELSE r.state END AS state,
+  r.tolerant, CASE WHEN r.state = 'pending' AND NOT c.waits AND (c.stopped OR (c.failed AND NOT r.tolerant)) THEN {k + 1} ELSE r.turn END AS turn
+  FROM r{k} r LEFT JOIN (SELECT e.child AS node, bool_or(p.state = 'pending') AS waits, bool_or(p.state = 'stopped' AND NOT e.barrier) AS stopped, bool_or(p.state = 'failed' AND NOT e.barrier) AS failed
+    FROM e JOIN r{k} p ON p.node = e.parent GROUP BY e.child) c USING (node))
+"""
+    for k in range(18)
 )
+
+
+@query("fx_edge", sql=POISON + "SELECT node, state AS fate, turn FROM r18 WHERE turn > 0")
 def dag_poison(edges):
-    return dag.dag_poison(edges, edges.where("child % 101 = 7").select(F.col("child").alias("node")))
+    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
+    node = F.col("node")
+    state = F.when(node % 3 == 0, "completed").when(node % 7 == 1, "failed").when(node % 29 == 5, "stopped").otherwise("pending")
+    return dag.dag_poison(edges.withColumn("barrier", (F.col("parent") + F.col("child")) % 6 == 0), nodes.withColumn("state", state).withColumn("tolerant", node % 5 == 2))
 
 
 ITEM_ORDER = ["line", "child_id", "supp", "shipped", "price"]
@@ -653,20 +677,25 @@ def link_merge(children):
 
 @query(
     "fx_child",
-    sql="""SELECT parent_id, string_agg(CASE WHEN line % 3 = 0 THEN CASE WHEN resolved THEN '-f' ELSE NULL END ELSE '-p ' || CAST(child_id AS VARCHAR) END, ' ' ORDER BY supp % 5, child_id, line, shipped, price) AS argv
+    sql="""SELECT parent_id, coalesce(string_agg(CASE line % 5 WHEN 0 THEN CASE WHEN resolved THEN '-f' END WHEN 1 THEN '-p ' || child_id WHEN 2 THEN '-g' || child_id
+  WHEN 3 THEN '-s ' || child_id || ',' || supp WHEN 4 THEN CASE WHEN supp % 2 = 0 THEN '-i ' || child_id || ' ' || supp END END, ' ' ORDER BY supp % 5, child_id, line, shipped, price), '') AS argv
 FROM fx_child GROUP BY parent_id""",
 )
 def argument_order(children):
-    flag = F.col("line") % 3 == 0
+    """Flags, words apart and glued, joined items and repeated items."""
+    form, child, supp = F.col("line") % 5, F.col("child_id").cast("string"), F.col("supp").cast("string")
+    items = F.when(form == 0, F.array(F.col("resolved").cast("string"))).when(form < 3, F.array(child)).when((form == 3) | (F.col("supp") % 2 == 0), F.array(child, supp)).otherwise(F.array().cast("array<string>"))
     rows = children.select(
         "parent_id",
         (F.col("supp") % 5).alias("position"),
         F.struct("child_id", "line", "shipped", "price").alias("declared"),
-        F.when(flag, "-f").otherwise("-p").alias("prefix"),
-        F.when(flag, "boolean").otherwise("string").alias("kind"),
-        F.when(flag, F.col("resolved").cast("string")).otherwise(F.col("child_id").cast("string")).alias("text"),
+        F.element_at(F.array(*map(F.lit, ("-f", "-p", "-g", "-s", "-i"))), (form + 1).cast("int")).alias("prefix"),
+        F.when(form == 0, "boolean").when(form < 3, "string").otherwise("array").alias("kind"),
+        (form != 2).alias("separate"),
+        F.when(form == 3, ",").alias("item_separator"),
+        items.alias("items"),
     )
-    return dag.arguments(rows, "parent_id").withColumn("argv", F.nullif("argv", F.lit("")))
+    return dag.arguments(rows, "parent_id")
 
 
 # --- text ----------------------------------------------------------------------------------
@@ -688,6 +717,20 @@ def log_diagnosis(documents):
     return _diagnosed(documents)
 
 
+@query(
+    "documents",
+    sql=r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
+m AS (SELECT *, regexp_matches(line, '^[A-D]') AS starts, trim(line, e' \t\r\x0b\x0c') = '' OR regexp_matches(line, '^[M-Z]') AS blank FROM (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^[M-Z]') THEN '' ELSE line END AS line FROM l)),
+o AS (SELECT *, max(CASE WHEN starts THEN line_no END) OVER w AS opened, max(CASE WHEN blank AND NOT starts THEN line_no END) OVER w AS closed FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, CAST(line_no AS INT) AS line_no, CASE WHEN starts THEN 'cut' ELSE line END AS line FROM o WHERE starts OR opened IS NULL OR opened < closed""",
+)
+def clean_log(documents):
+    """Blocks that begin with A to D; lines that begin with M to Z are made blank, to end blocks."""
+    lines = textlog.text_lines(documents, "doc_id")
+    lines = lines.withColumn("line", F.when(F.col("line").rlike("^[M-Z]"), "").otherwise(F.col("line")))
+    return textlog.without_blocks(lines, "doc_id", "^[A-D]", "cut")
+
+
 @query("documents", sql=r"SELECT doc_id, nullif(regexp_extract_all(text, '([A-Za-z]+)\.', 1)[-1], '') AS last_word FROM documents")
 def last_match(documents):
     return documents.select("doc_id", textlog.last_match(F.col("text"), r"([A-Za-z]+)\.").alias("last_word"))
@@ -723,39 +766,47 @@ def remedy_plan(documents):
 # --- scalars -------------------------------------------------------------------------------
 
 
-@query("orders", sql="SELECT o_orderkey, o_orderkey * 7919 + 35 AS value, o_orderkey * 7919 + 35 AS back FROM orders")
+def _base36(value: str) -> str:
+    """Seven digits of base 36 in SQL, without leading zeros."""
+    digits = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(({value}) // {36**k} % 36 AS INT) + 1, 1)" for k in range(6, -1, -1))
+    return f"coalesce(nullif(ltrim({digits}, '0'), ''), '0')"
+
+
+@query("orders", sql=f"SELECT o_orderkey, {_base36('o_orderkey * 7919 + 35')} AS text, o_orderkey * 7919 + 35 AS back FROM orders")
 def base36_roundtrip(orders):
-    value = F.col("o_orderkey") * 7919 + 35
-    return orders.select("o_orderkey", value.alias("value"), scalars.from_base36(scalars.to_base36(value)).cast("long").alias("back"))
+    text = scalars.to_base36(F.col("o_orderkey") * 7919 + 35)
+    return orders.select("o_orderkey", text.alias("text"), scalars.from_base36(text).cast("long").alias("back"))
 
 
 @query(
     "orders",
-    sql="SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 't' || CAST(o_orderkey % 10 AS VARCHAR) END AS tag, 'id' || CAST(o_orderkey AS VARCHAR) AS job_id FROM orders",
+    sql="""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 't' || (o_orderkey % 10) || '--' ELSE '' END || 'id' || o_orderkey AS key,
+CASE WHEN o_orderkey % 3 > 0 THEN 't' || CAST(o_orderkey % 10 AS VARCHAR) END AS tag, 'id' || CAST(o_orderkey AS VARCHAR) AS job_id FROM orders""",
 )
 def job_key_parse(orders):
     tag = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("t"), (F.col("o_orderkey") % 10).cast("string"))).otherwise("")
     key = scalars.make_job_key(tag, F.concat(F.lit("id"), F.col("o_orderkey").cast("string")))
-    return orders.select("o_orderkey", scalars.parse_job_key(key).alias("k")).select("o_orderkey", "k.*")
+    return orders.select("o_orderkey", key.alias("key"), scalars.parse_job_key(key).alias("k")).select("o_orderkey", "key", "k.*")
 
 
 @query(
     "orders",
-    sql="""SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS writer, o_orderkey % 40 AS segment, o_orderkey * 131 AS "offset", o_orderkey % 4096 AS length,
-substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 32) AS checksum FROM orders""",
+    sql=f"""SELECT *, 'w' || writer || '-s' || {_base36('segment')} || '-o' || {_base36('"offset"')} || '-l' || {_base36('length')} || '-h' || checksum AS ref
+FROM (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS writer, o_orderkey % 40 AS segment, o_orderkey * 131 AS "offset", o_orderkey % 4096 AS length,
+substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 32) AS checksum FROM orders)""",
 )
 def record_ref_parse(orders):
     text, key = F.col("o_orderkey").cast("string"), F.col("o_orderkey")
     ref = scalars.encode_record_ref(F.md5(text), key % 40, key * 131, key % 4096, F.sha2(text, 256))
-    return orders.select("o_orderkey", scalars.parse_record_ref(ref).alias("r")).select("o_orderkey", "r.*")
+    return orders.select("o_orderkey", ref.alias("ref"), scalars.parse_record_ref(ref).alias("r")).select("o_orderkey", "ref", "r.*")
 
 
-@query("orders", sql="SELECT o_orderkey, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS padded, CAST(o_orderkey AS BIGINT) AS generation FROM orders")
+@query("orders", sql=f"SELECT o_orderkey, o_orderkey || '.p' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '.g' || {_base36('o_orderkey')} || '.ref' AS name, CAST(o_orderkey AS BIGINT) AS generation FROM orders")
 def marker_names(orders):
     key = F.col("o_orderkey")
     name = scalars.marker_basename(key.cast("string"), key % 1000, key, F.lit("ref"))
     parsed = scalars.parse_marker_basename(name)
-    return orders.select("o_orderkey", F.regexp_extract(name, r"\.p([0-9]{3})\.", 1).alias("padded"), parsed["generation"].cast("long").alias("generation"))
+    return orders.select("o_orderkey", name.alias("name"), parsed["generation"].cast("long").alias("generation"))
 
 
 @query(
@@ -781,6 +832,292 @@ def band_counts(parts):
     return parts.select("p_partkey", lattice.band_count(size * 3.5, size, F.col("p_partkey") % 2 * -1 + 2, size - 25, 4).alias("bands"))
 
 
+# --- definitions, states, records ------------------------------------------------------------
+
+DEFINED = """, ld AS (SELECT m.*, d.text, CASE WHEN d.text IS NULL THEN 'no job.json' WHEN NOT json_valid(d.text) OR json_type(d.text) <> 'OBJECT' THEN 'job.json is not an object'
+  WHEN json_extract_string(d.text, '$.job_key') <> m.job_key THEN 'job.json names another job'
+  WHEN m.generation = 0 AND CAST(json_extract_string(d.text, '$.priority') AS INT) <> m.priority THEN 'job.json has another priority' END AS job_error FROM fx_marker m LEFT JOIN fx_document d ON d.job_key = m.job_key),
+jd AS (SELECT job_id, job_key, kind, generation, record_ref, placement, priority, job_error, CASE WHEN job_error IS NULL THEN json_extract_string(text, '$.name') END AS name,
+  CASE WHEN job_error IS NULL THEN json_extract_string(text, '$.workflow') END AS workflow, CASE WHEN job_error IS NULL THEN json_extract_string(text, '$.initial_step') END AS initial_step,
+  CASE WHEN job_error IS NULL THEN json_extract_string(text, '$.runner.executor') END AS runner_executor, CASE WHEN job_error IS NULL THEN json_extract_string(text, '$.claim.pool') END AS claim_pool,
+  CASE WHEN job_error IS NULL THEN CAST(json_extract_string(text, '$.retry.attempts') AS BIGINT) END AS max_attempts, CASE WHEN job_error IS NULL THEN sha256(text) END AS digest FROM ld)
+"""
+STATED = """, sd AS (SELECT m.job_id, r.*, CASE WHEN m.record_ref = 'init' THEN NULL WHEN r.record_ref IS NULL THEN 'no such record' WHEN r.is_error THEN 'record cannot be read'
+  WHEN NOT (r.job_key = m.job_key AND r.generation = m.generation AND r.kind = m.kind) THEN 'state frame disagrees with marker' END AS state_error
+  FROM fx_marker m LEFT JOIN (SELECT * EXCLUDE (job_id) FROM fx_record) r ON r.record_ref = m.record_ref)
+"""
+
+
+@query("fx_marker", "fx_document", sql=DEFINED + "SELECT * EXCLUDE (placement, priority) FROM jd")
+def load_jobs(markers, documents):
+    return states.load_jobs(markers.select("job_id", "job_key", "kind", "generation", "record_ref", "priority"), documents).drop("priority")
+
+
+@query(
+    "fx_marker", "fx_record",
+    sql=STATED + """SELECT job_id, state_error, CASE WHEN state_error IS NULL THEN step END AS step, CASE WHEN state_error IS NULL THEN reason END AS reason,
+CASE WHEN state_error IS NULL THEN failure_code END AS failure_code FROM sd""",
+)
+def read_state(markers, records):
+    read = states.read_states(markers, records, ["step", "reason", "failure_code"])
+    return read.select("job_id", "state_error", "state.*")
+
+
+@query(
+    "fx_marker", "fx_record",
+    sql=""", w AS (SELECT m.job_id, m.record_ref, 0 AS back, [m.record_ref] AS seen, NULL AS error FROM fx_marker m WHERE m.record_ref <> 'init'
+  UNION ALL SELECT w.job_id, r.previous_record_ref, w.back + 1, list_append(w.seen, r.previous_record_ref), CASE WHEN list_contains(w.seen, r.previous_record_ref) THEN 'the chain is cyclic' END
+  FROM w JOIN fx_record r ON r.record_ref = w.record_ref WHERE w.error IS NULL AND NOT r.is_error AND r.previous_record_ref IS NOT NULL)
+SELECT w.job_id, row_number() OVER (PARTITION BY w.job_id ORDER BY back DESC) AS position, w.record_ref,
+  coalesce(w.error, CASE WHEN r.record_ref IS NULL THEN 'no such record' WHEN r.is_error THEN 'record cannot be read' END) AS error FROM w LEFT JOIN fx_record r ON r.record_ref = w.record_ref""",
+)
+def job_history(markers, records):
+    return states.job_history(markers, records)
+
+
+SPAWNED = """, sp AS (SELECT job_id, concat('l', cast(event_id % 4 AS VARCHAR)) AS label, event_id % 9 AS child FROM fx_frame)
+"""
+
+
+def _spawns(frames):
+    label = F.concat(F.lit("l"), (F.col("event_id") % 4).cast("string"))
+    return frames.select("job_id", label.alias("label"), (F.col("event_id") % 9).alias("child"), F.when(F.col("event_id") % 3 > 0, F.col("kind")).alias("kind"), F.col("generation").alias("position"))
+
+
+@query(
+    "fx_marker", "fx_document", "fx_frame", "fx_record", "fx_declaration",
+    sql=DEFINED + STATED + ATTEMPTS + SPAWNED + """, dc AS (SELECT job_id, bool_or(observed IS NULL) AS damaged, count(DISTINCT declared) AS n FROM fx_declaration GROUP BY job_id)
+SELECT jd.job_id, jd.name, jd.digest, sd.state_error, CASE WHEN sd.state_error IS NULL THEN sd.step END AS step, coalesce(f.n, 0) AS n_frames, coalesce(a.n, 0) AS n_attempts, coalesce(c.n, 0) AS n_children, coalesce(dc.n, 0) AS n_declarations,
+  sd.state_error IS NOT NULL OR coalesce(f.damaged, false) OR coalesce(dc.damaged, false) AS gaps
+FROM jd JOIN sd USING (job_id) LEFT JOIN (SELECT job_id, count(*) AS n, bool_or(is_error) AS damaged FROM fx_frame GROUP BY job_id) f USING (job_id)
+LEFT JOIN (SELECT job_id, count(*) AS n FROM t GROUP BY job_id) a USING (job_id) LEFT JOIN (SELECT job_id, count(DISTINCT label) AS n FROM sp GROUP BY job_id) c USING (job_id) LEFT JOIN dc USING (job_id)
+WHERE jd.job_error IS NULL""",
+)
+def record_of(markers, documents, frames, records, declarations):
+    declared = declarations.select("job_id", "declared", F.col("observed").isNull().alias("damaged"))
+    made = states.records_of(markers, documents, records, _spawns(frames), declared)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return made.select(
+        "job_id", "name", "digest", "state_error", "state.step", F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.when(F.col("attempts").isNull(), 0).otherwise(size("attempts")).alias("n_attempts"),
+        F.when(F.col("children").isNull(), 0).otherwise(size("children")).alias("n_children"), F.when(F.col("declarations").isNull(), 0).otherwise(size("declarations")).alias("n_declarations"), "gaps",
+    )
+
+
+@query(
+    "fx_marker", "fx_document", "fx_record", "fx_job", "documents",
+    sql=DEFINED + STATED + """, hl AS (SELECT doc_id AS job_id, split_part(text, chr(10), 1) AS headline FROM documents)
+SELECT jd.job_id, jd.job_key, jd.kind AS state_kind, jd.placement, jd.priority, jd.generation, jd.record_ref, s.step, s.reason, s.created_at, s.activation_id, s.attempt_id, s.failure_code,
+  CASE WHEN jd.kind IN ('claimed', 'running', 'committing') THEN s.manager_id END AS owner, jd.name, jd.workflow, jd.initial_step, jd.digest,
+  CASE WHEN jd.job_error IS NULL THEN coalesce(j.attempts + 1 > jd.max_attempts, false) END AS budget_exhausted, hl.headline, jd.job_error, s.state_error
+FROM jd JOIN (SELECT job_id, state_error, CASE WHEN state_error IS NULL THEN step END AS step, CASE WHEN state_error IS NULL THEN reason END AS reason, CASE WHEN state_error IS NULL THEN created_at END AS created_at,
+    CASE WHEN state_error IS NULL THEN activation_id END AS activation_id, CASE WHEN state_error IS NULL THEN attempt_id END AS attempt_id, CASE WHEN state_error IS NULL THEN failure_code END AS failure_code,
+    CASE WHEN state_error IS NULL THEN manager_id END AS manager_id FROM sd) s USING (job_id) JOIN fx_job j USING (job_id) LEFT JOIN hl USING (job_id)""",
+)
+def job_show(markers, documents, records, jobs, texts):
+    headlines = texts.select(F.col("doc_id").alias("job_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("headline"))
+    return states.describe_jobs(markers, documents, records, jobs.select("job_id", "attempts"), headlines)
+
+
+@query(
+    "fx_record", "fx_marker", "fx_document",
+    sql=DEFINED + STATED + """, q AS (SELECT job_id, coalesce(nullif(CASE WHEN job_id % 4 = 0 THEN '' ELSE step END, ''), initial_step) AS step FROM jd JOIN (SELECT job_id, step FROM sd WHERE state_error IS NULL) s USING (job_id)
+  WHERE job_id % 5 > 0 AND jd.job_error IS NULL)
+SELECT job_id, step, 'step ' || chr(39) || step || chr(39) || ' is not one of the runner''s recorded steps: s0, s1, s4' AS finding FROM q WHERE step NOT IN ('s0', 's1', 's4')""",
+)
+def step_findings(records, markers, documents):
+    steps = F.when(F.col("job_id") % 5 > 0, F.array(*map(F.lit, ("s0", "s1", "s4"))))
+    read = states.read_states(markers, records, ["step"]).where("state_error IS NULL").select("job_id", F.when(F.col("job_id") % 4 == 0, "").otherwise(F.col("state.step")).alias("step"))
+    defined = states.load_jobs(markers, documents).where("job_error IS NULL").select("job_id", "initial_step")
+    return states.step_findings(read.join(defined, "job_id").withColumn("runner_steps", steps))
+
+
+@query(
+    "fx_job",
+    sql="""SELECT job_id, 'v' AS name, CASE WHEN problem IS NULL AND source <> 'unresolved' THEN CASE WHEN type = 'string' THEN v ELSE CAST(v AS JSON)::VARCHAR END WHEN type = 'string' THEN v END AS value, source, problem FROM (
+SELECT *, CASE WHEN source = 'unresolved' THEN 'no layer sets it' WHEN type = 'string' THEN NULL WHEN NOT json_valid(v) THEN source || ' is not JSON for type ' || type
+  WHEN (type = 'integer' AND json_type(v) IN ('UBIGINT', 'BIGINT')) OR (type = 'boolean' AND json_type(v) = 'BOOLEAN') OR (type = 'array' AND json_type(v) = 'ARRAY') THEN NULL ELSE source || ' does not match type ' || type END AS problem
+FROM (SELECT job_id, CASE job_id % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'boolean' ELSE 'array' END AS type,
+  CASE WHEN job_id % 3 = 0 THEN o WHEN job_id % 5 = 0 THEN e ELSE w END AS v, CASE WHEN job_id % 3 = 0 THEN 'override' WHEN job_id % 5 = 0 THEN 'environment' WHEN w IS NOT NULL THEN 'workspace' ELSE 'unresolved' END AS source
+  FROM (SELECT job_id, CASE job_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN '[1,2]' ELSE CAST(job_id AS VARCHAR) END AS o, CASE job_id % 11 WHEN 0 THEN '{' ELSE 'false' END AS e, CASE WHEN job_id % 2 = 0 THEN pool END AS w FROM fx_job)))""",
+)
+def environment_findings(jobs):
+    job = F.col("job_id")
+    wanted = jobs.select(
+        "job_id",
+        F.lit("v").alias("name"),
+        F.element_at(F.array(*map(F.lit, ("string", "integer", "boolean", "array"))), (job % 4 + 1).cast("int")).alias("type"),
+        F.when(job % 3 == 0, F.when(job % 7 == 0, "true").when(job % 7 == 1, "[1,2]").otherwise(job.cast("string"))).alias("override"),
+        F.when(job % 5 == 0, F.when(job % 11 == 0, "{").otherwise("false")).alias("environment"),
+        F.when(job % 2 == 0, F.col("pool")).alias("workspace"),
+    )
+    return states.environment_findings(wanted, [(c, c) for c in ("override", "environment", "workspace")])
+
+
+@query(
+    "fx_child", "fx_job",
+    sql=""", r AS (SELECT DISTINCT parent_id, line, CASE WHEN line % 4 = 1 THEN NULL ELSE child_id END AS job_id, CASE WHEN line % 4 = 2 OR line % 12 = 1 THEN NULL ELSE 'o--' || supp END AS job_key, CASE WHEN line % 3 = 0 THEN supp END AS supp FROM fx_child),
+h AS (SELECT r.*, j.placement AS placement_hint FROM r LEFT JOIN fx_job j ON j.job_id = r.supp)
+SELECT h.parent_id, h.line AS position, 'l' || h.line AS label, h.job_id, coalesce(a.job_key, b.job_key, h.job_key) AS job_key, coalesce(a.placement, b.placement) AS placement, coalesce(a.kind, b.kind) AS kind,
+  coalesce(a.kind, b.kind) IN ('succeeded', 'failed', 'cancelled') AS terminal, CASE WHEN h.job_id IS NULL AND h.job_key IS NULL THEN 'child reference is not an object' END AS error
+FROM h LEFT JOIN fx_job a ON a.job_key = h.job_key AND a.placement = h.placement_hint LEFT JOIN fx_job b ON b.job_id = h.job_id""",
+)
+def observe_join(children, jobs):
+    line = F.col("line")
+    named = children.select(
+        "parent_id", line.alias("position"), F.concat(F.lit("l"), line.cast("string")).alias("label"), F.when(line % 4 != 1, F.col("child_id")).alias("job_id"),
+        F.when((line % 4 != 2) & (line % 12 != 1), F.concat(F.lit("o--"), F.col("supp").cast("string"))).alias("job_key"), F.when(line % 3 == 0, F.col("supp")).alias("_at"),
+    ).distinct()
+    hints = jobs.select(F.col("job_id").alias("_at"), F.col("placement").alias("placement_hint"))
+    return joins.observe_join(named.join(hints, "_at", "left").drop("_at"), jobs)
+
+
+@query(
+    "fx_child",
+    sql=""", c AS (SELECT DISTINCT parent_id, line, child_id FROM fx_child QUALIFY row_number() OVER (PARTITION BY parent_id, child_id ORDER BY line) = 1)
+SELECT parent_id, child_id AS job_key, CASE WHEN line % 2 = 0 THEN 'own' WHEN line % 3 > 0 THEN 's' || child_id END AS label FROM c""",
+)
+def labeled_join(children):
+    first = children.groupBy("parent_id", "child_id").agg(F.min("line").alias("line"))
+    references = first.select("parent_id", F.col("child_id").alias("job_key"), F.when(F.col("line") % 2 == 0, "own").alias("label"))
+    spawned = first.where("line % 3 > 0").select("parent_id", F.col("child_id").alias("job_key"), F.concat(F.lit("s"), F.col("child_id").cast("string")).alias("label"))
+    return joins.labeled_join(references, spawned)
+
+
+@query(
+    "fx_job", "fx_frame",
+    sql="""SELECT j.job_id AS child_id, j.kind, CASE WHEN j.kind IN ('failed', 'cancelled') THEN f.failure_code END AS failure_code, CASE WHEN j.job_id % 5 = 1 THEN j.placement || '/w' WHEN j.job_id % 5 > 1 AND f.attempt_id IS NOT NULL THEN j.placement || '/w.' || f.attempt_id
+  WHEN f.job_id IS NOT NULL THEN j.placement || '/old' END AS workdir_path, f.generation AS data_generation
+FROM fx_job j LEFT JOIN (SELECT * FROM fx_frame QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY generation DESC) = 1) f ON f.job_id = j.job_id""",
+)
+def child_evidence(jobs, frames):
+    current = frames.groupBy(F.col("job_id").alias("child_id")).agg(F.max_by(F.struct("attempt_id", "failure_code"), "generation").alias("f"), F.max("generation").alias("data_generation"))
+    current = current.select("child_id", "f.*", F.lit("old").alias("workdir"), "data_generation")
+    mode = F.when(F.col("job_id") % 5 == 1, "persistent").otherwise("isolated")
+    defined = jobs.where("job_id % 5 > 0").select(F.col("job_id").alias("child_id"), mode.alias("workdir_mode"), F.lit("w").alias("workdir_path"))
+    return joins.child_evidence(jobs.select(F.col("job_id").alias("child_id"), "kind", F.col("placement").alias("payload")), current, defined)
+
+
+@query(
+    "fx_child",
+    sql=""", o AS (SELECT parent_id AS run_id, line AS label, any_value(child_id) AS target FROM (SELECT * FROM fx_child WHERE line % 2 = 1 ORDER BY ALL) GROUP BY ALL),
+c AS (SELECT parent_id AS run_id, line AS label, min(child_id) AS entry FROM fx_child WHERE line % 2 = 1 GROUP BY ALL), i AS (SELECT parent_id AS run_id, line AS label, min(supp) AS entry FROM fx_child WHERE line % 3 = 0 GROUP BY ALL)
+SELECT c.run_id, c.label AS role, c.label - 2 AS product_of, coalesce(i.entry, p.entry) AS source, c.entry AS target FROM c LEFT JOIN i ON i.run_id = c.run_id AND i.label = c.label - 2 LEFT JOIN c p ON p.run_id = c.run_id AND p.label = c.label - 2""",
+)
+def products(children):
+    out = children.where("line % 2 = 1").groupBy(F.col("parent_id").alias("run_id"), F.col("line").alias("label")).agg(F.min("child_id").alias("entry"))
+    given = children.where("line % 3 = 0").groupBy(F.col("parent_id").alias("run_id"), F.col("line").alias("label")).agg(F.min("supp").alias("entry"))
+    roles = out.select("run_id", F.col("label").alias("role"), (F.col("label") - 2).alias("product_of"))
+    return states.products(out, given, roles)
+
+
+@query("fx_child", sql="SELECT parent_id AS run_id, count(*) FILTER (WHERE line % 3 = 0) AS inputs, count(*) FILTER (WHERE line % 3 = 1) AS artifacts, count(*) FILTER (WHERE line % 3 = 2) AS outputs FROM fx_child GROUP BY parent_id")
+def edge_counts(children):
+    direction = F.element_at(F.array(*map(F.lit, ("input", "artifact", "output"))), (F.col("line") % 3 + 1).cast("int"))
+    return states.edge_counts(children.select(F.col("parent_id").alias("run_id"), direction.alias("direction")))
+
+
+# --- values that flow ------------------------------------------------------------------------
+
+
+@query(
+    "orders",
+    sql="""SELECT o_orderkey AS run_id, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'n=' || o_orderkey || ' in ' || o_orderpriority || '; ' ELSE 'plain $(other.x)' END AS resolved,
+CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS whole FROM orders""",
+)
+def parameter_references(orders):
+    text = F.element_at(F.array(*map(F.lit, ("$(inputs.a.n)", "n=$(inputs.a.n) in $(runtime.p); $(inputs.none)", "plain $(other.x)"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = orders.select(F.col("o_orderkey").alias("run_id"), text.alias("text"))
+    bound = lambda space, path, value: orders.select(F.col("o_orderkey").alias("run_id"), F.lit(space).alias("namespace"), F.lit(path).alias("path"), F.parse_json(F.to_json(F.struct(value.alias("v")))).alias("d"))
+    bindings = bound("inputs", "a.n", F.col("o_orderkey")).unionByName(bound("runtime", "p", F.col("o_orderpriority")))
+    bindings = bindings.select("run_id", "namespace", "path", F.variant_get("d", "$.v", "variant").alias("value"))
+    made = dataflow.interpolated(rows, "run_id", "text", bindings)
+    return made.select("run_id", "resolved", F.to_json("whole").alias("whole"))
+
+
+@query(
+    "fx_child",
+    sql=""", v AS (SELECT parent_id, line, CASE line % 3 WHEN 0 THEN CAST(min(child_id) AS VARCHAR) WHEN 1 THEN '[' || min(child_id) || ',' || min(supp) || ']' END AS value FROM fx_child GROUP BY parent_id, line)
+SELECT parent_id AS run_id, 'one' AS name, value FROM v WHERE line = 1
+UNION ALL SELECT parent_id, 'flat', '[' || coalesce(string_agg(trim(value, '[]'), ',' ORDER BY line), '') || ']' FROM v GROUP BY parent_id
+UNION ALL SELECT parent_id, 'each', '[' || string_agg(coalesce(value, 'null'), ',' ORDER BY line) || ']' FROM v WHERE line <= 2 GROUP BY parent_id HAVING count(*) = 2""",
+)
+def workflow_outputs(children):
+    folded = children.groupBy(F.col("parent_id").alias("run_id"), F.col("line").alias("source")).agg(F.min("child_id").cast("string").alias("c"), F.min("supp").cast("string").alias("s"))
+    value = F.when(F.col("source") % 3 == 0, F.col("c")).when(F.col("source") % 3 == 1, F.concat(F.lit("["), "c", F.lit(","), "s", F.lit("]")))
+    values = folded.select("run_id", "source", value.alias("value"))
+    named = lambda rows, name, merge: rows.select("run_id", F.lit(name).alias("name"), F.col("source").alias("ordinal"), "source", F.lit(merge).cast("string").alias("merge"))
+    two = folded.where("source <= 2").join(folded.where("source <= 2").groupBy("run_id").count().where("count = 2"), "run_id", "left_semi")
+    declared = named(folded.where("source = 1"), "one", None).unionByName(named(folded, "flat", "merge_flattened")).unionByName(named(two, "each", None))
+    return dataflow.workflow_outputs(declared, values)
+
+
+NODES = """, nd AS (SELECT node, CASE WHEN node % 7 = 0 THEN 'input' WHEN node % 11 = 3 THEN 'output' ELSE 'function' END AS type FROM (SELECT child AS node FROM fx_edge UNION SELECT parent FROM fx_edge) WHERE node % 53 <> 1),
+ed AS (SELECT parent AS source, child AS target, CASE WHEN child % 11 = 3 AND parent % 4 > 0 THEN NULL WHEN child % 13 = 5 THEN NULL WHEN child % 17 = 2 THEN '' ELSE 'p' || parent % 2 END AS port FROM fx_edge)
+"""
+
+
+def _graph(edges):
+    node = F.col("node")
+    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct().where("node % 53 <> 1")
+    nodes = nodes.withColumn("type", F.when(node % 7 == 0, "input").when(node % 11 == 3, "output").otherwise("function"))
+    child, parent = F.col("child"), F.col("parent")
+    port = F.when((child % 11 == 3) & (parent % 4 > 0), None).when(child % 13 == 5, None).when(child % 17 == 2, "").otherwise(F.concat(F.lit("p"), (parent % 2).cast("string")))
+    return nodes, edges.select(parent.alias("source"), child.alias("target"), port.alias("port"))
+
+
+@query(
+    "fx_edge",
+    sql=NODES + """SELECT * FROM (SELECT e.source, e.target, e.port, CASE WHEN s.type IS NULL THEN 'source is no declared node' WHEN t.type IS NULL THEN 'target is no declared node' WHEN e.port = '' THEN 'port is empty'
+  WHEN t.type = 'input' THEN 'an input node takes no inputs' WHEN s.type = 'output' THEN 'an output node produces nothing' WHEN t.type = 'function' AND e.port IS NULL THEN 'a function''s edge names no parameter'
+  WHEN t.type = 'output' AND e.port IS NOT NULL THEN 'an output''s edge names a parameter' WHEN count(*) OVER (PARTITION BY e.target, coalesce(e.port, '')) > 1 THEN 'two edges feed one parameter' END AS fault
+FROM ed e LEFT JOIN nd s ON s.node = e.source LEFT JOIN nd t ON t.node = e.target) WHERE fault IS NOT NULL""",
+)
+def edge_faults(edges):
+    return dataflow.edge_faults(*_graph(edges))
+
+
+@query("fx_edge", sql=NODES + "SELECT node FROM nd WHERE type = 'output' AND node NOT IN (SELECT target FROM ed WHERE port IS NULL)")
+def unfed_outputs(edges):
+    return dataflow.unfed_outputs(*_graph(edges))
+
+
+@query(
+    "fx_edge",
+    sql=NODES + """SELECT target AS node, port, CASE WHEN source % 2 = 0 THEN '{"a":' || source || ',"b":[1]}' WHEN source % 3 = 0 THEN '[1]' WHEN source % 5 > 0 THEN CAST(source AS VARCHAR) END AS value FROM ed""",
+)
+def node_arguments(edges):
+    _, named = _graph(edges)
+    source = F.col("source")
+    port = F.when((source % 2 > 0) & (source % 3 == 0), "b").when((source % 2 > 0) & (source % 5 > 0), "a").when(source % 2 > 0, "none")
+    result = F.concat(F.lit('{"a":'), F.col("node").cast("string"), F.lit(',"b":[1]}'))
+    return dataflow.node_arguments(named.withColumn("source_port", port), edges.select(F.col("parent").alias("node")).distinct().withColumn("result", result))
+
+
+@query("customer", sql="SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'east' WHEN 1 THEN 'north' ELSE 'south' END AS partition FROM customer")
+def campaign_round_robin(customers):
+    return dataflow.dealt_round_robin(customers.select("c_custkey", F.col("c_custkey").alias("n")), "n", ["east", "north", "south"]).drop("n")
+
+
+@query(
+    "customer",
+    sql="SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN CASE c_custkey % 4 WHEN 0 THEN 'east' WHEN 1 THEN 'west' ELSE 'north' END END AS partition, CASE WHEN c_custkey % 5 = 0 THEN 'not assigned' WHEN c_custkey % 4 = 1 THEN 'no such partition' END AS fault FROM customer",
+)
+def campaign_explicit(customers):
+    name = F.when(F.col("c_custkey") % 4 == 0, "east").when(F.col("c_custkey") % 4 == 1, "west").otherwise("north")
+    return dataflow.dealt_explicitly(customers.select("c_custkey"), "c_custkey", customers.where("c_custkey % 5 > 0").select("c_custkey", name.alias("partition")), ["east", "north"])
+
+
+@query(
+    "customer",
+    sql="SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'd' END AS a, 'e' AS b, CASE WHEN c_custkey % 3 < 2 THEN c_mktsegment END AS c FROM customer",
+)
+def campaign_items(customers):
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    inputs = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("a"), name, F.lit("c"), segment)).when(F.col("c_custkey") % 3 == 1, F.create_map(F.lit("c"), segment)).otherwise(F.create_map(F.lit("a"), F.lit(None).cast("string")))
+    merged = dataflow.merged_items(customers.select("c_custkey", inputs.alias("inputs")), {"a": "d", "b": "e"}, "c_custkey")
+    return merged.select("c_custkey", *[F.try_element_at("inputs", F.lit(k)).alias(k) for k in "abc"])
+
+
 # --- composed reports ----------------------------------------------------------------------
 
 COLLECTED = ATTEMPTS + """, r AS (SELECT j.job_id, j.kind, coalesce(g.n, 0) AS n_frames, coalesce(g.gaps, false) AS gaps, coalesce(x.n_attempts, 0) AS n_attempts, coalesce(x.n_failures, 0) AS n_failures, x.last_finished
@@ -809,7 +1146,7 @@ def collect_summary(jobs, frames):
 
 @query(
     "fx_job", "fx_manager", "fx_join", "fx_child",
-    sql=REFUSAL + VERDICT + """, b AS (SELECT executor, pool, capabilities, area, count(*) FILTER (WHERE len(reasons) = 0) AS n_eligible FROM p GROUP BY ALL),
+    sql=REFUSAL + VERDICT + """, b AS (SELECT executor, pool, capabilities, area, count(*) FILTER (WHERE refused = 0) AS n_eligible FROM p GROUP BY ALL),
 x AS (SELECT j.job_id, j.kind, list_filter([CASE WHEN kind = 'submitted' THEN 'not registered' END,
   CASE WHEN kind = 'ready' AND coalesce(n_eligible, 0) = 0 THEN 'no manager could claim it' END,
   CASE WHEN kind = 'ready' AND attempts + 1 > max_attempts THEN 'attempts of this activation used up' END,
@@ -817,16 +1154,16 @@ x AS (SELECT j.job_id, j.kind, list_filter([CASE WHEN kind = 'submitted' THEN 'n
   CASE WHEN kind = 'waiting' AND verdict IS NULL THEN 'children unknown' END,
   CASE WHEN kind = 'waiting' AND verdict <> 'satisfied' THEN 'children ' || verdict END,
   CASE WHEN kind = 'paused' THEN 'paused by an operator' END], lambda c: c IS NOT NULL) AS checks
-FROM fx_job j LEFT JOIN b ON j.executor = b.executor AND j.pool = b.pool AND j.capabilities = b.capabilities AND split_part(j.placement, '/', 1) = b.area LEFT JOIN v ON v.parent_id = j.job_id)
+FROM fx_job j LEFT JOIN b ON j.executor = b.executor AND j.pool = b.pool AND j.capabilities = b.capabilities AND array_to_string(string_split(j.placement, '/')[1:2], '/') = b.area LEFT JOIN v ON v.parent_id = j.job_id)
 SELECT job_id, kind, len(checks) > 0 AND kind NOT IN ('succeeded', 'failed', 'cancelled') AS blocked, array_to_string(checks, '; ') AS checks FROM x""",
 )
 def explain_job(jobs, managers, waits, children):
     return reports.explain_jobs(jobs, managers, joins.join_verdicts(waits, children))
 
 
-PRECHECK = REFUSAL.replace("WHERE kind = 'ready' GROUP BY ALL", "GROUP BY ALL") + """, b AS (SELECT executor, pool, capabilities, area, count(*) FILTER (WHERE len(reasons) = 0) AS n_eligible FROM p GROUP BY ALL),
+PRECHECK = REFUSAL.replace("WHERE kind = 'ready' GROUP BY ALL", "WHERE kind IN ('submitted', 'ready') GROUP BY ALL") + """, b AS (SELECT executor, pool, capabilities, area, count(*) FILTER (WHERE refused = 0) AS n_eligible FROM p GROUP BY ALL),
 q AS (SELECT j.job_id, coalesce(n_eligible, 0) = 0 AS no_manager, j.executor <> 'path' AS legacy_executor, d.declared IS NOT NULL AND d.observed IS NULL AS input_missing, coalesce(attempts + 1 > max_attempts, false) AS budget_used
-FROM fx_job j LEFT JOIN b ON j.executor = b.executor AND j.pool = b.pool AND j.capabilities = b.capabilities AND split_part(j.placement, '/', 1) = b.area
+FROM fx_job j LEFT JOIN b ON j.executor = b.executor AND j.pool = b.pool AND j.capabilities = b.capabilities AND array_to_string(string_split(j.placement, '/')[1:2], '/') = b.area
 LEFT JOIN fx_declaration d ON d.job_id = j.job_id WHERE kind IN ('submitted', 'ready'))
 """
 
@@ -851,12 +1188,11 @@ def precheck_summary(jobs, managers, declarations):
 )
 def stream_replay_state(frames):
     """The frames written as files, replayed as a stream through the keyed state machine."""
-    spark = frames.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stateloom-")
-    folder = f"{root.rstrip('/')}/replay-{spark.sparkContext.applicationId}-{id(frames)}"
+    # A job's frames lie in one part in order, in files of bounded size, each a micro-batch.
+    folder = scratch_folder(frames.sparkSession, "replay")
     rows = frames.select("job_id", "generation", "kind")
-    rows.repartition(3, "job_id").write.mode("overwrite").parquet(f"{folder}/frames")
-    return state_machine.replay(spark, f"{folder}/frames", rows.schema, f"{folder}/checkpoint")
+    rows.repartition("job_id").sortWithinPartitions("generation").write.option("maxRecordsPerFile", 200_000).parquet(f"{folder}/frames")
+    return state_machine.replay(frames.sparkSession, f"{folder}/frames", rows.schema, f"{folder}/checkpoint")
 
 
 def queries() -> dict[str, Query]:

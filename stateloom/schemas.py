@@ -10,6 +10,7 @@ STATE_KINDS = (
 TERMINAL_KINDS = ("succeeded", "failed", "cancelled")
 QUIESCENT_KINDS = ("submitted", "ready", "waiting", "paused", "failed", "succeeded", "cancelled")
 COLLECTABLE_KINDS = ("succeeded", "failed", "cancelled", "paused")
+LIVE_KINDS = ("claimed", "running", "committing", "cancelling")
 JOIN_CONDITIONS = ("all_succeeded", "all_terminal", "any_succeeded", "any_terminal", "at_least")
 RETENTION_CATEGORIES = (
     "attempt_control", "transaction_trash", "retired_bundles", "transfer_records", "tmp_entries",
@@ -23,17 +24,3 @@ ACTION_KINDS = {
     "continue": ("failed", "paused"),
     "override_step": ("failed", "paused"),
 }
-
-MARKERS = (
-    "workspace_id string, kind string, placement string, job_key string, job_id string, tag string, priority smallint, "
-    "generation decimal(20,0), record_ref string, path string"
-)
-MANAGERS = (
-    "manager_id string, hostname string, pools array<string>, capabilities array<string>, executors array<string>, "
-    "placement_prefixes array<string>, accept_any_pool boolean, heartbeat_at timestamp"
-)
-FRAMES = (
-    "job_id string, kind string, generation decimal(20,0), record_ref string, previous_record_ref string, created_at timestamp, "
-    "step string, activation_id string, attempt_id string, outcome_action string, "
-    "failure struct<code:string,message:string>, members variant, error string"
-)

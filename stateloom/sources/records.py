@@ -72,9 +72,10 @@ def write_rows(rows: DataFrame, path: str, bad: Column | None = None, rejects: s
 def merge_current(current: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
     """Compare-and-swap upsert: an update applies if its version follows the current one.
 
-    Of several updates to a key the least following version wins; new keys start at 1.
+    New keys start at 1.  Of several updates to a key that fit, the least one by its other
+    columns in their order wins, so every run picks the same.
     """
     base = current.select(key, F.col(version).alias("_have"))
     fits = updates.join(base, key, "left").where(F.col(version) == F.coalesce("_have", F.lit(0)) + 1).drop("_have")
-    won = fits.dropDuplicates([key])
+    won = fits.groupBy(key).agg(F.min(F.struct(*[c for c in updates.columns if c != key])).alias("_won")).select(key, "_won.*").select(*updates.columns)
     return current.join(won.select(key), key, "left_anti").unionByName(won)

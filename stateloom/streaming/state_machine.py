@@ -34,9 +34,10 @@ def progressed(frames: DataFrame, lease_ms: int | None = None) -> DataFrame:
                     generation, kind = g, k
                     claims += k == "claimed"
                     failures += k == "failed"
-            state.update((generation, kind, claims, failures))
-            if lease_ms:
-                state.setTimeoutDuration(lease_ms)
+        # Written after a timeout too, which clears it: a job is reported once per silence.
+        state.update((generation, kind, claims, failures))
+        if lease_ms and not expired:
+            state.setTimeoutDuration(lease_ms)
         yield pd.DataFrame([(key[0], generation, kind, claims, failures, expired)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if lease_ms else GroupStateTimeout.NoTimeout

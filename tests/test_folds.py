@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 from stateloom.operators import folds, joins
 
-FRAMES = "job_id long, generation long, kind string, created_at timestamp, activation_id string, attempt_id string, failure_code string, outcome_action string, is_error boolean"
+FRAMES = "job_id long, generation long, kind string, created_at timestamp, activation_id string, attempt_id string, failure_code string, outcome_action string, is_error boolean, started_at timestamp, step string, reason string"
 
 
 def at(s):
     return datetime(2026, 1, 1, 0, 0, s)
 
 
-def frame(g, kind, activation="a", attempt=None, code=None, outcome=None, error=False, time=True):
-    return (1, g, kind, at(g) if time else None, activation, attempt, code, outcome, error)
+def frame(g, kind, activation="a", attempt=None, code=None, outcome=None, error=False, time=True, began=None, step=None, reason=None):
+    return (1, g, kind, at(g) if time else None, activation, attempt, code, outcome, error, at(began) if began else None, step, reason)
 
 
 def model(rows):
     """Activations and attempts by walking the frames."""
     activations, attempts, current, own, no = [], [], object(), None, 0
-    for _, g, kind, time, activation, attempt, code, outcome, error in sorted(rows, key=lambda r: r[1]):
+    for _, g, kind, time, activation, attempt, code, outcome, error, began, _, _ in sorted(rows, key=lambda r: r[1]):
         if error:
             continue
-        activation = activation or None
+        activation, attempt = activation or None, attempt or None
         if activation != current or not activations:
             current, own, no = activation, None, 0
             activations.append([activation, g, 0])
@@ -35,12 +35,12 @@ def model(rows):
             attempts.append(own)
         elif own is not None and attempt == own["id"]:
             if kind == "running":
-                own["started"] = time or own["started"]
+                own["started"] = began or time
             else:
                 own["finished"] = own["finished"] or time
                 own["code"] = own["code"] or code
                 if kind == "committing":
-                    own["outcome"] = outcome or own["outcome"]
+                    own["outcome"] = outcome
     return activations, attempts
 
 
@@ -51,6 +51,12 @@ CASES = {
     "claimed twice": [frame(1, "claimed", attempt="x"), frame(2, "claimed", attempt="x"), frame(3, "running", attempt="x")],
     "null time": [frame(1, "claimed", attempt="x"), frame(2, "failed", attempt="x", code="c1", time=False), frame(3, "failed", attempt="x", code="c2")],
     "other attempt": [frame(1, "running", attempt="x"), frame(2, "claimed", attempt="y"), frame(3, "running", attempt="x"), frame(4, "committing", attempt="y", outcome="advance"), frame(5, "committing", attempt="y", outcome="succeed")],
+    "the last commit and run count, even without outcome and time": [
+        frame(1, "claimed", attempt="x"), frame(2, "running", attempt="x", began=40), frame(3, "running", attempt="x", time=False),
+        frame(4, "committing", attempt="x", outcome="advance"), frame(5, "committing", attempt="x"),
+    ],
+    "own start": [frame(1, "claimed", attempt="x"), frame(2, "running", attempt="x", began=50)],
+    "empty attempt id": [frame(1, "claimed", attempt=""), frame(2, "running"), frame(3, "failed", attempt="", code="c")],
     "failure while running": [frame(1, "claimed", attempt="x"), frame(2, "running", attempt="x", code="c"), frame(3, "running", attempt="x", time=False)],
 }
 
@@ -103,3 +109,9 @@ def test_round_robin_starts_after_the_last_served(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1)], "root string, n int")
     assert [tuple(r)[:2] for r in folds.round_robin(df, "root", "n", "a").collect()] == [("b", 1), ("c", 1), ("a", 1), ("a", 2)]
     assert df.select(joins.unresolved_grace(F.lit(3600.0))).first()[0]
+
+
+def test_an_activation_has_step_and_reason_of_its_first_frame(spark):
+    rows = [frame(1, "ready", step="s0"), frame(2, "claimed", step="s1", reason="r"), frame(3, "ready", "b", step=None, reason="q"), frame(4, "ready", "b", step="s2")]
+    got = sorted(folds.timeline_activations(spark.createDataFrame(rows, FRAMES)).collect(), key=lambda r: r.activation_no)
+    assert [(r.step, r.reason) for r in got] == [("s0", None), (None, "q")]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from stateloom.functions import documents, lattice, scalars
 from stateloom.operators import census, dag, predicates, textlog
 from stateloom.plans import collect
-from stateloom.sources import journal, records
-from stateloom.streaming import state_machine
+from stateloom.sources import journal, records, scratch
+from stateloom.streaming import decisions, state_machine
 
 
 def one(spark, column, **values):
@@ -65,10 +65,25 @@ def test_schedules_and_times(spark):
 def test_documents(spark):
     assert one(spark, documents.canonical_json(F.lit('{"b": 1, "a": "é"}'))) == '{"a":"é","b":1}'
     assert one(spark, documents.canonical_json(F.lit("{"))) is None
-    df = spark.createDataFrame([(7.0, 2.0), (1.0, 0.0)], "x double, y double")
-    assert [r[0] for r in df.select(documents.evaluated("x // y if x > 2 else x / y", {"x": F.col("x"), "y": F.col("y")})).collect()] == [3.0, None]
-    with pytest.raises(ValueError):
-        documents.evaluate("__import__('os')", {})
+    df = spark.createDataFrame([(7.0, 2.0), (1.0, 0.0), (-7.0, 2.0), (None, 1.0)], "x double, y double")
+    cases = {
+        "x // y if x > 2 else x / y": [3.0, None, -3.5, None],
+        "x % y + 1": [2.0, None, 2.0, None],
+        "-x + (+y)": [-5.0, -1.0, 9.0, None],
+        "1 < x <= 7 and y": [2.0, 0.0, 0.0, None],
+        "not (x or y)": [0.0, 0.0, 0.0, None],
+        "max(x, y, 3) - min(x, y)": [5.0, 3.0, 10.0, None],
+        "ceil(x / 2) + floor(x / 2) + int(x / 2)": [10.0, 1.0, -10.0, None],
+        "sqrt(x) ** 2": [pytest.approx(7.0), 1.0, None, None],
+        "round(x / 2) + abs(x)": [11.0, 1.0, 3.0, None],
+        "x ** 9999": [None, 1.0, None, None],
+        "True + (x == 7)": [2.0, 1.0, 1.0, None],
+    }
+    for text, expected in cases.items():
+        assert [r[0] for r in df.select(documents.evaluated(text, {"x": F.col("x"), "y": F.col("y")})).collect()] == expected, text
+    for text in ("__import__('os')", "x.y", "[x]", "x if", "'a'", "z", "abs(x, y)", "max(x)", "x @ y", "abs(k=x)", "lambda: x"):
+        with pytest.raises(ValueError):
+            documents.evaluated(text, {"x": F.col("x"), "y": F.col("y")})
 
 
 def test_lattice(spark):
@@ -97,14 +112,18 @@ def test_logs_and_assignments(spark):
     assert records.last_headline(lines).first().headline == "b"
     tags = spark.createDataFrame([(1, 0, "ENCUT = 300 # low"), (1, 1, " encut=520"), (1, 2, "# NSW = 3")], "job_id int, line_no int, line string")
     assert [(r.name, r.value) for r in records.last_assignments(tags).collect()] == [("ENCUT", "520")]
-    text = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "START", "b", "", "c"])], "k int, line_no int, line string")
-    assert [r.line for r in textlog.without_blocks(text, "k", "^START").orderBy("line_no").collect()] == ["a", "", "c"]
+    # The blank line that ends a block goes, other blank lines stay, and every start leaves a line.
+    rows = ["a", "", "Following cartesian coordinates:", "b", " k-point   1 :  0.0  plane waves:  99", "x", " ", "", "c", "k-points in reciprocal lattice and weights: d"]
+    text = spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], "k int, line_no int, line string")
+    cut = textlog.BLOCK_REPLACEMENT
+    assert [r.line for r in textlog.without_blocks(text, "k").orderBy("line_no").collect()] == ["a", "", cut, cut, "", "c", cut]
 
 
 def test_merge_current_is_a_compare_and_swap(spark):
     current = spark.createDataFrame([(1, 3, "ready")], "job_id int, generation int, kind string")
-    updates = spark.createDataFrame([(1, 4, "claimed"), (1, 9, "failed"), (2, 1, "ready"), (3, 2, "ready")], current.schema)
-    assert sorted(map(tuple, records.merge_current(current, updates, "job_id", "generation").collect())) == [(1, 4, "claimed"), (2, 1, "ready")]
+    updates = spark.createDataFrame([(1, 4, "running"), (1, 4, "claimed"), (1, 9, "failed"), (2, 1, "ready"), (3, 2, "ready")], current.schema)
+    for df in (updates, updates.repartition(5)):
+        assert sorted(map(tuple, records.merge_current(current, df, "job_id", "generation").collect())) == [(1, 4, "claimed"), (2, 1, "ready")]
 
 
 def test_sinks_keep_rejects(spark, tmp_path):
@@ -118,6 +137,14 @@ def test_graphs(spark):
     assert {(r.node, r.level) for r in dag.dag_levels(edges).collect()} == {(1, 0), (4, 0), (2, 1), (3, 2)}
     with pytest.raises(ValueError):
         dag.dag_levels(spark.createDataFrame([(1, 2), (2, 1), (5, 6)], "parent int, child int"))
+    # Long chains and wide graphs, by rounds and in one task; a node is in no round twice.
+    chain = spark.range(1200).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    assert {(r.node, r.level) for r in dag.dag_levels(chain).collect()} == {(i, i) for i in range(1201)}
+    mixed = spark.createDataFrame([(i // 2, i) for i in range(1, 60)] + [(i // 3, i) for i in range(1, 60)] + [(0, 59), (70, 59)], "parent int, child int").where("parent <> child")
+    whole = sorted(map(tuple, dag.dag_levels(mixed).collect()))
+    assert whole == sorted(map(tuple, dag.dag_levels(mixed, small=0).collect())) == sorted(map(tuple, dag.dag_levels(mixed, small=40).collect()))
+    with pytest.raises(ValueError):
+        dag.dag_levels(spark.createDataFrame([(1, 2), (2, 1), (5, 6)], "parent int, child int"), small=0)
     bad = spark.createDataFrame([(1, [1, 2], [1])], "k int, a array<int>, b array<int>")
     with pytest.raises(Exception, match="differ in length"):
         dag.scatter(bad, ["k"], ["a", "b"]).collect()
@@ -128,6 +155,68 @@ def test_graphs(spark):
     assert [one(spark, dag.truthy(F.lit(v), k)) for v, k in ((0, "int"), ("", "string"), (False, "boolean"), (2, "int"))] == [False, False, False, True]
 
 
+def test_poison_waits_for_settled_parents(spark):
+    edges = [(1, 3, False), (2, 3, False), (3, 4, False), (1, 5, True), (1, 6, False), (6, 7, False), (8, 9, False), (9, 10, False), (1, 10, True), (2, 11, False), (1, 11, False)]
+    states = [(1, "failed", False), (2, "pending", False), (6, "pending", True), (8, "stopped", False)] + [(n, "pending", False) for n in (3, 4, 5, 7, 9, 10, 11)]
+    e = spark.createDataFrame(edges, "parent int, child int, barrier boolean")
+    s = spark.createDataFrame(states, "node int, state string, tolerant boolean")
+    # 3 and 11 wait for 2; 5 has a barrier only; 6 is tolerant; 9 stops and so does 10.
+    expected = {(9, "stopped", 1), (10, "stopped", 2)}
+    settled = s.withColumn("state", F.when(F.col("node") == 2, "completed").otherwise(F.col("state")))
+    more = expected | {(3, "failed", 1), (11, "failed", 1), (4, "failed", 2)}
+    for small in (0, dag.SMALL):
+        assert set(map(tuple, dag.dag_poison(e, s, small).collect())) == expected
+        assert set(map(tuple, dag.dag_poison(e, settled, small).collect())) == more
+
+
+def test_argument_words(spark):
+    words = lambda *a: one(spark, dag.argument_words(*a))
+    lit, arr, none = F.lit, lambda *x: F.array(*map(F.lit, x)).cast("array<string>"), F.lit(None).cast("string")
+    assert words(lit("boolean"), lit("-f"), lit(True), none, arr("true")) == ["-f"]
+    assert words(lit("boolean"), lit("-f"), lit(True), none, arr("false")) == []
+    assert words(lit("string"), lit("-p"), lit(None).cast("boolean"), none, arr("x")) == ["-p", "x"]
+    assert words(lit("string"), lit("-p"), lit(False), none, arr("x")) == ["-px"]
+    assert words(lit("array"), lit("-p"), lit(False), lit(","), arr("x", "y")) == ["-px,y"]
+    assert words(lit("array"), lit("-p"), lit(True), none, arr("x", "y")) == ["-p", "x", "y"]
+    assert words(lit("array"), none, lit(True), none, arr()) == [] == words(lit("string"), lit("-p"), lit(True), none, lit(None).cast("array<string>"))
+
+
+def test_decisions(spark):
+    limits = [F.lit(n) for n in (2, 5, 3, 9)]
+    commit = lambda action, activations=0, retry=False: one(spark, decisions.commit_decision(F.lit(action), F.lit(retry), *limits, F.lit(activations), F.lit(2)))
+    assert [commit("advance"), commit("advance", 1), commit("advance", 2)] == ["ready", "ready", "failed"]
+    assert [commit(a) for a in ("succeed", "wait", "pause", "retry", "fail", "odd")] == ["succeeded", "waiting", "paused", "ready", "failed", "failed"]
+    assert commit("fail", retry=True) == "ready"
+    codes = F.array(F.lit("a"), F.lit("b"))
+    assert [one(spark, decisions.attempt_failure(F.lit(c).cast("string"), codes)) for c in ("a", "z", None)] == ["retry", "failed", "failed"]
+    assert [one(spark, decisions.release_claim(F.lit(n))) for n in (3, 0)] == [2, 0]
+    lines = spark.sql("SELECT 1 AS source, TIMESTAMP'2026-01-01 00:00:00' AS last_at UNION ALL SELECT 2, TIMESTAMP'2026-01-01 00:09:59'")
+    got = decisions.silent_sources(lines, F.lit("2026-01-01 00:10:00").cast("timestamp"), 600.0).collect()
+    assert {(r.source, r.silent) for r in got} == {(1, True), (2, False)}
+
+
+def test_documents_runs_and_edges(spark, tmp_path):
+    for name, text in (("a", '{"x": 1}'), ("b", "{")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "job.json").write_text(text)
+    got = {r.path[-10]: r for r in records.read_documents(spark, str(tmp_path)).select("path", "digest", F.to_json("document").alias("d")).collect()}
+    assert got["a"].d == '{"x":1}' and got["b"].d is None and len(got["b"].digest) == 64
+    runs = spark.createDataFrame([("t", "2026-01-01", "a"), ("t", "2026-01-02", "a"), ("t", "2026-01-02", "b"), ("u", "2025-01-01", "z")], "task string, date string, name string")
+    assert {(r.task, r.date, r.name) for r in records.newest_runs(runs, "task", "date", "name").collect()} == {("t", "2026-01-02", "b"), ("u", "2025-01-01", "z")}
+    good = f"ready/a/b/tag--{uuid.uuid4()}.p007.g1z.ref"
+    assert records.scan_markers(records.markers_from_paths(spark.createDataFrame([(good,), ("x",)], "path string"))).count() == 1
+    doc = lambda *r: spark.createDataFrame(r, "k int, t string").select("k", F.parse_json("t").alias("document"))
+    merged = collect.run_edges(doc((1, '{"o": 1}'), (2, '{"o": 2}')), doc((2, '{"d": 2}'), (3, '{"d": 3}')), "k")
+    assert {(r.k, r.d, r.origin) for r in merged.select("k", F.to_json("document").alias("d"), "origin").collect()} == {(1, '{"o":1}', "observed"), (2, '{"o":2}', "observed"), (3, '{"d":3}', "declared")}
+
+
+def test_prefixes_and_scratch(spark):
+    assert one(spark, predicates.path_prefixes(F.lit("a/b"))) == ["", "a", "a/b"]
+    assert sorted(one(spark, predicates.least_prefixes(F.array(*map(F.lit, ("a/b", "a", "ab", "a")))))) == ["a", "ab"]
+    assert scratch.scratch_table(spark.range(3)).count() == 3
+    assert scratch.drop_scratch(spark) > 0
+
+
 def test_collector_keeps_failed_rows(spark):
     rows = spark.createDataFrame([(1, 2.0), (2, 0.0)], "job_id int, x double")
     got = collect.run_collector(rows, lambda r: {"y": 1 / r["x"]}, "y double").orderBy("job_id").collect()
@@ -144,9 +233,27 @@ def test_stream_equals_batch_and_ignores_replays(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = state_machine.replay(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "out"))
     order = ["job_id", "generation", "kind", "n_claims", "n_failures"]
-    assert {tuple(r) for r in got.select(order).collect()} >= {tuple(r) for r in state_machine.batch_state(df).select(order).where("n_claims = 99").collect()}
-    last = {(r.job_id, r.generation, r.kind) for r in got.collect()}
-    assert last == {(r.job_id, r.generation, r.kind) for r in state_machine.batch_state(df).collect()}
+    assert {tuple(r) for r in got.select(order).collect()} == {tuple(r) for r in state_machine.batch_state(df).select(order).collect()}
+
+
+def test_stream_reports_silent_jobs_once(spark, tmp_path):
+    import time
+
+    folder, out = tmp_path / "in", []
+    schema = "job_id long, generation long, kind string"
+    spark.createDataFrame([(1, 1, "claimed"), (2, 1, "claimed")], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = state_machine.progressed(spark.readStream.schema(schema).parquet(str(folder)), lease_ms=1000)
+    write = lambda batch, _: out.extend(map(tuple, batch.select("job_id", "generation", "expired").collect()))
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).foreachBatch(write).trigger(processingTime="1 second").start()
+    for k in range(60):
+        if len([r for r in out if r[2]]) >= 2:
+            break
+        time.sleep(1)
+        if k in (5, 12, 20, 30):  # a batch lets Spark look at its timeouts
+            spark.createDataFrame([(3, k, "claimed")], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    query.stop()
+    assert {(1, 1, True), (2, 1, True)} <= set(out)
+    assert len([r for r in out if r[0] == 1 and r[2]]) == 1
 
 
 def test_retention_is_inclusive_and_unset_keeps(spark):
