@@ -82,14 +82,107 @@ def op9_hyperplane_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """positions: the training times of the passes in billionths, and ranks, both comma-joined."""
     mixed = mixing.with_ranks(documents(spark, sf_dir))
     first = F.try_element_at("positions", F.lit(1)).alias("first_position")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", first, "positions", "ranks")
+    parts = F.transform("positions", lambda p: F.floor(p * 1e9).cast("string"))
+    ranks = F.transform("ranks", lambda r: r.cast("string"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first, F.array_join(parts, ",").alias("positions"), F.array_join(ranks, ",").alias("ranks"))
+
+
+#: Sets as strings, all pairs that share a shingle counted, links followed to the least id.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT DISTINCT a AS id, a AS other FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT id, min(other) AS c FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, coalesce(c.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+"""
+
+#: Every match placed by the lengths before it; owners of a value counted by the value itself.
+OP8_SQL = r"""
+WITH k(kind, name, pattern, part, least) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12), (1, 'access', 'AKIA[A-Z0-9]+', 0, 18), (2, 'hex', '[0-9a-f]+', 0, 16)),
+m AS (SELECT doc_id, source, lang, 0 AS kind, string_split(regexp_replace(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS parts FROM documents
+  UNION ALL SELECT doc_id, source, lang, 1, string_split(regexp_replace(text, 'AKIA[A-Z0-9]+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) FROM documents
+  UNION ALL SELECT doc_id, source, lang, 2, string_split(regexp_replace(text, '[0-9a-f]+', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) FROM documents),
+u AS (SELECT doc_id, source, lang, kind, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM m),
+e AS (SELECT *, CAST(sum(length(part)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM u),
+v AS (SELECT doc_id, source, lang, kind, stop - length(part) AS start, stop, CASE kind WHEN 0 THEN regexp_extract(part, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE part END AS value FROM e WHERE i % 2 = 0),
+f AS MATERIALIZED (SELECT v.*, k.name FROM v JOIN k USING (kind) WHERE length(v.value) >= k.least),
+o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT coalesce(source, '') || '/' || coalesce(lang, '')) AS repositories FROM f GROUP BY value),
+x AS (SELECT f.*, o.owners, o.owners = 1 AND o.repositories = 1 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AS live FROM f JOIN o USING (value)),
+a AS (SELECT doc_id, start, kind, stop, name FROM x UNION ALL SELECT DISTINCT doc_id, stop - length(value), 3, stop, 'live' FROM x WHERE live),
+g AS (SELECT doc_id, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3) AS base,
+  count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind = 3) AS n_live FROM a GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) FILTER (WHERE owners >= 3) AS n_examples FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(g.base, '')) AS base_sha256, coalesce(g.spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN h USING (doc_id)
+"""
+
+#: All pairs.
+OP9_SQL = r"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS MATERIALIZED (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT DISTINCT a AS id, a AS other FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT id, min(other) AS c FROM r GROUP BY id), n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN n ON n.id = e.vec_id LEFT JOIN c ON c.id = e.vec_id
+"""
+
+
+def _time_sql(share: str, schedule: mixing.Schedule) -> str:
+    """The inverse of a schedule's demand in SQL, segment by segment."""
+    number = lambda x: f"{float(x)!r}e0" if "e" not in repr(float(x)) else repr(float(x))
+    area, done, cases = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:])), 0.0, []
+    for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+        w0, w1 = w0 / area, w1 / area
+        part, slope = (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0)
+        left = f"greatest({share} - {number(done)}, 0e0)"
+        root = f"sqrt(greatest({number(w0 * w0)} + {left} * {number(2 * slope)}, 0e0))"
+        at = f"CASE WHEN {left} = 0e0 THEN {number(t0)} ELSE least({number(t1)}, {number(t0)} + {left} * 2 / ({root} + {number(w0)})) END"
+        cases.append(f"WHEN {share} < {number(done + part)} THEN {at}")
+        done += part
+    return f"CASE {' '.join(cases)} ELSE 1e0 END"
+
+
+#: The level at which the sources share, each source's stream summed in order, passes before the target timed and ranked.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+w AS (SELECT *, source_size * 3 AS cap, [5, 2, 1][turn % 3 + 1] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source)),
+k AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(cap) OVER o AS BIGINT) - cap AS filled, CAST(sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight DESC, turn DESC) AS BIGINT) AS open FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, turn)),
+v AS (SELECT arg_min(CAST(total - filled AS DOUBLE) / open, (CAST(cap AS DOUBLE) / weight, turn)) FILTER (WHERE CAST(total - filled AS DOUBLE) / open <= CAST(cap AS DOUBLE) / weight) AS level FROM k),
+t AS (SELECT source, turn, source_size, least(CAST(cap AS DOUBLE), coalesce(level, 0e0) * weight) AS target FROM w, v),
+q AS (SELECT d.doc_id, d.size, t.turn, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY t.turn ORDER BY md5(CAST(doc_id AS VARCHAR))) AS BIGINT) - size AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+p AS (SELECT doc_id, pass, turn, (before + CAST(size AS DOUBLE) / 2 + pass * source_size) / target AS share FROM q, (VALUES (0), (1), (2)) x(pass) WHERE before + CAST(size AS DOUBLE) / 2 + pass * source_size < target),
+g AS (SELECT doc_id, count(*) AS n, min(moment) AS first, string_agg(CAST(floor(moment * 1e9) AS BIGINT), ',' ORDER BY pass) AS positions, string_agg(place - 1, ',' ORDER BY place) AS ranks
+  FROM (SELECT *, row_number() OVER (ORDER BY moment, doc_id, pass) AS place FROM (SELECT *, CASE turn % 3 WHEN 0 THEN TIME0 WHEN 1 THEN TIME1 ELSE TIME2 END AS moment FROM p)) GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, q.size * coalesce(g.n, 0) AS taken, g.first AS first_position, coalesce(g.positions, '') AS positions, coalesce(g.ranks, '') AS ranks FROM q LEFT JOIN g USING (doc_id)
+"""
+for _i, _schedule in enumerate(mixing.SCHEDULES):
+    OP10_SQL = OP10_SQL.replace(f"TIME{_i}", _time_sql("share", _schedule))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_chunk_dedup, op2_quality_fertility, op3_token_counts, op5_minhash_near_duplicates, op6_hash_tree_sharding, op7_sum_of_squares_packing, op8_secret_ownership, op9_hyperplane_near_duplicates, op10_curriculum_mixing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_line_dedup, op2_quality_fertility, op3_token_counts, op4_chunk_dedup, op5_minhash_near_duplicates,
+            op6_hash_tree_sharding, op7_sum_of_squares_packing, op8_secret_ownership, op9_hyperplane_near_duplicates, op10_curriculum_mixing,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {
+        "op1_line_dedup": OP1_SQL,
+        "op5_minhash_near_duplicates": OP5_SQL,
+        "op8_secret_ownership": OP8_SQL,
+        "op9_hyperplane_near_duplicates": OP9_SQL,
+        "op10_curriculum_mixing": OP10_SQL,
+    }
