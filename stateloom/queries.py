@@ -1195,6 +1195,9 @@ def stream_replay_state(frames):
     return state_machine.replay(frames.sparkSession, f"{folder}/frames", rows.schema, f"{folder}/checkpoint")
 
 
+from . import upkeep_queries  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateloom.functions import documents, lattice, scalars
-from stateloom.operators import census, dag, predicates, textlog
+from stateloom.operators import census, dag, predicates, structures, textlog, upkeep
 from stateloom.plans import collect
 from stateloom.sources import journal, records, scratch
 from stateloom.streaming import decisions, state_machine
@@ -262,3 +262,56 @@ def test_retention_is_inclusive_and_unset_keeps(spark):
     assert census.gc_candidates(files, "2026-01-10 23:59:59", {"a": 10.0}).count() == 0
     assert census.gc_candidates(files, "2030-01-01 00:00:00", {"a": None}).count() == 0
     assert predicates.aged(F.lit(1), F.lit(1), None) is not None
+
+
+def test_structure_texts(spark):
+    for x in (0.1, 1.5, 2.0, -3.25, 1 / 3, 123456.789, 1e-4, 5.43 * 1.1, 0.0, 1e15):
+        assert float(one(spark, structures.number_text(F.lit(x)))) == float(f"{x:.16g}")
+        assert one(spark, structures.number_text(F.lit(x))) in (f"{x:.16g}", f"{x:.20f}".rstrip("0").rstrip("."))
+    good = "c [MAGMOM=1 2]\n1.0\n1 0 0\n0 1 0\n0 0 1\nSi O\n1 2\nDirect\n0 0 0\n"
+    head = lambda t: one(spark, structures.header(F.lit(t)))
+    assert head(good).fault is None and head(good).species == ["Si", "O"] and head(good).counts == [1, 2]
+    for text, fault in ((None, "fewer"), ("a\n1\n", "fewer"), (good.replace("1.0", "s"), "invalid"), (good.replace("0 1 0", "0 1"), "invalid"), (good.replace("1 2\nD", "1 x\nD"), "invalid"), (good.replace("Si O", "Si"), "species"), (good.replace("1 2\nD", "1 -2\nD"), "species")):
+        got = spark.createDataFrame([(text,)], "t string").select(structures.header(F.col("t")).alias("h")).first().h
+        assert got.fault.startswith(fault)
+    left = good.replace("0 0 1", "0 0 -1")
+    assert one(spark, structures.right_handed(F.lit(good))) == good
+    assert one(spark, structures.right_handed(F.lit(left))).split("\n")[4].split()[2] == "1"
+    assert one(spark, structures.with_comment_of(F.lit(good), F.lit("new\nx"))) == good.replace("c [MAGMOM=1 2]", "new")
+    assert one(spark, structures.with_comment_of(F.lit(good), F.lit(""))) is None
+    with pytest.raises(ValueError):
+        structures.scaled_lattice(F.lit(good), 0.0)
+    with pytest.raises(Exception, match="no value for template name b"):
+        one(spark, structures.rendered(F.lit("$a $b"), {"a": F.lit("1")}))
+    assert one(spark, structures.rendered(F.lit("${a}b $$a $a"), {"a": F.lit("$b")})) == "$bb $a $b"
+
+
+def test_a_bounded_scan_visits_all_in_windows(spark):
+    entries = [(r, f"{r}{i:02}", i % 3 > 0) for r in "abc" for i in range(7)]
+    df = spark.createDataFrame(entries, "root string, position string, included boolean")
+    cursors, root, seen = spark.createDataFrame([], "root string, position string"), None, []
+    for expected in (["a01", "a02", "a04"], ["b01", "b02", "b04"], ["c01", "c02", "c04"], ["a05", "b05", "c05"]):
+        taken, kept = upkeep.bounded_scan(df, cursors, root, 3, 5)
+        now = [r.position for r in taken.orderBy("root", "position").collect()]
+        assert now == expected
+        cursors, root = spark.createDataFrame([tuple(r) for r in kept.collect()], cursors.schema), upkeep.next_root(df, now[-1][0])
+        seen += now
+    assert len(seen) == len(set(seen)) and root == "a"
+    assert upkeep.bounded_scan(df.limit(0), cursors, "b", 3, 5)[0].count() == 0
+
+
+def test_a_live_manager_with_an_unknown_writer_frees_nothing(spark):
+    segments = spark.createDataFrame([("w", 1), ("v", 1), ("u", 1)], "writer string, segment int")
+    refs, none = spark.createDataFrame([("v", 1)], segments.schema), "writer string, heartbeat_age_seconds int"
+    assert [r.writer for r in upkeep.free_segments(segments, refs, spark.createDataFrame([("u", 5), ("w", 999)], none), 10).collect()] == ["w"]
+    assert upkeep.free_segments(segments, refs, spark.createDataFrame([(None, 5)], none), 10).count() == 0
+    assert upkeep.free_segments(segments, refs, spark.createDataFrame([(None, 50)], none), 10).count() == 2
+
+
+def test_failures_and_private_names(spark):
+    from stateloom.plans import states
+
+    df = spark.createDataFrame([("c", "m"), (None, "m"), (None, None), ("", None)], "code string, message string")
+    failure, damaged = states.failure_of(F.col("code"), F.col("message"))
+    assert [(r.f and r.f.code, r.d) for r in df.select(failure.alias("f"), damaged.alias("d")).collect()] == [("c", False), ("unknown", True), (None, False), ("", True)]
+    assert [one(spark, upkeep.is_private(F.lit(n))) for n in ("job-state", "attempt.1", "data")] == [True, True, False]
