@@ -14,8 +14,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
-from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -24,11 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import window_hashes
+from ._worker import held
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 #: Words kept in each of two generations, and the longest word kept, in one Python worker.
 MEMO_WORDS, MEMO_CHARS = 120_000, 48
+#: Stands for a rank token among piece numbers.
+NO_PIECE = 0xFFFF
 
 
 class Band(NamedTuple):
@@ -87,6 +88,11 @@ def script_of(text: str) -> str:
     return "OTHER" if _OTHER.search(text) else "NONE"
 
 
+def _packed(pieces: list[int], tokens: int) -> bytes:
+    """16-bit piece numbers, then as many times NO_PIECE as there are rank tokens."""
+    return np.array(pieces, np.uint16).tobytes() + b"\xff\xff" * tokens
+
+
 class Vocabularies:
     """Pieces of single words under a byte-fallback model, and counts under a rank file."""
 
@@ -96,7 +102,9 @@ class Vocabularies:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         is_byte = [self.model.is_byte(i) for i in range(self.model.get_piece_size())]
-        self.bytes = {i for i, b in enumerate(is_byte) if b}
+        self.is_byte = np.array(is_byte)
+        if len(is_byte) > NO_PIECE:
+            raise ValueError("a model of fewer pieces is needed")
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -104,10 +112,10 @@ class Vocabularies:
         self.opens_piece = np.array([self.model.id_to_piece(i).startswith("▁") for i in range(len(is_byte))])
         self.opens_token = np.zeros(max(ranks.values()) + 1, bool)
         self.opens_token[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
-        self.memo: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encoded(self, words: list[str]) -> list[tuple]:
+    def _encoded(self, words: list[str]) -> list[bytes]:
         """Encodes words in one text and cuts the tokens at those that open a word.
 
         Neither vocabulary has a token across a space; if the openings don't match the
@@ -120,12 +128,12 @@ class Vocabularies:
         opened = np.flatnonzero(self.opens_token[tokens])
         if "▁" in text or len(at) != len(words) or len(opened) != len(words):
             each = self.model.encode(words, num_threads=1)
-            return [(tuple(p), len(self.ranks.encode_ordinary(" " + w))) for w, p in zip(words, each, strict=True)]
+            return [_packed(p, len(self.ranks.encode_ordinary(" " + w))) for w, p in zip(words, each, strict=True)]
         counts = np.diff(opened, append=len(tokens)).tolist()
-        return [(tuple(pieces[i:j]), n) for i, j, n in zip(at, [*at[1:], len(pieces)], counts, strict=True)]
+        return [_packed(pieces[i:j], n) for i, j, n in zip(at, [*at[1:], len(pieces)], counts, strict=True)]
 
-    def of(self, words: list[str]) -> list[tuple]:
-        """(pieces, rank tokens) of each word, as it stands after a space."""
+    def of(self, words: list[str]) -> list[bytes]:
+        """Pieces and rank tokens of each word, as it stands after a space, packed as by ``_packed``."""
         memo, older = self.memo, self.older
         missing = set(words).difference(memo)
         new = []
@@ -146,9 +154,8 @@ class Vocabularies:
         return out
 
 
-@lru_cache(maxsize=2)
 def vocabularies(model_path: str, ranks_path: str, pattern: str) -> Vocabularies:
-    return Vocabularies(model_path, ranks_path, pattern)
+    return held(("fertility", model_path, ranks_path, pattern), lambda: Vocabularies(model_path, ranks_path, pattern))
 
 
 def repeated_words(words: list[str], width: int) -> int:
@@ -206,13 +213,14 @@ def measured(text: str, lang: str | None, vocab: Vocabularies, bands: Mapping[st
     band = lang if lang in bands and lang not in SCRIPT_BANDS else script_of(text)
     if not n:
         return 0, 0, symbols, 0, 0, None, None, None, None, band, True, False
-    tokens = vocab.of(words)
-    pieces = Counter(chain.from_iterable([t[0] for t in tokens]))
-    total = sum(pieces.values())
-    n_tokens = max(1, sum([t[1] for t in tokens]))
+    found, counts = np.unique(np.frombuffer(b"".join(vocab.of(words)), np.uint16), return_counts=True)
+    n_tokens = max(1, int(counts[-1])) if found[-1] == NO_PIECE else 1
+    if found[-1] == NO_PIECE:
+        found, counts = found[:-1], counts[:-1]
+    total = int(counts.sum())
     per_token = chars / n_tokens
-    share = sum(pieces[i] for i in pieces.keys() & vocab.bytes) / total
-    entropy = math.log2(total) - sum(c * math.log2(c) for c in pieces.values()) / total
+    share = int(counts[vocab.is_byte[found]].sum()) / total
+    entropy = math.log2(total) - float((counts * np.log2(counts)).sum()) / total
     _, high, most_bytes, least_entropy = bands[band]
     inside = lower_limit(bands[band], n_tokens) <= per_token <= high and share <= most_bytes and entropy >= least_entropy
     return n, chars, symbols, repeated_lines(text), repeats, per_token, chars / total, share, entropy, band, failed, inside and not failed

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrays import line_windows, text_slices
+from ._worker import release
 
 WORDLESS = r"[^\x20\x09-\x0D]"
 
@@ -38,6 +39,7 @@ def _windows(keyed: DataFrame, text_col: str, width: int) -> DataFrame:
     kind = keyed.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(2)):
                 owner, pos, digest = line_windows(data, offsets, width)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ._arrays import mix, seeds, shingle_set, text_slices, word_hashes
 from ._groups import dealt, forest, in_block_pairs, runs, salted_join
 from ._scratch import Scratch
+from ._worker import release
 from .components import connected_components
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,6 +78,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sketcher = Sketcher(bands * rows)
         for batch in batches:
             sizes, one, two, banded = [], [], [], []
@@ -155,12 +157,21 @@ def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     often = np.bincount(index)[index] > 1
     column = np.unique(index[often], return_inverse=True)[1]
     owner = owner[often]
-    out = np.zeros((n, n), np.int64)
+    out = np.zeros((n, n), np.int32)
     for at in range(0, int(column.max()) + 1 if len(column) else 0, columns):
         part = slice(*np.searchsorted(column, [at, at + columns]))
         block = np.zeros((n, columns), np.float32)
         block[owner[part], column[part] - at] = 1
-        out += (block @ block.T).astype(np.int64)  # exact: ``columns`` at most
+        out += (block @ block.T).astype(np.int32)  # exact: ``columns`` at most
+    return out
+
+
+def similar(common: np.ndarray, size: np.ndarray, percent: int, rows: int = 64) -> np.ndarray:
+    """Which pairs have 100 * intersection >= percent * union, in 64-bit integers, some rows at a time."""
+    out = np.zeros(common.shape, bool)
+    for at in range(0, len(size), rows):
+        part = common[at : at + rows].astype(np.int64)
+        out[at : at + rows] = 100 * part >= percent * (size[at : at + rows, None] + size[None, :] - part)
     return out
 
 
@@ -178,9 +189,7 @@ def links_in_blocks(rows: DataFrame, percent: int, width: int, lower: bool) -> D
             if (component == component[0]).all() or (side is not None and (side == side[0]).all()):
                 continue
             sets = _sets(group.column(4), width, lower)
-            common = shared_counts(sets)
-            size = np.array([len(s) for s in sets], np.int64)
-            linked = np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1)
+            linked = np.triu(similar(shared_counts(sets), np.array([len(s) for s in sets], np.int64), percent), 1)
             linked &= component[:, None] != component[None, :]
             if side is not None:
                 linked &= side[:, None] != side[None, :]

@@ -16,7 +16,6 @@ import os
 import re
 import zlib
 from collections.abc import Collection, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
+from ._worker import held
 
 #: Chunks kept in each of two generations, and the longest chunk kept, in one Python worker.
 MEMO_CHUNKS, MEMO_CHARS = 100_000, 48
@@ -82,9 +82,8 @@ class IdEncoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def id_encoder(json_path: str, ranks_path: str, pattern: str) -> IdEncoder:
-    return IdEncoder(json_path, ranks_path, pattern)
+    return held(("ids", json_path, ranks_path, pattern), lambda: IdEncoder(json_path, ranks_path, pattern))
 
 
 class LevelArray:

@@ -18,12 +18,13 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._worker import held
+
 MARK = "▁"
 #: Chunks kept in each of two generations, and the longest chunk kept, in one Python worker.
 MEMO_CHUNKS, MEMO_CHARS = 300_000, 48
@@ -116,9 +117,8 @@ class MergeCounter:
         return total
 
 
-@lru_cache(maxsize=2)
 def merge_counter(model_path: str) -> MergeCounter:
-    return MergeCounter(model_path)
+    return held(("counts", model_path), lambda: MergeCounter(model_path))
 
 
 def token_counts(
