@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.folds import timeline_attempts
 from ..operators.joins import children_by_label
-from ..operators.predicates import budget_exhausted
+from ..operators.predicates import budget_exhausted, path_prefixes, runner_module
 from ..sources.scratch import scratch_table
 
 #: Members of a definition: column, path, type.
@@ -217,3 +217,17 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     """(run_id, inputs, artifacts, outputs): edges of each run by direction."""
     count = lambda d: F.count_if(F.col("direction") == d)
     return edges.groupBy("run_id").agg(count("input").alias("inputs"), count("artifact").alias("artifacts"), count("output").alias("outputs"))
+
+
+def runner_provenance(jobs: DataFrame, packages: DataFrame) -> DataFrame:
+    """(job_id, module, distribution, version): the installed package that holds each packaged runner's module.
+
+    ``jobs``: job_id, runner; ``packages``: package, distribution, version.  Of packages that
+    hold a module the innermost counts; a module of none has null ones, and runners that are
+    not packaged give no row.  Modules meet packages by their prefixes, as equal names.
+    """
+    module = runner_module(F.col("runner"))
+    named = jobs.select("job_id", module.alias("module")).where("module IS NOT NULL")
+    held = named.withColumn("package", F.explode(F.transform(path_prefixes(F.replace("module", F.lit("."), F.lit("/"))), lambda p: F.replace(p, F.lit("/"), F.lit(".")))))
+    found = held.join(packages, "package").groupBy("job_id").agg(F.max_by(F.struct("distribution", "version"), F.length("package")).alias("p"))
+    return named.join(found, "job_id", "left").select("job_id", "module", "p.distribution", "p.version")

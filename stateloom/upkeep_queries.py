@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import structures, upkeep
+from .plans import states
 from .queries import query
 
 # --- scans and commits -----------------------------------------------------------------------
@@ -319,3 +320,14 @@ def templates_and_programs(parts):
     found = structures.program_of(program)
     made = structures.rendered(F.lit("n=$name ${key}$$x"), {"name": F.col("p_name"), "key": key})
     return parts.select("p_partkey", made.alias("rendered"), found["name"].alias("name"), found["version"].alias("version"))
+
+
+@query(
+    "fx_job",
+    sql="""SELECT job_id, 'site.a' AS module, 'site-a' AS distribution, '2' AS version FROM fx_job WHERE runner = 'pkg:site.a' AND job_id % 8 = 0
+UNION ALL SELECT job_id, 'site.ab.c', 'site', '1' FROM fx_job WHERE runner = 'pkg:site.a' AND job_id % 8 > 0 UNION ALL SELECT job_id, 'other', NULL, NULL FROM fx_job WHERE runner = 'installed'""",
+)
+def runner_provenance(jobs):
+    packages = jobs.sparkSession.createDataFrame([("site", "site", "1"), ("site.a", "site-a", "2"), ("oth", "oth", "9")], "package string, distribution string, version string")
+    runner = F.when(F.col("runner") == "installed", "pkg:other").when((F.col("runner") != "") & (F.col("job_id") % 8 > 0), "pkg:site.ab.c").otherwise(F.col("runner"))
+    return states.runner_provenance(jobs.select("job_id", runner.alias("runner")), packages)

@@ -8,7 +8,7 @@ from stateloom.functions import documents, lattice, scalars
 from stateloom.operators import census, dag, predicates, structures, textlog, upkeep
 from stateloom.plans import collect
 from stateloom.sources import journal, records, scratch
-from stateloom.streaming import decisions, state_machine
+from stateloom.streaming import decisions, logs, state_machine
 
 
 def one(spark, column, **values):
@@ -315,3 +315,31 @@ def test_failures_and_private_names(spark):
     failure, damaged = states.failure_of(F.col("code"), F.col("message"))
     assert [(r.f and r.f.code, r.d) for r in df.select(failure.alias("f"), damaged.alias("d")).collect()] == [("c", False), ("unknown", True), (None, False), ("", True)]
     assert [one(spark, upkeep.is_private(F.lit(n))) for n in ("job-state", "attempt.1", "data")] == [True, True, False]
+
+
+def test_logs_are_followed_as_a_stream(spark, tmp_path):
+    folder, checkpoint, out = tmp_path / "logs", str(tmp_path / "log"), str(tmp_path / "out")
+    folder.mkdir()
+
+    def pass_over():
+        stream = logs.diagnosed(logs.follow(spark, str(folder)))
+        stream.writeStream.option("checkpointLocation", checkpoint).format("parquet").trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r.source, r.code) for r in spark.read.parquet(out).collect())
+
+    (folder / "a.0.log").write_text("fine\nZPOTRF failed\n")
+    assert pass_over() == [("a", "zpotrf")]
+    (folder / "a.1.log").write_text("fine\n")
+    (folder / "b.0.log").write_text("TOO FEW BANDS\n")
+    (folder / "c.0.txt").write_text("ZPOTRF failed\n")
+    assert pass_over() == [("a", "zpotrf"), ("b", "too_few_bands")]
+    spoken = logs.last_spoken(logs.follow(spark, str(folder)))
+    query = spoken.writeStream.outputMode("complete").format("memory").queryName("spoken").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.source, r.n_lines) for r in spark.table("spoken").collect()} == {("a", 3), ("b", 1)}
+
+
+def test_a_collector_program_answers_rows(spark):
+    program = "import sys, json\nfor l in sys.stdin:\n r = json.loads(l)\n k = r['key']\n if k == 3: break\n print('noise' if k == 2 else json.dumps({'key': k, 'outputs': {'y': r['record']['x'] * 2}}))\nsys.stderr.write('stopped\\n')"
+    rows = spark.createDataFrame([(1, 2.0), (2, 0.0), (3, 1.0)], "job_id int, x double").coalesce(1)
+    got = collect.run_program(rows, ["python", "-c", program]).orderBy("job_id").collect()
+    assert [(r.outputs, r.error) for r in got] == [('{"y": 4.0}', None), (None, "stopped"), (None, "stopped")]
