@@ -214,7 +214,7 @@ def near_duplicates(
     lower: bool = True,
     block: int = 512,
     block_bytes: int = 4 << 20,
-    hub_rounds: int = 3,
+    hub_rounds: int = 2,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, row_key, n_shingles, component_id, kept, stays.
@@ -279,6 +279,8 @@ def near_duplicates(
         if large.isEmpty():
             break
         links = held_against(large, F.xxhash64("node", F.lit(turn)))
+        if links.isEmpty():
+            break
         stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
         found = scratch.keep(connected_components(stars.unionByName(links), "a", "b", scratch))
         rest = unconnected(found)
