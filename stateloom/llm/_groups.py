@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: A key with more than one part in SHARES of all rows is hot; by count, fewer than SHARES keys are.
+#: A key with more than a SHARES-th of all rows is hot; fewer than SHARES keys can be.
 SHARES = 500
 
 
