@@ -8,7 +8,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, embeddings, fertility, line_dedup, minhash, mixing, packing, secret_scan, sharding, token_counts
+from . import byte_bpe, chunk_dedup, embeddings, fertility, fill_middle, line_dedup, minhash, mixing, negatives, packing, secret_scan, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,26 @@ def op10_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first, F.array_join(parts, ",").alias("positions"), F.array_join(ranks, ",").alias("ranks"))
 
 
+def op11_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; labels of ids divisible by 7 move on by one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN
+    encoded = byte_bpe.encode_texts(documents(spark, sf_dir), *files)
+    hashes = {f"{c}_sha256": F.sha2(c, 256) for c in ("ids", "decoded", "offsets")}
+    return byte_bpe.decode_ids(encoded, *files).select("doc_id", "n_tokens", *[h.alias(c) for c, h in hashes.items()])
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(documents(spark, sf_dir))
+    hashes = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
 #: Sets as strings, all pairs that share a shingle counted, links followed to the least id.
 OP5_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -168,12 +188,36 @@ for _i, _schedule in enumerate(mixing.SCHEDULES):
     OP10_SQL = OP10_SQL.replace(f"TIME{_i}", _time_sql("share", _schedule))
 
 
+#: All pairs of anchors and rows.
+OP11_SQL = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+#: Tokens as lists of strings, sliced and joined.
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || doc_id) AS h FROM documents),
+d AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(w) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(w) + 1) AS c2,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (SELECT doc_id, len(w) AS n, form, text, array_to_string(w[1:least(c1, c2)], '') AS p, array_to_string(w[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(w[greatest(c1, c2) + 1:], '') AS s FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM c
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_line_dedup, op2_quality_fertility, op3_token_counts, op4_chunk_dedup, op5_minhash_near_duplicates,
             op6_hash_tree_sharding, op7_sum_of_squares_packing, op8_secret_ownership, op9_hyperplane_near_duplicates, op10_curriculum_mixing,
+            op11_pivot_hard_negatives, op12_byte_bpe, op13_fill_in_middle,
         )
     }
 
@@ -185,4 +229,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_ownership": OP8_SQL,
         "op9_hyperplane_near_duplicates": OP9_SQL,
         "op10_curriculum_mixing": OP10_SQL,
+        "op11_pivot_hard_negatives": OP11_SQL,
+        "op13_fill_in_middle": OP13_SQL,
     }
