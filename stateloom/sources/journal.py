@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import encode_record_ref
 
-_LENGTH = struct.Struct(">Q")
+LENGTH = struct.Struct(">Q")
 MOST_BYTES = 64 << 20
+SEGMENT_NAME = re.compile("[0-9a-z]{1,12}")
 SCHEMA = "writer string, segment_name string, segment long, offset long, length long, checksum string, frame string"
 
 
@@ -26,10 +28,10 @@ def decode_segment(content: bytes, header: bytes) -> Iterator[tuple[int, int, st
     """(offset, length, checksum, JSON text) of the intact frames of one segment."""
     if not content.startswith(header):
         return
-    at, end, width = len(header), len(content), _LENGTH.size
+    at, end, width = len(header), len(content), LENGTH.size
     while at + width <= end:
         prefix = content[at : at + width]
-        (length,) = _LENGTH.unpack(prefix)
+        (length,) = LENGTH.unpack(prefix)
         stop = at + width + length
         if length > MOST_BYTES or stop + 32 + width > end or content[stop + 32 : stop + 32 + width] != prefix:
             return
@@ -49,7 +51,7 @@ def encode_segment(frames: Iterable[dict], header: bytes) -> bytes:
     out = [header]
     for frame in frames:
         payload = json.dumps(frame, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
-        prefix = _LENGTH.pack(len(payload))
+        prefix = LENGTH.pack(len(payload))
         out += [prefix, payload, hashlib.sha256(prefix + payload).digest(), prefix]
     return b"".join(out)
 
@@ -59,6 +61,7 @@ def read_journal(spark: SparkSession, root: str, header: bytes, suffix: str = ".
 
     Segments are the unit of work, and their size is bounded by the writer's rotation.  The
     physical order of the log is (writer, segment_name, offset), by text of the file name.
+    A segment's name is its number in base 36; other names are no segments.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
 
@@ -68,8 +71,8 @@ def read_journal(spark: SparkSession, root: str, header: bytes, suffix: str = ".
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 writer, name = path.rsplit("/", 2)[-2:]
                 stem = name.removesuffix(suffix)
-                if stem.isascii() and stem.isdigit():
-                    rows += [(writer, name, int(stem), *frame) for frame in decode_segment(content, header)]
+                if SEGMENT_NAME.fullmatch(stem):
+                    rows += [(writer, name, int(stem, 36), *frame) for frame in decode_segment(content, header)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     frames = files.select("path", "content").mapInPandas(run, SCHEMA)

@@ -99,10 +99,10 @@ def test_journal_skips_damage_and_stops_at_a_torn_tail(spark, tmp_path):
     damaged = bytearray(whole)
     damaged[len(header) + 8 + 2] ^= 1
     (tmp_path / writer).mkdir()
-    for name, data in (("1.hwj", whole), ("2.hwj", bytes(damaged)), ("10.hwj", whole[:-5]), ("3.hwj", b"other"), ("x.hwj", whole)):
+    for name, data in (("1.hwj", whole), ("2.hwj", bytes(damaged)), ("10.hwj", whole[:-5]), ("3.hwj", b"other"), ("z.hwj", whole), ("X.hwj", whole)):
         (tmp_path / writer / name).write_bytes(data)
     got = journal.read_journal(spark, str(tmp_path), header).orderBy(*journal.physical_order()).collect()
-    assert [(r.segment, json.loads(r.frame)["n"]) for r in got] == [(1, 0), (1, 1), (1, 2), (1, 3), (10, 0), (10, 1), (10, 2), (2, 1), (2, 2), (2, 3)]
+    assert [(r.segment, json.loads(r.frame)["n"]) for r in got] == [(1, 0), (1, 1), (1, 2), (1, 3), (36, 0), (36, 1), (36, 2), (2, 1), (2, 2), (2, 3), (35, 0), (35, 1), (35, 2), (35, 3)]
     parsed = spark.createDataFrame([(r.record_ref,) for r in got], "ref string").select(scalars.parse_record_ref(F.col("ref")).alias("p")).select("p.*").collect()
     assert [(p.writer, p.segment, p.offset, p.length) for p in parsed] == [(writer, r.segment, r.offset, r.length) for r in got]
 
