@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from ._worker import held
 
 #: Pieces kept in each of two generations, and the longest piece kept, in one Python worker.
 MEMO_PIECES, MEMO_CHARS = 150_000, 48
-#: New pieces that go to the library at once, and characters of them.
+#: New pieces that go to the library at once, and characters of them, or bytes of texts in one batch that goes out.
 BATCH_PIECES, BATCH_CHARS = 4096, 1 << 20
 
 
@@ -92,30 +93,31 @@ def spelled_out(pattern: str, classes: dict[str, np.ndarray], most: int) -> re.P
     return re.compile(re.sub(r"\[[^\]]*\]|\\s|\\S|\\p\{[LN]\}", spell, pattern))
 
 
-class ByteLevel:
-    """Ids of texts as packed 32-bit little-endian bytes, and back."""
+def read_ranks(ranks_path: str) -> dict[bytes, int]:
+    with open(ranks_path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+class Encoder:
+    """Ids of texts as packed 32-bit little-endian bytes."""
 
     def __init__(self, ranks_path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        characters = byte_characters()
+        ranks = read_ranks(ranks_path)
         #: From a byte, read as Latin-1, to its character.
-        self.to_characters = {b: c for b, c in enumerate(characters)}
+        self.to_characters = dict(enumerate(byte_characters()))
         mapped = {token: self.mapped(token) for token in ranks}
         by_rank = sorted(ranks, key=ranks.__getitem__)
         merges = [tuple(mapped[p] for p in pair) for token in by_rank if len(token) > 1 and (pair := last_merge(token, ranks))]
         self.library = Tokenizer(models.BPE(vocab={mapped[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        # No byte is mapped to a space, so spaces can part pieces.
+        self.library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         classes = {name: _class_points(name) for name in (r"\s", r"\p{L}", r"\p{N}")}
         self.patterns = [spelled_out(pattern, classes, most) for most in WIDTHS]
-        #: Decoding's table: each id's bytes, from its characters by the reversed byte table.
-        to_byte = {c: b for b, c in enumerate(characters)}
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for text, i in self.library.get_vocab().items():
-            self.token_bytes[i] = bytes(to_byte[c] for c in text)
-        self.lengths = np.array([*map(len, self.token_bytes)], np.int64)
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[[*ranks.values()]] = [*map(len, ranks)]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -135,8 +137,11 @@ class ByteLevel:
             while end < len(pieces) and end - at < BATCH_PIECES and (end == at or chars < BATCH_CHARS):
                 chars += len(pieces[end])
                 end += 1
-            for made in self.library.encode_batch([self.mapped(p.encode()) for p in pieces[at:end]], add_special_tokens=False):
-                yield np.array(made.ids, "<u4").tobytes()
+            made = self.library.encode(" ".join([self.mapped(p.encode()) for p in pieces[at:end]]), add_special_tokens=False)
+            ids, owner = np.array(made.ids, "<u4").tobytes(), np.array(made.word_ids, np.int64)
+            begins = (4 * np.searchsorted(owner, np.arange(end - at + 1))).tolist()
+            for i, j in zip(begins, begins[1:]):
+                yield ids[i:j]
             at = end
 
     def encode(self, text: str) -> bytes:
@@ -169,8 +174,21 @@ class ByteLevel:
         count = np.cumsum(opens)
         return np.stack([count[begins] - 1, count[ends - 1]], axis=1).astype("<u4") if len(ends) else np.zeros((0, 2), "<u4")
 
+
+class Decoder:
+    """Bytes of ids: each token's characters by the reversed byte table."""
+
+    def __init__(self, ranks_path: str):
+        ranks = read_ranks(ranks_path)
+        characters = byte_characters()
+        to_byte = {c: b for b, c in enumerate(characters)}
+        self.token_bytes: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            text = "".join([characters[b] for b in token])  # as the library names the token
+            self.token_bytes[i] = bytes([to_byte[c] for c in text])
+
     def decode(self, ids: bytes) -> bytes:
-        """The tokens' bytes; an id outside the vocabulary is an IndexError."""
+        """The tokens' bytes; an id outside the vocabulary is an error."""
         table = self.token_bytes
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
@@ -186,8 +204,22 @@ class ByteLevel:
             yield rest
 
 
-def byte_level(ranks_path: str, pattern: str) -> ByteLevel:
-    return held(("byte level", ranks_path, pattern), lambda: ByteLevel(ranks_path, pattern))
+def encoder(ranks_path: str, pattern: str) -> Encoder:
+    return held(("byte level", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
+
+
+def decoder(ranks_path: str) -> Decoder:
+    return held(("byte table", ranks_path), lambda: Decoder(ranks_path))
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about BATCH_CHARS bytes in column ``at``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy())
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + BATCH_CHARS, side="right")))
+        yield batch.slice(row, end - row)
+        row = end
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,20 +234,21 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = byte_level(ranks_path, pattern)
+        level = encoder(ranks_path, pattern)
         for batch in batches:
-            ids, offsets = [], []
-            for text in batch.column(1).to_pylist():
-                ids.append(level.encode(text))
-                offsets.append(level.offsets(ids[-1], text).tobytes())
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], names=[id_col, "n_tokens", "ids", "offsets"])
+            for part in _slices(batch, 1):
+                ids, offsets = [], []
+                for text in part.column(1).to_pylist():
+                    ids.append(level.encode(text))
+                    offsets.append(level.offsets(ids[-1], text).tobytes())
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], names=[id_col, "n_tokens", "ids", "offsets"])
 
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return texts.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, offsets binary")
 
 
-def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def decode_ids(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """The rows of ``encoded`` and the bytes of their ids, ``decoded_col`` (binary); null ids give null.
 
     The bytes are those of the tokens, whole characters or not; a column of that name is
@@ -227,9 +260,10 @@ def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str, *, ids_col: st
     schema = kept.withColumn(decoded_col, F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = byte_level(ranks_path, pattern)
+        table = decoder(ranks_path)
         for batch in batches:
-            decoded = [None if ids is None else level.decode(ids) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=schema.names)
+            for part in _slices(batch, at):
+                decoded = [None if ids is None else table.decode(ids) for ids in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=schema.names)
 
     return kept.mapInArrow(run, schema)

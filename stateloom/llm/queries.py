@@ -98,10 +98,11 @@ def op11_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = vocab.path("byte_bpe_multi_50k.tiktoken"), vocab.PATTERN
-    encoded = byte_bpe.encode_texts(documents(spark, sf_dir), *files)
-    hashes = {f"{c}_sha256": F.sha2(c, 256) for c in ("ids", "decoded", "offsets")}
-    return byte_bpe.decode_ids(encoded, *files).select("doc_id", "n_tokens", *[h.alias(c) for c, h in hashes.items()])
+    ranks = vocab.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_texts(documents(spark, sf_dir), ranks, vocab.PATTERN)
+    hashed = encoded.select("doc_id", "n_tokens", "ids", *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "offsets")])
+    decoded = byte_bpe.decode_ids(hashed, ranks)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "offsets_sha256")
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
