@@ -52,16 +52,18 @@ def shard_of(key: Column, tree: Tree) -> Column:
 
 
 def hash_tree_shards(
-    docs: DataFrame, tree: Tree, grown: Tree | None = None, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024
+    docs: DataFrame, tree: Tree, grown: Tree | None = None, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024, run: int = 1024
 ) -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes plus 1 (a null text has none).  slot numbers a shard's
-    rows from 0 without gaps, by hash bucket of id, checksum and size, then these three: rows
-    are numbered inside (shard, bucket) and shifted by the counts of earlier buckets, at
-    most shards x buckets numbers, so no shard is ordered in one task.  Rows equal in
-    everything tie; either order gives the same table.  Null ids are one key, hence in one
-    shard, but in all of its buckets.  Only id and text are read.
+    rows from 0 without gaps, by hash bucket of id, checksum and size, then these three.
+    Rows equal in all three are counted before anything is ordered and go on as runs of at
+    most ``run`` rows, each in a bucket of its own, so neither one id nor one row with very
+    many copies is ordered in one task.  Runs are placed inside (shard, bucket) and shifted by
+    the rows of earlier buckets, at most shards x buckets numbers.  Rows equal in everything
+    are interchangeable.  Null ids are one key, hence in one shard, but in all of its
+    buckets.  Only id and text are read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
@@ -72,13 +74,19 @@ def hash_tree_shards(
         F.lit("key").alias("law"),
         shard_of(key, tree).alias("shard"),
         (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-    ).withColumn("_bucket", F.pmod(F.xxhash64(key, "text_crc32", "size", F.lit("slot")), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("shard", "_bucket").count()
+    )
+    # Equal rows become one row and a count, and that runs of bounded length.
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    split = equal.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(run).cast("long"))))
+    runs = split.withColumn("_rows", F.least(F.col("_n") - F.col("_from"), F.lit(run).cast("long")))
+    runs = runs.withColumn("_bucket", F.pmod(F.xxhash64(key, "text_crc32", "size", "_from", F.lit("slot")), F.lit(buckets)).cast("int"))
+    counts = runs.groupBy("shard", "_bucket").agg(F.sum("_rows").alias("_all"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy(F.col(id_col).asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("_n", F.row_number().over(inside) - 1)
+    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("shard", "_bucket").orderBy(F.col(id_col).asc_nulls_first(), "text_crc32", "size", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("_earlier", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
     # At most shards x buckets rows of three numbers: a proven bound for the broadcast.
-    return numbered.join(F.broadcast(offsets), ["shard", "_bucket"]).select(
-        id_col, "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_n")).cast("long").alias("slot"), "grown_shard"
+    numbered = placed.join(F.broadcast(offsets), ["shard", "_bucket"]).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)))
+    return numbered.select(
+        id_col, "size", "text_crc32", "law", "shard", (F.col("_before") + F.col("_earlier") + F.col("_at")).cast("long").alias("slot"), "grown_shard"
     )
