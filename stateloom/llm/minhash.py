@@ -251,7 +251,8 @@ def near_duplicates(
     # The texts of classes that share a bucket: all that later steps read.
     shared = members.select("node").distinct().join(classes.select("node", F.col("least.row_key").alias("row_key")), "node")
     texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = scratch.keep(texts.join(shared, "row_key").dropDuplicates(["row_key"]).select("node", "text"))
+    # Repeated rows fold into one before texts cross the network, so none are joined together.
+    texts = scratch.keep(texts.dropDuplicates(["row_key"]).join(shared, "row_key").select("node", "text"))
 
     def held_against(rows: DataFrame, rank: Column) -> DataFrame:
         """Links of each member to its bucket's hub, the member of least ``rank``."""
