@@ -76,19 +76,24 @@ def _is_stored(df: DataFrame) -> bool:
     return plan.children().isEmpty() and plan.metadataOutput().nonEmpty()
 
 
-def with_rank(df: DataFrame, name: str) -> DataFrame:
+#: Files of which the places where they begin may be broadcast: some 2 MB of paths and numbers.
+BROADCAST_FILES = 10_000
+
+
+def with_rank(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
     """df and every row's rank in the table's order (long, from 0): part by part, row by row.
 
     A table written from range-sorted rows holds their order in this way.  What is not yet a
     table of files is written first.  The places where files begin (one row per file) are
-    broadcast.
+    broadcast if the files are no more than BROADCAST_FILES, and joined by shuffle beyond.
     """
     if not _is_stored(df):
-        df = Scratch(df.sparkSession, "order").keep(df)
+        df = (scratch or Scratch(df.sparkSession, "order")).keep(df)
     # The columns of df travel in a struct, so none can clash.
     placed = df.select(F.struct(*df.columns).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     part = F.expr(r"try_cast(regexp_extract(file, 'part-([0-9]+)[^/]*$', 1) AS long)")
     earlier = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("file").agg((F.max("at") + 1).alias("rows"))
     begins = sizes.select("file", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("begin"))
-    return placed.join(F.broadcast(begins), "file").select("row.*", (F.col("begin") + F.col("at")).alias(name))
+    begins = F.broadcast(begins) if len(df.inputFiles()) <= BROADCAST_FILES else begins
+    return placed.join(begins, "file").select("row.*", (F.col("begin") + F.col("at")).alias(name))

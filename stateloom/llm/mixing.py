@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._groups import SHARES
 from ._scratch import Scratch
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -79,6 +80,31 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
     )
 
 
+#: Copies of a row from which they may be placed by count instead of by a window.
+COPIES = 1000
+
+
+def _copied(rows: DataFrame) -> list[str]:
+    """``key`` of the rows with COPIES copies at least and more than a 500th of all rows, of which there are fewer than 500."""
+    total = rows.count()
+    copies = rows.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") >= COPIES) & (F.col("n") * SHARES > total))
+    return sorted(r.key for r in copies.collect())
+
+
+def _by_count(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(buckets, rows with their place inside) of rows that have very many copies: all are made from one of each and a count.
+
+    Each such row is a bucket of its own, behind that of its prefix; its copies are made in
+    runs of COPIES, so no task makes them all.
+    """
+    first = [F.any_value(c).alias(c) for c in ("row", "id", "size", "src", "order", "rest", "bucket")]
+    one = rows.groupBy("key").agg(F.count("*").alias("n"), *first).withColumn("bucket", F.concat_ws("/", "bucket", "order", F.col("rest").cast("string")))
+    runs = one.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition("key", "begin")
+    each = F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + COPIES, F.col("n")) - 1))
+    made = runs.withColumn("copy", each).withColumn("inside", F.col("copy") * F.col("size"))
+    return one.select("src", "bucket", (F.col("n") * F.col("size")).alias("words")), made.drop("key", "n", "begin", "copy")
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], most: int, schedules: Sequence[Schedule], carry: Sequence[str]) -> DataFrame:
     """(row, id, size, source_size, target, positions): ``row`` is a struct of the carried columns, so no name clashes."""
     # A struct needs a field.
@@ -88,16 +114,26 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.col(source_col).cast("string").alias("source"),
+        F.coalesce(F.md5(text_col), F.lit("null")).alias("text_digest"),
     )
-    order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    # Id and text decide the order; what else a row carries only parts rows equal in both.
+    order = F.md5(F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("null")), "text_digest"))
     # One spelling that is never null, so that equal keys deal, join and order alike.
     rows = picked.select(
         "row", "id", "size",
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("src"),
-        F.substring(order, 1, 3).alias("bucket"),
         order.alias("order"),
+        F.xxhash64("row").alias("rest"),
     )
-    buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    rows = rows.withColumn("bucket", F.substring("order", 1, 3)).withColumn("key", F.concat_ws("/", "order", F.col("rest").cast("string"), "src"))
+    copied = _copied(rows)
+    others = rows.where(~F.col("key").isin(copied)) if copied else rows
+    inside = Window.partitionBy("src", "bucket").orderBy("order", "rest").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = others.drop("key").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    buckets = others.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    if copied:
+        more_buckets, more_rows = _by_count(rows.where(F.col("key").isin(copied)))
+        buckets, ordered = buckets.unionByName(more_buckets), ordered.unionByName(more_rows)
     totals = buckets.groupBy("src").agg(F.sum("words").alias("source_size"))
     named = totals.select(F.when(F.col("src") != "n", F.expr("substring(src, 2)")).alias("source"), "source_size")
     targets = source_targets(named, weights, most).select(
@@ -105,8 +141,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     )
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("src", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before")).join(targets, "src")
-    inside = Window.partitionBy("src", "bucket").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["src", "bucket"])
+    placed = ordered.join(offsets, ["src", "bucket"])
     middle = F.col("before") + F.col("inside") + F.col("size") / 2
     passes = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: middle + k * F.col("source_size")),
@@ -117,7 +152,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
     for i, schedule in enumerate(schedules):
         times = F.transform(shares, _timed_by(schedule))
         timed = F.when(F.col("_rank") % len(schedules) == i, times).otherwise(timed)
-    return placed.select("row", "id", "size", "source_size", "target", timed.alias("positions"))
+    return placed.select("row", "id", "size", "source_size", "target", timed.alias("positions"), "order", "rest")
 
 
 def mix_to_targets(
@@ -136,13 +171,13 @@ def mix_to_targets(
     holds the training time of every pass through the document, and taken is size times
     their number.  Pass k of a document that starts at word c of its source's stream is
     taken if its middle lies before the target, so a source's taken words miss its target
-    by half a document at most.  The stream's order is by md5 of the id; equal rows tie and
-    are interchangeable.  Null sources are one source, null ids one id.  Only id, text and
+    by half a document at most.  The stream's order is by md5 of id and text digest; rows
+    equal in both, and in what they carry, are interchangeable, so reruns agree.  Null sources are one source, null ids one id.  Only id, text and
     source are read, so other columns may have any names.
 
-    A source is summed in 4,096 buckets of the order and numbered inside each, so a source
-    with most of the rows is never ordered in one task; only one row per source meets in
-    one task.
+    A source is summed in 4,096 buckets of the order and numbered inside each, and copies of
+    one row are placed by their count, so neither a source nor a row with most of the rows,
+    nor rows without an id, are ordered in one task; only one row per source meets in one.
     """
     placed = _placed(docs, id_col, text_col, source_col, weights, most, schedules, ())
     taken = (F.col("size") * F.size("positions")).alias("taken")
@@ -168,13 +203,13 @@ def training_order(
     """
     columns = [c for c in docs.columns if c.lower() != position_col.lower()]
     placed = _placed(docs, id_col, text_col, source_col, weights, most, schedules, columns)
-    passes = placed.select("row", "id", F.explode("positions").alias("position"))
-    keys = ["position", "id"]
+    passes = placed.select("row", "order", "rest", F.explode("positions").alias("position"))
+    keys = ["position", "order", "rest"]
     dealt = passes.repartitionByRange(partitions, *keys) if partitions else passes.repartitionByRange(*keys)
     return dealt.sortWithinPartitions(*keys).select("row.*", F.col("position").alias(position_col))
 
 
-def with_ranks(docs: DataFrame, ranges: int = 4096, **options) -> DataFrame:
+def with_ranks(docs: DataFrame, ranges: int = 4096, scratch: Scratch | None = None, **options) -> DataFrame:
     """The rows of ``mix_to_targets`` and ranks (array<long>): each pass's rank from 0 in the training order.
 
     The order is that of ``training_order``, equal rows tied.  Passes are dealt to equal
@@ -184,7 +219,7 @@ def with_ranks(docs: DataFrame, ranges: int = 4096, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     mixed = mix_to_targets(docs, **options).withColumn("_row", F.monotonically_increasing_id())
-    rows = Scratch(docs.sparkSession, "mixing").keep(mixed)
+    rows = (scratch or Scratch(docs.sparkSession, "mixing")).keep(mixed)
     at = F.least(F.floor(F.col("_position") * ranges), F.lit(ranges - 1))
     passes = rows.select("_row", F.col(id_col).alias("_id"), F.posexplode("positions").alias("_pass", "_position")).withColumn("_range", at)
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

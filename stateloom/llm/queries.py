@@ -174,12 +174,12 @@ def _time_sql(share: str, schedule: mixing.Schedule) -> str:
 
 #: The level at which the sources share, each source's stream summed in order, passes before the target timed and ranked.
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || coalesce(md5(text), 'null')) AS place, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 w AS (SELECT *, source_size * 3 AS cap, [5, 2, 1][turn % 3 + 1] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source)),
 k AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(cap) OVER o AS BIGINT) - cap AS filled, CAST(sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight DESC, turn DESC) AS BIGINT) AS open FROM w WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, turn)),
 v AS (SELECT arg_min(CAST(total - filled AS DOUBLE) / open, (CAST(cap AS DOUBLE) / weight, turn)) FILTER (WHERE CAST(total - filled AS DOUBLE) / open <= CAST(cap AS DOUBLE) / weight) AS level FROM k),
 t AS (SELECT source, turn, source_size, least(CAST(cap AS DOUBLE), coalesce(level, 0e0) * weight) AS target FROM w, v),
-q AS (SELECT d.doc_id, d.size, t.turn, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY t.turn ORDER BY md5(CAST(doc_id AS VARCHAR))) AS BIGINT) - size AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+q AS (SELECT d.doc_id, d.size, t.turn, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY t.turn ORDER BY place) AS BIGINT) - size AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
 p AS (SELECT doc_id, pass, turn, (before + CAST(size AS DOUBLE) / 2 + pass * source_size) / target AS share FROM q, (VALUES (0), (1), (2)) x(pass) WHERE before + CAST(size AS DOUBLE) / 2 + pass * source_size < target),
 g AS (SELECT doc_id, count(*) AS n, min(moment) AS first, string_agg(CAST(floor(moment * 1e9) AS BIGINT), ',' ORDER BY pass) AS positions, string_agg(place - 1, ',' ORDER BY place) AS ranks
   FROM (SELECT *, row_number() OVER (ORDER BY moment, doc_id, pass) AS place FROM (SELECT *, CASE turn % 3 WHEN 0 THEN TIME0 WHEN 1 THEN TIME1 ELSE TIME2 END AS moment FROM p)) GROUP BY doc_id)
