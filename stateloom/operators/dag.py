@@ -1,88 +1,159 @@
-"""Dataflow graphs: levels, readiness, poisoning by fixpoint joins; scatter, gather, merges.
-
-Fixpoints go round by round, as many as the graph is deep; each round's result is written
-to shared storage, so plans do not grow.  Once no more than ``small`` edges are left, which
-is checked by a count, one task finishes them: a long chain then costs one pass, not a job
-per level.
+"""Dataflow graphs: levels, readiness, poisoning; scatter, gather, merges.
+
+Levels and poison are one computation (``settled``): a node is known once all its parents
+are, one round later than the last.  Going round by round costs as many rounds as the graph
+is deep, so nodes that wait for one parent only are contracted: what such a node becomes is
+a function of its parent, functions along a chain compose, and pointers of doubling length
+reach the chain's head in a logarithmic number of steps.  Rounds remain for nodes with
+several open parents; each folds what it has learnt, so they become nodes with one.  Every
+step is distributed and written to shared storage, so plans do not grow.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_table
 
-SMALL = 1_000_000
+#: What a parent means to a child, the graver the higher: nothing, failure, a stop, or that it never settles.
+FINE, FAILED, STOPPED, NEVER = 0, 1, 2, 3
+#: Each node's fate as it follows from the fates of its parents, and the round in which it is known.
+_EDGE = ("child", "parent", "if_failed", "if_stopped", "least", "steps")
+
+
+def _own(code: Column, tolerant: Column) -> Column:
+    """What a node becomes, from the gravest of its parents: one that can run never settles here."""
+    return F.when(code >= STOPPED, code).when((code == FAILED) & ~tolerant, FAILED).otherwise(NEVER)
 
 
-def _in_one_task(rows: DataFrame, solve, schema: str) -> DataFrame:
-    """``solve`` over all rows as one pandas frame; for tables of a checked size only."""
+def _through(fate: Column, if_failed: Column, if_stopped: Column) -> Column:
+    return F.when(fate == FAILED, if_failed).when(fate == STOPPED, if_stopped).otherwise(NEVER)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if held:
-            yield solve(pd.concat(held))
 
-    return rows.coalesce(1).mapInPandas(run, schema)
+def _merged(edges: DataFrame) -> DataFrame:
+    """One edge for each pair: what several mean to a child is the gravest and the latest of them."""
+    return edges.groupBy("child", "parent").agg(*[F.max(c).alias(c) for c in _EDGE[2:]])
 
 
-def _rest_of_levels(edges: pd.DataFrame) -> pd.DataFrame:
-    """Levels of the children of edges (parent, child, at: the parent's level or null)."""
-    need, reach, below, first = defaultdict(int), defaultdict(int), defaultdict(list), []
-    for parent, child, at in edges[["parent", "child", "at"]].itertuples(index=False):
-        if pd.isna(at):
-            need[child] += 1
-            below[parent].append(child)
-        else:
-            reach[child] = max(reach[child], int(at) + 1)
-            need[child] += 0
-    first = [n for n in need if not need[n]]
-    out = {}
-    while first:
-        n = first.pop()
-        out[n] = reach[n]
-        for c in below[n]:
-            reach[c] = max(reach[c], reach[n] + 1)
-            need[c] -= 1
-            if not need[c]:
-                first.append(c)
-    return pd.DataFrame({"node": list(out), "level": list(out.values())}).astype({"level": "int64"}).astype({"node": edges["child"].dtype})
+def _doubled(chain: DataFrame) -> DataFrame:
+    """Each chain node with the head of its chain, which is none, and what it becomes by the head's fate.
+
+    ``chain``: node, to, if_failed, if_stopped, least, steps.  Nodes that only lead round a
+    circle are left out: they never settle.
+    """
+    n = chain.count()
+    at, length = chain, 1
+    while True:
+        ahead = at.select(F.col("node").alias("_node"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in _EDGE[2:]])
+        moves = F.col("_node").isNotNull()
+        joined = at.join(ahead, F.col("to") == F.col("_node"), "left")
+        least = F.greatest("least", F.col("_least") + F.col("steps"))
+        made = joined.select(
+            "node",
+            F.coalesce("_to", "to").alias("to"),
+            F.when(moves, _through(F.col("_if_failed"), F.col("if_failed"), F.col("if_stopped"))).otherwise(F.col("if_failed")).alias("if_failed"),
+            F.when(moves, _through(F.col("_if_stopped"), F.col("if_failed"), F.col("if_stopped"))).otherwise(F.col("if_stopped")).alias("if_stopped"),
+            F.when(moves, least).otherwise(F.col("least")).alias("least"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            moves.alias("moved"),
+        )
+        made = scratch_table(made)
+        at = made.drop("moved")
+        if made.where("moved").isEmpty():
+            return at
+        if length > n:  # longer than any chain: what still moves goes round
+            return at.join(chain.select(F.col("node").alias("to")), "to", "left_anti")
+        length *= 2
+
 
+def settled(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, fate, turn) of the nodes that come to fail or stop because of their parents.
 
-def dag_levels(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    ``edges``: parent, child, barrier (a barrier only has to settle); ``nodes``: node,
+    tolerant, of the open nodes; ``known``: node, fate (FINE, FAILED or STOPPED), of the others.
+    A parent that is neither open nor known never settles.
+    """
+    bad = lambda code: F.when(F.col("barrier"), F.lit(FINE)).otherwise(F.lit(code))
+    waiting = edges.join(nodes.select(F.col("node").alias("child")), "child")
+    waiting = waiting.select("child", "parent", bad(FAILED).alias("if_failed"), bad(STOPPED).alias("if_stopped"), F.lit(0).cast("long").alias("least"), F.lit(1).cast("long").alias("steps"))
+    waiting = scratch_table(_merged(waiting))
+    new = known.select(F.col("node").alias("parent"), "fate", F.lit(0).cast("long").alias("turn"))
+    base, found, hung = None, [], []
+    while True:
+        # What the new fates mean to their children, on top of what these knew before.
+        met = waiting.join(new, "parent", "left")
+        means = F.when(F.col("fate") == FINE, FINE).otherwise(_through(F.col("fate"), F.col("if_failed"), F.col("if_stopped")))
+        told = F.col("fate").isNotNull()
+        facts = met.select(
+            "child", F.when(told, means).alias("code"), F.when(told, F.greatest("least", F.col("turn") + F.col("steps"))).alias("at"), F.when(told, 0).otherwise(1).alias("open"),
+            F.when(~told, F.struct(*_EDGE[1:])).alias("edge"),
+        )
+        if base is not None:
+            facts = facts.unionByName(base.select("child", "code", "at", F.lit(0).alias("open")), allowMissingColumns=True)
+        # any_value of the open edges: the only one, where a node has one.
+        folded = facts.groupBy("child").agg(F.max("code").alias("code"), F.max("at").alias("at"), F.sum("open").alias("open"), F.any_value("edge", ignoreNulls=True).alias("edge"))
+        state = scratch_table(folded.join(nodes.select(F.col("node").alias("child"), "tolerant"), "child"))
+        own = _own(F.coalesce("code", F.lit(FINE)), F.col("tolerant"))
+        ready = scratch_table(state.where("open = 0").select(F.col("child").alias("node"), own.alias("fate"), F.col("at").alias("turn")).where(F.col("fate") < NEVER))
+        single = state.where("open = 1")
+        counts = state.agg(F.count_if(F.col("open") == 1).alias("single")).first()
+        n_ready = ready.count()
+        if not n_ready:
+            break
+        found.append(ready)
+        rest = met.where(~told).select(*_EDGE)
+        # Contracted are chains of more than one node, where they hold more than the round has settled.
+        inner = single.join(single.select(F.col("child").alias("_up")), F.col("edge.parent") == F.col("_up"), "left_semi").count() if counts.single else 0
+        if inner >= max(1, n_ready):
+            chain = scratch_table(single.select(
+                F.col("child").alias("node"),
+                F.col("edge.parent").alias("to"),
+                *[_own(F.greatest(F.coalesce("code", F.lit(FINE)), F.col(f"edge.{c}")), F.col("tolerant")).alias(c) for c in ("if_failed", "if_stopped")],
+                F.greatest(F.coalesce("at", F.lit(0)), "edge.least").alias("least"),
+                F.col("edge.steps").alias("steps"),
+            ))
+            heads = _doubled(chain)
+            hung.append(heads)
+            outside = rest.join(chain.select(F.col("node").alias("child")), "child", "left_anti")
+            up = heads.select(F.col("node").alias("parent"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in _EDGE[2:]])
+            held = chain.select(F.col("node").alias("parent")).withColumn("_in", F.lit(True))
+            # An edge from a chain node is one from its head; from a circle none, so its child stays open.
+            moved = outside.join(held, "parent", "left").join(up, "parent", "left")
+            through = lambda c: F.when(F.col("_to").isNull(), F.col(c)).otherwise(_through(F.col(f"_{c}"), F.col("if_failed"), F.col("if_stopped"))).alias(c)
+            rest = _merged(moved.select(
+                "child", F.coalesce("_to", "parent").alias("parent"), through("if_failed"), through("if_stopped"),
+                F.greatest("least", F.coalesce(F.col("_least") + F.col("steps"), F.lit(0))).alias("least"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            ))
+            state = state.where("open <> 1")  # what chain nodes know is in the chain
+        base = state.where("open > 0 AND code IS NOT NULL")
+        waiting, new = scratch_table(rest), ready.select(F.col("node").alias("parent"), "fate", "turn")
+    # Nodes of chains follow from their heads; a later chain may hold the heads of an earlier one.
+    fates = known.select("node", "fate", F.lit(0).cast("long").alias("turn"))
+    for part in found:
+        fates = fates.unionByName(part)
+    for heads in reversed(hung):
+        fates = scratch_table(fates)
+        below = heads.join(fates.select(F.col("node").alias("to"), F.col("fate").alias("_fate"), "turn"), "to")
+        fate = _through(F.col("_fate"), F.col("if_failed"), F.col("if_stopped"))
+        fates = fates.unionByName(below.select("node", fate.alias("fate"), F.greatest("least", F.col("turn") + F.col("steps")).alias("turn")).where(F.col("fate") < NEVER))
+    return scratch_table(fates).join(nodes.select("node"), "node", "left_semi")
+
+
+def dag_levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a root; a cycle is an error.
 
-    Kahn's rounds: a round places the children of the last round's nodes that have no
-    parent left without a level.  Only edges into such children are looked at and rewritten;
-    edges into placed nodes are dropped.
+    Chains take a logarithmic number of steps; the rounds beside them are as many as there
+    are layers of nodes with several parents that are open at once.
     """
     pairs = scratch_table(edges.select("parent", "child").distinct())
-    kind = pairs.schema["child"].dataType.simpleString()
-    roots = pairs.select(F.col("parent").alias("node")).distinct().join(pairs.select(F.col("child").alias("node")), "node", "left_anti")
-    placed = scratch_table(roots.select("node", F.lit(0).cast("long").alias("level")))
-    # Edges into nodes without a level, with the parent's level where it has one.
-    open_ = pairs.join(placed.select(F.col("node").alias("parent"), F.col("level").alias("at")), "parent", "left")
-    open_ = scratch_table(open_.select("parent", "child", "at"))
-    left = open_.count()
-    while left > small:
-        ready = open_.groupBy("child").agg(F.count_if(F.col("at").isNull()).alias("unplaced"), (F.max("at") + 1).alias("level"))
-        new = scratch_table(ready.where("unplaced = 0").select(F.col("child").alias("node"), "level"))
-        if new.isEmpty():
-            break
-        placed = placed.unionByName(new)
-        rest = open_.join(new.select(F.col("node").alias("child")), "child", "left_anti")
-        now = rest.join(new.select(F.col("node").alias("parent"), F.col("level").alias("new_at")), "parent", "left")
-        open_ = scratch_table(now.select("parent", "child", F.coalesce("at", "new_at").alias("at")))
-        left = open_.count()
-    if 0 < left <= small:
-        placed = placed.unionByName(scratch_table(_in_one_task(open_, _rest_of_levels, f"node {kind}, level long")))
-    nodes = pairs.select(F.col("parent").alias("node")).union(pairs.select("child")).distinct().count()
-    if (lost := nodes - placed.count()) > 0:
+    children = scratch_table(pairs.select(F.col("child").alias("node")).distinct())
+    roots = scratch_table(pairs.select(F.col("parent").alias("node")).distinct().join(children, "node", "left_anti"))
+    # A level is the round in which a failure at the roots would reach a node.
+    failed = roots.withColumn("fate", F.lit(FAILED))
+    reached = settled(pairs.withColumn("barrier", F.lit(False)), children.withColumn("tolerant", F.lit(False)), failed)
+    placed = scratch_table(roots.withColumn("level", F.lit(0).cast("long")).unionByName(reached.select("node", F.col("turn").alias("level"))))
+    if (lost := roots.count() + children.count() - placed.count()) > 0:
         raise ValueError(f"the graph has a cycle: {lost} nodes have no level")
     return placed
 
@@ -94,80 +165,24 @@ def dag_ready(edges: DataFrame, states: DataFrame) -> DataFrame:
     return states.where("state = 'pending'").join(open_parents.select(F.col("child").alias("node")).distinct(), "node", "left_anti").orderBy("node")
 
 
-SETTLED = ("completed", "failed", "stopped", "skipped")
-
-
-def _fate(unsettled: Column, stopped: Column, failed: Column, tolerant: Column) -> Column:
-    return F.when((unsettled == 0) & stopped, "stopped").when((unsettled == 0) & failed & ~tolerant, "failed")
-
-
-def _rest_of_poison(edges: pd.DataFrame) -> pd.DataFrame:
-    """Fates of pending children, from edges with the states of both ends."""
-    pending = dict(zip(edges["child"], edges["tolerant"], strict=True))
-    open_, bad, below = defaultdict(int), defaultdict(set), defaultdict(list)
-    for parent, child, state, barrier in edges[["parent", "child", "state", "barrier"]].itertuples(index=False):
-        if state in SETTLED:
-            if not barrier:
-                bad[child].add(state)
-        else:
-            open_[child] += 1
-            below[parent].append((child, barrier))
-    out = []
-    ready = [(n, 1) for n in pending if not open_[n]]
-    while ready:
-        coming = []
-        for n, turn in ready:
-            fate = "stopped" if "stopped" in bad[n] else "failed" if "failed" in bad[n] and not pending[n] else None
-            if fate is None:
-                continue
-            out.append((n, fate, turn))
-            for child, barrier in below[n]:
-                open_[child] -= 1
-                if not barrier:
-                    bad[child].add(fate)
-                if not open_[child]:
-                    coming.append((child, turn + 1))
-        ready = coming
-    return pd.DataFrame(out, columns=["node", "fate", "turn"]).astype({"turn": "int64"}).astype({"node": edges["child"].dtype})
-
-
-def dag_poison(edges: DataFrame, states: DataFrame, small: int = SMALL) -> DataFrame:
+# States of nodes that change no more.
+SETTLED = {"completed": FINE, "skipped": FINE, "failed": FAILED, "stopped": STOPPED}
+
+
+def dag_poison(edges: DataFrame, states: DataFrame) -> DataFrame:
     """(node, fate, turn): pending nodes that will never run, and the round in which that is known.
 
     ``edges``: parent, child, barrier (a barrier only has to settle).  ``states``: node,
     state, tolerant (its missing inputs are no error).  A node is judged once all its
     parents and barriers are settled: it stops if a parent stopped, and fails if a parent
-    failed and it is not tolerant; either settles it for its own children.
+    failed and it is not tolerant; either settles it for its own children.  A parent without
+    a state is not settled.
     """
-    known = states.select("node", "state", "tolerant")
-    children = known.where("state = 'pending'").select(F.col("node").alias("child"), "tolerant")
-    parents = known.select(F.col("node").alias("parent"), "state")
-    kind = edges.schema["child"].dataType.simpleString()
-    # A parent without a state is not settled.
-    open_ = edges.join(children, "child").join(parents, "parent", "left").select("parent", "child", F.coalesce("state", F.lit("pending")).alias("state"), "barrier", "tolerant")
-    open_ = scratch_table(open_.distinct())
-    left, turn = open_.count(), 0
-    out = None
-    while left > small:
-        turn += 1
-        counted = open_.groupBy("child").agg(
-            F.count_if(~F.col("state").isin(*SETTLED)).alias("unsettled"),
-            F.bool_or((F.col("state") == "stopped") & ~F.col("barrier")).alias("stopped"),
-            F.bool_or((F.col("state") == "failed") & ~F.col("barrier")).alias("failed"),
-            F.bool_or("tolerant").alias("tolerant"),
-        )
-        fate = _fate(F.col("unsettled"), F.col("stopped"), F.col("failed"), F.col("tolerant"))
-        new = scratch_table(counted.select(F.col("child").alias("node"), fate.alias("fate"), F.lit(turn).cast("long").alias("turn")).where("fate IS NOT NULL"))
-        if new.isEmpty():
-            return out if out is not None else new
-        out = new if out is None else out.unionByName(new)
-        rest = open_.join(new.select(F.col("node").alias("child")), "child", "left_anti")
-        moved = rest.join(new.select(F.col("node").alias("parent"), "fate"), "parent", "left")
-        open_ = scratch_table(moved.select("parent", "child", F.coalesce("fate", "state").alias("state"), "barrier", "tolerant"))
-        left = open_.count()
-    last = _in_one_task(open_, _rest_of_poison, f"node {kind}, fate string, turn long").withColumn("turn", F.col("turn") + turn)
-    last = scratch_table(last)
-    return last if out is None else out.unionByName(last)
+    code = F.coalesce(*[F.when(F.col("state") == name, value) for name, value in SETTLED.items()])
+    pending = states.where("state = 'pending'").select("node", F.coalesce("tolerant", F.lit(False)).alias("tolerant"))
+    known = states.select("node", code.alias("fate")).where("fate IS NOT NULL")
+    fate = F.when(F.col("fate") == STOPPED, "stopped").otherwise("failed")
+    return settled(edges.select("parent", "child", "barrier"), pending, known).select("node", fate.alias("fate"), "turn")
 
 
 def duplicate_ports(edges: DataFrame) -> DataFrame:

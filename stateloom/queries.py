@@ -865,7 +865,7 @@ def read_state(markers, records):
 
 @query(
     "fx_marker", "fx_record",
-    sql=""", w AS (SELECT m.job_id, m.record_ref, 0 AS back, [m.record_ref] AS seen, NULL AS error FROM fx_marker m WHERE m.record_ref <> 'init'
+    sql=""", w AS (SELECT m.job_id, m.record_ref, 0 AS back, [m.record_ref] AS seen, CAST(NULL AS VARCHAR) AS error FROM fx_marker m WHERE m.record_ref <> 'init'
   UNION ALL SELECT w.job_id, r.previous_record_ref, w.back + 1, list_append(w.seen, r.previous_record_ref), CASE WHEN list_contains(w.seen, r.previous_record_ref) THEN 'the chain is cyclic' END
   FROM w JOIN fx_record r ON r.record_ref = w.record_ref WHERE w.error IS NULL AND NOT r.is_error AND r.previous_record_ref IS NOT NULL)
 SELECT w.job_id, row_number() OVER (PARTITION BY w.job_id ORDER BY back DESC) AS position, w.record_ref,

@@ -137,14 +137,6 @@ def test_graphs(spark):
     assert {(r.node, r.level) for r in dag.dag_levels(edges).collect()} == {(1, 0), (4, 0), (2, 1), (3, 2)}
     with pytest.raises(ValueError):
         dag.dag_levels(spark.createDataFrame([(1, 2), (2, 1), (5, 6)], "parent int, child int"))
-    # Long chains and wide graphs, by rounds and in one task; a node is in no round twice.
-    chain = spark.range(1200).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
-    assert {(r.node, r.level) for r in dag.dag_levels(chain).collect()} == {(i, i) for i in range(1201)}
-    mixed = spark.createDataFrame([(i // 2, i) for i in range(1, 60)] + [(i // 3, i) for i in range(1, 60)] + [(0, 59), (70, 59)], "parent int, child int").where("parent <> child")
-    whole = sorted(map(tuple, dag.dag_levels(mixed).collect()))
-    assert whole == sorted(map(tuple, dag.dag_levels(mixed, small=0).collect())) == sorted(map(tuple, dag.dag_levels(mixed, small=40).collect()))
-    with pytest.raises(ValueError):
-        dag.dag_levels(spark.createDataFrame([(1, 2), (2, 1), (5, 6)], "parent int, child int"), small=0)
     bad = spark.createDataFrame([(1, [1, 2], [1])], "k int, a array<int>, b array<int>")
     with pytest.raises(Exception, match="differ in length"):
         dag.scatter(bad, ["k"], ["a", "b"]).collect()
@@ -164,9 +156,8 @@ def test_poison_waits_for_settled_parents(spark):
     expected = {(9, "stopped", 1), (10, "stopped", 2)}
     settled = s.withColumn("state", F.when(F.col("node") == 2, "completed").otherwise(F.col("state")))
     more = expected | {(3, "failed", 1), (11, "failed", 1), (4, "failed", 2)}
-    for small in (0, dag.SMALL):
-        assert set(map(tuple, dag.dag_poison(e, s, small).collect())) == expected
-        assert set(map(tuple, dag.dag_poison(e, settled, small).collect())) == more
+    assert set(map(tuple, dag.dag_poison(e, s).collect())) == expected
+    assert set(map(tuple, dag.dag_poison(e, settled).collect())) == more
 
 
 def test_argument_words(spark):
