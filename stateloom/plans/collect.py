@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import subprocess
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -84,37 +82,6 @@ def run_collector(records: DataFrame, collector: Callable[[dict], dict], schema:
     return records.mapInPandas(run, f"{key} {kind}, {schema}, error string")
 
 
-def run_program(records: DataFrame, argv: Sequence[str], key: str = "job_id") -> DataFrame:
-    """A collector program over records: (key, outputs as JSON text, error).
-
-    A program gets the records of a batch as JSON lines and answers each with a line
-    ``{"key": ..., "outputs": {...}}`` or ``{"key": ..., "error": "..."}``, in any order.  A row
-    without an answer is kept with the program's last error line, or with its exit code.
-    """
-    kind = records.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = subprocess.run(list(argv), input="\n".join(batch["record"]) + "\n", capture_output=True, text=True, check=False)
-            answers = {}
-            for line in done.stdout.splitlines():
-                try:
-                    answer = json.loads(line)
-                    answers[str(answer["key"])] = answer
-                except (ValueError, KeyError, TypeError):
-                    continue  # a line that is no answer answers nothing
-            silent = (done.stderr.strip().splitlines() or [f"exit code {done.returncode}"])[-1]
-            rows = []
-            for k in batch[key]:
-                answer = answers.get(str(k), {"error": silent})
-                outputs = answer.get("outputs")
-                rows.append((k, None if outputs is None else json.dumps(outputs, sort_keys=True), answer.get("error")))
-            yield pd.DataFrame(rows, columns=[key, "outputs", "error"])
-
-    named = records.select(key, F.to_json(F.struct(F.col(key).alias("key"), F.struct("*").alias("record"))).alias("record"))
-    return named.mapInPandas(run, f"{key} {kind}, outputs string, error string")
-
-
 def campaign(partitions: dict[str, DataFrame]) -> DataFrame:
     """All partitions in name order, each row with its partition."""
     out = None

@@ -327,10 +327,3 @@ def test_logs_are_followed_as_a_stream(spark, tmp_path):
     query = spoken.writeStream.outputMode("complete").format("memory").queryName("spoken").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.source, r.n_lines) for r in spark.table("spoken").collect()} == {("a", 3), ("b", 1)}
-
-
-def test_a_collector_program_answers_rows(spark):
-    program = "import sys, json\nfor l in sys.stdin:\n r = json.loads(l)\n k = r['key']\n if k == 3: break\n print('noise' if k == 2 else json.dumps({'key': k, 'outputs': {'y': r['record']['x'] * 2}}))\nsys.stderr.write('stopped\\n')"
-    rows = spark.createDataFrame([(1, 2.0), (2, 0.0), (3, 1.0)], "job_id int, x double").coalesce(1)
-    got = collect.run_program(rows, ["python", "-c", program]).orderBy("job_id").collect()
-    assert [(r.outputs, r.error) for r in got] == [('{"y": 4.0}', None), (None, "stopped"), (None, "stopped")]
