@@ -93,7 +93,8 @@ SELECT j.job_id, CASE WHEN j.job_id % 37 = 0 THEN 'o--x' ELSE j.job_key END AS j
 FROM ({VIEWS["fx_job"]}) j LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY generation DESC) AS newest FROM ({VIEWS["fx_frame"]}) g) h WHERE newest = 1) f
   ON f.job_id = j.job_id"""
 VIEWS["fx_record"] = f"""
-SELECT *, concat('w', cast(event_id AS string)) AS record_ref, concat('o--', cast(job_id AS string)) AS job_key, 'state' AS format, 2 AS format_version, 'ws' AS workspace_id,
+SELECT *, concat('w', cast(event_id AS string)) AS record_ref, concat('o--', cast(job_id AS string)) AS job_key, CASE WHEN event_id % 31 = 1 THEN 'note' ELSE 'state' END AS format, CASE WHEN event_id % 37 = 1 THEN 1 ELSE 2 END AS format_version,
+       CASE WHEN event_id % 41 = 1 THEN 'elsewhere' ELSE 'ws' END AS workspace_id, event_id % 9 = 4 AS unclean_restart,
        event_id % 150 AS manager_id, CASE WHEN event_id % 2 = 0 THEN 100 * (event_id % 13) END AS lease_seconds,
        CASE WHEN generation > 1 THEN lag(concat('w', cast(event_id AS string))) OVER (PARTITION BY job_id ORDER BY generation)
          WHEN job_id % 10 = 3 THEN first_value(concat('w', cast(event_id AS string))) OVER (PARTITION BY job_id ORDER BY generation DESC)

@@ -43,11 +43,14 @@ def work_census(jobs: DataFrame, executors: Sequence[str], pools: Sequence[str]
 
 
 def attempt_history(frames: DataFrame) -> DataFrame:
-    """Per job: distinct attempts and activations, last failure code, failed frames, newest generation."""
+    """Per job: distinct attempts and activations, last step, unclean restarts, last failure code, failed frames, newest generation."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("generation")))
     return frames.groupBy("job_id").agg(
         F.count_distinct("attempt_id").alias("n_attempts"),
         F.count_distinct("activation_id").alias("n_activations"),
-        F.max_by("failure_code", F.when(F.col("failure_code").isNotNull(), F.col("generation"))).alias("last_failure"),
+        last("step").alias("last_step"),
+        F.count_if("unclean_restart").alias("n_unclean"),
+        last("failure_code").alias("last_failure"),
         F.count_if(F.col("kind") == "failed").alias("n_failed"),
         F.max("generation").alias("generation"),
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def _lines(text: Column) -> Column:
@@ -14,10 +17,14 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(line, r"\s+"), lambda w: w != "")
 
 
-def number_text(value: Column) -> Column:
-    """A double in up to 16 significant digits without trailing zeros (magnitudes from 1e-4 to 1e17)."""
-    exact = F.format_string("%.15e", value).cast("decimal(38,20)").cast("string")
-    return F.regexp_replace(F.regexp_replace(exact, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+@pandas_udf(StringType())
+def number_text(value: pd.Series) -> pd.Series:
+    """A double in up to 16 significant digits without trailing zeros, with an exponent below 1e-4 and from 1e16 on.
+
+    Rounded from the exact binary value, which no built-in function does: they round the
+    shortest decimal form, so a 17th digit of 5 can go the wrong way.
+    """
+    return value.map(lambda x: f"{x:.16g}", na_action="ignore")
 
 
 def header(text: Column) -> Column:

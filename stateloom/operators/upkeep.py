@@ -97,23 +97,38 @@ def begin_commits(outcomes: DataFrame, spawns: DataFrame) -> DataFrame:
 
 
 def children_to_register(spawns: DataFrame, bundles: DataFrame, markers: DataFrame) -> DataFrame:
-    """Spawned children with ``fate``: registered (a marker exists), mismatch, missing or register.
-
-    ``spawns``: job_id, child_key, digest (declared); ``bundles``: child_key, found (digest of
-    what lies there); ``markers``: child_key.
+    """Spawned children with ``fate``: changed, missing, registered, mismatch, publish or register.
+
+    ``spawns``: job_id, child_key, digest (declared); ``bundles``: child_key, place (outcome or
+    target), found (digest of what lies there); ``markers``: child_key.  A bundle that still
+    lies in the outcome is looked at first: its digest must be the declared one, whether or
+    not the child has a marker, and it is published and needs no second look.  Without one,
+    what lies at the target must exist; a child with a marker is registered whatever its
+    payload has become, and one without has to have the declared digest.
     """
     known = markers.select("child_key").distinct().withColumn("_there", F.lit(True))
-    both = spawns.join(bundles, "child_key", "left").join(known, "child_key", "left")
-    fate = F.when(F.col("found").isNull(), "missing").when(F.col("_there"), "registered").when(F.col("found") != F.col("digest"), "mismatch").otherwise("register")
+    at = lambda place: F.max(F.when(F.col("place") == place, F.col("found")))
+    lying = bundles.groupBy("child_key").agg(at("outcome").alias("_outcome"), at("target").alias("_target"))
+    both = spawns.join(lying, "child_key", "left").join(known, "child_key", "left")
+    same = lambda c: F.coalesce(F.col(c) == F.col("digest"), F.lit(False))
+    fate = (
+        F.when(F.col("_outcome").isNotNull() & ~same("_outcome"), "changed")
+        .when(F.col("_outcome").isNull() & F.col("_target").isNull(), "missing")
+        .when(F.col("_there"), "registered")
+        .when(F.col("_outcome").isNotNull(), "publish")
+        .when(same("_target"), "register")
+        .otherwise("mismatch")
+    )
     return both.select("job_id", "child_key", fate.alias("fate"))
 
 
 def deferred_pause(moves: DataFrame) -> DataFrame:
-    """Moves with a sticky pause request applied at the boundary: next_kind, reason, pause_requested.
+    """Moves with a sticky pause request applied at the boundary: next_kind, reason, who asked, pause_requested.
 
-    ``moves``: job_id, next_kind, reason, pause_requested (who asked, or null).  ready, waiting
-    and paused become paused with the request consumed; terminal kinds and cancelling drop
-    it; other kinds carry it on.
+    ``moves``: job_id, next_kind, reason, pause_requested (struct of operator, reason and
+    request_id, or null).  ready, waiting and paused become paused with the request consumed:
+    the frame then says who asked (operator), why (operator_reason) and in which request
+    (request_id).  Terminal kinds and cancelling drop it; other kinds carry it on.
     """
     asked, kind = F.col("pause_requested").isNotNull(), F.col("next_kind")
     boundary = kind.isin("ready", "waiting", "paused")
@@ -121,6 +136,7 @@ def deferred_pause(moves: DataFrame) -> DataFrame:
         "job_id",
         F.when(asked & boundary, "paused").otherwise(kind).alias("next_kind"),
         F.when(asked & boundary, "operator_pause_deferred").otherwise(F.col("reason")).alias("reason"),
+        *[F.when(boundary, F.col(f"pause_requested.{c}")).alias(name) for name, c in (("operator", "operator"), ("operator_reason", "reason"), ("request_id", "request_id"))],
         F.when(boundary | kind.isin(*TERMINAL_KINDS, "cancelling"), None).otherwise(F.col("pause_requested")).alias("pause_requested"),
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,23 +46,38 @@ def load_jobs(markers: DataFrame, documents: DataFrame) -> DataFrame:
     return judged.select(*markers.columns, *members, valid(F.col("_digest")).alias("digest"), "job_error")
 
 
-def read_states(markers: DataFrame, frames: DataFrame, fields: list[str]) -> DataFrame:
-    """Markers with ``fields`` of the frame that they refer to, as ``state``, and state_error.
+#: What a state frame says of itself besides its workspace.
+STATE_FORMAT = {"format": "state", "format_version": 2}
+
 
-    A marker that refers to ``init`` has the virtual first state: no fields.  A frame that is
-    absent, unreadable, or of another job key, generation or kind gives no state.
+def read_states(markers: DataFrame, frames: DataFrame, fields: list[str], workspace_id: str = "ws", format: Mapping[str, Any] = STATE_FORMAT) -> DataFrame:
+    """Markers with their frame's kind, generation, priority and ``fields`` as ``state``, and state_error.
+
+    A marker that refers to ``init`` has the virtual first frame: kind submitted, generation
+    0, the marker's priority, and no other fields.  A frame that is absent, unreadable, or of
+    another format, version, workspace, job key, generation or kind gives no state.
     """
-    named = frames.select("record_ref", "is_error", F.col("job_key").alias("_key"), F.col("generation").alias("_generation"), F.col("kind").alias("_kind"), F.struct(*fields).alias("_state"))
+    members = dict.fromkeys(["kind", "generation", "priority", *fields])
+    have = lambda c: F.col(c) if c in frames.columns else F.lit(None).cast("int")
+    named = frames.select(
+        "record_ref", "is_error", F.col("job_key").alias("_key"), F.col("workspace_id").alias("_workspace"), *[F.col(c).alias(f"_{c}") for c in format],
+        F.struct(*[have(c).alias(c) for c in members]).alias("_state"),
+    )
     both = markers.join(named, "record_ref", "left")
-    same = (F.col("_key") == F.col("job_key")) & (F.col("_generation") == F.col("generation")) & (F.col("_kind") == F.col("kind"))
+    same = (F.col("_key") == F.col("job_key")) & (F.col("_workspace") == workspace_id) & (F.col("_state.generation") == F.col("generation")) & (F.col("_state.kind") == F.col("kind"))
+    for c, value in format.items():
+        same = same & (F.col(f"_{c}") == F.lit(value))
     error = (
         F.when(F.col("record_ref") == "init", None)
         .when(F.col("is_error").isNull(), "no such record")
         .when(F.col("is_error"), "record cannot be read")
         .when(~F.coalesce(same, F.lit(False)), "state frame disagrees with marker")
     )
-    judged = both.withColumn("state_error", error)
-    return judged.select(*markers.columns, F.when(F.col("state_error").isNull(), F.col("_state")).alias("state"), "state_error")
+    first = {"kind": F.lit("submitted"), "generation": F.lit(0), "priority": F.col("priority")}
+    kinds = both.schema["_state"].dataType
+    virtual = F.struct(*[first.get(c, F.lit(None)).cast(kinds[c].dataType).alias(c) for c in members])
+    state = F.when(F.col("record_ref") == "init", virtual).when(error.isNull(), F.col("_state"))
+    return both.select(*markers.columns, state.alias("state"), error.alias("state_error"))
 
 
 def job_history(markers: DataFrame, frames: DataFrame) -> DataFrame:
@@ -106,7 +124,7 @@ def records_of(markers: DataFrame, documents: DataFrame, frames: DataFrame, spaw
     declared, damaged.  Every side is folded to one row per job before it is joined.
     """
     defined = load_jobs(markers, documents).where("job_error IS NULL").drop("job_error")
-    states = read_states(markers.select("job_id", "job_key", "kind", "generation", "record_ref"), frames, ["step", "attempt_id", "failure_code"])
+    states = read_states(markers.select("job_id", "job_key", "kind", "generation", "record_ref", "priority"), frames, ["step", "attempt_id", "failure_code"])
     states = states.select("job_id", "state", "state_error")
     picked = defined.select("job_id")
     mine = frames.join(picked, "job_id", "left_semi")
@@ -133,7 +151,7 @@ def describe_jobs(markers: DataFrame, documents: DataFrame, frames: DataFrame, b
     claimed, running and committing jobs only.
     """
     fields = ["step", "reason", "created_at", "activation_id", "attempt_id", "failure_code", "manager_id"]
-    states = read_states(markers.select("job_id", "job_key", "kind", "generation", "record_ref"), frames, fields)
+    states = read_states(markers.select("job_id", "job_key", "kind", "generation", "record_ref", "priority"), frames, fields)
     wide = load_jobs(markers, documents).join(states.select("job_id", "state", "state_error"), "job_id").join(budgets, "job_id", "left").join(headlines, "job_id", "left")
     owned = F.col("kind").isin("claimed", "running", "committing")
     return wide.select(

@@ -343,12 +343,13 @@ def timeline_attempts(frames):
 
 
 @query(
-    "fx_frame",
-    sql="""SELECT job_id, count(DISTINCT attempt_id) AS n_attempts, count(DISTINCT activation_id) AS n_activations,
-arg_max(failure_code, generation) FILTER (WHERE failure_code IS NOT NULL) AS last_failure, count(*) FILTER (WHERE kind = 'failed') AS n_failed, max(generation) AS generation FROM fx_frame GROUP BY job_id""",
+    "fx_record",
+    sql="""SELECT job_id, count(DISTINCT attempt_id) AS n_attempts, count(DISTINCT activation_id) AS n_activations, arg_max(step, generation) FILTER (WHERE step IS NOT NULL) AS last_step,
+count(*) FILTER (WHERE unclean_restart) AS n_unclean, arg_max(failure_code, generation) FILTER (WHERE failure_code IS NOT NULL) AS last_failure,
+count(*) FILTER (WHERE kind = 'failed') AS n_failed, max(generation) AS generation FROM (SELECT * REPLACE (CASE WHEN generation % 3 > 0 THEN step END AS step) FROM fx_record) GROUP BY job_id""",
 )
 def attempt_history(frames):
-    return census.attempt_history(frames)
+    return census.attempt_history(frames.withColumn("step", F.when(F.col("generation") % 3 > 0, F.col("step"))))
 
 
 @query(
@@ -843,7 +844,8 @@ jd AS (SELECT job_id, job_key, kind, generation, record_ref, placement, priority
   CASE WHEN job_error IS NULL THEN CAST(json_extract_string(text, '$.retry.attempts') AS BIGINT) END AS max_attempts, CASE WHEN job_error IS NULL THEN sha256(text) END AS digest FROM ld)
 """
 STATED = """, sd AS (SELECT m.job_id, r.*, CASE WHEN m.record_ref = 'init' THEN NULL WHEN r.record_ref IS NULL THEN 'no such record' WHEN r.is_error THEN 'record cannot be read'
-  WHEN NOT (r.job_key = m.job_key AND r.generation = m.generation AND r.kind = m.kind) THEN 'state frame disagrees with marker' END AS state_error
+  WHEN NOT (r.format = 'state' AND r.format_version = 2 AND r.workspace_id = 'ws' AND r.job_key = m.job_key AND r.generation = m.generation AND r.kind = m.kind) THEN 'state frame disagrees with marker' END AS state_error,
+  m.record_ref = 'init' AS at_first, m.priority AS marker_priority
   FROM fx_marker m LEFT JOIN (SELECT * EXCLUDE (job_id) FROM fx_record) r ON r.record_ref = m.record_ref)
 """
 
@@ -855,7 +857,8 @@ def load_jobs(markers, documents):
 
 @query(
     "fx_marker", "fx_record",
-    sql=STATED + """SELECT job_id, state_error, CASE WHEN state_error IS NULL THEN step END AS step, CASE WHEN state_error IS NULL THEN reason END AS reason,
+    sql=STATED + """SELECT job_id, state_error, CASE WHEN at_first THEN 'submitted' WHEN state_error IS NULL THEN kind END AS kind, CASE WHEN at_first THEN 0 WHEN state_error IS NULL THEN generation END AS generation,
+CASE WHEN at_first THEN marker_priority END AS priority, CASE WHEN state_error IS NULL THEN step END AS step, CASE WHEN state_error IS NULL THEN reason END AS reason,
 CASE WHEN state_error IS NULL THEN failure_code END AS failure_code FROM sd""",
 )
 def read_state(markers, records):

@@ -96,22 +96,36 @@ def begin_commit(frames):
 
 @query(
     "fx_frame",
-    sql=SPAWNED + """SELECT job_id, child_key, CASE WHEN child_key = 'k3' THEN 'missing' WHEN child_key = 'k1' THEN 'registered' WHEN child_key = 'k4' THEN 'mismatch' ELSE 'register' END AS fate FROM sw""",
+    sql=SPAWNED + """, sx AS (SELECT job_id, job_id || child_key AS child_key, job_id + ascii(child_key[2]) AS n, md5(job_id || child_key) AS digest FROM sw),
+bu AS (SELECT child_key, 'outcome' AS place, CASE WHEN n % 7 = 0 THEN 'other' ELSE digest END AS found FROM sx WHERE n % 3 = 0
+  UNION ALL SELECT child_key, 'target', CASE WHEN n % 5 = 0 THEN 'other' ELSE digest END FROM sx WHERE n % 4 > 0),
+mk AS (SELECT child_key FROM sx WHERE n % 11 < 4)
+SELECT sx.job_id, sx.child_key, CASE WHEN o.found IS NULL AND t.found IS NULL THEN 'missing' WHEN o.found <> sx.digest THEN 'changed' WHEN mk.child_key IS NOT NULL THEN 'registered'
+  WHEN o.found = sx.digest THEN 'publish' WHEN t.found <> sx.digest THEN 'mismatch' ELSE 'register' END AS fate
+FROM sx LEFT JOIN bu o ON o.child_key = sx.child_key AND o.place = 'outcome' LEFT JOIN bu t ON t.child_key = sx.child_key AND t.place = 'target' LEFT JOIN mk ON mk.child_key = sx.child_key""",
 )
 def register_children(frames):
-    spawns = _spawned(frames)
-    keys = spawns.select("child_key").distinct()
-    bundles = keys.where("child_key <> 'k3'").select("child_key", F.when(F.col("child_key").isin("k1", "k4"), "other").otherwise(F.md5("child_key")).alias("found"))
-    return upkeep.children_to_register(spawns, bundles, keys.where("child_key = 'k1'"))
+    key = F.concat(F.col("job_id").cast("string"), F.col("child_key"))
+    spawns = _spawned(frames).select("job_id", key.alias("child_key"), (F.col("job_id") + F.ascii(F.substring("child_key", 2, 1))).alias("n"), F.md5(key).alias("digest"))
+    lies = lambda place, other: spawns.select("child_key", F.lit(place).alias("place"), F.when(F.col("n") % other == 0, "other").otherwise(F.col("digest")).alias("found"), "n")
+    bundles = lies("outcome", 7).where("n % 3 = 0").unionByName(lies("target", 5).where("n % 4 > 0"))
+    return upkeep.children_to_register(spawns, bundles, spawns.where("n % 11 < 4"))
 
 
 @query(
     "fx_job",
     sql="""SELECT job_id, CASE WHEN job_id % 3 = 0 AND kind IN ('ready', 'waiting', 'paused') THEN 'paused' ELSE kind END AS next_kind, CASE WHEN job_id % 3 = 0 AND kind IN ('ready', 'waiting', 'paused') THEN 'operator_pause_deferred' ELSE 'r' END AS reason,
-CASE WHEN job_id % 3 = 0 AND kind NOT IN ('ready', 'waiting', 'paused', 'succeeded', 'failed', 'cancelled', 'cancelling') THEN 'op' END AS pause_requested FROM fx_job""",
+CASE WHEN job_id % 3 = 0 AND kind IN ('ready', 'waiting', 'paused') THEN 'op' || job_id % 4 END AS operator, CASE WHEN job_id % 6 = 0 AND kind IN ('ready', 'waiting', 'paused') THEN 'why' || job_id % 5 END AS operator_reason,
+CASE WHEN job_id % 3 = 0 AND kind IN ('ready', 'waiting', 'paused') THEN 'q' || job_id END AS request_id,
+CASE WHEN job_id % 3 = 0 AND kind NOT IN ('ready', 'waiting', 'paused', 'succeeded', 'failed', 'cancelled', 'cancelling') THEN 'q' || job_id END AS still_asked FROM fx_job""",
 )
 def deferred_pause(jobs):
-    return upkeep.deferred_pause(jobs.select("job_id", F.col("kind").alias("next_kind"), F.lit("r").alias("reason"), F.when(F.col("job_id") % 3 == 0, "op").alias("pause_requested")))
+    text = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    key = F.col("job_id")
+    asked = F.struct(text("op", key % 4).alias("operator"), F.when(key % 6 == 0, text("why", key % 5)).alias("reason"), text("q", key).alias("request_id"))
+    moves = jobs.select("job_id", F.col("kind").alias("next_kind"), F.lit("r").alias("reason"), F.when(key % 3 == 0, asked).alias("pause_requested"))
+    moved = upkeep.deferred_pause(moves)
+    return moved.withColumn("still_asked", F.col("pause_requested.request_id")).drop("pause_requested")
 
 
 @query(

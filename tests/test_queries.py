@@ -18,7 +18,8 @@ def oracle():
 
 
 def plain(rows):
-    return sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    """Values as text with their types, so that 1, 1.0 and '1' differ."""
+    return sorted(tuple(f"{type(v).__name__} {v:.9g}" if isinstance(v, float) else f"{type(v).__name__} {v}" for v in r) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
