@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import lzma
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from .operators import structures, upkeep
-from .plans import states
+from .plans import old_trees, states
 from .queries import query
+from .sources import members
 
 # --- scans and commits -----------------------------------------------------------------------
 
@@ -262,6 +270,82 @@ def unfinished_by_status(jobs):
     return upkeep.unfinished_tasks(upkeep.old_tasks(_old(jobs).select("path")))
 
 
+OLD_MEMBERS = """, me AS (SELECT *, CASE WHEN job_id % 3 = 0 THEN '/data' || chr(10) || 'a ' || job_id || chr(10) || 'signature' || chr(10) || 'key' || chr(10) WHEN job_id % 3 = 1 THEN 'one line ' || job_id END AS manifest,
+  'ht.run.2024-03-0' || (1 + job_id % 8) || '_10.20.30' AS run FROM ot WHERE status = 'finished' AND job_id % 4 > 0),
+ft AS (SELECT path, taskset, task_id, run, CASE WHEN job_id % 8 = 1 THEN 'unknown' WHEN job_id % 2 = 0 THEN 'steps' ELSE 'relax' END AS code, CASE WHEN job_id % 8 = 1 THEN '0' ELSE '1.' || job_id END AS version,
+  CASE WHEN job_id % 5 < 3 THEN 'Task ' || job_id END AS description, CASE WHEN job_id % 17 > 0 THEN sha256(CASE WHEN job_id % 3 = 0 THEN '/data' || chr(10) || 'a ' || job_id || chr(10) ELSE manifest END) END AS manifest_hash FROM me)
+"""
+
+
+@pandas_udf(BinaryType())
+def _packed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: bz2.compress(t.encode()), na_action="ignore")
+
+
+def _old_tree(jobs):
+    """(tasks, runs, members): programs, settings and packed manifests, some cut off."""
+    folders = _old(jobs)
+    name = lambda day: F.concat(F.lit("ht.run.2024-03-0"), day.cast("string"), F.lit("_10.20.30"))
+    job, text = F.col("job_id"), F.col("job_id").cast("string")
+    runs = folders.select("path", "job_id", F.explode(F.array(name(1 + job % 8), F.lit("ht.run.2023-01-31_23.59.59"), F.lit("ht.run.current"))).alias("run"))
+    runs = runs.where("job_id % 4 > 0 OR run = 'ht.run.current'")
+    program = lambda code: F.concat(F.lit(f"#!/bin/sh\n# {code}\n# 1."), text, F.lit("\nexit\n")).cast("binary")
+    manifest = F.when(job % 3 == 0, F.concat(F.lit("/data\na "), text, F.lit("\nsignature\nkey\n"))).when(job % 3 == 1, F.concat(F.lit("one line "), text))
+    packed = F.when(job % 17 == 0, F.substring(F.col("m"), 1, 20)).otherwise(F.col("m"))
+    config = F.concat(F.lit("[other]\ndescription = no\n[main]\nx: 1\n"), F.when(job % 5 < 3, F.concat(F.lit("Description : Task "), text)).otherwise(""), F.lit("\n[more]\ndescription=no\n"))
+    made = folders.select("path", "job_id", _packed(manifest).alias("m"))
+    members = made.select("path", F.lit("ht_run").alias("name"), F.when(job % 8 == 1, F.lit("x").cast("binary")).otherwise(program("relax")).alias("content"))
+    members = members.unionByName(made.where("job_id % 2 = 0").select("path", F.lit("ht_steps").alias("name"), program("steps").alias("content")))
+    members = members.unionByName(made.select("path", F.lit("ht.config").alias("name"), config.cast("binary").alias("content")))
+    members = members.unionByName(made.where("m IS NOT NULL").select("path", F.lit("ht.manifest.bz2").alias("name"), packed.alias("content")))
+    return upkeep.old_tasks(folders.select("path")), runs.select("path", "run"), members
+
+
+@query(
+    "fx_job",
+    sql=OLD + OLD_MEMBERS + """SELECT *, 'v1:' || coalesce(manifest_hash, sha256('/old/' || path || '/' || run)) AS immutable_id, manifest_hash IS NOT NULL AS identity_stable,
+CASE WHEN code = 'unknown' OR taskset = 's3' THEN NULL ELSE '{"code":"' || code || '","n":' || length(task_id) || '}' END AS outputs,
+CASE WHEN code = 'unknown' THEN path || ': no code' WHEN taskset = 's3' THEN path || ': an extractor returns a mapping of output roles' END AS degraded FROM ft""",
+)
+def collect_finished_tree(jobs):
+    def extract(task):
+        if task["code"] == "unknown":
+            raise ValueError("no code")
+        return None if task["taskset"] == "s3" else {"n": len(task["task_id"]), "code": task["code"]}
+
+    described = old_trees.described_tasks(*_old_tree(jobs), root="/old")
+    return old_trees.collect_finished_tree(described.drop("computed_at"), extract)
+
+
+@query(
+    "fx_job",
+    sql=OLD + """SELECT status, count(*) AS n FROM ot WHERE status <> 'finished' GROUP BY status
+UNION ALL SELECT 'no_run', count(*) FROM ot WHERE status = 'finished' AND job_id % 4 = 0 HAVING count(*) > 0""",
+)
+def old_tree_counts(jobs):
+    tasks, runs, _ = _old_tree(jobs)
+    return old_trees.tree_counts(tasks, runs)
+
+
+@query(
+    "documents",
+    sql="""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text <> ''),
+n AS (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM l)
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - strlen(line) - 1 AS BIGINT) AS "offset", sha256(line) AS line_sha256
+FROM n WHERE line_no < last OR line <> ''""",
+)
+def member_lines(documents):
+    """Texts packed in three ways, and read again line by line."""
+
+    @pandas_udf(BinaryType())
+    def packed(key: pd.Series, text: pd.Series) -> pd.Series:
+        pack = (bytes, bz2.compress, gzip.compress, lzma.compress)
+        return pd.Series([None if t is None else pack[k % 4](t.encode()) for k, t in zip(key, text)])
+
+    held = documents.select("doc_id", packed("doc_id", "text").alias("content"))
+    return members.member_lines(held, ["doc_id"]).select("doc_id", "line_no", "offset", F.sha2("line", 256).alias("line_sha256"))
+
+
 # --- structure texts -------------------------------------------------------------------------
 
 
