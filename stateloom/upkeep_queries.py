@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
-from .operators import structures, upkeep
+from .operators import merkle, structures, upkeep
 from .plans import old_trees, states
 from .queries import query
 from .sources import members
@@ -346,6 +346,51 @@ def member_lines(documents):
     return members.member_lines(held, ["doc_id"]).select("doc_id", "line_no", "offset", F.sha2("line", 256).alias("line_sha256"))
 
 
+# --- trees of files --------------------------------------------------------------------------
+
+
+def _tree_files(files, jobs):
+    """Files below placement and job, one tree a region; some are links, some excluded."""
+    place = F.split("placement", "/")
+    path = F.concat_ws("/", F.slice(place, 2, 8), F.col("job_key"), F.when(F.col("job_id") % 3 == 0, "tmp").otherwise("out"), F.concat_ws("-", "name", F.floor("size_bytes").cast("string")))
+    link = F.col("job_id") % 7 == 0
+    return files.join(jobs.select("job_id", "placement", "job_key"), "job_id").select(
+        place[0].alias("tree"), path.alias("path"), F.when(link, "symlink").otherwise("file").alias("type"),
+        F.when(~link, F.floor("size_bytes")).cast("long").alias("size"), F.when(~link, F.sha2("name", 256)).alias("sha256"), F.when(link, F.col("name")).alias("target"),
+    ).distinct()
+
+
+#: Each level folded into buckets and these into folders, five levels up.
+_LEVELS = """, fi AS (SELECT DISTINCT split_part(placement, '/', 1) AS tree, array_to_string(string_split(placement, '/')[2:], '/') || '/' || job_key || CASE WHEN job_id % 3 = 0 THEN '/tmp/' ELSE '/out/' END || name || '-' || CAST(floor(size_bytes) AS BIGINT) AS path,
+  job_id % 7 = 0 AS link, CAST(floor(size_bytes) AS BIGINT) AS size, name FROM fx_file JOIN (SELECT job_id, placement, job_key FROM fx_job) USING (job_id) WHERE NOT (job_id % 3 = 0 AND job_key LIKE '%5')),
+d0 AS (SELECT tree, path, CASE WHEN link THEN 'symlink' ELSE 'file' END AS kind, CASE WHEN link THEN sha256('symlink|' || name) ELSE sha256('file|' || size || '|' || sha256(name)) END AS digest, 1::BIGINT AS n_files, CASE WHEN link THEN 0 ELSE size END AS bytes FROM fi)""" + "".join(
+    f"""
+, b{k} AS (SELECT tree, array_to_string(string_split(path, '/')[:-2], '/') AS parent, substr(sha256(string_split(path, '/')[-1]), 1, 3) AS bucket, sum(n_files)::BIGINT AS n_files, sum(bytes)::BIGINT AS bytes,
+  sha256(string_agg(string_split(path, '/')[-1] || '|' || kind || '|' || digest, chr(10) ORDER BY string_split(path, '/')[-1] || '|' || kind || '|' || digest)) AS part FROM d{k} GROUP BY ALL),
+d{k + 1} AS (SELECT tree, parent AS path, 'directory' AS kind, sha256(string_agg(bucket || '|' || part, chr(10) ORDER BY bucket)) AS digest, sum(n_files)::BIGINT AS n_files, sum(bytes)::BIGINT AS bytes FROM b{k} GROUP BY tree, parent)"""
+    for k in range(5)
+)
+
+
+@query("fx_file", "fx_job", sql=_LEVELS + " " + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(6)))
+def folder_digests(files, jobs):
+    return merkle.tree_digests(_tree_files(files, jobs), exclude=["*5/tmp"])
+
+
+@query(
+    "fx_file", "fx_job",
+    sql=_LEVELS + """, up AS (SELECT tree, path, unnest(range(0, len(string_split(path, '/')) + 1)) AS k FROM d0 WHERE ends_with(path, '17'))
+SELECT DISTINCT tree, array_to_string(string_split(path, '/')[:k], '/') AS path, 'changed' AS change FROM up""",
+)
+def changed_folders(files, jobs):
+    """Paths that differ once the files whose path ends in 17 have another size or target."""
+    before = _tree_files(files, jobs)
+    touched = F.col("path").endswith("17")
+    after = before.withColumn("size", F.when(touched, F.col("size") + 1).otherwise(F.col("size"))).withColumn("target", F.when(touched, F.concat("target", F.lit("x"))).otherwise(F.col("target")))
+    old, new = (merkle.tree_digests(f, exclude=["*5/tmp"]) for f in (before, after))
+    return merkle.changed_paths(old, new)
+
+
 # --- structure texts -------------------------------------------------------------------------
 
 
