@@ -73,7 +73,8 @@ SELECT o_orderkey AS parent_id,
 FROM {orders}""",
     "fx_file": """
 SELECT l_orderkey AS job_id, l_shipdate AS mtime, l_extendedprice AS size_bytes,
-       CASE l_linenumber % 3 WHEN 0 THEN 'attempt_control' WHEN 1 THEN 'transaction_trash' ELSE 'journal_segments' END AS category,
+       CASE (l_linenumber + l_partkey) % 9 WHEN 0 THEN 'attempt_control' WHEN 1 THEN 'transaction_trash' WHEN 2 THEN 'retired_bundles' WHEN 3 THEN 'transfer_records' WHEN 4 THEN 'tmp_entries'
+         WHEN 5 THEN 'retired_requests' WHEN 6 THEN 'journal_segments' WHEN 7 THEN 'manager_directories' ELSE 'placement_directories' END AS category,
        concat('f', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string)) AS name
 FROM {lineitem}""",
     "fx_edge": """

@@ -142,3 +142,9 @@ def absent_or_null(document: Column, path: str) -> Column:
     """``absent``, ``null`` or ``present`` for a member of a variant document."""
     member = F.variant_get(document, path, "variant")
     return F.when(member.isNull(), "absent").when(F.is_variant_null(member), "null").otherwise("present")
+
+
+def timestamp_seconds(text: Column) -> Column:
+    """Seconds since 1970 of an ISO 8601 text, to the microsecond; without an offset it is session-local; null if malformed."""
+    at = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), text.try_cast("timestamp"))
+    return F.unix_micros(at) / 1_000_000

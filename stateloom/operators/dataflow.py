@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import partition_of
+
 # Fixed value: a plain parameter reference.
 REFERENCE = r"\$\((inputs|runtime)\.([A-Za-z_][A-Za-z0-9_.]*)\)"
 
@@ -119,3 +123,42 @@ def merged_items(items: DataFrame, defaults: dict[str, str], key: str, inputs: s
     own = F.coalesce(inputs, F.create_map().cast("map<string,string>"))
     rest = F.map_filter(given, lambda k, _: ~F.map_contains_key(own, k))
     return items.select(key, F.map_concat(rest, own).alias(inputs))
+
+
+#: What an item varies: maps are merged over the shared ones, scalars stand in for them.
+ITEM_MAPS, ITEM_SCALARS = ("inputs", "files", "parameters", "environment"), ("tag", "placement", "priority", "name")
+
+
+def merged_jobs(items: DataFrame, shared: Mapping[str, Mapping[str, str] | str | int | None], key: str, given: str = "given") -> DataFrame:
+    """(key, ITEM_MAPS, ITEM_SCALARS) of a campaign's items over its shared values.
+
+    An item's entries of a map win over the shared ones, nulls too.  A scalar that the item
+    gives (its name is in the array ``given``) stands, null or not; else the shared one does.
+    """
+    out = [F.col(key)]
+    for name in ITEM_MAPS:
+        pairs = [F.lit(x) for pair in sorted((shared.get(name) or {}).items()) for x in pair]
+        below = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        own = F.coalesce(F.col(name), F.create_map().cast("map<string,string>")) if name in items.columns else F.create_map().cast("map<string,string>")
+        out.append(F.map_concat(_without(below, own), own).alias(name))
+    for name in ITEM_SCALARS:
+        default = F.lit(shared.get(name))
+        own = F.array_contains(given, name)
+        out.append((F.when(own, F.col(name)).otherwise(default) if name in items.columns else default).alias(name))
+    return items.select(*out)
+
+
+def _without(below: Column, own: Column) -> Column:
+    return F.map_filter(below, lambda k, _: ~F.map_contains_key(own, k))
+
+
+def routed(items: DataFrame, key: str, partitions: DataFrame, names: list[str], *, turn: str | None = None) -> DataFrame:
+    """Items with the partition that takes them and ``fault``: by hash of the key, or in turn by the number ``turn``.
+
+    ``partitions``: partition, remote, path, of which ``names`` is the campaign's order.  An
+    item of a remote partition, or of one that nothing is known of, is refused and stays.
+    """
+    place = F.col(turn) % len(names) if turn else partition_of(F.col(key).cast("string"), len(names))
+    chosen = items.withColumn("partition", F.element_at(F.array(*map(F.lit, names)), (place + 1).cast("int")))
+    fault = F.when(F.col("remote").isNull(), "no such partition").when(F.col("remote"), "the partition is remote").when(F.col("path").isNull(), "the partition has no path")
+    return chosen.join(partitions, "partition", "left").withColumn("fault", fault).drop("remote")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import parse_job_key
 from ..schemas import JOIN_CONDITIONS, LIVE_KINDS, TERMINAL_KINDS
 
 
@@ -205,3 +206,37 @@ def children_by_label(spawns: DataFrame) -> DataFrame:
             F.min("position").alias("first_position"),
         )
     )
+
+
+def children_of(frames: DataFrame) -> DataFrame:
+    """(job_id, label, child_id, child_key, kind, first_position) of the children that a job's frames name.
+
+    ``frames``: job_id, generation, is_error, child_labels (map of job key to label: what an
+    outcome spawned), join_children and join_summary (arrays of label, job_id, job_key,
+    kind).  The three are read in that order, frame by frame; references without a label
+    and unreadable frames name none.  A label whose child changes names the new one; one
+    whose child is named again keeps it and takes over its kind, if it has one.
+    """
+    good = frames.where("NOT is_error")
+    key_id = parse_job_key(F.col("_key"))["job_id"]
+    spawned = good.select("job_id", "generation", F.posexplode(F.array_sort(F.map_entries("child_labels"))).alias("_at", "_e"))
+    named = spawned.select("job_id", "generation", F.lit(0).alias("_source"), "_at", F.col("_e.value").alias("label"), F.col("_e.key").alias("_key")).select(
+        "job_id", F.struct("generation", "_source", "_at").alias("position"), "label", key_id.alias("child_id"), F.col("_key").alias("child_key"), F.lit(None).cast("string").alias("kind")
+    )
+    for source, column in ((1, "join_children"), (2, "join_summary")):
+        seen = good.select("job_id", "generation", F.posexplode(column).alias("_at", "_c"))
+        named = named.unionByName(seen.select(
+            "job_id", F.struct("generation", F.lit(source).alias("_source"), "_at").alias("position"), F.col("_c.label").alias("label"), F.col("_c.job_id").alias("child_id"), F.col("_c.job_key").alias("child_key"), F.col("_c.kind").alias("kind")
+        ))
+    rows = named.where("label <> ''")
+    # The key of an entry is that of the row which began it.
+    order = Window.partitionBy("job_id", "label").orderBy("position")
+    begins = ~F.coalesce(F.lag(F.struct("child_id")).over(order).eqNullSafe(F.struct("child_id")), F.lit(False))
+    runs = rows.withColumn("_begins", begins).withColumn("_run", F.sum(F.col("_begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    entries = runs.groupBy("job_id", "label", "_run").agg(
+        F.min_by(F.struct("child_id", "child_key"), "position").alias("_entry"),
+        F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("position"))).alias("kind"),
+        F.min("position").alias("_first"),
+    )
+    last = entries.groupBy("job_id", "label").agg(F.max_by(F.struct("_entry", "kind"), "_run").alias("_last"), F.min("_first").alias("first_position"))
+    return last.select("job_id", "label", "_last._entry.child_id", "_last._entry.child_key", "_last.kind", "first_position")

@@ -101,3 +101,24 @@ def transfer_refusal(wanted: DataFrame, jobs: DataFrame, waiting_on: DataFrame,
         .otherwise("eligible")
     )
     return joined.select("job_id", reason.alias("reason"))
+
+
+def finding_flags(findings: DataFrame) -> DataFrame:
+    """(job_id, claim, language, inputs, step, environment, runner): which problems a precheck has found.
+
+    ``findings``: job_id; claim, language and runner (structs with a status, null where not
+    checked); inputs (array); step (text); environment (array of name, status);
+    environment_problems (array).  A runner that was checked without a status is a problem.
+    """
+    is_problem = lambda c: F.coalesce(F.col(f"{c}.status") == "problem", F.lit(False))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    unresolved = F.coalesce(F.exists("environment", lambda e: F.coalesce(e["status"] == "unresolved", F.lit(False))), F.lit(False))
+    return findings.select(
+        "job_id",
+        is_problem("claim").alias("claim"),
+        is_problem("language").alias("language"),
+        some("inputs").alias("inputs"),
+        (F.coalesce("step", F.lit("")) != "").alias("step"),
+        (unresolved | some("environment_problems")).alias("environment"),
+        (F.col("runner").isNotNull() & (F.coalesce("runner.status", F.lit("problem")) == "problem")).alias("runner"),
+    )

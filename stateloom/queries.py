@@ -19,7 +19,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 NOW = "1998-12-01 00:00:00"
-RETENTION = {"attempt_control": 365.0, "transaction_trash": 30.0, "journal_segments": 1000.0, "retired_requests": None}
+#: Days that each category is kept; None keeps it for good.
+RETENTION = {
+    "attempt_control": 365.0, "transaction_trash": 30.0, "retired_bundles": 90.0, "transfer_records": 0.0, "tmp_entries": 1.0,
+    "retired_requests": None, "journal_segments": 1000.0, "manager_directories": 700.0, "placement_directories": 2000.0,
+}
 
 
 def query(*sources: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
@@ -478,8 +482,8 @@ def last_member(frames):
 
 # --- retention ---------------------------------------------------------------------------
 
-GC = f"""SELECT job_id, category, mtime, size_bytes, name FROM fx_file WHERE (category = 'attempt_control' AND mtime <= TIMESTAMP '{NOW}' - INTERVAL 365 DAY)
-OR (category = 'transaction_trash' AND mtime <= TIMESTAMP '{NOW}' - INTERVAL 30 DAY) OR (category = 'journal_segments' AND mtime <= TIMESTAMP '{NOW}' - INTERVAL 1000 DAY)"""
+GC = f"""SELECT job_id, category, mtime, size_bytes, name FROM fx_file JOIN (VALUES ('attempt_control', 365), ('transaction_trash', 30), ('retired_bundles', 90), ('transfer_records', 0), ('tmp_entries', 1), ('journal_segments', 1000), ('manager_directories', 700),
+  ('placement_directories', 2000)) k(category, days) USING (category) WHERE mtime <= TIMESTAMP '{NOW}' - to_days(CAST(days AS INT))"""
 
 
 @query("fx_file", sql=GC)
@@ -1198,7 +1202,7 @@ def stream_replay_state(frames):
     return state_machine.replay(frames.sparkSession, f"{folder}/frames", rows.schema, f"{folder}/checkpoint")
 
 
-from . import upkeep_queries  # noqa: E402, F401  registers its queries here
+from . import record_queries, upkeep_queries  # noqa: E402, F401  register their queries here
 
 
 def queries() -> dict[str, Query]:

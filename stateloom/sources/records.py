@@ -35,9 +35,9 @@ def scan_markers(markers: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "job.json") -> DataFrame:
-    """Definitions with the digest of their stored bytes; malformed JSON is a null document."""
+    """Definitions with the digest of their stored bytes; malformed JSON, or bytes that are no UTF-8, are a null document."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    text = F.decode("content", "UTF-8")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     return files.select("path", F.sha2("content", 256).alias("digest"), F.try_parse_json(text).alias("document"), F.col("length"))
 
 
@@ -79,3 +79,50 @@ def merge_current(current: DataFrame, updates: DataFrame, key: str, version: str
     fits = updates.join(base, key, "left").where(F.col(version) == F.coalesce("_have", F.lit(0)) + 1).drop("_have")
     won = fits.groupBy(key).agg(F.min(F.struct(*[c for c in updates.columns if c != key])).alias("_won")).select(key, "_won.*").select(*updates.columns)
     return current.join(won.select(key), key, "left_anti").unionByName(won)
+
+
+def read_breadcrumbs(spark: SparkSession, root: str, attempt: str = r"/([^/]*)/error\.json$") -> DataFrame:
+    """(path, attempt, document) of the error.json that attempts left; one that is no JSON is null."""
+    found = read_documents(spark, root, "error.json")
+    return found.select("path", F.regexp_extract("path", attempt, 1).alias("attempt"), "document")
+
+
+def read_ledgers(spark: SparkSession, control: str) -> DataFrame:
+    """The transfer ledgers of a workspace: path, document, and what an offer says of each, in the order of their names."""
+    found = read_documents(spark, f"{control}/transfers", "*.json")
+    member = lambda name, path=None: F.try_variant_get("document", f"$.{path or name}", "string").alias(name)
+    offer = [member("transfer_id"), member("job_id"), member("job_key"), member("state", "prior_kind"), member("placement", "destination_placement"), member("source_placement"), member("payload_sha256")]
+    return found.select("path", "document", *offer).orderBy("path")
+
+
+def read_settings(spark: SparkSession, control: str) -> DataFrame:
+    """(name, value) of a workspace's settings, values as JSON; without settings none."""
+    found = read_documents(spark, control, "format.json").select(F.from_json(F.to_json(F.try_variant_get("document", "$.settings", "variant")), "map<string,variant>").alias("s"))
+    return found.select(F.explode("s").alias("name", "v")).select("name", F.to_json("v").alias("value"))
+
+
+# Names of structure files.
+STRUCTURE_NAMES = ("POSCAR", r"POSCAR\..*", r".*\.vasp")
+
+
+def structure_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files whose names are those of structures, with ``position``: by pattern, then by path."""
+    name = F.element_at(F.split(path, "/"), -1)
+    rank = F.coalesce(*[F.when(name.rlike(f"(?s)^(?:{p})$"), i) for i, p in enumerate(STRUCTURE_NAMES)])
+    return files.withColumn("pattern", rank).where("pattern IS NOT NULL")
+
+
+def runlog_events(events: DataFrame, files: DataFrame, format: str = "runlog-event", version: int = 2) -> DataFrame:
+    """(job_id, position, line): run-log events as JSON lines, each with the digests and contents of its files.
+
+    ``events``: job_id, position, timestamp, kind, message; ``files``: job_id, position, path,
+    content (binary).  An event without a kind, or with a NUL in it, is an error.
+    """
+    one = F.struct("path", F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    held = files.groupBy("job_id", "position").agg(F.array_sort(F.collect_list(one)).alias("files"))
+    kind = F.when((F.coalesce("kind", F.lit("")) == "") | F.col("kind").contains("\0"), F.raise_error(F.lit("a run-log kind is a text without NUL"))).otherwise(F.col("kind"))
+    none = F.array().cast("array<struct<path:string,sha256:string,content:string>>")
+    # Members in the order of their names, as canonical JSON has them.
+    files_sorted = F.transform(F.coalesce("files", none), lambda x: F.struct(x["content"].alias("content"), x["path"].alias("path"), x["sha256"].alias("sha256")))
+    line = F.struct(files_sorted.alias("files"), F.lit(format).alias("format"), F.lit(version).alias("format_version"), kind.alias("kind"), "message", "timestamp")
+    return events.join(held, ["job_id", "position"], "left").select("job_id", "position", F.to_json(line).alias("line"))
