@@ -95,17 +95,18 @@ def settled(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
         folded = facts.groupBy("child").agg(F.max("code").alias("code"), F.max("at").alias("at"), F.sum("open").alias("open"), F.any_value("edge", ignoreNulls=True).alias("edge"))
         state = scratch_table(folded.join(nodes.select(F.col("node").alias("child"), "tolerant"), "child"))
         own = _own(F.coalesce("code", F.lit(FINE)), F.col("tolerant"))
-        ready = scratch_table(state.where("open = 0").select(F.col("child").alias("node"), own.alias("fate"), F.col("at").alias("turn")).where(F.col("fate") < NEVER))
-        single = state.where("open = 1")
-        counts = state.agg(F.count_if(F.col("open") == 1).alias("single")).first()
-        n_ready = ready.count()
-        if not n_ready:
+        is_ready = (F.col("open") == 0) & (own < NEVER)
+        ready = state.where(is_ready).select(F.col("child").alias("node"), own.alias("fate"), F.col("at").alias("turn"))
+        counts = state.agg(F.count_if(is_ready).alias("ready"), F.count_if(F.col("open") == 1).alias("single")).first()
+        if not counts.ready:
             break
         found.append(ready)
         rest = met.where(~told).select(*_EDGE)
-        # Contracted are chains of more than one node, where they hold more than the round has settled.
-        inner = single.join(single.select(F.col("child").alias("_up")), F.col("edge.parent") == F.col("_up"), "left_semi").count() if counts.single else 0
-        if inner >= max(1, n_ready):
+        # Contracted are chains of more than one node, where they hold more nodes than the round has settled.
+        single, inner = state.where("open = 1"), 0
+        if counts.single >= 4 * counts.ready:
+            inner = single.join(single.select(F.col("child").alias("_up")), F.col("edge.parent") == F.col("_up"), "left_semi").count()
+        if inner > counts.ready:
             chain = scratch_table(single.select(
                 F.col("child").alias("node"),
                 F.col("edge.parent").alias("to"),
@@ -117,9 +118,8 @@ def settled(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
             hung.append(heads)
             outside = rest.join(chain.select(F.col("node").alias("child")), "child", "left_anti")
             up = heads.select(F.col("node").alias("parent"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in _EDGE[2:]])
-            held = chain.select(F.col("node").alias("parent")).withColumn("_in", F.lit(True))
             # An edge from a chain node is one from its head; from a circle none, so its child stays open.
-            moved = outside.join(held, "parent", "left").join(up, "parent", "left")
+            moved = outside.join(up, "parent", "left")
             through = lambda c: F.when(F.col("_to").isNull(), F.col(c)).otherwise(_through(F.col(f"_{c}"), F.col("if_failed"), F.col("if_stopped"))).alias(c)
             rest = _merged(moved.select(
                 "child", F.coalesce("_to", "parent").alias("parent"), through("if_failed"), through("if_stopped"),
