@@ -116,7 +116,9 @@ def mixed(rows, weights=(5, 2, 1), most=3):
         sizes[s] = sizes.get(s, 0) + n
     targets = source_targets(sizes, weights, most)
     out, done = {}, dict.fromkeys(sizes, 0)
-    for k in sorted(range(len(rows)), key=lambda k: hashlib.md5(str(rows[k][0]).encode()).hexdigest()):
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    place = lambda r: md5(f"{'null' if r[0] is None else r[0]}/{'null' if r[1] is None else md5(r[1])}")
+    for k in sorted(range(len(rows)), key=lambda k: place(rows[k])):
         s = rows[k][2]
         passes = [done[s] + size[k] / 2 + i * sizes[s] for i in range(most)]
         out[k] = (size[k], targets[s], [x for x in passes if x < targets[s]])
