@@ -77,6 +77,44 @@ SELECT l_orderkey AS job_id, l_shipdate AS mtime, l_extendedprice AS size_bytes,
          WHEN 5 THEN 'retired_requests' WHEN 6 THEN 'journal_segments' WHEN 7 THEN 'manager_directories' ELSE 'placement_directories' END AS category,
        concat('f', cast(l_linenumber AS string), '-', cast(l_partkey AS string), '-', cast(l_suppkey AS string)) AS name
 FROM {lineitem}""",
+    "fx_current": """
+SELECT o_orderkey AS job_id,
+       CASE WHEN o_orderkey % 43 = 0 THEN 'record cannot be read' END AS state_error,
+       CASE WHEN o_orderkey % 13 > 0 THEN o_custkey % 127 END AS manager_id,
+       CASE WHEN o_orderkey % 3 > 0 THEN 100 * (o_orderkey % 17) END AS lease_seconds,
+       CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 4 END AS activation_id,
+       o_custkey % 2 = 1 AS persistent,
+       CASE o_custkey % 3 WHEN 0 THEN 'h0' WHEN 1 THEN 'h1' END AS writer_host,
+       CASE o_custkey % 4 WHEN 0 THEN 'rename refused' WHEN 1 THEN '' END AS wedge,
+       CASE WHEN o_custkey % 5 > 0 THEN concat('code', cast(o_custkey % 5 AS string)) END AS failure_code,
+       CASE WHEN o_custkey % 2 = 0 THEN concat('m', cast(o_custkey AS string)) END AS failure_message,
+       CASE WHEN o_custkey % 6 > 0 THEN 'all_succeeded' END AS condition,
+       CASE WHEN o_custkey % 4 > 0 THEN 's1' END AS next_step,
+       CASE WHEN o_custkey % 7 > 0 THEN concat('t', cast(o_custkey AS string)) END AS unresolved_since,
+       CASE WHEN o_custkey % 3 > 0 THEN concat('op', cast(o_custkey % 3 AS string)) END AS operator,
+       CASE WHEN o_custkey % 5 = 0 THEN 'stop' END AS operator_reason,
+       CASE WHEN o_custkey % 6 = 0 THEN 'process_exited' END AS evidence,
+       CASE WHEN o_orderkey % 23 = 0 THEN 'op1' END AS pause_by, CASE WHEN o_orderkey % 46 < 2 THEN 'later' END AS pause_reason
+FROM {orders}""",
+    "fx_request": """
+SELECT l_orderkey AS job_id, concat('q', cast(l_linenumber AS string), '-', cast(l_partkey AS string)) AS request_id,
+       CASE l_linenumber % 5 WHEN 0 THEN 'continue' WHEN 1 THEN 'cancel' WHEN 2 THEN 'pause' WHEN 3 THEN 'override_step' END AS action,
+       CASE WHEN l_suppkey % 3 > 0 THEN concat('op', cast(l_suppkey % 3 AS string)) END AS operator,
+       CASE WHEN l_linenumber % 3 > 0 THEN l_suppkey % 4 END AS retired_at,
+       CASE WHEN l_partkey % 4 > 0 THEN concat('reason', cast(l_partkey % 4 AS string)) END AS reason
+FROM {lineitem}""",
+    "fx_breadcrumb": """
+SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 5 > 0 THEN concat('s', cast(o_custkey % 5 AS string)) END AS step, 'ValueError' AS exception, concat('bad ', cast(o_custkey AS string)) AS message
+FROM {orders} WHERE o_custkey % 3 = 1""",
+    "fx_ledger": """
+SELECT o_orderkey * 4 AS job_id, concat('x', cast(o_orderkey AS string)) AS transfer_id, concat('o--', cast(o_orderkey * 4 AS string)) AS job_key,
+       CASE o_orderkey % 5 WHEN 0 THEN 'received' ELSE 'sealed' END AS status,
+       CASE o_orderkey % 7 WHEN 0 THEN 'elsewhere' ELSE 'dest' END AS destination_workspace_id,
+       CASE o_orderkey % 6 WHEN 0 THEN 'other' WHEN 1 THEN NULL ELSE 'hub' END AS destination_remote,
+       CASE o_orderkey % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'failed' ELSE 'succeeded' END AS prior_kind,
+       concat('r', cast(o_custkey % 5 AS string), '/n', cast(o_custkey % 25 AS string)) AS placement,
+       o_orderkey % 9 <> 0 AS has_bundle, CASE WHEN o_orderkey % 11 = 0 THEN 'manifest disagrees' END AS problem
+FROM {orders} WHERE o_orderkey % 3 <> 1""",
     "fx_edge": """
 SELECT p_partkey AS child, cast(floor(p_partkey / 2) AS bigint) AS parent FROM {part} WHERE p_partkey >= 1
 UNION

@@ -1202,7 +1202,7 @@ def stream_replay_state(frames):
     return state_machine.replay(frames.sparkSession, f"{folder}/frames", rows.schema, f"{folder}/checkpoint")
 
 
-from . import record_queries, upkeep_queries  # noqa: E402, F401  register their queries here
+from . import diagnosis_queries, record_queries, upkeep_queries  # noqa: E402, F401  register their queries here
 
 
 def queries() -> dict[str, Query]:
