@@ -119,12 +119,13 @@ def requirement_matches(jobs: DataFrame, managers: DataFrame) -> DataFrame:
     # Which offers hold a non-empty set of required capabilities: as many names in common as it has.
     needs = wants.select("capabilities").distinct().withColumn("need", name_set(F.col("capabilities")))
     shared = needs.withColumn("name", F.explode("need")).join(offered.withColumn("name", F.explode("have")), "name")
-    holds = shared.groupBy("capabilities", "offer").agg(F.count("*").alias("n"), F.max(F.size("need")).alias("of")).where("n = of").groupBy("capabilities").agg(F.collect_set("offer").alias("_offers"))
+    holds = shared.groupBy("capabilities", "offer").agg(F.count("*").alias("n"), F.max(F.size("need")).alias("of")).where("n = of").select("capabilities", "offer")
+    # A row for every offer that holds what is required, never a list of them.
     keys = wants.join(holds, "capabilities", "left").select(
         F.struct("executor", "pool", "capabilities", "area").alias("want"),
         F.array("executor").alias("executor"),
         F.array(F.lit("*"), "pool").alias("pool"),
-        F.when(F.col("capabilities") == "", F.array(F.lit(""))).otherwise(F.coalesce("_offers", F.array(F.lit("?")))).alias("capabilities"),
+        F.array(F.when(F.col("capabilities") == "", "").otherwise(F.coalesce("offer", F.lit("?")))).alias("capabilities"),
         path_prefixes(F.col("area")).alias("placement"),
     )
     prefixes = least_prefixes(name_set(F.col("placement_prefixes")))

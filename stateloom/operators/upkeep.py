@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TERMINAL_KINDS
+from ..sources.scratch import scratch_table
 
 # Entries of a payload that no digest covers.
 PRIVATE_NAME, PRIVATE_PREFIX = "job-state", "attempt."
@@ -21,17 +22,22 @@ def is_private(name: Column, private: str = PRIVATE_NAME, prefix: str = PRIVATE_
 def scan_order(markers: DataFrame) -> DataFrame:
     """Markers with ``place``, from 1: by kind, then placement component by component, then name.
 
-    Components are compared one by one, so ``a.b`` stands after all of ``a/...``.  Rows are
-    numbered inside a kind and placement root and shifted by the counts before them.
+    Components are compared one by one, so ``a.b`` stands after all of ``a/...``.  One range
+    sort deals the markers over tasks, however many share a kind or a root; each row is
+    numbered inside its range and shifted by the sizes of the ranges before it.  The sorted
+    rows are written once, so that a rerun cannot deal them in another way.  Equal markers
+    take neighbouring places.
     """
-    parts = F.split("placement", "/")
-    keyed = markers.withColumn("_parts", parts).withColumn("_root", F.get(parts, F.lit(0)))
-    counts = keyed.groupBy("kind", "_root").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("kind", "_root").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("kind", "_root", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
-    inside = F.row_number().over(Window.partitionBy("kind", "_root").orderBy("_parts", "job_key"))
-    placed = keyed.withColumn("_at", inside).join(begins, ["kind", "_root"])
-    return placed.withColumn("place", (F.col("_begin") + F.col("_at")).cast("long")).drop("_parts", "_root", "_begin", "_at")
+    row, low = "_row", (1 << 33) - 1
+    # The number of a range stands in the upper bits, the place inside it in the lower.
+    ordered = markers.orderBy("kind", F.split("placement", "/"), "job_key").withColumn(row, F.monotonically_increasing_id())
+    table = scratch_table(ordered)
+    part = F.shiftright(row, 33)
+    sizes = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # One row for each range.
+    begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))
+    placed = table.join(begins, part == F.col("_part"))
+    return placed.select(*markers.columns, (F.col("_begin") + F.col(row).bitwiseAND(low) + 1).alias("place"))
 
 
 def bounded_scan(entries: DataFrame, cursors: DataFrame, rotation: str | None, processing: int, discovery: int) -> tuple[DataFrame, DataFrame]:

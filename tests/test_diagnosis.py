@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateloom.operators.predicates import pair_refusals
+from stateloom.operators.upkeep import scan_order
 from stateloom.plans import diagnosis, transfers
 
 JOB = "job_id long, kind string, job_error string, placement string, executor string, pool string, capabilities string, owner_uid long, runner string, attempts long, total_attempts long, max_attempts long, max_total long"
@@ -143,3 +144,22 @@ def test_transfers(spark):
     for bad in ([], ["running"]):
         with pytest.raises(ValueError, match="an offer takes"):
             transfers.transfer_candidates(jobs, ledgers, referenced, "d", bad)
+
+
+def test_one_root_is_scanned_in_many_ranges(spark):
+    n = 60_000
+    keys = spark.range(n).select(F.lit("ready").alias("kind"), F.format_string("k%05d", (F.col("id") * 7919) % n).alias("job_key"), F.when(F.col("id") % 3 > 0, "root/a").otherwise("root").alias("placement"))
+    odd = spark.createDataFrame([("failed", "x", "z"), ("ready", "x", None), ("ready", "x", "root.b"), ("ready", "x", "root.b"), (None, None, None)], "kind string, job_key string, placement string")
+    ordered = scan_order(keys.unionByName(odd))
+    rows = [tuple(r) for r in ordered.orderBy("place").collect()]
+    assert [r[3] for r in rows] == list(range(1, n + 6))
+    key = lambda r: ((r[0] is not None, r[0] or ""), (r[2] is not None, (r[2] or "").split("/")), (r[1] is not None, r[1] or ""))
+    assert [r[:3] for r in rows] == sorted((r[:3] for r in rows), key=key)
+    assert scan_order(odd.limit(0)).count() == 0
+    # A range of four holds about a quarter of the rows, though nearly all are of one root.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in keys.orderBy("kind", F.split("placement", "/"), "job_key").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < n / 2
