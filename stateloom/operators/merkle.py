@@ -4,7 +4,7 @@ A folder's digest covers the names, kinds and digests of what it holds, so equal
 equal digests wherever they lie, and two versions differ exactly along the paths to what
 changed.  A folder's entries are first folded in buckets by hash of the name, then bucket by
 bucket, so a folder of very many entries is no single group; a level of the tree is one
-pair of aggregations.
+pair of aggregations, over one shuffle unless a folder of that depth may be very full.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from ..sources.scratch import scratch_table
 
 #: Hex digits of the name's digest that make a bucket: 4,096 buckets a folder at most.
 BUCKET_DIGITS = 3
+#: A folder with more entries below it counts as very full.
+FULL = 100_000
+#: Levels that are folded in one plan.
+LEVELS_A_PLAN = 8
 
 
-def glob_rule(pattern: str) -> str:
-    """The regular expression of a glob over whole paths; ``*`` and ``?`` match separators too."""
+def _glob(pattern: str) -> str:
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
@@ -34,7 +37,12 @@ def glob_rule(pattern: str) -> str:
         else:
             out += ".*" if c == "*" else "." if c == "?" else re.escape(c)
         i += 1
-    return f"(?s)^(?:{out})$"
+    return out
+
+
+def glob_rule(pattern: str) -> str:
+    """The regular expression of a glob over whole paths; ``*`` and ``?`` match separators too."""
+    return f"(?s)^(?:{_glob(pattern)})$"
 
 
 def _prefixes(path: Column) -> Column:
@@ -46,8 +54,7 @@ def included(path: Column, patterns: Sequence[str]) -> Column:
     """Whether neither a path nor a folder above it is excluded by a glob."""
     if not patterns:
         return F.lit(True)
-    rule = "|".join(glob_rule(p) for p in patterns)
-    return ~F.exists(_prefixes(path), lambda p: p.rlike(rule))
+    return ~path.rlike("(?s)^(?:" + "|".join(map(_glob, patterns)) + r")(?:/|\z)")
 
 
 def entry_digest(entries: DataFrame) -> Column:
@@ -59,15 +66,46 @@ def entry_digest(entries: DataFrame) -> Column:
     )
 
 
-def _folded(children: DataFrame) -> DataFrame:
-    """(tree, path, digest, n_files, bytes) of folders, from rows tree, parent, name, kind, digest, n_files, bytes."""
-    line = F.concat_ws("|", "name", "kind", "digest")
+def _line() -> Column:
+    """What a folder's digest covers of an entry.  Digests travel as 32 bytes and become text here."""
+    return F.concat_ws("|", "name", "kind", F.lower(F.hex("digest")))
+
+
+def _folded(children: DataFrame, full: bool) -> DataFrame:
+    """(tree, path, digest, n_files, bytes) of folders, from rows tree, parent, name, kind, digest, n_files, bytes.
+
+    Where a folder may be very full, buckets are dealt out one by one; else a folder's
+    entries are dealt out together, once, and both foldings find them in place.
+    """
     sums = [F.sum("n_files").alias("n_files"), F.sum("bytes").alias("bytes")]
-    buckets = children.groupBy("tree", "parent", F.substring(F.sha2("name", 256), 1, BUCKET_DIGITS).alias("bucket")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("part"), *sums
-    )
+    placed = children if full else children.repartition("tree", "parent")
+    bucket = F.substring(F.sha2("name", 256), 1, BUCKET_DIGITS).alias("bucket")
+    buckets = placed.groupBy("tree", "parent", bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(_line())), "\n"), 256).alias("part"), *sums)
     whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda b: F.concat(b["bucket"], F.lit("|"), b["part"])), "\n"), 256)
-    return buckets.groupBy("tree", F.col("parent").alias("path")).agg(whole.alias("digest"), *sums)
+    return buckets.groupBy("tree", F.col("parent").alias("path")).agg(F.unhex(whole).alias("digest"), *sums)
+
+
+def _name() -> Column:
+    return F.substring_index("path", "/", -1)
+
+
+def _parent() -> Column:
+    return F.left(F.col("path"), F.length("path") - F.length(_name()) - 1)
+
+
+def _depth() -> Column:
+    return F.when(F.col("path") == "", 0).otherwise(1 + F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit(""))))
+
+
+def _shape(entries: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """By depth: files and links, directories named, and the most entries that one folder of that depth has below it."""
+    held = entries.groupBy("tree", _parent().alias("parent"), _depth().alias("depth")).agg(F.count_if(F.col("type") != "directory").alias("leaves"), F.count_if(F.col("type") == "directory").alias("named"))
+    above = F.concat(F.array(F.lit("")), F.when(F.col("parent") == "", F.array().cast("array<string>")).otherwise(_prefixes(F.col("parent"))))
+    below = held.select("tree", F.posexplode(above).alias("at", "folder"), (F.col("leaves") + F.col("named")).alias("n")).groupBy("tree", "folder", "at").agg(F.sum("n").alias("n"))
+    none = F.lit(0).cast("long")
+    rows = held.groupBy("depth").agg(F.sum("leaves").alias("leaves"), F.sum("named").alias("named")).select("depth", "leaves", "named", none.alias("most"))
+    rows = rows.unionByName(below.groupBy(F.col("at").alias("depth")).agg(F.max("n").alias("most")).select("depth", none.alias("leaves"), none.alias("named"), "most"))
+    return {r.depth: (r.leaves, r.named, r.most) for r in rows.groupBy("depth").agg(F.max("leaves").alias("leaves"), F.max("named").alias("named"), F.max("most").alias("most")).collect()}
 
 
 def tree_digests(entries: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
@@ -76,36 +114,49 @@ def tree_digests(entries: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     ``entries``: tree, path, type (file, symlink or directory), size, sha256, target.
     Folders are those above an entry, and the directories named.  An excluded path goes with
     all below it; a folder that only held excluded entries is empty if it is named, else
-    it is not there.  Paths are unique in a tree.
+    it is not there.  Paths are unique in a tree.  Entries are read again for each use rather
+    than written; levels are one plan, whose shuffles are shared, and are written only where
+    the tree is deeper than ``LEVELS_A_PLAN``.
     """
     kept = entries.where(included(F.col("path"), exclude))
-    parent = F.regexp_replace("path", "(^|/)[^/]*$", "")
-    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    columns = ["tree", "path", "kind", "digest", "n_files", "bytes"]
     leaves = kept.where("type <> 'directory'").select(
-        "tree", "path", F.col("type").alias("kind"), entry_digest(kept).alias("digest"), F.lit(1).cast("long").alias("n_files"), F.coalesce("size", F.lit(0)).cast("long").alias("bytes"), depth.alias("depth")
+        "tree", "path", F.col("type").alias("kind"), F.unhex(entry_digest(kept)).alias("digest"), F.lit(1).cast("long").alias("n_files"), F.coalesce("size", F.lit(0)).cast("long").alias("bytes")
     )
-    named = kept.where("type = 'directory'").select("tree", "path").distinct()
-    empty = named.select("tree", "path", F.lit("directory").alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(0).cast("long").alias("n_files"), F.lit(0).cast("long").alias("bytes"), depth.alias("depth"))
-    known = scratch_table(leaves.unionByName(empty))
-    deepest = known.agg(F.max("depth")).first()[0] or 0
-    done, level, nothing = [], None, F.sha2(F.lit(""), 256)
+    none, text = F.lit(0).cast("long"), F.lower(F.hex("digest")).alias("digest")
+    hollow = lambda folders: folders.select("tree", "path", F.lit("directory").alias("kind"), F.unhex(F.sha2(F.lit(""), 256)).alias("digest"), none.alias("n_files"), none.alias("bytes"))
+    shape = _shape(kept)
+    if not shape:
+        return leaves.withColumn("digest", text)
+    out, block, level, deepest = leaves, [], None, max(shape)
     for d in range(deepest, -1, -1):
-        here = known.where(F.col("depth") == d)
-        folders = here.where("kind = 'directory'").select("tree", "path")
-        rows = here.where("kind <> 'directory'").drop("depth")
+        n_leaves, n_named, most = shape.get(d, (0, 0, 0))
+        parts, folded = [], None
         if level is not None:
-            folded = _folded(level)
-            rows = rows.unionByName(folded.select("tree", "path", F.lit("directory").alias("kind"), "digest", "n_files", "bytes"))
-            folders = folders.join(folded, ["tree", "path"], "left_anti")
-        hollow = folders.select("tree", "path", F.lit("directory").alias("kind"), nothing.alias("digest"), F.lit(0).cast("long").alias("n_files"), F.lit(0).cast("long").alias("bytes"))
-        rows = scratch_table(rows.unionByName(hollow))
-        done.append(rows)
-        if d:
-            level = rows.select("tree", parent.alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"), "kind", "digest", "n_files", "bytes")
-    out = done[0]
-    for rows in done[1:]:
-        out = out.unionByName(rows)
-    return out
+            below = level.select("tree", _parent().alias("parent"), _name().alias("name"), *columns[2:])
+            folded = _folded(below, most > FULL).select("tree", "path", F.lit("directory").alias("kind"), *columns[3:])
+            parts.append(folded)
+        if n_named:
+            folders = kept.where("type = 'directory'").where(_depth() == d).select("tree", "path").distinct()
+            parts.append(hollow(folders if folded is None else folders.join(folded, ["tree", "path"], "left_anti")))
+        made = None
+        for part in parts:
+            made = part if made is None else made.unionByName(part)
+        if made is not None:
+            block.append(made)
+        if d and (deepest - d) % LEVELS_A_PLAN == LEVELS_A_PLAN - 1 and made is not None:
+            whole = block[0].withColumn("_depth", _depth())
+            for part in block[1:]:
+                whole = whole.unionByName(part.withColumn("_depth", _depth()))
+            whole = scratch_table(whole)
+            out, block, made = out.unionByName(whole.select(columns)), [], whole.where(F.col("_depth") == d).select(columns)
+        level = made
+        if n_leaves:
+            here = leaves.where(_depth() == d)
+            level = here if level is None else level.unionByName(here)
+    for part in block:
+        out = out.unionByName(part)
+    return out.withColumn("digest", text)
 
 
 def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -62,3 +62,27 @@ def test_a_very_full_folder_is_folded_in_buckets(spark):
     assert sorted((r.path, r.n_files, r.bytes) for r in got) == [("", 100_000, 100_000), ("f", 100_000, 100_000)]
     again = merkle.tree_digests(rows.repartition(7)).where("path = ''").first()
     assert again.digest == next(r.digest for r in got if r.path == "")
+
+
+def test_levels_are_one_plan_with_narrow_shuffles(spark, monkeypatch):
+    made, write = [], merkle.scratch_table
+    monkeypatch.setattr(merkle, "scratch_table", lambda df: made.append(df) or write(df))
+    rows = spark.createDataFrame(FILES, SCHEMA)
+    want = {(r.path, r.digest) for r in merkle.tree_digests(rows).collect()}
+    assert not made  # entries and folders of a shallow tree are never written
+    monkeypatch.setattr(merkle, "FULL", 0)  # as if every folder were very full
+    assert {(r.path, r.digest) for r in merkle.tree_digests(rows).collect()} == want
+    monkeypatch.setattr(merkle, "LEVELS_A_PLAN", 2)
+    assert {(r.path, r.digest) for r in merkle.tree_digests(rows).collect()} == want and made
+    path = "a/b/c/d/e/f"
+    got = digests(spark, [("t", path, "file", 3, "h1", None), ("t", "a/x", "directory", None, None, None)])
+    assert set(got) == {("t", path[: 2 * i + 1]) for i in range(6)} | {("t", ""), ("t", "a/x")}
+
+
+def test_exclusions_hold_at_each_folder_above(spark):
+    names = ["a/b/c", "ab/c", "a", "b/a/c", "a\nb/c", "x5/tmp/f", "x5/tmpf", "", "q/x5/tmp"]
+    for pattern in ["a", "*5/tmp", "a/b", "?", "a*", "", "[ab]", "*/c"]:
+        rows = spark.createDataFrame([(n,) for n in names], "n string")
+        got = {r.n for r in rows.where(merkle.included(F.col("n"), [pattern])).collect()}
+        parts = lambda n: ["/".join(n.split("/")[:i]) for i in range(1, n.count("/") + 2)]
+        assert got == {n for n in names if not any(fnmatch.fnmatchcase(p, pattern) for p in parts(n))}, pattern
