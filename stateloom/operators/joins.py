@@ -240,3 +240,19 @@ def children_of(frames: DataFrame) -> DataFrame:
     )
     last = entries.groupBy("job_id", "label").agg(F.max_by(F.struct("_entry", "kind"), "_run").alias("_last"), F.min("_first").alias("first_position"))
     return last.select("job_id", "label", "_last._entry.child_id", "_last._entry.child_key", "_last.kind", "first_position")
+
+
+#: Markers without a frame are dealt into so many parts.
+_DEALT = 1 << 20
+
+
+def with_frames(markers: DataFrame, frames: DataFrame) -> DataFrame:
+    """Markers with the frame of their record_ref, null where there is none; ``init`` names no frame.
+
+    Most markers of a young campaign are ``init``.  They are dealt out by job instead of
+    meeting in one task as equal keys.
+    """
+    ref = F.col("record_ref")
+    dealt = markers.withColumn("_deal", F.when(ref == "init", 1 + F.pmod(F.xxhash64("job_id", "job_key"), F.lit(_DEALT))).otherwise(F.lit(0).cast("long")))
+    held = frames.withColumn("_deal", F.when(ref == "init", F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    return dealt.join(held, ["record_ref", "_deal"], "left").drop("_deal")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import identity_mismatch
+from ..operators.joins import identity_mismatch, with_frames
 from ..operators.predicates import area_of, budget_exhausted, depth_of, requirement_matches
 from ..schemas import TERMINAL_KINDS
 
@@ -55,7 +55,7 @@ def integrity(markers: DataFrame, frames: DataFrame) -> DataFrame:
     that refers to ``init`` has no frame, and must be submitted at generation 0.
     """
     theirs = frames.select("record_ref", "is_error", *[F.col(c).alias(f"f_{c}") for c in IDENTITY])
-    joined = markers.join(theirs, "record_ref", "left")
+    joined = with_frames(markers, theirs)
     mismatch = identity_mismatch([(c, F.col(c), F.col(f"f_{c}")) for c in IDENTITY])
     first = (F.col("kind") == "submitted") & (F.col("generation") == 0)
     finding = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.folds import timeline_attempts
-from ..operators.joins import children_by_label
+from ..operators.joins import children_by_label, with_frames
 from ..operators.predicates import budget_exhausted, path_prefixes, runner_module
 from ..sources.scratch import scratch_table
 
@@ -63,7 +63,7 @@ def read_states(markers: DataFrame, frames: DataFrame, fields: list[str], worksp
         "record_ref", "is_error", F.col("job_key").alias("_key"), F.col("workspace_id").alias("_workspace"), *[F.col(c).alias(f"_{c}") for c in format],
         F.struct(*[have(c).alias(c) for c in members]).alias("_state"),
     )
-    both = markers.join(named, "record_ref", "left")
+    both = with_frames(markers, named)
     same = (F.col("_key") == F.col("job_key")) & (F.col("_workspace") == workspace_id) & (F.col("_state.generation") == F.col("generation")) & (F.col("_state.kind") == F.col("kind"))
     for c, value in format.items():
         same = same & (F.col(f"_{c}") == F.lit(value))

@@ -163,3 +163,21 @@ def test_one_root_is_scanned_in_many_ranges(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(sizes) < n / 2
+
+
+def test_markers_without_a_frame_are_dealt_out(spark):
+    from stateloom.operators.joins import with_frames
+
+    markers = spark.range(2000).selectExpr("id AS job_id", "concat('o--', id) AS job_key", "CASE WHEN id % 10 = 0 THEN concat('w', id) ELSE 'init' END AS record_ref").repartition(3)
+    frames = spark.range(0, 2000, 20).selectExpr("concat('w', id) AS record_ref", "id AS f").unionByName(spark.createDataFrame([("init", -1)], "record_ref string, f long"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1")):
+            spark.conf.set(k, v)
+        rows = with_frames(markers, frames).selectExpr("*", "spark_partition_id() AS part").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {(r.job_id, r.f) for r in rows} == {(i, i if i % 20 == 0 else None) for i in range(2000)} and len(rows) == 2000
+    parts = [r.part for r in rows if r.record_ref == "init"]
+    assert max(parts.count(p) for p in set(parts)) < len(parts) / 2
