@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def _lines(text: Column) -> Column:
@@ -27,6 +29,17 @@ def number_text(value: pd.Series) -> pd.Series:
     return value.map(lambda x: f"{x:.16g}", na_action="ignore")
 
 
+@pandas_udf(ArrayType(StringType()))
+def number_texts(values: pd.Series) -> pd.Series:
+    """``number_text`` of the doubles of an array, in one call."""
+    return values.map(lambda xs: [None if x is None or x != x else f"{x:.16g}" for x in xs], na_action="ignore")
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def header(text: Column) -> Column:
     """struct(comment, scale, lattice, species, counts, fault) of a structure file's first seven lines.
 
@@ -75,13 +88,18 @@ def scaled_lattice(text: Column, factor: float) -> Column:
 
 def right_handed(text: Column) -> Column:
     """The text with its lattice negated where it is left-handed; null for a malformed header."""
-    head = header(text)
-    a, b, c = ([head["lattice"][i][k] for k in range(3)] for i in range(3))
-    volume = a[0] * (b[1] * c[2] - b[2] * c[1]) + a[1] * (b[2] * c[0] - b[0] * c[2]) + a[2] * (b[0] * c[1] - b[1] * c[0])
-    flipped = text
-    for i, row in enumerate((a, b, c)):
-        flipped = _with_line(flipped, 2 + i, F.concat_ws(" ", *[number_text(-x) for x in row]))
-    return F.when(head["fault"].isNull(), F.when(volume < 0, flipped).otherwise(text))
+    # A header is read once for the numbers and once for the verdict, and all numbers become texts in one call.
+    negated = number_texts(_bound(header(text), lambda h: F.transform(F.flatten(h["lattice"]), lambda x: -x)))
+
+    def left_handed(h: Column) -> Column:
+        a, b, c = ([h["lattice"][i][k] for k in range(3)] for i in range(3))
+        volume = a[0] * (b[1] * c[2] - b[2] * c[1]) + a[1] * (b[2] * c[0] - b[0] * c[2]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+        return F.when(h["fault"].isNull(), F.coalesce(volume < 0, F.lit(False)))
+
+    lines, left = _lines(text), _bound(header(text), left_handed)
+    rows = F.array(*[F.array_join(F.slice(negated, i, 3), " ") for i in (1, 4, 7)])
+    flipped = F.array_join(F.concat(F.slice(lines, 1, 2), rows, F.slice(lines, 6, 1 << 30)), "\n")
+    return F.get(F.array(text, flipped), left.cast("int"))
 
 
 def with_comment_of(text: Column, reference: Column) -> Column:

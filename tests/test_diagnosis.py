@@ -181,3 +181,11 @@ def test_markers_without_a_frame_are_dealt_out(spark):
     assert {(r.job_id, r.f) for r in rows} == {(i, i if i % 20 == 0 else None) for i in range(2000)} and len(rows) == 2000
     parts = [r.part for r in rows if r.record_ref == "init"]
     assert max(parts.count(p) for p in set(parts)) < len(parts) / 2
+
+
+def test_structure_texts_are_dealt_to_all_cores(spark):
+    from stateloom import queries
+
+    rows = queries.queries()["structure_rewrites"](spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert str(rows._jdf.queryExecution().optimizedPlan().toString()).count("number_texts(") <= 3
