@@ -54,13 +54,17 @@ def batch_state(frames: DataFrame) -> DataFrame:
     )
 
 
-def replay(spark: SparkSession, folder: str, schema, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
+def replay(spark: SparkSession, folder: str, schema, checkpoint: str, files_per_batch: int = 1, most_batches: int | None = None) -> DataFrame:
     """Streams a folder of frame files to the end and returns the last state of every job.
 
     States go to a table by ``foreachBatch``, keyed by batch, so a batch that is run again
-    overwrites itself.
+    overwrites itself.  Every batch costs a report of each state partition to the driver, so
+    with ``most_batches`` a batch takes as many files as keep to that number of batches.
     """
     out = f"{checkpoint}/states"
+    if most_batches:
+        n_files = len(spark.read.schema(schema).parquet(folder).inputFiles())
+        files_per_batch = max(files_per_batch, -(-n_files // most_batches))
     frames = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -99,3 +99,15 @@ def test_the_first_and_last_diagnostics_are_kept():
     out, _ = folded([("line", "x")] * 50 + [("process-exit", None)], CHECKERS[3:4], keep=10)
     assert [d[0] for d in out] == [0, 1, 2, 3, 4, 50, 45, 46, 47, 48, 49]
     assert out[5][1] == sv.TRUNCATED and out[5][3].startswith("40 ")
+
+
+def test_a_replay_keeps_to_its_number_of_batches(spark, tmp_path):
+    import os
+
+    from stateloom.streaming import state_machine
+
+    rows = spark.range(60).selectExpr("id % 6 AS job_id", "1 + id div 6 AS generation", "CASE WHEN id % 3 = 0 THEN 'claimed' ELSE 'failed' END AS kind")
+    rows.repartition(3, "job_id").sortWithinPartitions("generation").write.option("maxRecordsPerFile", 4).parquet(f"{tmp_path}/frames")
+    got = state_machine.replay(spark, f"{tmp_path}/frames", rows.schema, f"{tmp_path}/checkpoint", most_batches=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state_machine.batch_state(rows).collect()))
+    assert len([n for n in os.listdir(f"{tmp_path}/checkpoint/states") if n.startswith("batch=")]) <= 3
