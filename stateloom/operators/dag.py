@@ -22,6 +22,11 @@ FINE, FAILED, STOPPED, NEVER = 0, 1, 2, 3
 _EDGE = ("child", "parent", "if_failed", "if_stopped", "least", "steps")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle: broadcast, what grows with the graph would pass through the driver in every round."""
+    return df.hint("merge")
+
+
 def _own(code: Column, tolerant: Column) -> Column:
     """What a node becomes, from the gravest of its parents: one that can run never settles here."""
     return F.when(code >= STOPPED, code).when((code == FAILED) & ~tolerant, FAILED).otherwise(NEVER)
@@ -33,7 +38,7 @@ def _through(fate: Column, if_failed: Column, if_stopped: Column) -> Column:
 
 def _merged(edges: DataFrame) -> DataFrame:
     """One edge for each pair: what several mean to a child is the gravest and the latest of them."""
-    return edges.groupBy("child", "parent").agg(*[F.max(c).alias(c) for c in _EDGE[2:]])
+    return edges.groupBy("child", "parent").agg(*[F.max(c).alias(c) for c in (*_EDGE[2:], "tolerant")])
 
 
 def _doubled(chain: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def _doubled(chain: DataFrame) -> DataFrame:
     while True:
         ahead = at.select(F.col("node").alias("_node"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in _EDGE[2:]])
         moves = F.col("_node").isNotNull()
-        joined = at.join(ahead, F.col("to") == F.col("_node"), "left")
+        joined = at.join(_dealt(ahead), F.col("to") == F.col("_node"), "left")
         least = F.greatest("least", F.col("_least") + F.col("steps"))
         made = joined.select(
             "node",
@@ -63,7 +68,7 @@ def _doubled(chain: DataFrame) -> DataFrame:
         if made.where("moved").isEmpty():
             return at
         if length > n:  # longer than any chain: what still moves goes round
-            return at.join(chain.select(F.col("node").alias("to")), "to", "left_anti")
+            return at.join(_dealt(chain.select(F.col("node").alias("to"))), "to", "left_anti")
         length *= 2
 
 
@@ -75,25 +80,25 @@ def settled(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     A parent that is neither open nor known never settles.
     """
     bad = lambda code: F.when(F.col("barrier"), F.lit(FINE)).otherwise(F.lit(code))
-    waiting = edges.join(nodes.select(F.col("node").alias("child")), "child")
-    waiting = waiting.select("child", "parent", bad(FAILED).alias("if_failed"), bad(STOPPED).alias("if_stopped"), F.lit(0).cast("long").alias("least"), F.lit(1).cast("long").alias("steps"))
+    waiting = edges.join(_dealt(nodes.select(F.col("node").alias("child"), "tolerant")), "child")
+    waiting = waiting.select("child", "parent", "tolerant", bad(FAILED).alias("if_failed"), bad(STOPPED).alias("if_stopped"), F.lit(0).cast("long").alias("least"), F.lit(1).cast("long").alias("steps"))
     waiting = scratch_table(_merged(waiting))
     new = known.select(F.col("node").alias("parent"), "fate", F.lit(0).cast("long").alias("turn"))
     base, found, hung = None, [], []
     while True:
         # What the new fates mean to their children, on top of what these knew before.
-        met = waiting.join(new, "parent", "left")
+        met = waiting.join(_dealt(new), "parent", "left")
         means = F.when(F.col("fate") == FINE, FINE).otherwise(_through(F.col("fate"), F.col("if_failed"), F.col("if_stopped")))
         told = F.col("fate").isNotNull()
         facts = met.select(
-            "child", F.when(told, means).alias("code"), F.when(told, F.greatest("least", F.col("turn") + F.col("steps"))).alias("at"), F.when(told, 0).otherwise(1).alias("open"),
+            "child", "tolerant", F.when(told, means).alias("code"), F.when(told, F.greatest("least", F.col("turn") + F.col("steps"))).alias("at"), F.when(told, 0).otherwise(1).alias("open"),
             F.when(~told, F.struct(*_EDGE[1:])).alias("edge"),
         )
         if base is not None:
-            facts = facts.unionByName(base.select("child", "code", "at", F.lit(0).alias("open")), allowMissingColumns=True)
+            facts = facts.unionByName(base.select("child", "tolerant", "code", "at", F.lit(0).alias("open")), allowMissingColumns=True)
         # any_value of the open edges: the only one, where a node has one.
-        folded = facts.groupBy("child").agg(F.max("code").alias("code"), F.max("at").alias("at"), F.sum("open").alias("open"), F.any_value("edge", ignoreNulls=True).alias("edge"))
-        state = scratch_table(folded.join(nodes.select(F.col("node").alias("child"), "tolerant"), "child"))
+        folded = facts.groupBy("child").agg(F.max("tolerant").alias("tolerant"), F.max("code").alias("code"), F.max("at").alias("at"), F.sum("open").alias("open"), F.any_value("edge", ignoreNulls=True).alias("edge"))
+        state = scratch_table(folded)
         own = _own(F.coalesce("code", F.lit(FINE)), F.col("tolerant"))
         is_ready = (F.col("open") == 0) & (own < NEVER)
         ready = state.where(is_ready).select(F.col("child").alias("node"), own.alias("fate"), F.col("at").alias("turn"))
@@ -101,11 +106,11 @@ def settled(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
         if not counts.ready:
             break
         found.append(ready)
-        rest = met.where(~told).select(*_EDGE)
+        rest = met.where(~told).select(*_EDGE, "tolerant")
         # Contracted are chains of more than one node, where they hold more nodes than the round has settled.
         single, inner = state.where("open = 1"), 0
         if counts.single >= 4 * counts.ready:
-            inner = single.join(single.select(F.col("child").alias("_up")), F.col("edge.parent") == F.col("_up"), "left_semi").count()
+            inner = single.join(_dealt(single.select(F.col("child").alias("_up"))), F.col("edge.parent") == F.col("_up"), "left_semi").count()
         if inner > counts.ready:
             chain = scratch_table(single.select(
                 F.col("child").alias("node"),
@@ -116,13 +121,13 @@ def settled(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
             ))
             heads = _doubled(chain)
             hung.append(heads)
-            outside = rest.join(chain.select(F.col("node").alias("child")), "child", "left_anti")
+            outside = rest.join(_dealt(chain.select(F.col("node").alias("child"))), "child", "left_anti")
             up = heads.select(F.col("node").alias("parent"), F.col("to").alias("_to"), *[F.col(c).alias(f"_{c}") for c in _EDGE[2:]])
             # An edge from a chain node is one from its head; from a circle none, so its child stays open.
-            moved = outside.join(up, "parent", "left")
+            moved = outside.join(_dealt(up), "parent", "left")
             through = lambda c: F.when(F.col("_to").isNull(), F.col(c)).otherwise(_through(F.col(f"_{c}"), F.col("if_failed"), F.col("if_stopped"))).alias(c)
             rest = _merged(moved.select(
-                "child", F.coalesce("_to", "parent").alias("parent"), through("if_failed"), through("if_stopped"),
+                "child", "tolerant", F.coalesce("_to", "parent").alias("parent"), through("if_failed"), through("if_stopped"),
                 F.greatest("least", F.coalesce(F.col("_least") + F.col("steps"), F.lit(0))).alias("least"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
             ))
             state = state.where("open <> 1")  # what chain nodes know is in the chain
@@ -134,10 +139,10 @@ def settled(edges: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
         fates = fates.unionByName(part)
     for heads in reversed(hung):
         fates = scratch_table(fates)
-        below = heads.join(fates.select(F.col("node").alias("to"), F.col("fate").alias("_fate"), "turn"), "to")
+        below = heads.join(_dealt(fates.select(F.col("node").alias("to"), F.col("fate").alias("_fate"), "turn")), "to")
         fate = _through(F.col("_fate"), F.col("if_failed"), F.col("if_stopped"))
         fates = fates.unionByName(below.select("node", fate.alias("fate"), F.greatest("least", F.col("turn") + F.col("steps")).alias("turn")).where(F.col("fate") < NEVER))
-    return scratch_table(fates).join(nodes.select("node"), "node", "left_semi")
+    return scratch_table(fates).join(_dealt(nodes.select("node")), "node", "left_semi")
 
 
 def dag_levels(edges: DataFrame) -> DataFrame:
@@ -148,7 +153,7 @@ def dag_levels(edges: DataFrame) -> DataFrame:
     """
     pairs = scratch_table(edges.select("parent", "child").distinct())
     children = scratch_table(pairs.select(F.col("child").alias("node")).distinct())
-    roots = scratch_table(pairs.select(F.col("parent").alias("node")).distinct().join(children, "node", "left_anti"))
+    roots = scratch_table(pairs.select(F.col("parent").alias("node")).distinct().join(_dealt(children), "node", "left_anti"))
     # A level is the round in which a failure at the roots would reach a node.
     failed = roots.withColumn("fate", F.lit(FAILED))
     reached = settled(pairs.withColumn("barrier", F.lit(False)), children.withColumn("tolerant", F.lit(False)), failed)

@@ -95,3 +95,17 @@ def test_a_chain_of_a_hundred_thousand_nodes_takes_logarithmic_jobs(spark):
     assert small[:2] == (10_001, 0) and large[:2] == (100_001, 0)
     # Ten times the nodes: a few more doublings, and as many rounds as before but for those of more layers.
     assert large[2] <= 2 * small[2] and large[2] < 700
+
+
+def test_no_table_of_nodes_passes_through_the_driver(spark, monkeypatch):
+    """Every table that a step writes, and the result, is planned without a broadcast, however small the graph."""
+    plans, write = [], dag.scratch_table
+    keep = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df)
+    monkeypatch.setattr(dag, "scratch_table", keep)
+    edges = side_by_side(random.Random(3), 1)
+    e = spark.createDataFrame([x for x in edges if x[0] // 1000 % 7 != 6], "parent int, child int, barrier boolean")
+    dag.dag_levels(e)
+    nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
+    poisoned = dag.dag_poison(e, nodes.withColumn("state", F.when(F.col("node") % 1000 == 0, "failed").otherwise("pending")).withColumn("tolerant", F.lit(False)))
+    plans.append(poisoned._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
