@@ -169,3 +169,36 @@ def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     both = said(old, "o").join(said(new, "n"), ["tree", "path"], "full")
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "changed")
     return both.select("tree", "path", change.alias("change")).where("change IS NOT NULL")
+
+
+def _above(path: Column) -> Column:
+    """The folders above a path, the tree's own first."""
+    folders = F.concat(F.array(F.lit("")), F.slice(_prefixes(path), F.lit(1), F.size(F.split(path, "/")) - 1))
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(folders)
+
+
+def changed_entries(entries: DataFrame, exclude: Sequence[str] = (), beside: Sequence[str] = ()) -> DataFrame:
+    """(tree, path, change) as ``changed_paths`` has it, of two versions of trees that are at hand as entries.
+
+    ``entries``: those of ``tree_digests`` for both versions, and ``new``, whether a row is of the
+    second; a row may repeat.  An entry differs if the other version has none of its digest at its
+    path, a folder if something at or below it does; it is added or removed if the other version
+    has nothing there.  So no folder needs a digest, and what is shuffled of equal entries are
+    flags of their folders.  ``beside``: columns that a path determines in both versions.  Where
+    rows lie by these, versions meet without a shuffle.
+    """
+    kept = entries.where(included(F.col("path"), exclude))
+    digest = F.when(F.col("type") == "directory", F.lit(None)).otherwise(F.unhex(entry_digest(kept))).alias("digest")
+    met = kept.groupBy(*beside, "tree", "path", digest).agg(F.bool_or(~F.col("new")).alias("before"), F.bool_or("new").alias("after"))
+    # A directory that one version names may be there in the other by what it holds; its own row says it is named.
+    named, differs = F.col("digest").isNull(), F.col("digest").isNotNull() & (F.col("before") != F.col("after"))
+    itself = F.when(named | differs, F.array("path")).otherwise(F.array().cast("array<string>"))
+    places = met.select("tree", F.explode(F.concat(_above(F.col("path")), itself)).alias("at"), "before", "after", differs.alias("differs"), (named & (F.col("path") == F.col("at"))).alias("named"))
+    flags = places.groupBy("tree", F.col("at").alias("path")).agg(*[F.bool_or(c).alias(c) for c in ("before", "after", "differs", "named")])
+    found = flags.where("differs OR before <> after")
+    # An empty folder that came or went changes those above it, which both versions have if they are not found themselves.
+    change = F.when(~F.col("before"), 1).when(~F.col("after"), 2).otherwise(0).alias("change")
+    above = F.when(F.col("named") & (F.col("before") != F.col("after")), F.transform(_above(F.col("path")), lambda p: F.struct(p.alias("path"), F.lit(0).alias("change"))))
+    marks = found.select("tree", F.explode(F.concat(F.array(F.struct("path", change)), F.coalesce(above, F.array().cast("array<struct<path:string,change:int>>")))).alias("m"))
+    most = marks.groupBy("tree", F.col("m.path").alias("path")).agg(F.max("m.change").alias("change"))
+    return most.select("tree", "path", F.when(F.col("change") == 1, "added").when(F.col("change") == 2, "removed").otherwise("changed").alias("change"))

@@ -1,10 +1,12 @@
 """Digests of trees: globs, empty folders, special entries, very full folders, and where changes show."""
 
 import fnmatch
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from stateloom import queries
 from stateloom.operators import merkle
 
 SCHEMA = "tree string, path string, type string, size long, sha256 string, target string"
@@ -86,3 +88,64 @@ def test_exclusions_hold_at_each_folder_above(spark):
         got = {r.n for r in rows.where(merkle.included(F.col("n"), [pattern])).collect()}
         parts = lambda n: ["/".join(n.split("/")[:i]) for i in range(1, n.count("/") + 2)]
         assert got == {n for n in names if not any(fnmatch.fnmatchcase(p, pattern) for p in parts(n))}, pattern
+
+
+def _versions(spark, old, new):
+    rows = [(False, *r) for r in old] + [(True, *r) for r in new]
+    return spark.createDataFrame(rows, "new boolean, " + SCHEMA)
+
+
+def _random_tree(tree, seed):
+    """Entries of one version: files, links, directories named whether they hold something or not; some are files here and folders there."""
+    rng, out = random.Random(seed), {}
+    for _ in range(rng.randrange(9)):
+        path = "/".join(rng.choice("abx") for _ in range(rng.randrange(1, 5)))
+        above = ["/".join(path.split("/")[:i]) for i in range(1, path.count("/") + 1)]
+        kind = rng.choice(["file", "file", "symlink", "directory", "directory"])
+        if any(out.get(p, "directory") != "directory" for p in above) or (kind != "directory" and any(p.startswith(path + "/") for p in out)):
+            continue
+        out[path] = kind
+    return [(tree, p, k, *{"file": (rng.randrange(2), "h", None), "symlink": (None, None, rng.choice("st")), "directory": (None, None, None)}[k]) for p, k in out.items()]
+
+
+@pytest.mark.parametrize("exclude", [(), ("*/x", "b")])
+def test_versions_met_entry_by_entry_differ_as_their_digests_do(spark, exclude):
+    old = [r for t in range(150) for r in _random_tree(f"t{t}", 2 * t)]
+    new = [r for t in range(150) for r in _random_tree(f"t{t}", 2 * t + t % 5 % 4)]
+    trees = [merkle.tree_digests(spark.createDataFrame(rows, SCHEMA), exclude) for rows in (old, new)]
+    want = sorted(map(tuple, merkle.changed_paths(*trees).collect()))
+    assert {c for *_, c in want} == {"added", "removed", "changed"}
+    got = merkle.changed_entries(_versions(spark, old + old[:40], new + new[:40]), exclude)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_versions_differ_by_empty_folders_and_kinds(spark):
+    def changed(old, new):
+        return {(r.path, r.change) for r in merkle.changed_entries(_versions(spark, [("t", *r) for r in old], [("t", *r) for r in new])).collect()}
+
+    folder, file = lambda p: (p, "directory", None, None, None), lambda p, h="h": (p, "file", 1, h, None)
+    top = {("a", "changed"), ("", "changed")}
+    assert changed([file("a/c"), folder("a/b/e")], [file("a/c")]) == top | {("a/b/e", "removed"), ("a/b", "removed")}
+    assert changed([file("a/c")], [file("a/c"), folder("a/b")]) == top | {("a/b", "added")}
+    assert changed([folder("a"), file("a/c")], [file("a/c")]) == set()
+    assert changed([folder("a")], [file("a/c")]) == top | {("a/c", "added")}
+    assert changed([file("a")], [file("a/c")]) == top | {("a/c", "added")}
+    assert changed([file("a")], [folder("a")]) == top
+    assert changed([], [folder("")]) == {("", "added")}
+    assert changed([], []) == set()
+    for kind in ("socket", None):
+        with pytest.raises(Exception, match="special file system entry"):
+            changed([], [("p", kind, None, None, None)])
+
+
+def test_versions_meet_where_files_have_met_their_jobs(spark):
+    """Entries are shuffled once, with their jobs; then only folders' flags and what has changed."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = queries.queries()["changed_folders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert sum(d.startswith(("job_id", "o_orderkey", "l_orderkey")) for d in dealt) == 2  # files and jobs
+    assert sum(d.startswith("tree") for d in dealt) == 2  # flags, and what has changed
